@@ -62,5 +62,19 @@ def positions(df: DataFrame, group: list[str], bucket: str, order: list, out: st
     offsets = sizes.select(*[F.col(c).alias(f"_o_{c}") for c in [*group, bucket]], F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     rank = F.row_number().over(Window.partitionBy(*group, bucket).orderBy(*order)).cast("long")
     on = [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in [*group, bucket]]
-    joined = df.withColumn("_rank", rank).join(offsets, on, "inner")
+    joined = df.withColumn("_rank", rank).join(F.broadcast(offsets), on, "inner")  # groups x buckets rows: bounded by the caller
     return joined.withColumn(out, F.col("_offset") + F.col("_rank") - 1).drop("_rank", "_offset", *[f"_o_{c}" for c in [*group, bucket]])
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, rows: str, total: int, how: str = "inner", share: int = 1000) -> DataFrame:
+    """``left`` joined to ``right`` (one row per ``key``; ``rows`` tells how many rows of
+    ``left`` have it). Keys with 1 / ``share`` of all rows or more, of which there are at
+    most ``share``, are broadcast, so that a hot key stays spread; the others shuffle."""
+    add = [c for c in right.columns if c != key]
+    r = right.select(F.col(key).alias("_k"), *add)
+    hot = F.broadcast(r.where(F.col(rows) * share >= total).withColumn("_hot", F.lit(True)))
+    first = left.join(hot, F.col(key) == F.col("_k"), "left")
+    done = first.where("_hot").drop("_k", "_hot")
+    rest = first.where("_hot is null").drop("_k", "_hot", *add)
+    cold = r.where(F.col(rows) * share < total)
+    return done.unionByName(rest.join(cold, F.col(key) == F.col("_k"), how).drop("_k").select(*done.columns))

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from glossa.llm.common import table
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.sharding import shard_equal_texts
+
+    return shard_equal_texts(table(spark, sf_dir, "documents"), 8)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossa.llm.pii import BASE, digest, find_spans
 
