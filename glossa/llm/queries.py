@@ -16,6 +16,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_equal_texts(table(spark, sf_dir, "documents"), 8)
 
 
+def op3_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.webp import media_columns
+
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossa.llm.toxicity import toxicity
 
