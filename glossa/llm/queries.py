@@ -45,6 +45,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, tempered_weights(docs))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossa.llm.quality_rules import judge
 
