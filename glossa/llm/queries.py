@@ -28,6 +28,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.ctw import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossa.llm.pii import BASE, digest, find_spans
 
