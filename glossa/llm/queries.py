@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from glossa.llm.common import table
 
 
+def op1_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.bagminhash import classes
+
+    return classes(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossa.llm.sharding import shard_equal_texts
 
