@@ -1,13 +1,73 @@
-"""The corpus pipeline: stages over ``documents``, each on all that the one before kept."""
+"""The corpus pipeline: stages over ``documents``, each on all that the one before kept.
+
+Each stage is a function of (spark, docs, sf_dir) that returns a DataFrame; all but the
+last return the columns of documents. ``run`` writes each stage's rows to the shared
+folder and rereads them for the next one.
+
+Defined cases: empty tables pass through all stages; null texts count as empty; rows with
+equal ids are separate rows, except that near-duplicates keep one row of each class.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glossa.llm import bagminhash, mixing, packing, pii, rff_quality
+from glossa.llm.common import freeze, table
+
+#: Rows with a quality score below this go.
+MIN_QUALITY = 0.3
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the quality classifier rejects."""
+    model = rff_quality.fit(docs, table(spark, sf_dir, "labels"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    scored = rff_quality.score(docs.select(row, "text"), model, ["_row"])
+    return scored.where(F.col("score") >= MIN_QUALITY).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates: the one with the smallest id."""
+    return bagminhash.deduplicate(docs)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by its kind in brackets."""
+    return pii.redact(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in the mixed order of their sources, in files of consecutive ranges."""
+    names = docs.columns
+    rows = freeze(docs.withColumn("_rid", F.monotonically_increasing_id()))
+    order = mixing.mix(rows.select("_rid", "source"), mixing.tempered_weights(rows), doc_id="_rid")
+    placed = rows.join(order.select(F.col("doc_id").alias("_rid"), "position"), "_rid")
+    # No sort in one task: ranges of positions, each sorted.
+    return placed.repartitionByRange("position").sortWithinPartitions("position").select(*names)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences; see glossa.llm.packing."""
+    return packing.pack_documents(docs.select("doc_id", "text"))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("minhash near-dedup", near_dedup),
+    ("pii", private),
+    ("mixing", mixed),
+    ("packing", packed),
+]
+
+#: SQL can express neither the classifier nor the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = freeze(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
