@@ -1,11 +1,609 @@
-"""Registered queries of the text-mining operators and their SQL."""
+"""Registered queries of the text-mining operators, over the driver's tables.
+
+Stand-ins: ``part`` is the ontology (concept p_brand, name p_name, order p_partkey),
+``documents`` are passages, words of documents are mentions.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from glossa.functions import text as T
+from glossa.functions.udfs import sequence_ratio
+from glossa.functions.vector import cosine_distance, nearest
+from glossa.operators import abbreviations as A
+from glossa.operators import corpus as C
+from glossa.operators import evaluate as V
+from glossa.operators import linking as L
+from glossa.operators import recognize as R
+from glossa.operators import spans as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ASCII = ("[^A-Za-z]", "[A-Za-z]")
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _names(spark, sf) -> DataFrame:
+    return _t(spark, sf, "part").select("p_name").distinct()
+
+
+def _words(spark, sf) -> DataFrame:
+    """(doc_id, pos, token, start, end): ASCII words of all documents."""
+    return S.token_spans(_t(spark, sf, "documents"), "doc_id", "text", *ASCII)
+
+
+def _long(x: str):
+    return F.col(x).cast("long").alias(x)
+
+
+# ---------------------------------------------------------------- scans and statistics
+
+
+@query
+def passage_scan_filter(spark, sf):
+    d = _t(spark, sf, "documents").where("length(text) > 0")
+    rid = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
+    return d.select("doc_id", "source", rid.cast("long").alias("record_id"), F.char_length("text").cast("long").alias("n"))
+
+
+@query
+def passage_running_id(spark, sf):
+    d = _t(spark, sf, "documents").where("length(text) > 0").select("doc_id")
+    return S.running_ids(d, ["doc_id"]).select("doc_id", _long("id"))
+
+
+@query
+def corpus_stats(spark, sf):
+    return C.statistics(_t(spark, sf, "documents"), ["lang", "source"], "doc_id")
+
+
+@query
+def corpus_throughput(spark, sf):
+    d = C.throughput(C.statistics(_t(spark, sf, "documents"), ["lang"], "doc_id"), 2.0)
+    return d.select("lang", *[F.round(c, 6).alias(c) for c in ("ms_per_doc", "ms_per_passage", "ms_per_1k_tokens", "chars_per_s")])
+
+
+@query
+def token_totals(spark, sf):
+    n = F.size(T.col(T.tokens("text")))
+    return _t(spark, sf, "conversations").groupBy("role").agg(F.sum(n).cast("long").alias("n_tokens"), F.count(F.lit(1)).alias("n_rows"))
+
+
+@query
+def concat_collections(spark, sf):
+    a = _t(spark, sf, "documents").select(F.lit("documents").alias("file"), F.col("doc_id").alias("id"), F.md5(F.col("text").cast("binary")).alias("digest"))
+    b = _t(spark, sf, "benchmark").select(F.lit("benchmark"), "item_id", F.md5(F.col("text").cast("binary")))
+    return a.union(b)
+
+
+@query
+def rebuild_document(spark, sf):
+    p = _t(spark, sf, "conversations").select(F.col("conv_id").alias("doc_key"), F.col("turn").alias("passage_idx"), "text")
+    return A.document_texts(p).select(F.col("doc_key").alias("conv_id"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+# ---------------------------------------------------------------- text functions
+
+
+@query
+def token_split(spark, sf):
+    d = _t(spark, sf, "documents").withColumn("w", T.col(T.tokens("text")))
+    return d.select("doc_id", F.size("w").cast("long").alias("n"), F.md5(F.array_join("w", "|").cast("binary")).alias("digest"))
+
+
+@query
+def plural_normalize(spark, sf):
+    d = _t(spark, sf, "documents").withColumn("p", T.col(T.plural_normalize("text")))
+    return d.select("doc_id", F.char_length("p").cast("long").alias("n"), F.md5(F.col("p").cast("binary")).alias("digest"))
+
+
+@query
+def text_keys(spark, sf):
+    x = F.concat(F.upper(F.substring("p_name", 1, 3)), F.lit("-"), F.col("p_brand"), F.lit("  s"))
+    d = _t(spark, sf, "part").select("p_partkey", "p_name", x.alias("x"))
+    return d.select(
+        "p_partkey",
+        T.col(T.normalize("x")).alias("normal"),
+        T.col(T.abbreviation_key("x")).alias("abbr_key"),
+        F.array_join(T.col(T.variant_keys("x")), "|").alias("variants"),
+        T.col(T.threshold("x")).alias("threshold"),
+        T.col(T.abbreviation_like("x")).alias("looks_short"),
+        T.col(T.abbreviation_like("p_name")).alias("name_looks_short"),
+    )
+
+
+@query
+def relaxed_key(spark, sf):
+    a = _t(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("id"), F.concat(F.lit("("), "p_name", F.lit("_Cells).")).alias("x"))
+    b = _t(spark, sf, "nation").select(F.col("n_nationkey").cast("long"), F.concat("n_name", F.lit("ies")))
+    return a.union(b).select("id", T.col(T.relaxed("x")).alias("relaxed"))
+
+
+@query
+def identifier_split(spark, sf):
+    d = _ids(spark, sf).select("id", F.explode_outer(T.col(T.split_identifiers("x"))).alias("part"), T.col(T.id_case("x")).alias("cased"), F.array_join(T.col(T.ontology_ids("x")), "|").alias("found"))
+    return d
+
+
+def _ids(spark, sf):
+    k = "p_partkey"
+    x = f"""case {k} % 7 when 0 then concat('CL:', {k}) when 1 then concat('(skos:exact)CL:', {k}) when 2 then concat('(skos:related)CL:', {k})
+        when 3 then concat('CL:', {k}, ';CL:', p_size) when 4 then concat('cl_', {k}, ', CL:', p_size) when 5 then '-' else 'None' end"""
+    return _t(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("passage_key"), F.col("p_type").alias("type"), F.expr(x).alias("x"))
+
+
+@query
+def identifier_gates(spark, sf):
+    d = _ids(spark, sf).withColumnRenamed("x", "identifier")
+    out = None
+    for gate in V.GATES:
+        g = V.gold_ids(d, gate).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("gold_id").alias("n_ids")).withColumn("gate", F.lit(gate))
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
+@query
+def token_jaccard_pairs(spark, sf):
+    """Pairs of names that share a word: joined by word, so no pair without one is made."""
+    n = _names(spark, sf).select("p_name", T.col(T.words("p_name")).alias("w"))
+    e = n.select("p_name", "w", F.explode("w").alias("word"))
+    a, b = e.select("word", F.col("p_name").alias("a"), F.col("w").alias("wa")), e.select("word", F.col("p_name").alias("b"), F.col("w").alias("wb"))
+    d = a.join(b, "word").where("a < b").select("a", "b", "wa", "wb").distinct()
+    return d.select("a", "b", F.round(T.col(T.jaccard("wa", "wb")), 9).alias("jaccard"))
+
+
+@query
+def parenthetical_relation(spark, sf):
+    d = _t(spark, sf, "part").select("p_partkey", "p_name", F.concat("p_brand", F.lit(" ("), F.upper("p_name"), F.lit(")")).alias("full"), F.concat(F.lit("("), "p_brand", F.lit(")")).alias("other"))
+    return d.select("p_partkey", T.col(T.parenthetical("p_name", "full")).alias("related"), T.col(T.parenthetical("p_name", "other")).alias("unrelated"))
+
+
+@query
+def sequence_ratio_pairs(spark, sf):
+    """Names that share a word, with their matching-blocks ratio."""
+    d = token_jaccard_pairs(spark, sf)
+    return d.select("a", "b", F.round(sequence_ratio(T.col(T.normalize("a")), T.col(T.normalize("b"))), 9).alias("ratio"))
+
+
+@query
+def byte_offset_map(spark, sf):
+    d = _t(spark, sf, "documents").select("doc_id", "text", F.char_length("text").alias("n"))
+    d = d.select("doc_id", "text", F.explode(F.expr("sequence(0, n, 500)")).alias("at"))
+    return d.select("doc_id", _long("at"), T.col(T.byte_offset("text", "at")).cast("long").alias("byte_at"))
+
+
+@query
+def json_entities_parse(spark, sf):
+    d = _t(spark, sf, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m"), F.expr("json_object_keys(props)").alias("k"))
+    return d.select("event_id", F.size("k").cast("long").alias("n_keys"), F.array_join(F.sort_array("k"), "|").alias("key_names"))
+
+
+# ---------------------------------------------------------------- ontology and abbreviations
+
+
+def _ontology(spark, sf) -> DataFrame:
+    p = _t(spark, sf, "part").groupBy("p_brand").agg(F.sort_array(F.collect_set("p_name")).alias("n"))
+    return p.select(F.col("p_brand").alias("concept_id"), F.element_at("n", 1).alias("preferred_label"), F.expr("slice(n, 2, size(n))").alias("synonyms"))
+
+
+@query
+def ontology_terms(spark, sf):
+    d = L.ontology_terms(_ontology(spark, sf))
+    return d.select("identifier", "preferred_label", "raw_name", "name", "is_preferred", _long("ord"))
+
+
+@query
+def concept_metadata(spark, sf):
+    d = L.concept_metadata(L.ontology_terms(_ontology(spark, sf)))
+    return d.select("identifier", "preferred_label", F.size("names").cast("long").alias("n_names"), F.array_join("names", "|").alias("names"))
+
+
+def _abbr_rows(spark, sf) -> DataFrame:
+    """Short forms: the first letters of a name's words, with dashes for even keys."""
+    x = "array_join(transform(split(p_name, ' '), w -> upper(left(w, 2))), if(p_partkey % 2 = 0, '-', ''))"
+    return _t(spark, sf, "part").select(F.expr(x).alias("short_form"), F.concat(F.lit("CL:"), "p_size").alias("identifier"), F.col("p_partkey").alias("line"))
+
+
+@query
+def abbrev_lookup(spark, sf):
+    return A.lookup(_abbr_rows(spark, sf))
+
+
+def _short_mentions(spark, sf) -> DataFrame:
+    x = "array_join(transform(split(p_name, ' '), w -> upper(left(w, 2))), ' ')"
+    s = _t(spark, sf, "part").select(F.expr(f"concat({x}, if(p_partkey % 3 = 0, 's', ''))").alias("mention"), F.expr("concat('d', p_partkey % 50)").alias("doc_key"))
+    return s.distinct()
+
+
+def _defined(spark, sf) -> DataFrame:
+    x = "array_join(transform(split(p_name, ' '), w -> upper(left(w, 2))), '')"
+    return _t(spark, sf, "part").where("p_partkey % 5 = 0").select(F.expr("concat('d', p_partkey % 50)").alias("doc_key"), F.expr(f"concat({x}, if(p_partkey % 2 = 0, 's', ''))").alias("key"), F.col("p_name").alias("long_form"), F.col("p_partkey").alias("ord"))
+
+
+@query
+def abbrev_exact_join(spark, sf):
+    m = _short_mentions(spark, sf).select("mention").distinct()
+    return A.match_exact(m, A.lookup(_abbr_rows(spark, sf))).select("mention", "key", "n_ids", "short_form", "identifier")
+
+
+@query
+def doc_shortform_cascade(spark, sf):
+    w = _short_mentions(spark, sf).select("doc_key", T.col(T.abbreviation_key("mention")).alias("key"))
+    return A.cascade(w, _defined(spark, sf), fuzzy=False).select("doc_key", "key", "method", "matched_key", "long_form")
+
+
+@query
+def doc_shortform_fuzzy(spark, sf):
+    w = _short_mentions(spark, sf).select("doc_key", T.col(T.abbreviation_key("mention")).alias("key"))
+    return A.cascade(w, _defined(spark, sf)).select("doc_key", "key", "method", "matched_key", "long_form", F.round("score", 9).alias("score"))
+
+
+@query
+def abbrev_resolve(spark, sf):
+    d = A.resolve(_short_mentions(spark, sf), A.lookup(_abbr_rows(spark, sf)), _defined(spark, sf), fuzzy=False)
+    return d.select("doc_key", "mention", "kind", "identifier", F.when(F.col("kind") == "ambiguous_long_form", F.col("long_form")).alias("long_form"))
+
+
+@query
+def document_definitions(spark, sf):
+    d = _t(spark, sf, "part").select(F.col("p_partkey").alias("doc_key"), F.expr("concat('We saw ', p_name, ' (', array_join(transform(split(p_name, ' '), w -> upper(left(w, 1))), ''), ') here.')").alias("text"))
+    return A.document_definitions(d).select(F.col("doc_key").alias("p_partkey"), "key", "long_form", _long("ord"))
+
+
+# ---------------------------------------------------------------- retrieval and linking
+
+
+def _near(spark, sf, k) -> DataFrame:
+    e = _t(spark, sf, "embeddings")
+    return nearest(e.where("vec_id % 50 = 0").select("vec_id", "embedding"), e, k, "vec_id", "vec_id")
+
+
+@query
+def link_topk_terms(spark, sf):
+    return _near(spark, sf, 20).select("query_id", F.col("term_id").alias("vec_id"), F.col("distance"), _long("rank"))
+
+
+@query
+def link_topk_concepts(spark, sf):
+    """Nearest 20 terms of each query, best per concept, 5 best concepts."""
+    e = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("term_id"), "label")
+    d = _near(spark, sf, 20).drop("rank").join(e, "term_id").withColumn("score", -F.col("distance"))
+    best = L.best_per_concept(d, "query_id", "label", "score", ["term_id"], 5)
+    return best.select("query_id", "label", F.col("term_id").alias("vec_id"), "distance", _long("rank"))
+
+
+@query
+def abbrev_nearest_key(spark, sf):
+    e = _t(spark, sf, "embeddings")
+    keys = e.where("vec_id % 50 <> 0")
+    near = nearest(e.where("vec_id % 50 = 0").select("vec_id", "embedding"), keys, 1, "vec_id", "vec_id")
+    m = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("m"), F.expr("left('ABCDEFGHIJK', 3 + cast(vec_id % 8 as int))").alias("mention"))
+    limit = T.col("case when char_length(mention) <= 4 then 0.9D when char_length(mention) <= 7 then 0.5D else 0.1D end")
+    d = m.join(near, m.m == near.query_id).withColumn("score", F.round(1 - F.col("distance"), 9))
+    return d.select("mention", F.col("m").alias("vec_id"), F.col("term_id").alias("key_id"), "score", (F.col("score") >= limit).alias("passes"))
+
+
+@query
+def cosine_pairs(spark, sf):
+    e = _t(spark, sf, "embeddings")
+    a = e.select("vec_id", F.col("label").alias("la"), F.col("embedding").alias("u"))
+    b = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("v"))
+    d = a.join(b, a.la == b.label)
+    return d.select("query_id", "vec_id", F.round(F.expr(cosine_distance("u", "v")), 9).alias("distance"))
+
+
+@query
+def rerank_candidates(spark, sf):
+    """Names of parts of size 1 as queries against the brands that have a word of theirs."""
+    part = _t(spark, sf, "part")
+    n = part.select(F.col("p_brand").alias("identifier"), F.col("p_name").alias("name")).distinct()
+    q = part.where("p_size = 1").select(F.col("p_name").alias("query")).distinct()
+    qw = q.select("query", F.explode(F.split("query", " ")).alias("w"))
+    first = n.groupBy("identifier").agg(F.min("name").alias("preferred_label"))
+    nw = n.select("identifier", F.explode(F.split("name", " ")).alias("w")).distinct()
+    c = qw.join(nw, "w").groupBy("query", "identifier").agg(F.count(F.lit(1)).alias("shared")).join(first, "identifier")
+    c = c.select("query", "identifier", "preferred_label", (F.col("shared") / -10.0).alias("embedding_score"), (F.col("query") == F.col("preferred_label")).alias("is_preferred"))
+    d = L.rerank(c, n, sequence=False)
+    return d.select("query", "identifier", *[F.round(x, 9).alias(x) for x in ("exact", "name_jaccard", "label_jaccard", "parenthetical", "final_score")])
+
+
+@query
+def mention_distinct(spark, sf):
+    w = _words(spark, sf)
+    return w.groupBy(F.lower("token").alias("norm")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+def _gazetteer(spark, sf) -> DataFrame:
+    """Terms: words of eight letters or more of the benchmark, with their first item."""
+    b = S.token_spans(_t(spark, sf, "benchmark"), "item_id", "text", *ASCII).where("char_length(token) >= 8")
+    return b.groupBy(F.lower("token").alias("term")).agg(F.min("item_id").alias("concept"))
+
+
+@query
+def mention_link_join(spark, sf):
+    w = _words(spark, sf).where("char_length(token) >= 8").withColumn("norm", F.lower("token"))
+    g = _gazetteer(spark, sf)
+    d = w.join(g, w.norm == g.term, "left")
+    return d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_mentions"), F.count("concept").alias("n_linked"), F.countDistinct("concept").alias("n_concepts"))
+
+
+@query
+def decision_counters(spark, sf):
+    d = A.resolve(_short_mentions(spark, sf), A.lookup(_abbr_rows(spark, sf)), _defined(spark, sf), fuzzy=False)
+    return d.groupBy(F.col("kind").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def link_mentions(spark, sf):
+    """The whole linker with its default encoder."""
+    m = _short_mentions(spark, sf)
+    long = _t(spark, sf, "part").where("p_partkey % 10 = 1").select(F.expr("concat('d', p_partkey % 50)").alias("doc_key"), F.col("p_name").alias("mention"))
+    d = L.link(m.select("doc_key", "mention").union(long), _ontology(spark, sf), A.lookup(_abbr_rows(spark, sf)), _defined(spark, sf))
+    return d.select("doc_key", "mention", "identifier", "name", F.round("final_score", 6).alias("final_score"), "source")
+
+
+@query
+def contrastive_loss(spark, sf):
+    e = _t(spark, sf, "embeddings")
+    d = C.contrastive_loss(C.balanced_sample(e, "label", "vec_id", 8, 4))
+    return d.select(F.round("loss", 6).alias("loss"), "anchors")
+
+
+# ---------------------------------------------------------------- chunks, labels, tags
+
+
+@query
+def chunk_windows(spark, sf):
+    d = _t(spark, sf, "documents").select("doc_id", F.size(T.col(T.tokens("text"))).alias("n"))
+    return S.chunks(d, "doc_id", "n").select("doc_id", _long("chunk"), _long("first"), _long("last"))
+
+
+def _logits(spark, sf) -> DataFrame:
+    d = _t(spark, sf, "embeddings").select(F.expr("vec_id div 3").alias("token"), F.col("vec_id").alias("chunk"), F.posexplode(F.slice("embedding", 1, 5)).alias("label", "logit"))
+    return d.withColumn("logit", F.col("logit").cast("double"))
+
+
+@query
+def logit_average(spark, sf):
+    d = S.average_logits(_logits(spark, sf), ["token"], "label", "logit")
+    return d.select("token", _long("label"), F.round("mean_logit", 9).alias("mean_logit"), "n_chunks")
+
+
+@query
+def logit_argmax(spark, sf):
+    d = S.average_logits(_logits(spark, sf), ["token"], "label", "logit")
+    return S.best_label(d, ["token"], "label").select("token", _long("label"))
+
+
+@query
+def bio_decode(spark, sf):
+    """Events of a user as tags: every fourth is O, every fifth begins a span."""
+    tag = F.when(F.col("event_id") % 4 == 0, "O").otherwise(F.concat(F.when(F.col("event_id") % 5 == 0, "B-").otherwise("I-"), "event_type"))
+    d = _t(spark, sf, "events").select("user_id", "ts", "event_id", tag.alias("tag"), (F.col("event_id") * 2).alias("s"), (F.col("event_id") * 2 + F.when(F.col("event_id") % 11 == 0, 0).otherwise(1)).alias("e"))
+    return S.decode_tags(d, "user_id", ["ts", "event_id"], "tag", "s", "e").select("user_id", "label", "start", "end", "n_tokens")
+
+
+def _entities(spark, sf) -> DataFrame:
+    """Entities: from each word ending in 'ing' or 'tion' on, its second half and 12 more characters."""
+    w = _words(spark, sf).where("token rlike '(ing|tion)$'")
+    return w.select("doc_id", F.col("pos").alias("entity"), F.when(F.endswith("token", F.lit("ing")), "ing").otherwise("tion").alias("label"), F.expr("start + char_length(token) div 2").cast("int").alias("start"), F.expr("end + 12").cast("int").alias("end"))
+
+
+@query
+def bio_encode(spark, sf):
+    d = S.encode_tags(_words(spark, sf), _entities(spark, sf), "doc_id")
+    return d.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("pos").cast("long")).alias("pos_sum"))
+
+
+@query
+def bio_encode_skip(spark, sf):
+    d = S.encode_tags(_words(spark, sf), _entities(spark, sf), "doc_id", "skip")
+    return d.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("pos").cast("long")).alias("pos_sum"))
+
+
+@query
+def chunk_labels(spark, sf):
+    """Labels of all windows' tokens; the window's two special places are -100."""
+    tags = S.encode_tags(_words(spark, sf), _entities(spark, sf), "doc_id").select("doc_id", "pos", "tag")
+    n = tags.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    w = S.chunks(n, "doc_id", "n", 128, 32)
+    places = w.select("doc_id", "chunk", F.explode(F.expr("sequence(first - 1, last)")).alias("pos"), "first", "last")
+    d = places.join(tags, ["doc_id", "pos"], "left")
+    label = F.when((F.col("pos") < F.col("first")) | (F.col("pos") >= F.col("last")), -100).otherwise(F.expr("case tag when 'O' then 0 when 'B-ing' then 1 when 'I-ing' then 2 when 'B-tion' then 3 else 4 end"))
+    return d.groupBy("doc_id", "chunk").agg(F.sum(label.cast("long")).alias("label_sum"), F.count(F.lit(1)).alias("n")).select("doc_id", _long("chunk"), "label_sum", "n")
+
+
+@query
+def label_schema(spark, sf):
+    return C.label_schema(_t(spark, sf, "events"), "event_type").select(_long("label_id"), "label")
+
+
+@query
+def label_recode(spark, sf):
+    d = _t(spark, sf, "events")
+    first, second = "click", "view"
+    return C.recode(d, "event_type", {first: second}, ("purchase",)).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def balanced_sample(spark, sf):
+    d = C.balanced_sample(_t(spark, sf, "embeddings"), "label", "vec_id", 5, 3)
+    return d.select(_long("label"), "vec_id", _long("pick"))
+
+
+@query
+def label_index(spark, sf):
+    d = _t(spark, sf, "embeddings").groupBy("label").agg(F.sort_array(F.collect_list("vec_id")).alias("v"))
+    return d.select(_long("label"), F.size("v").cast("long").alias("n"), F.md5(F.array_join(F.transform("v", lambda x: x.cast("string")), ",").cast("binary")).alias("digest"))
+
+
+# ---------------------------------------------------------------- span joins
+
+
+def _gold(spark, sf) -> DataFrame:
+    w = _words(spark, sf).where("token rlike '(ing|tion)$'")
+    kind = F.when(F.endswith("token", F.lit("ing")), "ing").otherwise("tion")
+    return w.select(F.col("doc_id").alias("passage_key"), F.col("pos").alias("id"), kind.alias("type"), "start", "end", F.col("token").alias("text"))
+
+
+def _pred(spark, sf) -> DataFrame:
+    w = _words(spark, sf).where("token rlike '(ing|ion)$' and char_length(token) >= 6")
+    kind = F.when(F.endswith("token", F.lit("ing")), "ing").otherwise("tion")
+    begin = F.when(F.col("pos") % 3 == 0, F.greatest(F.col("start") - 4, F.lit(0))).otherwise(F.col("start"))
+    return w.select(F.col("doc_id").alias("passage_key"), F.col("pos").alias("id"), kind.alias("type"), begin.cast("int").alias("start"), "end", F.col("token").alias("text"))
+
+
+def _located(d: DataFrame) -> DataFrame:
+    return d.withColumn("locations", F.concat_ws("-", "start", "end"))
+
+
+@query
+def span_overlap_pairs(spark, sf):
+    both = _pred(spark, sf).select("passage_key", (2 * F.col("id")).alias("i"), "start", "end").union(_gold(spark, sf).select("passage_key", 2 * F.col("id") + 1, "start", "end"))
+    d = S.overlapping_pairs(both, "passage_key", "i")
+    return d.groupBy("passage_key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("a").cast("long") * 3 + F.col("b")).alias("mark"))
+
+
+@query
+def span_containment_join(spark, sf):
+    """Spans in passages of 400 characters; those that cross an edge go."""
+    p = _t(spark, sf, "documents").select("doc_id", F.char_length("text").alias("n")).select("doc_id", "n", F.posexplode(F.expr("sequence(0, n, 400)")).alias("passage", "start"))
+    p = p.select("doc_id", "passage", "start", F.expr("least(start + 400, n)").alias("end"))
+    d = S.contained(_gold(spark, sf).withColumnRenamed("passage_key", "doc_id"), p, "doc_id")
+    return d.select("doc_id", _long("id"), _long("passage"), _long("local_start"))
+
+
+@query
+def span_token_overlap_join(spark, sf):
+    t = _words(spark, sf).withColumnRenamed("doc_id", "passage_key")
+    d = S.token_overlaps(_gold(spark, sf), _pred(spark, sf), t, "passage_key")
+    return d.groupBy("passage_key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("ref").cast("long") * 3 + F.col("pred")).alias("mark"))
+
+
+@query
+def strict_span_prf(spark, sf):
+    d = V.strict_spans(_located(_gold(spark, sf)), _located(_pred(spark, sf)))
+    return d.select("tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query
+def relaxed_span_prf(spark, sf):
+    t = _words(spark, sf).withColumnRenamed("doc_id", "passage_key")
+    d = V.relaxed_spans(_gold(spark, sf), _pred(spark, sf), t, ["the", "being"])
+    return d.select("tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def _link_pred(spark, sf) -> DataFrame:
+    d = _ids(spark, sf)
+    ranks = d.select("passage_key", "type", "id", F.explode(F.expr("sequence(0, 11)")).alias("rank"))
+    pred = F.when((F.col("id") + F.col("rank")) % 9 == 0, "-").otherwise(F.concat(F.lit("CL:"), F.col("id") + F.col("rank") - 3))
+    d = ranks.select("passage_key", "type", "id", "rank", pred.alias("pred_id"), F.concat(F.lit("0."), F.lit(99) - F.col("rank") * 7).alias("score"))
+    return d
+
+
+def _placed(d: DataFrame) -> DataFrame:
+    w = Window.partitionBy("passage_key", "type", "id").orderBy("rank")
+    return d.withColumn("place", F.row_number().over(w) - 1)
+
+
+@query
+def link_prf_topk(spark, sf):
+    gold = V.gold_ids(_ids(spark, sf).withColumnRenamed("x", "identifier"), "allLabels")
+    d = V.link_scores(gold, _placed(V.ranked_ids(_link_pred(spark, sf))), ["passage_key", "type"])
+    return d.select(_long("top"), "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query
+def link_prf_grid(spark, sf):
+    """Every gate and every part type as entity type set, with a score threshold."""
+    pred = _placed(V.ranked_ids(_link_pred(spark, sf), 0.5))
+    d = _ids(spark, sf).withColumnRenamed("x", "identifier")
+    out = None
+    for gate in V.GATES:
+        gold = V.gold_ids(d, gate)
+        g = V.set_counts(gold.select("type", "passage_key", F.col("gold_id").alias("i")), pred.where("place < 5").select("type", "passage_key", F.col("pred_id").alias("i")), ["passage_key", "i"], ["type"])
+        g = V.scores(g).withColumn("gate", F.lit(gate))
+        out = g if out is None else out.unionByName(g)
+    return out.select("gate", "type", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def _passage_sides(spark, sf) -> tuple[DataFrame, DataFrame]:
+    d = _t(spark, sf, "documents").select(F.col("doc_id").alias("passage_key"), F.lit(0).alias("offset"), "text")
+    p = d.where("passage_key % 7 <> 0").select(F.expr("if(passage_key % 11 = 0, passage_key + 1000000000, passage_key)").alias("passage_key"), F.expr("if(passage_key % 13 = 0, 1, offset)").alias("offset"), F.expr("if(passage_key % 17 = 0, concat(text, '.'), text)").alias("text"))
+    return d, p
+
+
+@query
+def verify_passages(spark, sf):
+    return V.verify_passages(*_passage_sides(spark, sf))
+
+
+@query
+def drop_unknown_passages(spark, sf):
+    refs, preds = _passage_sides(spark, sf)
+    return V.drop_unknown(preds, refs).select("passage_key", _long("offset"))
+
+
+# ---------------------------------------------------------------- corpora
+
+
+def _terms(spark, sf) -> DataFrame:
+    x = "case when p_partkey % 3 = 0 then upper(p_name) when p_partkey % 3 = 1 then concat(' ', replace(p_name, ' ', '  ')) else p_name end"
+    return C.dedupe_terms(_t(spark, sf, "part").withColumn("x", F.expr(x)), "p_brand", "x", "p_partkey")
+
+
+@query
+def term_dedupe(spark, sf):
+    return _terms(spark, sf).select("concept", "term", _long("pos"))
+
+
+@query
+def training_pairs(spark, sf):
+    return C.training_pairs(_terms(spark, sf))
+
+
+def _concept_names(spark, sf) -> DataFrame:
+    x = "if(p_partkey % 2 = 0, p_name, concat(p_name, ' ', p_brand))"
+    return _t(spark, sf, "part").select(F.col("p_brand").alias("concept"), F.expr(x).alias("name"))
+
+
+@query
+def ambiguous_name_filter(spark, sf):
+    return C.drop_ambiguous(_concept_names(spark, sf))
+
+
+@query
+def ambiguous_name_statistics(spark, sf):
+    return C.ambiguity_statistics(_concept_names(spark, sf))
+
 
-def queries() -> dict:
-    return {}
+@query
+def corpus_overlap(spark, sf):
+    docs = _t(spark, sf, "documents").select("doc_id", "lang")
+    f = _words(spark, sf).where("char_length(token) >= 8").join(docs, "doc_id").select(F.col("lang").alias("corpus"), F.lower("token").alias("form"))
+    return C.overlap(f, _gazetteer(spark, sf).withColumnRenamed("term", "form"))
 
 
-def oracle_sql() -> dict:
-    return {}
+@query
+def annotate_e2e(spark, sf):
+    """Recognise gazetteer terms in all documents and link each span by its text."""
+    g = _gazetteer(spark, sf)
+    docs = _t(spark, sf, "documents")
+    d = R.recognize(docs, R.gazetteer(g, longest=1), "doc_id")
+    d = d.withColumn("term", F.lower("text")).join(g, "term", "left")
+    return d.select("doc_id", _long("start"), _long("end"), "text", "concept")
