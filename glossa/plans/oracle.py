@@ -1,5 +1,205 @@
 """SQL of the registered queries for DuckDB, written independently of the plans."""
 
+from __future__ import annotations
+
+_WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\p{Z}]"
+_DASH = r"\-\x{2010}\x{2011}\x{2012}\x{2013}\x{2014}\x{2212}"
+
+
+def _squeeze(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{_WS}+', ' ', 'g'))"
+
+
+def _normal(x: str) -> str:
+    return _squeeze(f"lower({x})")
+
+
+def _key(x: str) -> str:
+    return f"regexp_replace({x}, '[{_DASH}]|{_WS}', '', 'g')"
+
+
+def _other(k: str) -> str:
+    return f"case when {k} like '%s' and length({k}) > 1 then left({k}, length({k}) - 1) else {k} || 's' end"
+
+
+def _limit(x: str) -> str:
+    return f"case when length({_key(x)}) <= 4 then 1.0::double when length({_key(x)}) <= 7 then 0.95::double else 0.9::double end"
+
+
+def _short(x: str) -> str:
+    return f"(length({_key(x)}) > 1 and (regexp_matches({x}, '[\\p{{Lu}}\\p{{Nd}}+/-]') or (length({_key(x)}) <= 12 and position(' ' in trim({x})) = 0)))"
+
+
+def _tokens(x: str) -> str:
+    return rf"regexp_extract_all({x}, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}\s\x{{0b}}\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\p{{Z}}]')"
+
+
+def _singular(w: str) -> str:
+    return (
+        f"case when {w} not like '%s' then {w} when {w} like '%viruses' then left({w}, length({w}) - 4) || 'us' "
+        f"when {w} like '%ies' and {w} not like '%eies' and {w} not like '%aies' then left({w}, length({w}) - 3) || 'y' "
+        f"when {w} like '%es' and {w} not like '%aes' and {w} not like '%ees' and {w} not like '%oes' then (case when {w} like '%sses' then left({w}, length({w}) - 2) else left({w}, length({w}) - 1) end) "
+        f"when {w} like '%us' or {w} like '%ss' then {w} else left({w}, length({w}) - 1) end"
+    )
+
+
+def _plural(x: str) -> str:
+    return f"array_to_string(list_transform({_tokens(x)}, lambda w: {_singular('w')}), ' ')"
+
+
+def _set(x: str) -> str:
+    return f"list_distinct(list_filter(string_split({_normal(x)}, ' '), lambda w: w <> ''))"
+
+
+def _jaccard(a: str, b: str) -> str:
+    return f"coalesce(len(list_intersect({a}, {b}))::double / nullif(len(list_distinct(list_concat({a}, {b}))), 0), 0)"
+
+
+def _paren(a: str, b: str) -> str:
+    side = lambda x, y: f"len(list_filter(regexp_extract_all({x}, '\\(([^()]*)\\)', 1), lambda p: {_normal('p')} = {_normal(y)})) > 0"
+    return f"({side(a, b)} or {side(b, a)})"
+
+
+def _relaxed(x: str) -> str:
+    t = f"regexp_replace({_normal(x)}, '[\\x{{2010}}\\x{{2011}}\\x{{2012}}\\x{{2013}}\\x{{2014}}\\x{{2212}}_-]+', ' ', 'g')"
+    t = f"regexp_replace(regexp_replace({t}, '^[\\s.,;:()\\[\\]{{}}]+', ''), '[\\s.,;:()\\[\\]{{}}]+$', '')"
+    return _squeeze(f"regexp_replace({t}, '\\bcells\\b', 'cell', 'g')")
+
+
+_LAST = """case when w like '%ies' and length(w) > 4 and w not in ('species', 'series') then left(w, length(w) - 3) || 'y'
+  when regexp_matches(w, '(sses|shes|ches|xes|zes)$') and length(w) > 4 then left(w, length(w) - 2)
+  when w like '%s' and length(w) > 3 and not regexp_matches(w, '(ss|us|is)$') then left(w, length(w) - 1) else w end"""
+
+_W2 = "([^A-Za-z]*)([A-Za-z]+)"
+_UNICODE = r"([^\p{L}\p{N}]*)([\p{L}\p{N}]+)"
+
+
+def _words(name: str = "words", table: str = "documents", key: str = "doc_id", pattern: str = _W2) -> str:
+    return f"""{name}_raw as (select {key}, unnest(regexp_extract_all(text, '{pattern}', 1)) gap, unnest(regexp_extract_all(text, '{pattern}', 2)) token,
+      unnest(range(len(regexp_extract_all(text, '{pattern}', 2)))) pos from {table}),
+    {name} as (select {key}, pos, token, cast(sum(length(gap) + length(token)) over (partition by {key} order by pos) as bigint) - length(token) s,
+      cast(sum(length(gap) + length(token)) over (partition by {key} order by pos) as bigint) e from {name}_raw)"""
+
+
+_IDS = """ids as (select p_partkey id, p_brand passage_key, p_type "type", case p_partkey % 7 when 0 then 'CL:' || p_partkey when 1 then '(skos:exact)CL:' || p_partkey
+  when 2 then '(skos:related)CL:' || p_partkey when 3 then 'CL:' || p_partkey || ';CL:' || p_size when 4 then 'cl_' || p_partkey || ', CL:' || p_size when 5 then '-' else 'None' end x from part)"""
+_CLEAN = "trim(replace(replace(x, '(skos:exact)', ''), '(skos:related)', ''))"
+_PARTS = f"list_filter(list_transform(regexp_split_to_array({_CLEAN}, '[;,]'), lambda p: trim(p)), lambda p: lower(p) not in ('', '-', 'none'))"
+_GOLD = f"""single as (select *, {_CLEAN} gold_id from ids where x not in ('-', 'None') and position(';' in x) = 0 and position(',' in x) = 0),
+ gold as (select 'singleID' gate, id, passage_key, "type", gold_id from single union all
+  select 'exactIDsOnly', id, passage_key, "type", gold_id from single where x not like '(skos:related)%' union all
+  select 'allLabels', id, passage_key, "type", unnest({_PARTS}) from ids)"""
+_PREFIX = "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(left(w, 2))), '{0}')"
+_ABBR = f"""abbr as (select case when p_partkey % 2 = 0 then {_PREFIX.format('-')} else {_PREFIX.format('')} end short_form, 'CL:' || p_size identifier, p_partkey line from part),
+ lookup as (select {_key('short_form')} k, count(distinct identifier) n_ids, count(*) n_rows, arg_max(short_form, length(short_form) * 1000000000 - line) short_form,
+  arg_max(identifier, length(short_form) * 1000000000 - line) identifier from abbr group by 1)"""
+_MENTIONS = f"""mentions as (select distinct {_PREFIX.format(' ')} || case when p_partkey % 3 = 0 then 's' else '' end mention, 'd' || (p_partkey % 50) doc_key from part)"""
+_DEFINED = f"""defined as (select 'd' || (p_partkey % 50) doc_key, {_PREFIX.format('')} || case when p_partkey % 2 = 0 then 's' else '' end k, arg_max(p_name, p_partkey) long_form from part where p_partkey % 5 = 0 group by 1, 2)"""
+_CASCADE = f"""wanted as (select distinct doc_key, {_key('mention')} k from mentions),
+ hits as (select w.doc_key, w.k, 1 prio, 'exact_key' "method", d.k matched_key, d.long_form from wanted w join defined d on w.doc_key = d.doc_key and w.k = d.k
+  union all select w.doc_key, w.k, 2, 'exact_variant', d.k, d.long_form from wanted w join defined d on w.doc_key = d.doc_key and d.k = ({_other('w.k')})),
+ cascade as (select doc_key, k, arg_min("method", prio) "method", arg_min(matched_key, prio) matched_key, arg_min(long_form, prio) long_form from hits group by 1, 2)"""
+_RESOLVE = f"""resolved as (select m.doc_key, m.mention, case when l.k is null then 'none' when n_ids = 1 then 'direct' when c.long_form is not null then 'ambiguous_long_form' else 'ambiguous_unresolved' end kind,
+  case when n_ids = 1 then l.identifier end identifier, case when n_ids > 1 then c.long_form end long_form
+  from mentions m left join lookup l on l.k = {_key('m.mention')} and {_short('m.mention')} left join cascade c on c.doc_key = m.doc_key and c.k = {_key('m.mention')})"""
+_COS = "1 - list_cosine_similarity({0}.embedding::double[], {1}.embedding::double[])"
+_NEAR = f"""near as (select q.vec_id query_id, t.vec_id, t.label, round({_COS.format('q', 't')}, 9) distance from embeddings q, embeddings t where q.vec_id % 50 = 0),
+ top as (select *, row_number() over (partition by query_id order by distance, vec_id) "rank" from near qualify "rank" <= 20)"""
+_LOGITS = "logits as (select vec_id // 3 token, unnest(range(5)) label, unnest(embedding[1:5])::double logit from embeddings), means as (select token, label, avg(logit) m, count(*) n from logits group by 1, 2)"
+_GAZ = f"{_words('bench', 'benchmark', 'item_id')}, gaz as (select lower(token) term, min(item_id) concept from bench where length(token) >= 8 group by 1)"
+_SPANS = """gold as (select doc_id passage_key, pos id, case when token like '%ing' then 'ing' else 'tion' end "type", s, e from words where regexp_matches(token, '(ing|tion)$')),
+ pred as (select doc_id passage_key, pos id, case when token like '%ing' then 'ing' else 'tion' end "type", case when pos % 3 = 0 then greatest(s - 4, 0) else s end s, e from words where regexp_matches(token, '(ing|ion)$') and length(token) >= 6)"""
+_ENT = """ent as (select doc_id, pos entity, case when token like '%ing' then 'ing' else 'tion' end label, s + length(token) // 2 s, e + 12 e from words where regexp_matches(token, '(ing|tion)$'))"""
+_OWN = """own as (select w.doc_id, w.pos, max(x.entity) entity from words w join ent x on w.doc_id = x.doc_id and w.s < x.e and x.s < w.e {0} group by 1, 2),
+ tagged as (select w.doc_id, w.pos, case when o.entity is null then 'O' when o.entity = lag(o.entity) over (partition by w.doc_id order by w.pos) then 'I-' || x.label else 'B-' || x.label end tag
+  from words w left join own o on w.doc_id = o.doc_id and w.pos = o.pos left join ent x on x.doc_id = o.doc_id and x.entity = o.entity)"""
+_SKIP = "and not exists (select 1 from words v where v.doc_id = x.doc_id and v.s < x.e and x.s < v.e and (v.s < x.s or v.e > x.e))"
+_PRF = "round(case when tp + fp > 0 then tp / (tp + fp) else 0 end, 9) \"precision\", round(case when tp + fn > 0 then tp / (tp + fn) else 0 end, 9) recall, round(case when tp > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end, 9) f1"
+_PRED = """pred as (select passage_key, "type", id, r, 'CL:' || (id + r - 3) pred_id, (99 - r * 7) score from ids, range(12) t(r) where (id + r) % 9 <> 0 {0}),
+ placed as (select *, row_number() over (partition by passage_key, "type", id order by r) - 1 place from pred)"""
+_TERMS = f"""raw as (select p_brand concept, {_squeeze("case when p_partkey % 3 = 0 then upper(p_name) when p_partkey % 3 = 1 then ' ' || replace(p_name, ' ', '  ') else p_name end")} term, p_partkey ord from part),
+ once as (select *, row_number() over (partition by concept, lower(term) order by ord) n from raw qualify n = 1),
+ terms as (select concept, term, row_number() over (partition by concept order by ord, lower(term)) - 1 pos from once)"""
+_CN = "cn as (select distinct p_brand concept, case when p_partkey % 2 = 0 then p_name else p_name || ' ' || p_brand end name from part), single as (select name, min(concept) concept from cn group by 1 having count(*) = 1), kept as (select * from single where concept in (select concept from single group by 1 having count(*) >= 2))"
+_ONT = """ont as (select p_brand identifier, list_sort(list(distinct p_name)) n from part group by 1)"""
+_SIDES = """refs as (select doc_id passage_key, 0 o, text from documents),
+ preds as (select case when doc_id % 11 = 0 then doc_id + 1000000000 else doc_id end passage_key, case when (case when doc_id % 11 = 0 then doc_id + 1000000000 else doc_id end) % 13 = 0 then 1 else 0 end o,
+  case when (case when doc_id % 11 = 0 then doc_id + 1000000000 else doc_id end) % 17 = 0 then text || '.' else text end text from documents where doc_id % 7 <> 0)"""
+_WORDN = f"len(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda w: w <> ''))"
+
+SQL = {
+    "passage_scan_filter": "select doc_id, source, row_number() over (partition by source order by doc_id) - 1 record_id, length(text) n from documents where length(text) > 0",
+    "passage_running_id": "select doc_id, row_number() over (order by doc_id) - 1 id from documents where length(text) > 0",
+    "corpus_stats": f"select lang, source, count(distinct doc_id) n_docs, count(*) n_passages, sum(length(text))::bigint n_chars, sum({_WORDN})::bigint n_tokens from documents group by 1, 2",
+    "corpus_throughput": f"select lang, round(2000.0::double / count(distinct doc_id), 6) ms_per_doc, round(2000.0::double / count(*), 6) ms_per_passage, round(2000000.0::double / sum({_WORDN}), 6) ms_per_1k_tokens, round(sum(length(text)) / 2.0::double, 6) chars_per_s from documents group by 1",
+    "token_totals": f"select role, sum(len({_tokens('text')}))::bigint n_tokens, count(*) n_rows from conversations group by 1",
+    "concat_collections": "select 'documents' \"file\", doc_id id, md5(text) digest from documents union all select 'benchmark', item_id, md5(text) from benchmark",
+    "rebuild_document": "select conv_id, md5(string_agg(text, chr(10) order by turn, text)) digest from conversations group by 1",
+    "token_split": f"select doc_id, len({_tokens('text')}) n, md5(array_to_string({_tokens('text')}, '|')) digest from documents",
+    "plural_normalize": f"select doc_id, length({_plural('text')}) n, md5({_plural('text')}) digest from documents",
+    "text_keys": f"with d as (select p_partkey, p_name, upper(substring(p_name, 1, 3)) || '-' || p_brand || '  s' x from part) select p_partkey, {_normal('x')} normal, {_key('x')} abbr_key, {_key('x')} || '|' || ({_other(_key('x'))}) variants, {_limit('x')} threshold, {_short('x')} looks_short, {_short('p_name')} name_looks_short from d",
+    "relaxed_key": f"with d as (select p_partkey id, '(' || p_name || '_Cells).' x from part union all select n_nationkey, n_name || 'ies' from nation), r as (select id, string_split({_relaxed('x')}, ' ') a from d), l as (select id, a, a[-1] w from r) select id, array_to_string(list_append(a[1:len(a) - 1], {_LAST}), ' ') relaxed from l",
+    "identifier_split": f"with {_IDS}, d as (select id, x, {_PARTS} p from ids) select id, unnest(case when len(p) = 0 then [null] else p end) part, regexp_replace(x, '^(?i)cl[_:]', 'CL:') cased, array_to_string(list_transform(regexp_extract_all(x, '(?i)CL\\s*[:_]\\s*(\\d+)', 1), lambda k: 'CL:' || k), '|') found from d",
+    "identifier_gates": f"with {_IDS}, {_GOLD} select gate, \"type\", count(*) n, count(distinct gold_id) n_ids from gold group by 1, 2",
+    "token_jaccard_pairs": f"with n as (select distinct p_name from part) select a.p_name a, b.p_name b, round({_jaccard(_set('a.p_name'), _set('b.p_name'))}, 9) jaccard from n a, n b where a.p_name < b.p_name and len(list_intersect({_set('a.p_name')}, {_set('b.p_name')})) > 0",
+    "parenthetical_relation": f"with d as (select p_partkey, p_name, p_brand || ' (' || upper(p_name) || ')' f, '(' || p_brand || ')' o from part) select p_partkey, {_paren('p_name', 'f')} related, {_paren('p_name', 'o')} unrelated from d",
+    "byte_offset_map": "with d as (select doc_id, text, unnest(range(0, length(text) + 1, 500)) k from documents) select doc_id, k \"at\", strlen(substring(text, 1, k)) byte_at from d",
+    "json_entities_parse": "select event_id, len(json_keys(props)) n_keys, array_to_string(list_sort(json_keys(props)), '|') key_names from events",
+    "ontology_terms": f"with {_ONT}, d as (select identifier, n[1] preferred_label, unnest(n) raw_name, unnest(range(len(n))) ord from ont) select identifier, preferred_label, raw_name, {_plural('raw_name')} name, ord = 0 is_preferred, ord from d",
+    "concept_metadata": f"with {_ONT} select identifier, n[1] preferred_label, len(n) n_names, array_to_string(n, '|') names from ont",
+    "abbrev_lookup": f"with {_ABBR} select k \"key\", n_ids, n_rows, short_form, identifier from lookup",
+    "abbrev_exact_join": f"with {_ABBR}, {_MENTIONS}, m as (select distinct mention from mentions) select mention, k \"key\", n_ids, short_form, identifier from m join lookup on k = {_key('mention')} where {_short('mention')}",
+    "doc_shortform_cascade": f"with {_MENTIONS}, {_DEFINED}, {_CASCADE} select doc_key, k \"key\", \"method\", matched_key, long_form from cascade",
+    "abbrev_resolve": f"with {_ABBR}, {_MENTIONS}, {_DEFINED}, {_CASCADE}, {_RESOLVE} select * from resolved",
+    "decision_counters": f"with {_ABBR}, {_MENTIONS}, {_DEFINED}, {_CASCADE}, {_RESOLVE} select kind source, count(*) n from resolved group by 1",
+    "link_topk_terms": f"with {_NEAR} select query_id, vec_id, distance, \"rank\" from top",
+    "link_topk_concepts": f"with {_NEAR}, one as (select *, row_number() over (partition by query_id, label order by distance, vec_id) n from top qualify n = 1) select query_id, label, vec_id, distance, k \"rank\" from (select query_id, label, vec_id, distance, row_number() over (partition by query_id order by distance, vec_id) k from one) where k <= 5",
+    "abbrev_nearest_key": f"with near as (select q.vec_id, t.vec_id key_id, round({_COS.format('q', 't')}, 9) distance from embeddings q, embeddings t where q.vec_id % 50 = 0 and t.vec_id % 50 <> 0), one as (select *, row_number() over (partition by vec_id order by distance, key_id) n from near qualify n = 1), m as (select left('ABCDEFGHIJK', (3 + vec_id % 8)::int) mention, vec_id, key_id, round(1 - distance, 9) score from one) select *, score >= case when length(mention) <= 4 then 0.9 when length(mention) <= 7 then 0.5 else 0.1 end passes from m",
+    "cosine_pairs": f"select q.vec_id query_id, t.vec_id, round({_COS.format('q', 't')}, 9) distance from embeddings q join embeddings t on q.label = t.label where q.vec_id % 50 = 0",
+    "rerank_candidates": f"""with n as (select distinct p_brand identifier, p_name name from part), q as (select distinct p_name query from part where p_size = 1),
+      c as (select query, identifier, min(name) filter (true) any_name, max(len(list_intersect(string_split(query, ' '), string_split(name, ' ')))) m from q, n group by 1, 2),
+      s as (select query, identifier, (select count(*) from (select distinct w from (select unnest(string_split(name, ' ')) w from n where n.identifier = c.identifier) where list_contains(string_split(c.query, ' '), w))) shared from c where m > 0),
+      f as (select s.query, s.identifier, -s.shared / 10.0::double emb, (select min(name) from n where n.identifier = s.identifier) lab, max(case when {_normal('query')} = {_normal('n.name')} then 1 else 0 end)::double exact,
+        max({_jaccard(_set('query'), _set('n.name'))}) name_jaccard, max(case when {_paren('query', 'n.name')} then 1 else 0 end)::double parenthetical from s join n on n.identifier = s.identifier group by s.query, s.identifier, s.shared)
+      select query, identifier, round(exact, 9) exact, round(name_jaccard, 9) name_jaccard, round({_jaccard(_set('query'), _set('lab'))}, 9) label_jaccard, round(parenthetical, 9) parenthetical,
+        round(emb + 0.35 * exact + 0.2 * name_jaccard + 0.15 * {_jaccard(_set('query'), _set('lab'))} + 0.1 * parenthetical + case when query = lab then 0.03 else 0 end, 9) final_score from f""",
+    "mention_distinct": f"with {_words()} select lower(token) norm, count(*) n, count(distinct doc_id) n_docs from words group by 1",
+    "mention_link_join": f"with {_words()}, {_GAZ} select doc_id, count(*) n_mentions, count(concept) n_linked, count(distinct concept) n_concepts from words left join gaz on lower(token) = term where length(token) >= 8 group by 1",
+    "chunk_windows": f"with d as (select doc_id, len({_tokens('text')}) n from documents), s as (select doc_id, n, unnest(range(0, greatest(n - 128, 1), 382)) \"first\" from d) select doc_id, \"first\" // 382 chunk, \"first\", least(\"first\" + 510, n) \"last\" from s",
+    "logit_average": f"with {_LOGITS} select token, label, round(m, 9) mean_logit, n n_chunks from means",
+    "logit_argmax": f"with {_LOGITS}, r as (select *, row_number() over (partition by token order by m desc, label) k from means) select token, label from r where k = 1",
+    "bio_decode": """with d as (select user_id, ts, event_id, case when event_id % 4 = 0 then 'O' when event_id % 5 = 0 then 'B-' || event_type else 'I-' || event_type end tag, event_id * 2 s, event_id * 2 + 1 e from events where event_id % 11 <> 0),
+      l as (select *, case when tag = 'O' then null else substring(tag, 3) end label from d), p as (select *, lag(label) over (partition by user_id order by ts, event_id) before from l),
+      g as (select *, sum(case when label is not null and (tag like 'B-%' or before is null or before <> label) then 1 else 0 end) over (partition by user_id order by ts, event_id) n from p)
+      select user_id, min(label) label, min(s) "start", arg_max(e, (ts, event_id)) "end", count(*) n_tokens from g where label is not null group by user_id, n""",
+    "bio_encode": f"with {_words()}, {_ENT}, {_OWN.format('')} select doc_id, tag, count(*) n, sum(pos)::bigint pos_sum from tagged group by 1, 2",
+    "bio_encode_skip": f"with {_words()}, {_ENT}, {_OWN.format(_SKIP)} select doc_id, tag, count(*) n, sum(pos)::bigint pos_sum from tagged group by 1, 2",
+    "chunk_labels": f"""with {_words()}, {_ENT}, {_OWN.format('')}, n as (select doc_id, count(*) n from tagged group by 1), s as (select doc_id, n, unnest(range(0, greatest(n - 32, 1), 94)) f from n),
+      c as (select doc_id, f // 94 chunk, f, least(f + 126, n) l from s) select c.doc_id, c.chunk, (sum(case t.tag when 'O' then 0 when 'B-ing' then 1 when 'I-ing' then 2 when 'B-tion' then 3 else 4 end) - 200)::bigint label_sum, count(*) + 2 n
+      from c join tagged t on t.doc_id = c.doc_id and t.pos >= c.f and t.pos < c.l group by 1, 2""",
+    "label_schema": "with t as (select distinct event_type x from events where event_type is not null), n as (select x, row_number() over (order by x) k from t) select 0 label_id, 'O' label union all select 2 * k - 1, 'B-' || x from n union all select 2 * k, 'I-' || x from n",
+    "label_recode": "select case when event_type = 'click' then 'view' else event_type end event_type, count(*) n from events where event_type <> 'purchase' group by 1",
+    "balanced_sample": "with c as (select label from (select distinct label from embeddings) order by (label::bigint * 2654435761) % 1000003, label limit 5) select label, vec_id, row_number() over (partition by label order by (vec_id * 2654435761 + 40503) % 1000003, vec_id) pick from embeddings where label in (select label from c) qualify pick <= 3",
+    "label_index": "select label, count(*) n, md5(string_agg(vec_id::varchar, ',' order by vec_id)) digest from embeddings group by 1",
+    "span_overlap_pairs": f"with {_words()}, {_SPANS}, b as (select passage_key, 2 * id i, s, e from pred union all select passage_key, 2 * id + 1, s, e from gold) select x.passage_key, count(*) n, sum(x.i * 3 + y.i)::bigint mark from b x join b y on x.passage_key = y.passage_key and x.i < y.i and x.s < y.e and y.s < x.e group by 1",
+    "span_containment_join": f"with {_words()}, {_SPANS} select passage_key doc_id, id, s // 400 passage, s % 400 local_start from gold where s // 400 = (e - 1) // 400",
+    "span_token_overlap_join": f"with {_words()}, {_SPANS} select g.passage_key, count(*) n, sum(g.id * 3 + p.id)::bigint mark from gold g join pred p on g.passage_key = p.passage_key and g.\"type\" = p.\"type\" and g.s < p.e and p.s < g.e where exists (select 1 from words t where t.doc_id = g.passage_key and g.s < t.e and t.s < g.e and p.s < t.e and t.s < p.e) group by 1",
+    "strict_span_prf": f"with {_words()}, {_SPANS}, r as (select distinct passage_key, \"type\", s, e from gold), p as (select distinct passage_key, \"type\", s, e from pred), c as (select (select count(*) from (select * from r intersect select * from p)) tp, (select count(*) from (select * from p except select * from r)) fp, (select count(*) from (select * from r except select * from p)) fn) select *, {_PRF} from c",
+    "link_prf_topk": f"""with {_IDS}, {_GOLD}, {_PRED.format('')}, k(top) as (values (1), (5), (10)), g as (select distinct top, passage_key, "type", gold_id id from gold, k where gate = 'allLabels'), p as (select distinct top, passage_key, "type", pred_id id from placed, k where place < top),
+      c as (select top, (select count(*) from (select * from g where g.top = k.top intersect select * from p where p.top = k.top)) tp, (select count(*) from p where p.top = k.top) np, (select count(*) from g where g.top = k.top) ng from k), d as (select top, tp, np - tp fp, ng - tp fn from c) select *, {_PRF} from d""",
+    "link_prf_grid": f"""with {_IDS}, {_GOLD}, {_PRED.format('and 99 - r * 7 >= 50')}, gates as (select distinct gate from gold), g as (select distinct gate, "type", passage_key, gold_id i from gold), p as (select distinct gate, "type", passage_key, pred_id i from placed, gates where place < 5),
+      b as (select coalesce(g.gate, p.gate) gate, coalesce(g."type", p."type") "type", g.gate is not null r, p.gate is not null q from g full join p on g.gate = p.gate and g."type" = p."type" and g.passage_key = p.passage_key and g.i = p.i),
+      c as (select gate, "type", count(*) filter (r and q) tp, count(*) filter (q and not r) fp, count(*) filter (r and not q) fn from b group by 1, 2) select *, {_PRF} from c""",
+    "verify_passages": f"with {_SIDES} select passage_key, 'missing' problem from refs where passage_key not in (select passage_key from preds) union all select passage_key, 'extra' from preds where passage_key not in (select passage_key from refs) union all select r.passage_key, case when r.o <> p.o then 'offset' else 'text' end from refs r join preds p on r.passage_key = p.passage_key where r.o <> p.o or r.text <> p.text",
+    "drop_unknown_passages": f"with {_SIDES} select passage_key, o \"offset\" from preds where passage_key in (select passage_key from refs)",
+    "term_dedupe": f"with {_TERMS} select * from terms",
+    "training_pairs": f"with {_TERMS} select a.concept, a.term left_term, b.term right_term from terms a join terms b on a.concept = b.concept and a.pos < b.pos",
+    "ambiguous_name_filter": f"with {_CN} select concept, name from kept",
+    "ambiguous_name_statistics": f"with {_CN} select (select count(distinct concept) from cn) concepts_before, (select count(*) from cn) names_before, (select count(distinct concept) from kept) concepts_after, (select count(*) from kept) names_after, (select count(*) from (select name from cn group by 1 having count(*) > 1)) ambiguous_names, (select count(distinct concept) from cn) - (select count(distinct concept) from kept) concepts_dropped",
+    "corpus_overlap": f"with {_words()}, {_GAZ}, f as (select distinct d.lang corpus, lower(w.token) form from words w join documents d on w.doc_id = d.doc_id where length(w.token) >= 8) select corpus, count(*) n_forms, count(term) n_matched, round(100.0::double * count(term) / count(*), 2) percent from f left join gaz on form = term group by 1",
+    "annotate_e2e": f"with {_words(pattern=_UNICODE)}, {_GAZ} select doc_id, s \"start\", e \"end\", token \"text\", concept from words join gaz on lower(token) = term",
+}
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
