@@ -6,11 +6,21 @@ import unicodedata
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-@F.pandas_udf("double")
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def _made(kind: str, f):
+    """The UDF is made at its first use: its type needs a session."""
+
+    def use(*columns) -> Column:
+        return F.pandas_udf(f, kind)(*columns)
+
+    use.__doc__ = f.__doc__
+    return use
+
+
+def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-blocks ratio of two prepared strings (2 M / T)."""
     memo: dict = {}
     out = []
@@ -21,8 +31,7 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-@F.pandas_udf("string")
-def nfkc(x: pd.Series) -> pd.Series:
+def _nfkc(x: pd.Series) -> pd.Series:
     """Compatibility form of a text."""
     return x.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKC", s))
 
@@ -37,8 +46,7 @@ def _flat(value) -> list[str]:
     return [str(value)]
 
 
-@F.pandas_udf("array<string>")
-def flatten_synonyms(x: pd.Series) -> pd.Series:
+def _flatten_synonyms(x: pd.Series) -> pd.Series:
     """All strings in a JSON value, nested ones included, in order."""
     import json
 
@@ -51,3 +59,8 @@ def flatten_synonyms(x: pd.Series) -> pd.Series:
             return [s]
 
     return x.map(of)
+
+
+sequence_ratio = _made("double", _sequence_ratio)
+nfkc = _made("string", _nfkc)
+flatten_synonyms = _made("array<string>", _flatten_synonyms)
