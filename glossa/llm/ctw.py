@@ -174,8 +174,11 @@ def _levels(keys: np.ndarray, counts: np.ndarray) -> list[Level]:
 
 
 def _table(batches) -> tuple[np.ndarray, np.ndarray]:
-    t = pa.Table.from_batches(list(batches))
-    return (t.column("key").to_numpy().astype(np.uint64), t.column("n").to_numpy()) if t.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    found = [b for b in batches if b.num_rows]
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    t = pa.Table.from_batches(found)
+    return t.column("key").to_numpy().astype(np.uint64), t.column("n").to_numpy()
 
 
 def _shallow_part(batches):

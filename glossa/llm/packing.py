@@ -156,9 +156,10 @@ def _pack_partition(capacity: int, turn: int):
     def run(batches):
         from pyspark import TaskContext
 
-        t = pa.Table.from_batches(list(batches))
-        if not t.num_rows:
+        found = [b for b in batches if b.num_rows]
+        if not found:
             return
+        t = pa.Table.from_batches(found)
         t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         lengths = t.column("length").to_numpy()
         bins, offsets = best_fit_decreasing(lengths, capacity)
