@@ -12,7 +12,7 @@ What reaches the driver is one count per pair of labels.
 
 Defined cases: a null text counts as empty for its group and has size 1; repeated rows
 are separate nodes of one group; an empty table gives an empty result; a group larger
-than a shard is split over as few shards as hold it.
+than a shard is split: what its shard cannot hold stays spread.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ def _unit(*cols) -> Column:
     return (F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / (1 << 30)).cast("double")
 
 
-def propagate(links: DataFrame, n_shards: int, capacity: int, rounds: int = 4) -> DataFrame:
+def propagate(links: DataFrame, n_shards: int, capacity: int, rounds: int = 6) -> DataFrame:
     """(node, hub) to (node, label, hub): hub is one of the node's, for placing it.
     At most about ``capacity`` nodes get a label."""
     state = freeze(links.select("node").distinct().withColumn("label", F.pmod(F.xxhash64("node", F.lit(7)), F.lit(n_shards)).cast("int")))
@@ -64,7 +64,7 @@ def cut_links(placed: DataFrame, links: DataFrame, shard: str = "shard") -> Data
     return per.groupBy("hub").agg((F.sum("count") - F.max("count")).alias("outside")).agg(F.sum("outside").alias("cut"))
 
 
-def place(nodes: DataFrame, links: DataFrame, n_shards: int, rounds: int = 4, spread: int = 256) -> DataFrame:
+def place(nodes: DataFrame, links: DataFrame, n_shards: int, rounds: int = 6, spread: int = 256) -> DataFrame:
     """``nodes`` (node long, and more) with shard and slot; counts are at most one apart."""
     total = nodes.count()
     labels = propagate(links, n_shards, -(-total // n_shards), rounds)
@@ -89,7 +89,7 @@ def place(nodes: DataFrame, links: DataFrame, n_shards: int, rounds: int = 4, sp
     return d.withColumn("slot", F.col("_pos") - F.expr(f"(cast(shard as bigint) * {total} + {n_shards - 1}) div {n_shards}")).drop("_hub", "_zone", "_wide", "_bucket", "_pos", "label")
 
 
-def shard_equal_texts(docs: DataFrame, n_shards: int, doc_id: str = "doc_id", text: str = "text", rounds: int = 4) -> DataFrame:
+def shard_equal_texts(docs: DataFrame, n_shards: int, doc_id: str = "doc_id", text: str = "text", rounds: int = 6) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: equal texts are linked."""
     t = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.xxhash64(t, F.octet_length(t)).alias("_h"))
