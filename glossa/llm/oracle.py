@@ -1,7 +1,36 @@
-"""SQL for DuckDB of the queries of this subpackage that SQL can express."""
+"""SQL for DuckDB of the queries of this subpackage that SQL can express.
+
+Near-duplicates, trained models, codecs, tokenizers, packing and the iterative sharding
+have none; tests hold them against brute force, exact round trips or held-out accuracy.
+The patterns of personal data look behind, which DuckDB's do not; tests compare them with
+the plain patterns. The mixing schedule is simulated slot by slot; tests check deadlines.
+"""
 
 from __future__ import annotations
 
+from glossa.llm.quality_rules import STOP_WORDS
+
+_SPACE = r"[\x20\x09-\x0D]"
+_STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
+
+QUALITY_RULES = rf"""
+with d as (select row_number() over () r, doc_id, coalesce(text, '') t from documents),
+w as (select r, doc_id, t, list_filter(regexp_split_to_array(t, '{_SPACE}+'), lambda x: x <> '') w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) l from d),
+g as (select r, unnest(range(1, len(w) - 3)) i, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) gram from w where len(w) >= 5),
+two as (select r, gram from g group by 1, 2 having count(*) > 1),
+p as (select g.r, g.i, least(5, coalesce(lead(g.i) over (partition by g.r order by g.i) - g.i, 5)) n from g join two on g.r = two.r and g.gram = two.gram),
+c as (select r, sum(n)::bigint n_repeat_words from p group by 1),
+m as (select doc_id, len(w) n_words, length(array_to_string(w, '')) word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) n_symbols, len(l) - len(list_distinct(l)) n_dup_lines,
+  coalesce(n_repeat_words, 0) n_repeat_words, len(l) n_lines, len(list_distinct(list_filter(w, lambda x: x in ({_STOP})))) n_stop, len(list_filter(w, lambda x: x = upper(x) and x <> lower(x))) n_capital
+  from w left join c on w.r = c.r),
+b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed, concat_ws(',', case when n_words < 10 then 'words' end,
+  case when word_chars::double / greatest(n_words, 1) < 2 or word_chars::double / greatest(n_words, 1) > 14 then 'word_length' end,
+  case when n_symbols::double / greatest(n_words, 1) > 0.25 then 'symbols' end, case when n_repeat_words::double / greatest(n_words, 1) > 0.2 then 'repeated_words' end,
+  case when n_dup_lines::double / greatest(n_lines, 1) > 0.4 then 'repeated_lines' end, case when n_stop < 1 then 'stop_words' end,
+  case when n_capital::double / greatest(n_words, 1) > 0.35 then 'capitals' end) broken from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and broken = '' kept, broken from b
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_quality_rules": QUALITY_RULES}
