@@ -16,8 +16,8 @@ context's distribution sums to 1.
 
 The tables grow with the corpus. Scoring reads them in shards of at most about
 ``SHARD_ROWS`` rows, as many as needed, each a broadcast of bounded size. Word counts for
-the base score are not collected either: the ``COMMON_WORDS`` most frequent are broadcast,
-all others are joined by word.
+the base score are not collected either: the most frequent, at most ``COMMON_WORDS``, are
+broadcast, all others are joined by word.
 
 Defined cases: a null text counts as empty and is its end alone; without training texts
 every bit has probability 1/2; equal texts get equal scores.
@@ -356,7 +356,15 @@ def score(docs: DataFrame, model: dict, shard_rows: int = SHARD_ROWS, common: in
     kind = dict(docs.dtypes)["doc_id"]
     total, distinct = model["total"], model["distinct"]
     below = total + 0.1 * (distinct + 1)
-    top = model["vocabulary"].orderBy(F.desc("c"), "word").limit(common).toArrow()  # at most `common` rows
+    # Quarter powers of two of the counts, from the largest down, while `common` words hold them.
+    level = F.floor(F.log2("c") * 4).cast("int")
+    lowest, held = None, 0
+    for r in model["vocabulary"].groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # at most 4 x 64 rows
+        held += r["count"]
+        if held > common:
+            break
+        lowest = r["level"]
+    top = model["vocabulary"].where(level >= lowest if lowest is not None else F.lit(False)).toArrow()
     logs = np.log10((top.column("c").to_numpy() + 0.1) / below)
     words = dict(zip(top.column("word").cast(pa.binary()).to_pylist(), logs.tolist(), strict=True))
     frames, of = _shards(model["tables"], shard_rows)
@@ -366,7 +374,8 @@ def score(docs: DataFrame, model: dict, shard_rows: int = SHARD_ROWS, common: in
         shared.append(spark.sparkContext.broadcast({"codes": t.column("code").to_numpy(), "values": t.column("value").to_numpy()}))
         del t
     small = spark.sparkContext.broadcast({"words": words, "dense": model["dense"], "of": of if len(frames) > 1 else None})
-    end = words.get(b" ", math.log10(0.1 / below))
+    ends = model["vocabulary"].where(F.col("word") == " ").agg(F.coalesce(F.sum("c"), F.lit(0))).head()[0]
+    end = math.log10((ends + 0.1) / below)
     names = ["doc_id", "n_tokens", "known", "base", "score", "rare", "rare_n"]
 
     def table_of(s):
@@ -404,7 +413,7 @@ def score(docs: DataFrame, model: dict, shard_rows: int = SHARD_ROWS, common: in
                 other = Counter([w for w, v in zip(t, got, strict=True) if v is None]) if None in got else {}
                 hits = [v for v in got if v is not None] if other else got
                 size.append(len(t) + 1)
-                known.append(len(hits) + (total > 0))
+                known.append(len(hits) + (ends > 0))
                 base.append(math.fsum(hits) + end)
                 rare.append(list(other))
                 rare_n.append(list(other.values()))
