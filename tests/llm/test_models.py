@@ -170,8 +170,8 @@ def test_ctw_against_brute_force(spark, odd, none):
     got = {r.doc_id: r for r in ctw.score(docs, model, common=2).collect()}
     for i, s in enumerate(seqs):
         assert abs(got[i].score - brute_ctw(s, grams)) < 1e-4
-    several = {r.doc_id: r.score for r in ctw.score(docs, model, shard_rows=20).collect()}
-    assert all(abs(several[i] - got[i].score) < 1e-5 for i in several)
+    several = {r.doc_id: r for r in ctw.score(docs, model, shard_rows=20, common=0).collect()}
+    assert all(abs(several[i].score - got[i].score) < 1e-5 and abs(several[i].base_score - got[i].base_score) < 1e-9 and several[i].n_known == got[i].n_known for i in several)
     counts = Counter(w for t in texts for w in t.lower().split()) + Counter({" ": 4})
     n, v = sum(counts.values()), len(counts)
     for i, t in enumerate(texts):
