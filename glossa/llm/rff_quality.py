@@ -119,7 +119,7 @@ def isotonic(value: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, seed: int = 7) -> dict:
     small_batches(docs.sparkSession)
-    sample = freeze(labelled_sample(docs, labels, "quality", rows).mapInArrow(_measure, "x array<double>, label int").repartition(8, F.col("x")))
+    sample = freeze(labelled_sample(docs, labels, "quality", rows).mapInArrow(_measure, "x array<double>, label int").repartition(8))
     x, y = None, None
     got = sample.toPandas().sort_values("label", kind="stable") if not sample.isEmpty() else None  # at most `rows` rows of WIDTH numbers
     if got is None or got.label.nunique() < 2:
