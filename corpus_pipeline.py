@@ -41,11 +41,13 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the mixed order of their sources, in files of consecutive ranges."""
     names = docs.columns
-    rows = freeze(docs.withColumn("_rid", F.monotonically_increasing_id()))
-    order = mixing.mix(rows.select("_rid", "source"), mixing.tempered_weights(rows), doc_id="_rid")
-    placed = rows.join(order.select(F.col("doc_id").alias("_rid"), "position"), "_rid")
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")
+    rows = freeze(docs.select(row, F.col("source").alias("_source"), F.monotonically_increasing_id().alias("_id")))
+    order = mixing.mix(rows.select("_id", "_source"), mixing.tempered_weights(rows, "_source"), "_source", "_id")
+    placed = rows.join(order.select(F.col("doc_id").alias("_id"), "position"), "_id")
     # No sort in one task: ranges of positions, each sorted.
-    return placed.repartitionByRange("position").sortWithinPartitions("position").select(*names)
+    placed = placed.repartitionByRange("position").sortWithinPartitions("position")
+    return placed.select(*[F.col("_row").getField(c).alias(c) for c in names])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
