@@ -14,8 +14,11 @@ probability (1 - 0.8 ** 4) ** 25, about 2e-6). Members of a bucket are compared
 first one: by their registers, which drop pairs far below the threshold (a pair at 0.8
 with a probability of about 1e-6), then by the exact overlap of their bags. Links make
 classes, and buckets that still hold several classes turn to another first member, as
-long as that finds links. At last the rest is compared across classes: all such pairs in
-small buckets; large ones are first split by their members' other bands.
+long as that finds links. At last the rest is compared across classes: all pairs of small
+buckets by registers and bags; large buckets are dealt into blocks, and each pair of blocks
+is a cell that counts the exact overlap of all its pairs by an inverted index. A cell gives
+the links of a spanning forest, so rows stay linear where work is quadratic, and a pair is
+counted only in the first band that it shares.
 
 Equal texts are one node, so copies cost nothing. Groups are never gathered: buckets are
 aggregated to their first member, and hot keys are joined by broadcast.
@@ -41,6 +44,8 @@ SHINGLE = 5
 THRESHOLD = (8, 10)
 BANDS, ROWS = 25, 4
 SMALL = 64
+#: Rows and bytes of compressed text of a block of a large bucket; two blocks are a cell.
+CELL, CELL_BYTES = 1024, 1 << 20
 #: Registers that must agree before texts are compared: five deviations below 0.8.
 AGREE = 60
 _U = np.uint64
@@ -222,16 +227,20 @@ def _beside(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
     return p.select("a", "b", f"{column}_a", f"{column}_b")
 
 
+def _packed(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(rid, z): compressed texts of the ids (rid), the only ones that move."""
+    needed = freeze(ids)
+    bits, place = _bitmap(needed)
+    small = texts.select("rid", "text", place.alias("place")).mapInArrow(_shrink(texts.sparkSession.sparkContext.broadcast(bits)), "rid long, z binary")
+    return freeze(small.join(needed, "rid", "left_semi"))
+
+
 def verify(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
     """Of the pairs (a, b), those whose bags overlap enough. First by 400 bytes of
     registers each, then exactly, by the texts, of which only these move."""
     small_batches(pairs.sparkSession)
     likely = freeze(_beside(pairs, sketches.select("rid", "marks"), "marks").mapInArrow(_alike, "a long, b long"))
-    needed = likely.select(F.col("a").alias("rid")).union(likely.select("b")).distinct()
-    needed = freeze(needed)
-    bits, place = _bitmap(needed)
-    small = texts.select("rid", "text", place.alias("place")).mapInArrow(_shrink(pairs.sparkSession.sparkContext.broadcast(bits)), "rid long, z binary")
-    packed = freeze(small.join(needed, "rid", "left_semi"))
+    packed = _packed(likely.select(F.col("a").alias("rid")).union(likely.select("b")).distinct(), texts)
     return freeze(_beside(likely, packed, "z").mapInArrow(_verify, "a long, b long"))
 
 
@@ -275,6 +284,59 @@ def _across(members: DataFrame, key: str) -> DataFrame:
     return left.join(right, key).where("a < b and ca <> cb").select("a", "b").distinct()
 
 
+def _forest(cell: pa.Table) -> pa.Table:
+    """Links (a, b) across classes of one cell (key, i, j, block, rid, class, bands, z),
+    enough to join what any of its pairs joins."""
+    low, high = THRESHOLD
+    n = cell.num_rows
+    rid, label, block = (cell.column(c).to_numpy() for c in ("rid", "class", "block"))
+    crossing = cell.column("i")[0] != cell.column("j")[0]
+    bands = cell.column("bands").combine_chunks().flatten().to_numpy().reshape(n, BANDS)
+    earlier = bands[:, : int(np.argmax(bands[0] == cell.column("key")[0].as_py()))]
+    raw = [zlib.decompress(z) for z in cell.column("z").to_pylist()]
+    rows, hashes = shingles(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in raw])]))
+    order = np.lexsort((hashes, rows))
+    rows, hashes = rows[order], hashes[order]
+    # A repeat of a shingle is an element of its own: overlaps of bags are those of sets.
+    new = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])]))
+    repeat = np.arange(len(rows)) - np.repeat(new, np.diff(np.append(new, len(rows))))
+    _, element = np.unique(mix(hashes + repeat.astype(np.uint64) * _U(_P)), return_inverse=True)
+    owners, uses = rows[np.argsort(element, kind="stable")], np.bincount(element)
+    begin, size = np.cumsum(uses) - uses, np.bincount(rows, minlength=n)
+    at = np.concatenate([[0], np.cumsum(size)])
+    links = []
+    for a in range(n):
+        b = np.flatnonzero(label[a + 1 :] != label[a]) + a + 1
+        if crossing:
+            b = b[block[b] != block[a]]
+        b = b[~(earlier[b] == earlier[a]).any(axis=1)]
+        if not len(b):
+            continue
+        own = element[at[a] : at[a + 1]]
+        ends = np.cumsum(uses[own])
+        places = np.repeat(begin[own] - ends + uses[own], uses[own]) + np.arange(ends[-1])
+        both = np.bincount(owners[places], minlength=n)[b]
+        for x in b[both * high >= low * (size[a] + size[b] - both)].tolist():
+            if label[x] != label[a]:
+                links.append((a, x))
+                label = np.where(label == label[x], label[a], label)
+    ends = np.array(links, np.int64).reshape(-1, 2)
+    return pa.table({"a": rid[ends[:, 0]], "b": rid[ends[:, 1]]})
+
+
+def _large(members: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) across classes of large buckets' members (key, rid, class)."""
+    packed = _packed(members.select("rid").distinct(), texts)
+    sizes = members.join(packed.select("rid", F.length("z").alias("bytes")), "rid").groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("bytes").alias("bytes"))
+    sizes = freeze(sizes.select("key", "rows", F.expr(f"cast(greatest(ceil(rows / {CELL}), ceil(bytes / {CELL_BYTES})) as int)").alias("blocks")))
+    cells = sizes.agg(F.sum(F.expr("blocks * (blocks + 1L) div 2"))).head()[0]
+    d = spread_join(members, sizes, "key", "rows", max(members.count(), 1)).withColumn("block", F.expr("cast(pmod(xxhash64(rid, key), blocks) as int)"))
+    d = d.join(packed, "rid").join(sketches.select("rid", "bands"), "rid")
+    d = d.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    d = d.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rid", "class", "bands", "z")
+    return freeze(d.repartition(min(cells, 2000), "key", "i", "j").groupBy("key", "i", "j").applyInArrow(_forest, "a long, b long"))
+
+
 def _mixed(members: DataFrame, key: str, turn: int = 0) -> DataFrame:
     """Per bucket with several classes: rows, and a first member that turns by turn."""
     order = F.col("rid") if not turn else F.xxhash64("rid", F.lit(turn))
@@ -304,18 +366,15 @@ def link(texts: DataFrame, sketches: DataFrame, turns: int = 3) -> DataFrame:
             break
         labels = _merge(labels, found)
         open_ = open_.select("key", "rid").join(labels, "rid").select("key", "rid", "class")
-    # What first members did not link: all pairs across classes of small buckets.
-    more = _across(open_.where(f"rows <= {SMALL}"), "key")
-    large = open_.where(f"rows > {SMALL}").select("key", "rid", "class")
+    # What first members did not link: all pairs across classes.
+    more = freeze(_across(open_.where(f"rows <= {SMALL}"), "key").distinct())
+    found = [] if more.isEmpty() else [verify(more, sketches, texts)]
+    large = freeze(open_.where(f"rows > {SMALL}").select("key", "rid", "class"))
     if not large.isEmpty():
-        # Similar texts agree in several bands: split a large bucket by a second band.
-        other = sketches.select("rid", F.explode("bands").alias("other")).join(large.select("rid").distinct(), "rid", "left_semi")
-        finer = freeze(large.join(other, "rid").where("key <> other").select(F.xxhash64("key", "other").alias("key"), "rid", "class"))
-        parts = freeze(spread_join(finer, _mixed(finer, "key"), "key", "rows", max(finer.count(), 1)))
-        more = more.union(_across(parts.where(f"rows <= {SMALL}"), "key"))
-        more = more.union(parts.where(f"rows > {SMALL} and class <> lead_class").select(F.col("lead").alias("a"), F.col("rid").alias("b")))
-    more = freeze(more.distinct())
-    return labels if more.isEmpty() else _merge(labels, verify(more, sketches, texts))
+        found.append(_large(large, sketches, texts))
+    for links in found:
+        labels = _merge(labels, links)
+    return labels
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:

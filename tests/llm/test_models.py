@@ -63,6 +63,23 @@ def test_near_duplicates(spark, odd, none):
     assert bagminhash.classes(none).count() == 0
 
 
+def test_near_duplicates_in_a_family_of_dissimilar_texts(spark, monkeypatch):
+    """Hundreds of texts at 0.76 by shared boilerplate fill large buckets of several bands; the
+    pairs just above 0.8 among them are to be found, also between two blocks of a bucket."""
+    monkeypatch.setattr(bagminhash, "CELL", 100, raising=False)
+    draw = random.Random(11)
+    shared, rows = [f"w{draw.randrange(400)}" for _ in range(130)], []
+    for k in range(160):
+        pair = [f"p{k}.{i}" for i in range(4)]
+        for side in "ab":
+            rows.append((len(rows), " ".join(shared + pair + [f"{side}{k}.{i}" for i in range(16)])))
+    d = spark.createDataFrame(draw.sample(rows, len(rows)), "doc_id long, text string").repartition(3)
+    heads = brute_classes(rows)
+    want = Counter((i, min(j for j, h in enumerate(heads) if h == heads[i]), heads.count(heads[i])) for i, _ in rows)
+    assert len(set(heads)) == 160
+    assert Counter((r.doc_id, r.class_id, r.class_rows) for r in bagminhash.classes(d).collect()) == want
+
+
 def test_signature_is_unbiased():
     a, b = "x y z " * 30 + words(random.Random(1), 200), "x y z " * 20 + words(random.Random(1), 150)
     rows, hashes = bagminhash.shingles(*utf8(pa.array([a, b, "", "one"])))
