@@ -24,7 +24,7 @@ _LOCAL = "[A-Za-z0-9._%+-]"
 KINDS = (
     ("email", rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "contains(_t, '@')", 0.9, "mail|contact|kontakt|correo|courriel", True),
     ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", r"_t rlike '[0-9]\\.[0-9]'", 0.6, "ip|host|server|address|adresse", True),
-    ("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])", "_digits", 0.6, "card|visa|credit|karte|carte|tarjeta|payment", True),
+    ("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])", "_t rlike '[0-9][ -]?[0-9]'", 0.6, "card|visa|credit|karte|carte|tarjeta|payment", True),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "contains(_t, '+')", 0.6, "phone|call|tel|mobile|fax|anruf", True),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", "_digits", 0.3, "iban|account|bank|konto|compte|cuenta", False),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "_digits", 0.3, "ssn|social|security|sozial", False),
