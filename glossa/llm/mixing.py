@@ -1,11 +1,14 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Weights become quotas of one hyperperiod of ``period`` slots. Block k of a source with
-quota q is released at floor(k * period / q) and due at ceil((k + 1) * period / q);
-earliest deadline first fills the slots, and on one processor with full utilisation it
-meets every deadline, so no source is ever a block or more away from its share. The
-schedule repeats, so the table of one hyperperiod (at most ``period`` rows) places all
-blocks: block b of a source goes to slot (b div q) * period + slot_of(b mod q).
+Weights are taken as exact fractions w of their sum, over all blocks: block k of a source is
+released at floor(k / w) and due at ceil((k + 1) / w); earliest deadline first fills the
+slots, and on one processor with full utilisation it meets every deadline, so no source is
+ever a block or more away from its share, however long the table. The schedule ends with
+the last block of the last source but one; what the last source has left follows at its
+deadlines, by formula. It has one entry per block, so it grows with rows / ``block_rows``.
+
+``hyperperiod`` is the same rule with weights rounded to whole slots of one period, for
+callers that need a schedule that repeats; ``mix`` does not use it.
 
 Rows are numbered within their source, and slots within the whole, over buckets whose
 sizes are bounded, so a source with a third of all rows is spread like any other.
@@ -19,7 +22,9 @@ from __future__ import annotations
 
 import heapq
 import math
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,27 +60,72 @@ def hyperperiod(quota: dict) -> list[tuple]:
     return out
 
 
+def shares(weights: dict) -> dict:
+    """Whole numbers in exactly the proportion of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    if any(w <= 0 for w in exact.values()):
+        raise ValueError("weights must be above 0")
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * scale) for s, w in exact.items()}
+
+
+def schedule(weights: dict, blocks: dict) -> tuple[list, list, list]:
+    """(source's place in ``weights``, block, slot) of every block, as three lists. A source
+    that has ended keeps its slots, which are passed over."""
+    names, share = list(weights), list(shares(weights).values())
+    total, left = sum(share), [blocks.get(s, 0) for s in names]
+    open_ = sum(n > 0 for n in left)
+    later, ready = [(0, i, 0) for i in range(len(names))], []  # (release, source, block)
+    which, block, slots, slot = [], [], [], 0
+    following = [0] * len(names)
+    while open_ > 1:
+        while later and later[0][0] <= slot:
+            _, i, k = heapq.heappop(later)
+            heapq.heappush(ready, (-(-(k + 1) * total // share[i]), i, k))
+        due, i, k = heapq.heappop(ready)
+        assert due > slot
+        if k < left[i]:
+            which.append(i)
+            block.append(k)
+            slots.append(slot)
+            open_ -= k + 1 == left[i]
+        following[i] = k + 1
+        heapq.heappush(later, ((k + 1) * total // share[i], i, k + 1))
+        slot += 1
+    for i, n in enumerate(left):
+        rest = range(following[i], n)  # of the last open source only
+        which += [i] * len(rest)
+        block += rest
+        slots += [-(-(k + 1) * total // share[i]) - 1 for k in rest]
+    return which, block, slots
+
+
 def tempered_weights(docs: DataFrame, source: str = "source", power: float = 0.5) -> dict:
     """Target weights: each source's share of rows to a power (one row per source)."""
     return {r[0]: r[1] ** power for r in docs.groupBy(source).count().collect()}
 
 
-def mix(docs: DataFrame, weights: dict, source: str = "source", doc_id: str = "doc_id", block_rows: int = 32, period: int = 1000, buckets: int = 4096) -> DataFrame:
-    """doc_id, source, block, slot and position (gapless from 0: the mixed order)."""
+def mix(docs: DataFrame, weights: dict, source: str = "source", doc_id: str = "doc_id", block_rows: int = 32, period: int | None = None, buckets: int = 4096) -> DataFrame:
+    """doc_id, source, block, slot and position (gapless from 0: the mixed order). Weights
+    are exact whatever the ``period``, which has no effect and is still accepted."""
     spark = docs.sparkSession
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"))
     if not weights:
         return d.select("doc_id", "source", *[F.lit(None).cast("long").alias(c) for c in ("block", "slot", "position")])
-    quota = quotas(weights, period)
-    plan = spark.createDataFrame([(s, q, k, slot) for s, k, slot in hyperperiod(quota) for q in [quota[s]]], "_source string, _quota long, _k long, _slot long")
     d = d.withColumn("source", F.col("source").cast("string")).withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.lit(buckets // 16)))
     d = positions(d, ["source"], "_b", [F.xxhash64("doc_id", F.lit(1)), "doc_id"], "_n").drop("_b")
     d = d.withColumn("block", F.expr(f"_n div {block_rows}"))
-    sources = F.broadcast(plan.select("_source", "_quota").distinct())  # at most `period` rows
-    d = d.join(sources, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("_in", F.expr("block % _quota"))
-    slots = F.broadcast(plan.select("_source", "_k", "_slot"))  # `period` rows
-    d = d.join(slots, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_in") == F.col("_k")))
-    d = d.select("doc_id", "source", "block", (F.expr(f"(block div _quota) * {period}") + F.col("_slot")).alias("slot"), "_n")
+    d = freeze(d)
+    rows = {r[0]: r[1] for r in d.groupBy("source").count().collect()}  # one row per source
+    missing = [s for s in rows if s not in weights]
+    if missing:
+        raise ValueError(f"no weight for sources {missing[:5]}")
+    weights = {s: weights[s] for s in sorted(weights, key=lambda s: (s is not None, s or ""))}  # ties go by name
+    which, block, slots = schedule(weights, {s: -(-n // block_rows) for s, n in rows.items()})
+    plan = spark.createDataFrame(pa.table({"_i": pa.array(which, pa.int32()), "_k": pa.array(block, pa.int64()), "slot": pa.array(slots, pa.int64())}))
+    names = spark.createDataFrame(list(enumerate(weights)), "_j int, _source string")
+    d = d.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("_source")))  # one row per source
+    d = d.join(plan, (F.col("_j") == F.col("_i")) & (F.col("block") == F.col("_k"))).select("doc_id", "source", "block", "slot", "_n")
     d = freeze(d)  # thin rows: both numberings below read the same placing
     top = d.agg(F.max("slot")).head()[0] or 0
     # Buckets of consecutive slots. Where sources have ended, few blocks share a bucket.

@@ -123,6 +123,36 @@ def test_every_deadline_is_met(seed):
             assert abs(done[s_] - (t + 1) * q / 200) < 1
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_schedule_keeps_to_the_exact_weights(seed):
+    draw = random.Random(seed)
+    rows = {f"s{i}": draw.randrange(1, 40) * 100 for i in range(19)} | {"hot": 20000}
+    weights = {s: n**0.5 for s, n in rows.items()}
+    which, block, slots = mixing.schedule(weights, rows)
+    assert Counter(which) == {i: n for i, n in enumerate(rows.values())} and slots == sorted(slots) and len(set(slots)) == len(slots)
+    names, done, total = list(rows), Counter(), sum(weights.values())
+    for i, k, slot in zip(which, block, slots, strict=True):
+        assert k == done[i]
+        done[i] += 1
+        # Each block lies in its own window, so the source is never a block off its share.
+        w = weights[names[i]] / total
+        assert k / w - 1 - 1e-6 < slot < (k + 1) / w + 1e-6
+
+
+def test_mix_by_unequal_weights_and_many_sources(spark):
+    d = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2000, "x").when(F.col("id") < 4000, "y").otherwise("z").alias("source"))
+    weights = {"x": 2**0.5, "y": 3**0.5, "z": 7**0.5}
+    seen, total = Counter(), sum(weights.values())
+    for i, r in enumerate(mixing.mix(d, weights, block_rows=1).orderBy("position").collect()[:3600], 1):
+        seen[r.source] += 1
+        assert all(abs(seen[s] - i * w / total) < 1 for s, w in weights.items()), i
+    turned = mixing.mix(d, dict(reversed(weights.items())), block_rows=1)
+    assert turned.exceptAll(mixing.mix(d, weights, block_rows=1)).isEmpty()
+    many = spark.range(2400).select(F.col("id").alias("doc_id"), F.format_string("s%d", F.col("id") % 1200).alias("source"))
+    rows = mixing.mix(many, mixing.tempered_weights(many), block_rows=1).collect()
+    assert sorted(r.position for r in rows) == list(range(2400))
+
+
 def test_mix(spark, odd, none):
     got = mixing.mix(odd, {"a": 2, "b": 1, "c": 1, None: 1}, block_rows=2, period=20).collect()
     assert len(got) == odd.count() and sorted(r.position for r in got) == list(range(len(got)))
