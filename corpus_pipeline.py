@@ -10,6 +10,9 @@ equal ids are separate rows, except that near-duplicates keep one row of each cl
 
 from __future__ import annotations
 
+from itertools import accumulate
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ from glossa.llm.common import freeze, table
 
 #: Rows with a quality score below this go.
 MIN_QUALITY = 0.3
+#: Pieces of a range of the mixed order that are packed together.
+RANGE_ROWS = 10_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +55,25 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return placed.select(*[F.col("_row").getField(c).alias(c) for c in names])
 
 
+def _in_order(docs: DataFrame) -> DataFrame:
+    """doc_id, text and _place: the row's number from 0 in the order in which ``docs`` was
+    written, by file name and row (readers deal files by size); else, of its partitions."""
+    try:
+        d = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:  # not read from files
+        return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_place"))
+    files = sorted((r[0], r[1]) for r in d.groupBy("_file").agg(F.max("_row")).collect())  # one row per file
+    if not files:
+        return d.select("doc_id", "text", "_row").withColumnRenamed("_row", "_place")
+    starts = [0, *accumulate(n + 1 for _, n in files)]
+    begin = docs.sparkSession.createDataFrame([(f, at) for (f, _), at in zip(files, starts, strict=False)], "_name string, _start long")
+    return d.join(F.broadcast(begin), F.col("_file") == F.col("_name")).select("doc_id", "text", (F.col("_start") + F.col("_row")).alias("_place"))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences; see glossa.llm.packing."""
-    return packing.pack_documents(docs.select("doc_id", "text"))
+    """Pieces of token sequences, packed from consecutive ranges of the mixed order, with
+    the sequence's ``position`` along it; see glossa.llm.packing."""
+    return packing.pack_in_order(_in_order(docs), "_place", part_rows=RANGE_ROWS)
 
 
 STAGES = [

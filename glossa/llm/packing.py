@@ -7,6 +7,9 @@ lower bound of its bin count. A partition that meets its bound is done; the othe
 their unfilled bins to new, mixed partitions, which pack again and keep the new bins only
 where they are fewer.
 
+With an order of the documents, partitions are consecutive ranges of it, bins are handed on
+among neighbours, and sequences are numbered by the place of their first member.
+
 Texts are split at spaces and the parts' ids looked up in a bounded memo; a part that is
 not there is encoded. Where white space makes the parts depend on each other, or a text
 holds the end marker, the whole text is encoded by tokenizers. Both ways give its ids.
@@ -21,11 +24,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.llm.batches import small_batches
-from glossa.llm.common import freeze
+from glossa.llm.common import freeze, positions
 
 CAPACITY = 2048
 PART_ROWS = 40_000
@@ -182,9 +185,10 @@ def _pack_partition(capacity: int, turn: int):
     return run
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS, turns: int = 3) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS, turns: int = 3, order: str | None = None) -> DataFrame:
     """``items`` (doc_id, piece, length, ids_crc32 and more) with sequence_id, offset and
-    the certificate of the partition that placed them: part_bins >= part_bound."""
+    the certificate of the partition that placed them: part_bins >= part_bound. With a
+    column ``order``, partitions are consecutive ranges of it."""
     names = items.columns
     schema = ", ".join(f"`{c}` {k}" for c, k in items.dtypes) + ", sequence_id long, offset long, part_bins long, part_bound long, unfilled boolean"
     full = items.where(F.col("length") == capacity)
@@ -196,8 +200,14 @@ def pack(items: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS,
         if not rows:
             break
         parts = -(-rows // part_rows)
-        key = F.xxhash64("doc_id", "piece") if not turn else F.xxhash64("sequence_id", F.lit(turn))
-        placed = freeze(todo.repartition(parts, key).mapInArrow(_pack_partition(capacity, turn), schema))
+        if order is None:
+            dealt = todo.repartition(parts, F.xxhash64("doc_id", "piece") if not turn else F.xxhash64("sequence_id", F.lit(turn)))
+        elif not turn:
+            dealt = todo.repartitionByRange(parts, order, "piece")
+        else:
+            first = F.min(order).over(Window.partitionBy("sequence_id"))
+            dealt = todo.withColumn("_first", first).repartitionByRange(parts, "_first", "sequence_id").drop("_first")
+        placed = freeze(dealt.mapInArrow(_pack_partition(capacity, turn), schema))
         todo = placed.where("unfilled")
         rows = todo.count() if turn + 1 < turns and parts > 1 else 0
         done.append(placed.drop("unfilled") if not rows else placed.where("not unfilled").drop("unfilled"))
@@ -214,3 +224,17 @@ def certificates(packed: DataFrame) -> DataFrame:
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset, part_bins, part_bound."""
     return pack(freeze(pieces(docs, capacity, vocabulary)), capacity)
+
+
+def pack_in_order(docs: DataFrame, order: str, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, part_rows: int = PART_ROWS, buckets: int = 4096) -> DataFrame:
+    """As ``pack_documents``, over consecutive ranges of the numbers ``order`` (from 0), with
+    ``position``: the gapless number of the sequence by its first member's place."""
+    both = docs.select(F.struct("doc_id", F.col(order).alias("order")).alias("doc_id"), "text")
+    items = pieces(both, capacity, vocabulary)
+    items = freeze(items.select("doc_id.doc_id", *items.columns[1:], F.col("doc_id.order").alias("_order")))
+    d = freeze(pack(items, capacity, part_rows, order="_order"))
+    firsts = d.groupBy("sequence_id").agg(F.min(F.struct("_order", "piece")).alias("_f")).select("sequence_id", F.col("_f._order").alias("_a"), F.col("_f.piece").alias("_p"))
+    top = d.agg(F.max("_order")).head()[0] or 0
+    firsts = firsts.withColumn("_b", F.expr(f"_a div {max(1, -(-(top + 1) // buckets))}"))
+    numbered = positions(firsts, [], "_b", ["_a", "_p", "sequence_id"], "position")
+    return d.join(numbered.select("sequence_id", "position"), "sequence_id").select(*[c for c in d.columns if c != "_order"], "position")
