@@ -10,22 +10,26 @@ Jaccard without bias. Points come in order of time, and a process stops once it
 the bag's largest register.
 
 ``BANDS`` bands of ``ROWS`` registers give buckets (a pair at 0.8 misses all of them with
-probability (1 - 0.8 ** 4) ** 25, about 2e-6). Members of a bucket are compared with its
-first one: by their registers, which drop pairs far below the threshold (a pair at 0.8
-with a probability of about 1e-6), then by the exact overlap of their bags. Links make
-classes, and buckets that still hold several classes turn to another first member, as
-long as that finds links. At last the rest is compared across classes: all pairs of small
-buckets by registers and bags; large buckets are dealt into blocks, and each pair of blocks
-is a cell that counts the exact overlap of all its pairs by an inverted index. A cell gives
-the links of a spanning forest, so rows stay linear where work is quadratic, and a pair is
-counted only in the first band that it shares.
-
-Equal texts are one node, so copies cost nothing. Groups are never gathered: buckets are
-aggregated to their first member, and hot keys are joined by broadcast.
+probability (1 - 0.8 ** 4) ** 25, about 2e-6). First each bucket's members are compared
+with ``LEADS`` of them, drawn by hashes: by size, by registers (which drop pairs far below
+the threshold; a pair at 0.8 with a probability of about 1e-6), then by the exact overlap
+of their bags. Links make classes. Then all pairs of different classes in buckets that
+still hold several are compared: a bucket is dealt into blocks, and each pair of blocks is
+a cell. A cell looks for pairs whose registers agree and whose first common band is the
+bucket's; members of such pairs go on with their texts, and the cell counts the exact
+overlap of all their pairs by a product of matrices. It gives links that span what any of
+its pairs joins, so rows stay linear where work is quadratic. No pair is left out.
+
+Equal texts (equal MD5 of their bytes) are one node, so copies cost nothing. Groups are
+never gathered: buckets are aggregated to counts and leads, and joins are left to the
+adaptive splitting of skewed partitions.
 
 Defined cases: a null text counts as empty; equal texts are one class, also without words;
-texts without words have no other links; repeated rows are equal texts; an empty table
-gives an empty result; rows without an id keep a class by their text.
+texts without words have no other links; repeated rows are equal texts; very long texts
+are processed whole (a cell holds fewer of them); an empty table gives an empty result;
+rows without an id keep a class by their text; of rows with equal least ids the one that
+comes first by MD5 of its text is kept, of fully repeated rows any one; names of the
+table's other columns may clash with those used here, as they are carried in one struct.
 """
 
 from __future__ import annotations
@@ -38,14 +42,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm.batches import small_batches, steps, utf8
-from glossa.llm.common import freeze, spread_join
+from glossa.llm.common import drop_frozen, freeze
 
 SHINGLE = 5
 THRESHOLD = (8, 10)
 BANDS, ROWS = 25, 4
-SMALL = 64
-#: Rows and bytes of compressed text of a block of a large bucket; two blocks are a cell.
-CELL, CELL_BYTES = 1024, 1 << 20
+#: Members of a bucket that all others are compared with first.
+LEADS = 3
+#: Rows and shingles of a block of a bucket; two blocks are a cell.
+CELL, CELL_SHINGLES = 256, 400_000
 #: Registers that must agree before texts are compared: five deviations below 0.8.
 AGREE = 60
 _U = np.uint64
@@ -131,54 +136,61 @@ def signatures(rows: np.ndarray, hashes: np.ndarray, n: int, m: int = BANDS * RO
     return registers.reshape(n, m)
 
 
-def band_keys(registers: np.ndarray) -> np.ndarray:
-    """(n, BANDS) keys; which band is part of the key."""
-    bits = mix(registers.view(np.uint64))
-    out = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(registers), 1))
-    for k in range(ROWS):
-        out = mix(out * _U(_P) + bits[:, k::ROWS][:, :BANDS])
-    return out.view(np.int64)
-
-
 def _sketch(batches):
+    """n (size of the bag) and marks: 32 bits of each register; null without words."""
     for batch in batches:
-        data, offsets = utf8(batch.column(2))
-        keys: list = []
+        data, offsets = utf8(batch.column(3))
+        sizes: list = []
         marks: list = []
         for a, b in steps(offsets, 2 << 20):
             rows, hashes = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            registers = signatures(rows, hashes, b - a)
-            some = np.bincount(rows, minlength=b - a) > 0
-            keys += [x if s else [] for x, s in zip(band_keys(registers).tolist(), some.tolist(), strict=True)]
-            marks += [x.tobytes() for x in (mix(registers.view(np.uint64)) & _U(0xFFFFFFFF)).astype(np.uint32)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())], ["rid", "same", "bands", "marks"])
+            n = np.bincount(rows, minlength=b - a)
+            bits = (mix(signatures(rows, hashes, b - a).view(np.uint64)) & _U(0xFFFFFFFF)).astype("<u4")
+            sizes += n.tolist()
+            marks += [x.tobytes() if k else None for x, k in zip(bits, n.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int32()), pa.array(marks, pa.binary())], ["rid", "same", "id", "n", "marks"])
+
+
+def _marks(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, BANDS * ROWS)
+
+
+def _near_size(a, b):
+    low, high = THRESHOLD
+    return np.minimum(a, b) * high >= np.maximum(a, b) * low
 
 
 def _alike(batches):
-    """Pairs whose registers agree often enough to be worth an exact comparison."""
+    """Pairs whose sizes and registers agree well enough to be worth an exact comparison."""
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, BANDS * ROWS) for c in (2, 3))
+        x, y = _marks(batch.column(2)), _marks(batch.column(3))
         at = pa.array(np.flatnonzero((x == y).sum(axis=1) >= AGREE))
         yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
 
 
 def _shrink(members):
+    """Compressed texts of the members' bitmap, a text once in a while only."""
+
     def run(batches):
-        bits = members.value
+        bits, seen = members.value, set()
         for batch in batches:
             place = batch.column(2).to_numpy(zero_copy_only=False)
-            at = pa.array(np.flatnonzero(bits[place >> 6] >> (place & 63).astype(np.uint64) & _U(1)))
-            texts = batch.column(1).take(at).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([zlib.compress(t.encode("utf-8", "replace"), 1) for t in texts], pa.binary())], ["rid", "z"])
+            at = np.flatnonzero(bits[place >> 6] >> (place & 63).astype(np.uint64) & _U(1))
+            same = batch.column(0).take(pa.array(at)).to_pylist()
+            new = [k for k, s in enumerate(same) if s not in seen and not seen.add(s)]
+            texts = batch.column(1).take(pa.array(at[new], pa.int64())).to_pylist()
+            if len(seen) > 100_000:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([same[k] for k in new], pa.binary()), pa.array([zlib.compress(t.encode("utf-8", "replace"), 1) for t in texts], pa.binary())], ["same", "z"])
 
     return run
 
 
 def _bitmap(ids: DataFrame) -> tuple[np.ndarray, Column]:
-    """One bit per hashed ``rid`` (16 bits an id, 16 MB at most), and the place's column.
+    """One bit per hashed ``same`` (16 bits an id, 16 MB at most), and the place's column.
     It only spares rows a shuffle: a join on the ids themselves follows."""
     size = max(10, min(27, (16 * ids.count()).bit_length()))
-    place = F.pmod(F.xxhash64("rid"), F.lit(1 << size))
+    place = F.pmod(F.xxhash64("same"), F.lit(1 << size))
     words = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("b")).toArrow()  # 2 million rows at most
     bits = np.zeros(1 << (size - 6), np.uint64)
     bits[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
@@ -206,7 +218,7 @@ def _verify(batches):
     for batch in batches:
         keep = np.zeros(batch.num_rows, bool)
         for i, (a, x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-            if a != last:  # rows of one first member mostly follow each other
+            if a != last:
                 last, held = a, bag(zlib.decompress(x))
             other = bag(zlib.decompress(y))
             both = overlap(held, other)
@@ -215,198 +227,215 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
 
 
-def _beside(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
-    """Pairs with a column of both members; a member of very many pairs is joined by
-    broadcast, so that its pairs stay spread."""
-    total = max(pairs.count(), 1)
-    p = pairs
+def _beside(pairs: DataFrame, values: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs (a, b) with columns of both members. Skewed members are split by AQE."""
     for side in ("b", "a"):
-        uses = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("uses")).withColumnRenamed(side, "rid")
-        right = values.join(uses, "rid").select(F.col("rid").alias(side), F.col(column).alias(f"{column}_{side}"), "uses")
-        p = spread_join(p, right, side, "uses", total, share=200).drop("uses")
-    return p.select("a", "b", f"{column}_a", f"{column}_b")
-
-
-def _packed(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """(rid, z): compressed texts of the ids (rid), the only ones that move."""
-    needed = freeze(ids)
-    bits, place = _bitmap(needed)
-    small = texts.select("rid", "text", place.alias("place")).mapInArrow(_shrink(texts.sparkSession.sparkContext.broadcast(bits)), "rid long, z binary")
-    return freeze(small.join(needed, "rid", "left_semi"))
-
-
-def verify(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of the pairs (a, b), those whose bags overlap enough. First by 400 bytes of
-    registers each, then exactly, by the texts, of which only these move."""
-    small_batches(pairs.sparkSession)
-    likely = freeze(_beside(pairs, sketches.select("rid", "marks"), "marks").mapInArrow(_alike, "a long, b long"))
-    packed = _packed(likely.select(F.col("a").alias("rid")).union(likely.select("b")).distinct(), texts)
-    return freeze(_beside(likely, packed, "z").mapInArrow(_verify, "a long, b long"))
-
-
-def components(links: DataFrame, most: int = 50) -> DataFrame:
-    """(rid, class): class is the smallest rid that links (a, b) lead to."""
-    both = freeze(links.union(links.select("b", "a")).toDF("rid", "near").distinct())
-    degree = freeze(both.groupBy("near").agg(F.count(F.lit(1)).alias("uses")))
-    total = max(both.count(), 1)
-    labels = freeze(both.groupBy("rid").agg(F.least(F.first("rid"), F.min("near")).alias("class")))
-    for _ in range(most):
-        seen = spread_join(both, labels.withColumnRenamed("rid", "near").join(degree, "near"), "near", "uses", total)
-        least = seen.groupBy("rid").agg(F.min("class").alias("least"))
-        new = freeze(labels.join(least, "rid").select("rid", F.least("class", "least").alias("head"), F.col("class").alias("old")))
-        if new.where("head <> old").isEmpty():
-            break
-        # Jump: the class of the class, so long chains halve.
-        sizes = new.groupBy("head").agg(F.count(F.lit(1)).alias("uses"))
-        heads = new.select(F.col("rid").alias("head"), F.col("head").alias("next")).join(sizes, "head")
-        jumped = spread_join(new, heads, "head", "uses", total, how="left")
-        labels = freeze(jumped.select("rid", F.least("head", F.coalesce("next", "head")).alias("class")))
+        right = values.select(F.col("rid").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+        pairs = pairs.join(right, side)
+    return pairs
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(rid, class), frozen: class is the smallest rid that links (a, b) lead to. Each round
+    takes the least class among neighbours and then the class of that, so chains halve; it
+    ends when nothing moves."""
+    both = freeze(links.select("a", "b").union(links.select("b", "a")).toDF("rid", "near").where("rid <> near").distinct())
+    labels = freeze(both.groupBy("rid").agg(F.least(F.first("rid"), F.min("near")).alias("class"), F.lit(True).alias("moved")))
+    while not labels.where("moved").isEmpty():
+        seen = both.join(labels.select(F.col("rid").alias("near"), "class"), "near").groupBy("rid").agg(F.min("class").alias("least"))
+        new = labels.join(seen, "rid").select("rid", F.least("class", "least").alias("head"), F.col("class").alias("old"))
+        ahead = labels.select(F.col("rid").alias("head"), F.col("class").alias("next"))
+        jumped = new.join(ahead, "head", "left").withColumn("class", F.least("head", F.coalesce("next", "head")))
+        after = freeze(jumped.select("rid", "class", (F.col("class") < F.col("old")).alias("moved")))
+        drop_frozen(labels)
+        labels = after
+    drop_frozen(both)
     return labels
 
 
-def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Classes of ``labels`` (rid, class) joined by the links (a, b): those are few, and
-    components are sought among the classes, not among all rows again."""
-    ends = links
-    for side in ("a", "b"):
-        ends = ends.join(labels.select(F.col("rid").alias(side), F.col("class").alias(f"c{side}")), side)
-    heads = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct())
-    sizes = labels.groupBy("class").agg(F.count(F.lit(1)).alias("uses"))
-    moved = heads.select(F.col("rid").alias("class"), F.col("class").alias("head")).join(sizes, "class")
-    d = spread_join(labels, moved, "class", "uses", max(labels.count(), 1), how="left")
-    return freeze(d.select("rid", F.coalesce("head", "class").alias("class")))
+# ---------------------------------------------------------------- cells
 
 
-def _across(members: DataFrame, key: str) -> DataFrame:
-    """Pairs of one bucket's members of different classes; buckets are small."""
-    left = members.select(key, F.col("rid").alias("a"), F.col("class").alias("ca"))
-    right = members.select(key, F.col("rid").alias("b"), F.col("class").alias("cb"))
-    return left.join(right, key).where("a < b and ca <> cb").select("a", "b").distinct()
+def _agree(x: np.ndarray, y: np.ndarray, band: int) -> np.ndarray:
+    """Of all pairs of two blocks' registers: enough agree, and no band before ``band`` does."""
+    if len(x) * len(y) <= 4096:
+        equal = (x[:, None, :] == y[None, :, :]).reshape(len(x), len(y), BANDS, ROWS)
+        return (equal.sum(axis=(2, 3)) >= AGREE) & ~equal[:, :, :band].all(axis=3).any(axis=2)
+    total, earlier = np.zeros((len(x), len(y)), np.uint8), np.zeros((len(x), len(y)), bool)
+    for b in range(BANDS):
+        every = True
+        for k in range(b * ROWS, (b + 1) * ROWS):
+            equal = x[:, k][:, None] == y[:, k][None, :]
+            total += equal
+            every &= equal
+        if b < band:
+            earlier |= every
+    return (total >= AGREE) & ~earlier
 
 
-def _forest(cell: pa.Table) -> pa.Table:
-    """Links (a, b) across classes of one cell (key, i, j, block, rid, class, bands, z),
-    enough to join what any of its pairs joins."""
-    low, high = THRESHOLD
-    n = cell.num_rows
-    rid, label, block = (cell.column(c).to_numpy() for c in ("rid", "class", "block"))
-    crossing = cell.column("i")[0] != cell.column("j")[0]
-    bands = cell.column("bands").combine_chunks().flatten().to_numpy().reshape(n, BANDS)
-    earlier = bands[:, : int(np.argmax(bands[0] == cell.column("key")[0].as_py()))]
-    raw = [zlib.decompress(z) for z in cell.column("z").to_pylist()]
-    rows, hashes = shingles(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in raw])]))
+def _flag(batches):
+    """Cells (key, i, j, band, x, y) to their members (key, i, j, rid, class) of pairs across
+    classes that may be near; y is null where the cell is one block."""
+    for batch in batches:
+        key, i_, j_, band = (batch.column(c).to_pylist() for c in range(4))
+        sides = []
+        for c in (4, 5):
+            column = batch.column(c)
+            inner = column.flatten()
+            ends = np.cumsum([0, *(k or 0 for k in pa.compute.list_value_length(column).to_pylist())])
+            rid, label, n = (inner.field(f).to_numpy(zero_copy_only=False) for f in range(3))
+            sides.append((ends, rid, label, n, _marks(inner.field(3))))
+        out: list = [[], [], []]
+        for r in range(batch.num_rows):
+            blocks = [(rid[e[r] : e[r + 1]], label[e[r] : e[r + 1]], n[e[r] : e[r + 1]], marks[e[r] : e[r + 1]]) for e, rid, label, n, marks in sides]
+            x, y = blocks[0], blocks[1] if i_[r] != j_[r] else blocks[0]
+            if not len(x[0]) or not len(y[0]):
+                continue
+            near = _agree(x[3], y[3], band[r]) & (x[1][:, None] != y[1][None, :]) & _near_size(x[2].astype(np.int64)[:, None], y[2].astype(np.int64)[None, :])
+            for block, some in ((x, near.any(axis=1)), (y, near.any(axis=0)))[: 1 + (i_[r] != j_[r])]:
+                at = np.flatnonzero(some)
+                out[0] += [r] * len(at)
+                out[1] += block[0][at].tolist()
+                out[2] += block[1][at].tolist()
+        at = pa.array(out[0], pa.int64())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(3)), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], ["key", "i", "j", "rid", "class"])
+
+
+def overlaps(rows: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """(n, n) sizes of the multiset intersections of all pairs of bags."""
     order = np.lexsort((hashes, rows))
     rows, hashes = rows[order], hashes[order]
     # A repeat of a shingle is an element of its own: overlaps of bags are those of sets.
-    new = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])]))
+    new = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])])) if len(rows) else np.zeros(0, np.int64)
     repeat = np.arange(len(rows)) - np.repeat(new, np.diff(np.append(new, len(rows))))
-    _, element = np.unique(mix(hashes + repeat.astype(np.uint64) * _U(_P)), return_inverse=True)
-    owners, uses = rows[np.argsort(element, kind="stable")], np.bincount(element)
-    begin, size = np.cumsum(uses) - uses, np.bincount(rows, minlength=n)
-    at = np.concatenate([[0], np.cumsum(size)])
-    links = []
-    for a in range(n):
-        b = np.flatnonzero(label[a + 1 :] != label[a]) + a + 1
-        if crossing:
-            b = b[block[b] != block[a]]
-        b = b[~(earlier[b] == earlier[a]).any(axis=1)]
-        if not len(b):
-            continue
-        own = element[at[a] : at[a + 1]]
-        ends = np.cumsum(uses[own])
-        places = np.repeat(begin[own] - ends + uses[own], uses[own]) + np.arange(ends[-1])
-        both = np.bincount(owners[places], minlength=n)[b]
-        for x in b[both * high >= low * (size[a] + size[b] - both)].tolist():
-            if label[x] != label[a]:
-                links.append((a, x))
-                label = np.where(label == label[x], label[a], label)
-    ends = np.array(links, np.int64).reshape(-1, 2)
-    return pa.table({"a": rid[ends[:, 0]], "b": rid[ends[:, 1]]})
-
-
-def _large(members: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) across classes of large buckets' members (key, rid, class)."""
-    packed = _packed(members.select("rid").distinct(), texts)
-    sizes = members.join(packed.select("rid", F.length("z").alias("bytes")), "rid").groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("bytes").alias("bytes"))
-    sizes = freeze(sizes.select("key", "rows", F.expr(f"cast(greatest(ceil(rows / {CELL}), ceil(bytes / {CELL_BYTES})) as int)").alias("blocks")))
-    cells = sizes.agg(F.sum(F.expr("blocks * (blocks + 1L) div 2"))).head()[0]
-    d = spread_join(members, sizes, "key", "rows", max(members.count(), 1)).withColumn("block", F.expr("cast(pmod(xxhash64(rid, key), blocks) as int)"))
-    d = d.join(packed, "rid").join(sketches.select("rid", "bands"), "rid")
-    d = d.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    d = d.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rid", "class", "bands", "z")
-    return freeze(d.repartition(min(cells, 2000), "key", "i", "j").groupBy("key", "i", "j").applyInArrow(_forest, "a long, b long"))
-
-
-def _mixed(members: DataFrame, key: str, turn: int = 0) -> DataFrame:
-    """Per bucket with several classes: rows, and a first member that turns by turn."""
-    order = F.col("rid") if not turn else F.xxhash64("rid", F.lit(turn))
-    g = members.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.min("class").alias("low"), F.max("class").alias("high"), F.min_by(F.struct("rid", "class"), order).alias("first"))
-    return g.where("low <> high").select(key, "rows", F.col("first.rid").alias("lead"), F.col("first.class").alias("lead_class"))
-
-
-def link(texts: DataFrame, sketches: DataFrame, turns: int = 3) -> DataFrame:
-    """(rid, class) of the nodes that share a bucket. sketches: (rid, bands, marks),
-    texts: (rid, text)."""
-    spread = sketches.select("rid", F.explode("bands").alias("key"))
-    buckets = freeze(spread.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
-    open_ = freeze(spread_join(spread, buckets, "key", "rows", max(sketches.count(), 1)).select("key", "rid", F.col("rid").alias("class")))
-    labels = freeze(open_.select("rid").distinct().withColumn("class", F.col("rid")))
-    sketches = freeze(sketches.join(labels.select("rid"), "rid", "left_semi"))
-    for turn in range(turns + 1):
-        # Members of another class than the first member's are compared with it.
-        rows = max(open_.count(), 1)
-        mixed = freeze(_mixed(open_, "key", turn))
-        open_ = freeze(spread_join(open_, mixed, "key", "rows", rows))
-        if open_.isEmpty():
-            return labels
-        if turn == turns:
-            break
-        found = verify(freeze(open_.where("class <> lead_class").select(F.col("lead").alias("a"), F.col("rid").alias("b")).distinct()), sketches, texts)
-        if found.isEmpty() and turn:
-            break
-        labels = _merge(labels, found)
-        open_ = open_.select("key", "rid").join(labels, "rid").select("key", "rid", "class")
-    # What first members did not link: all pairs across classes.
-    more = freeze(_across(open_.where(f"rows <= {SMALL}"), "key").distinct())
-    found = [] if more.isEmpty() else [verify(more, sketches, texts)]
-    large = freeze(open_.where(f"rows > {SMALL}").select("key", "rid", "class"))
-    if not large.isEmpty():
-        found.append(_large(large, sketches, texts))
-    for links in found:
-        labels = _merge(labels, links)
-    return labels
-
-
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """All rows of ``docs`` with _rid and _class (a _rid), and per class its _keep (the
-    _rid of the row with the smallest id), _class_id (that id) and _rows."""
-    rows = freeze(docs.withColumn("_rid", F.monotonically_increasing_id()))
-    texts = rows.select(F.col("_rid").alias("rid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    _, element, uses = np.unique(mix(hashes + repeat.astype(np.uint64) * _U(_P)), return_inverse=True, return_counts=True)
+    common = uses[element] > 1
+    rows, element = rows[common], (np.cumsum(uses > 1) - 1)[element[common]]
+    order = np.argsort(element, kind="stable")
+    rows, element = rows[order], element[order]
+    out = np.zeros((n, n), np.float32)  # exact up to 2 ** 24
+    for first in range(0, int(element[-1]) + 1 if len(element) else 0, 4096):
+        a, b = np.searchsorted(element, [first, first + 4096])
+        grid = np.zeros((n, 4096), np.float32)
+        grid[rows[a:b], element[a:b] - first] = 1
+        out += grid @ grid.T
+    return out
+
+
+def _forest(batches):
+    """Members of cells, a list of (class, z) each, to links (a, b) of classes that span all
+    that pairs of the cell at the threshold join."""
+    low, high = THRESHOLD
+    for batch in batches:
+        a, b = [], []
+        for members in batch.column(0).to_pylist():
+            raw = [zlib.decompress(m["z"]) for m in members]
+            rows, hashes = shingles(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in raw])]))
+            size = np.bincount(rows, minlength=len(raw)).astype(float)
+            both = overlaps(rows, hashes, len(raw)).astype(float)
+            names, label = np.unique([m["class"] for m in members], return_inverse=True)
+            x, y = np.nonzero(np.triu(both * high >= low * (size[:, None] + size[None, :] - both), 1) & (label[:, None] != label[None, :]))
+            head = list(range(len(names)))
+
+            def find(k, head=head):
+                while head[k] != k:
+                    head[k] = k = head[head[k]]
+                return k
+
+            for pair in np.unique(np.minimum(label[x], label[y]) * len(names) + np.maximum(label[x], label[y])).tolist():
+                p, q = find(pair // len(names)), find(pair % len(names))
+                if p != q:
+                    head[max(p, q)] = min(p, q)
+                    a.append(int(names[min(p, q)]))
+                    b.append(int(names[max(p, q)]))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _rest(open_: DataFrame, nodes: DataFrame, packed: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links (a, b) of classes by all pairs of different classes in a bucket, frozen.
+    open_: (key, band, rid), nodes: (rid, n, marks), packed: (rid, z), labels: (rid, class)."""
+    members = freeze(open_.join(labels.select("rid", "class"), "rid", "left").withColumn("class", F.coalesce("class", "rid")).join(nodes.select("rid", "n"), "rid"))
+    mixed = members.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("n").cast("long")).alias("shingles"), F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
+    mixed = mixed.select("key", F.expr(f"cast(least(rows, greatest(ceil(rows / {CELL}), ceil(shingles / {CELL_SHINGLES}))) as int)").alias("blocks"))
+    dealt = members.join(mixed, "key").withColumn("block", F.expr("cast(pmod(xxhash64(rid, key), blocks) as int)"))
+    dealt = dealt.join(nodes.select("rid", "marks"), "rid")
+    blocks = freeze(dealt.groupBy("key", "band", "block", "blocks").agg(F.collect_list(F.struct("rid", "class", "n", "marks")).alias("m")))  # CELL rows or so
+    left = blocks.where("blocks > 1").select("key", "band", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"), F.col("m").alias("x"))
+    right = blocks.where("blocks > 1").select("key", F.col("block").alias("j"), F.explode(F.expr("sequence(0, block)")).alias("i"), F.col("m").alias("y"))
+    cells = left.join(right, ["key", "i", "j"]).select("key", "i", "j", "band", "x", F.when(F.col("i") < F.col("j"), F.col("y")).alias("y"))
+    alone = blocks.where("blocks = 1").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "band", F.col("m").alias("x"), F.lit(None).cast(blocks.schema["m"].dataType).alias("y"))
+    flagged = freeze(cells.unionByName(alone).mapInArrow(_flag, "key long, i int, j int, rid long, class long"))
+    full = flagged.join(packed, "rid").groupBy("key", "i", "j").agg(F.collect_list(F.struct("class", "z")).alias("m"))  # two blocks at most
+    links = freeze(full.select("m").mapInArrow(_forest, "a long, b long").distinct())
+    drop_frozen(members, blocks, flagged)
+    return links
+
+
+# ---------------------------------------------------------------- the operator
+
+
+def link(sketches: DataFrame, texts: DataFrame) -> DataFrame:
+    """(same, class), frozen: class is the rid of a text. sketches: (rid, same, n, marks), frozen;
+    texts: (same, text), with copies."""
+    groups = freeze(sketches.groupBy("same").agg(F.min("rid").alias("rep")))
+    nodes = sketches.where("marks is not null").join(groups.select(F.col("rep").alias("rid")), "rid", "left_semi")
+    key = F.expr(f"xxhash64(band, substring(marks, {4 * ROWS} * band + 1, {4 * ROWS}))").alias("key")
+    spread = nodes.select("rid", "marks", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).select(key, "band", "rid")
+    leads = [F.min(F.struct(F.xxhash64("rid", F.lit(turn)).alias("h"), "rid")) for turn in range(1, LEADS)]
+    buckets = spread.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.array(F.min("rid"), *[x["rid"] for x in leads]).alias("leads")).where("rows > 1")
+    open_ = freeze(spread.join(buckets, "key").select("key", "band", "rid", "leads"))
+    inside = freeze(nodes.select("rid", "same", "n", "marks").join(open_.select("rid").distinct(), "rid", "left_semi"))
+    bits, place = _bitmap(inside)
+    members = texts.sparkSession.sparkContext.broadcast(bits)
+    small = texts.select("same", "text", place.alias("place")).mapInArrow(_shrink(members), "same binary, z binary")
+    packed = freeze(small.groupBy("same").agg(F.first("z").alias("z")).join(inside.select("same", "rid"), "same").select("rid", "z"))
+    pairs = open_.select(F.col("rid").alias("b"), F.explode(F.array_distinct("leads")).alias("a")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sized = _beside(pairs, inside, ["n", "marks"]).where(f"least(n_a, n_b) * {THRESHOLD[1]}L >= greatest(n_a, n_b) * {THRESHOLD[0]}L")
+    likely = freeze(sized.select("a", "b", "marks_a", "marks_b").mapInArrow(_alike, "a long, b long"))
+    found = freeze(_beside(likely, packed, ["z"]).select("a", "b", "z_a", "z_b").mapInArrow(_verify, "a long, b long"))
+    labels = components(found)
+    links = _rest(open_.select("key", "band", "rid"), inside, packed, labels)
+    members.destroy()
+    drop_frozen(open_, inside, packed, likely, found)
+    heads = components(links)
+    first = groups.join(labels.select(F.col("rid").alias("rep"), F.col("class").alias("c")), "rep", "left").select("same", F.coalesce("c", "rep").alias("c"))
+    out = freeze(first.join(heads.select(F.col("rid").alias("c"), "class"), "c", "left").select("same", F.coalesce("class", "c").alias("class")))
+    drop_frozen(groups, labels, links, heads)
+    return out
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Thin frozen rows (rid, id, same), the class of each text (same, class), and per class
+    its kept row (class, keep, id, same, rows): the one with the smallest id."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    whole = docs.select(F.unhex(F.md5(t.cast("binary"))).alias("same"), F.col(doc_id).alias("id"), t.alias("text"))
     small_batches(docs.sparkSession)
-    sketched = freeze(texts.select("rid", F.unhex(F.md5(F.col("text").cast("binary"))).alias("same"), "text").mapInArrow(_sketch, "rid long, same binary, bands array<long>, marks binary"))
-    total = max(sketched.count(), 1)
-    groups = freeze(sketched.groupBy("same").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    firsts = sketched.join(groups.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", "bands", "marks")
-    labels = link(texts, firsts)
-    of = groups.join(labels.withColumnRenamed("rid", "rep"), "rep", "left").select("same", F.coalesce("class", "rep").alias("_class"), "copies")
-    classed = spread_join(sketched.select("rid", "same"), of, "same", "copies", total).select(F.col("rid").alias("_rid"), "_class")
-    out = freeze(rows.select("_rid", F.col(doc_id).alias("_id")).join(classed, "_rid"))
-    classes = out.groupBy("_class").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_rid")).alias("_m"), F.count(F.lit(1)).alias("_rows"))
-    return rows.join(out.select("_rid", "_class"), "_rid"), freeze(classes.select("_class", F.col("_m._rid").alias("_keep"), F.col("_m._id").alias("_class_id"), "_rows"))
+    kind = docs.select(doc_id).schema[0].dataType.simpleString()
+    sketches = freeze(whole.select(F.monotonically_increasing_id().alias("rid"), "same", "id", "text").mapInArrow(_sketch, f"rid long, same binary, id {kind}, n int, marks binary"))
+    labels = link(sketches, whole)
+    rows = sketches.select("rid", "id", "same")
+    of = rows.join(labels, "same")
+    heads = of.groupBy("class").agg(F.min(F.struct(F.col("id").isNull(), "id", "same", "rid")).alias("m"), F.count(F.lit(1)).alias("rows"))
+    return rows, labels, freeze(heads.select("class", F.col("m.rid").alias("keep"), "m.id", "m.same", "rows"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class), class_rows, kept."""
-    rows, heads = near_duplicates(docs.select("doc_id", "text"))
-    total = max(rows.count(), 1)
-    d = spread_join(rows.select("doc_id", "_rid", "_class"), heads, "_class", "_rows", total)
-    return d.select("doc_id", F.col("_class_id").alias("class_id"), F.col("_rows").alias("class_rows"), (F.col("_rid") == F.col("_keep")).alias("kept"))
+    rows, labels, heads = near_duplicates(docs.select("doc_id", "text"))
+    h = heads.select("class", "keep", F.col("id").alias("class_id"), F.col("rows").alias("class_rows"))
+    d = rows.join(labels, "same").join(h, "class")
+    return d.select(F.col("id").alias("doc_id"), "class_id", "class_rows", (F.col("rid") == F.col("keep")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each class, with its own columns."""
     names = docs.columns
-    slim = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text").alias("_text"), F.col("doc_id").alias("_doc"))
-    rows, heads = near_duplicates(slim, "_text", "_doc")
-    kept = rows.join(heads.select(F.col("_keep").alias("_rid")), "_rid", "left_semi")
-    return kept.select(*[F.col("_row").getField(c).alias(c) for c in names])
+    t = F.coalesce("text", F.lit(""))
+    slim = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), t.alias("text"), F.col("doc_id").alias("doc"))
+    _, _, heads = near_duplicates(slim, "text", "doc")
+    # Repeated rows (equal id and text) meet already before they move, so none is hot. The
+    # hint keeps the plan alike at every size.
+    one = slim.select("row", "doc", F.unhex(F.md5(F.col("text").cast("binary"))).alias("same")).groupBy("same", "doc").agg(F.first("row").alias("row"))
+    keep = heads.select(F.col("same").alias("s"), F.col("id").alias("i"))
+    kept = one.hint("merge").join(keep, (F.col("same") == F.col("s")) & F.col("doc").eqNullSafe(F.col("i")), "left_semi")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in names])

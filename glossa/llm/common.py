@@ -2,50 +2,40 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_OWN_FOLDER: list[str] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _OWN_FOLDER:
-        _OWN_FOLDER.append(tempfile.mkdtemp(prefix="glossa-"))
-        import shutil
-
-        atexit.register(shutil.rmtree, _OWN_FOLDER[0], True)
-    return f"file://{_OWN_FOLDER[0]}"
+    """The cluster's shared folder, spark.checkpoint.dir; where none is set, a folder in the
+    warehouse, which all executors share too."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/glossa-frozen"
+    return found.rstrip("/")
 
 
 def freeze(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives
-    lost executors, and fixes values that a recomputation could change."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost
+    executors, and fixes values that a recomputation could change. ``drop_frozen`` it when
+    nothing reads it any more."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/frozen-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._frozen = path
+    return out
 
 
-def drop_frozen(df: DataFrame) -> None:
-    """Delete the files under a frozen table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for name in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        if "/frozen-" in name:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop_frozen(*frames: DataFrame) -> None:
+    """Delete the files under frozen tables that nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._frozen)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc_of_id(doc_id: str = "doc_id") -> Column:

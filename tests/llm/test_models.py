@@ -66,7 +66,7 @@ def test_near_duplicates(spark, odd, none):
 def test_near_duplicates_in_a_family_of_dissimilar_texts(spark, monkeypatch):
     """Hundreds of texts at 0.76 by shared boilerplate fill large buckets of several bands; the
     pairs just above 0.8 among them are to be found, also between two blocks of a bucket."""
-    monkeypatch.setattr(bagminhash, "CELL", 100, raising=False)
+    monkeypatch.setattr(bagminhash, "CELL", 100)
     draw = random.Random(11)
     shared, rows = [f"w{draw.randrange(400)}" for _ in range(130)], []
     for k in range(160):
