@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -109,6 +110,43 @@ def test_redact(spark, odd, none):
     assert pii.redact(none).count() == 0
 
 
+def test_redact_carries_columns_of_any_name(spark):
+    d = spark.createDataFrame([("mail a@b.co", "left as it is a@b.co", "x", 4, "y")], "text string, _t string, _spans string, n_chars int, `a.b` string")
+    assert tuple(pii.redact(d).head()) == ("mail [EMAIL]", "left as it is a@b.co", "x", 12, "y")
+    assert pii.find_spans(d).columns == [*d.columns, "spans"]
+    assert tuple(pii.find_spans(d).head())[:5] == ("mail a@b.co", "left as it is a@b.co", "x", 4, "y")
+
+
+def test_redact_against_brute_force(spark):
+    draw = random.Random(8)
+    bits = ["a@b.c", "1.2.3.4", "4111 1111 1111 1111", "+49 30 1234567", " and ", "é😀", "+1-555-123-4567", "x" * 700]
+    texts = ["".join(draw.choice(bits) for _ in range(n)) for n in [*range(1, 30), 300, 900]]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.find_spans(d).collect()}
+    for r in pii.redact(d).collect():
+        out, at = "", 0
+        for s in spans[r.doc_id]:
+            if s.start >= at:
+                out += texts[r.doc_id][at : s.start] + f"[{pii.ORDER[s.kind].upper()}]"
+            at = max(at, s.end)
+        assert r.text == out + texts[r.doc_id][at:]
+
+
+def test_pii_in_very_long_texts(spark):
+    """Many spans, and runs of digits that lead nowhere, do not take time by their square."""
+    texts = ["é 10.20.30.40, " * 20_000, "1.1 " + "7" * 200_000, "a" * 200_000 + "@", "7 " * 100_000, "+7" + " (" * 100_000, "a@b" + ".c" * 100_000]
+    began = time.perf_counter()
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    base = F.expr(pii.digest(f"filter(spans, s -> s.kind < {len(pii.BASE)})"))
+    got = {r.doc_id: r.b for r in pii.find_spans(d).select("doc_id", base.alias("b")).collect()}
+    clean = {r.doc_id: r.text for r in pii.redact(d).collect()}
+    took = time.perf_counter() - began
+    for k, text in enumerate(texts):
+        assert got[k] == ",".join(base_spans(text) if k in (0, 5) else [])
+    assert clean[0] == "é [IP], " * 20_000 and clean[1] == texts[1] and clean[5] == "[EMAIL]"
+    assert took < 60
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_every_deadline_is_met(seed):
     draw = random.Random(seed)
