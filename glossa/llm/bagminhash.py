@@ -405,25 +405,24 @@ def link(sketches: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Thin frozen rows (rid, id, same), the class of each text (same, class), and per class
-    its kept row (class, keep, id, same, rows): the one with the smallest id."""
+    """Three frozen tables: rows (rid, id, same, ...), the class of each text (same, class),
+    and per class its kept row (class, keep, id, same, rows): the one with the smallest id."""
     t = F.coalesce(F.col(text), F.lit(""))
     whole = docs.select(F.unhex(F.md5(t.cast("binary"))).alias("same"), F.col(doc_id).alias("id"), t.alias("text"))
     small_batches(docs.sparkSession)
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
     sketches = freeze(whole.select(F.monotonically_increasing_id().alias("rid"), "same", "id", "text").mapInArrow(_sketch, f"rid long, same binary, id {kind}, n int, marks binary"))
     labels = link(sketches, whole)
-    rows = sketches.select("rid", "id", "same")
-    of = rows.join(labels, "same")
+    of = sketches.select("rid", "id", "same").join(labels, "same")
     heads = of.groupBy("class").agg(F.min(F.struct(F.col("id").isNull(), "id", "same", "rid")).alias("m"), F.count(F.lit(1)).alias("rows"))
-    return rows, labels, freeze(heads.select("class", F.col("m.rid").alias("keep"), "m.id", "m.same", "rows"))
+    return sketches, labels, freeze(heads.select("class", F.col("m.rid").alias("keep"), "m.id", "m.same", "rows"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class), class_rows, kept."""
     rows, labels, heads = near_duplicates(docs.select("doc_id", "text"))
     h = heads.select("class", "keep", F.col("id").alias("class_id"), F.col("rows").alias("class_rows"))
-    d = rows.join(labels, "same").join(h, "class")
+    d = rows.select("rid", "id", "same").join(labels, "same").join(h, "class")
     return d.select(F.col("id").alias("doc_id"), "class_id", "class_rows", (F.col("rid") == F.col("keep")).alias("kept"))
 
 
@@ -432,7 +431,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     names = docs.columns
     t = F.coalesce("text", F.lit(""))
     slim = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), t.alias("text"), F.col("doc_id").alias("doc"))
-    _, _, heads = near_duplicates(slim, "text", "doc")
+    rows, labels, heads = near_duplicates(slim, "text", "doc")
+    drop_frozen(rows, labels)
     # Repeated rows (equal id and text) meet already before they move, so none is hot. The
     # hint keeps the plan alike at every size.
     one = slim.select("row", "doc", F.unhex(F.md5(F.col("text").cast("binary"))).alias("same")).groupBy("same", "doc").agg(F.first("row").alias("row"))

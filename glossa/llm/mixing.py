@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import freeze, positions
+from glossa.llm.common import drop_frozen, freeze, positions
 
 
 def quotas(weights: dict, period: int) -> dict:
@@ -124,9 +124,11 @@ def mix(docs: DataFrame, weights: dict, source: str = "source", doc_id: str = "d
     which, block, slots = schedule(weights, {s: -(-n // block_rows) for s, n in rows.items()})
     plan = spark.createDataFrame(pa.table({"_i": pa.array(which, pa.int32()), "_k": pa.array(block, pa.int64()), "slot": pa.array(slots, pa.int64())}))
     names = spark.createDataFrame(list(enumerate(weights)), "_j int, _source string")
-    d = d.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("_source")))  # one row per source
-    d = d.join(plan, (F.col("_j") == F.col("_i")) & (F.col("block") == F.col("_k"))).select("doc_id", "source", "block", "slot", "_n")
-    d = freeze(d)  # thin rows: both numberings below read the same placing
+    numbered = d
+    placed = d.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("_source")))  # one row per source
+    placed = placed.join(plan, (F.col("_j") == F.col("_i")) & (F.col("block") == F.col("_k"))).select("doc_id", "source", "block", "slot", "_n")
+    d = freeze(placed)  # thin rows: both numberings below read the same placing
+    drop_frozen(numbered)
     top = d.agg(F.max("slot")).head()[0] or 0
     # Buckets of consecutive slots. Where sources have ended, few blocks share a bucket.
     d = d.withColumn("_b", F.expr(f"slot div {max(1, -(-(top + 1) // buckets))}"))
