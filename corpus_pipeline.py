@@ -5,7 +5,9 @@ last return the columns of documents. ``run`` writes each stage's rows to the sh
 folder and rereads them for the next one.
 
 Defined cases: empty tables pass through all stages; null texts count as empty; rows with
-equal ids are separate rows, except that near-duplicates keep one row of each class.
+equal ids are separate rows, except that near-duplicates keep one row of each class; very
+long texts are processed whole; ties go as each stage's operator states; names of further
+columns may clash with those used here, as each stage carries the row in one struct.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.llm import bagminhash, mixing, packing, pii, rff_quality
-from glossa.llm.common import freeze, table
+from glossa.llm.common import drop_frozen, freeze, table
 
 #: Rows with a quality score below this go.
 MIN_QUALITY = 0.3
@@ -44,12 +46,14 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the mixed order of their sources, in files of consecutive ranges."""
+    """All documents in the mixed order of their sources, in files of consecutive ranges.
+    ``docs`` is read twice and numbered by its rows' order, so it is to be a table read from
+    files (or any frame that gives its rows in one order)."""
     names = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")
-    rows = freeze(docs.select(row, F.col("source").alias("_source"), F.monotonically_increasing_id().alias("_id")))
+    rows = docs.select(row, F.col("source").alias("_source"), F.monotonically_increasing_id().alias("_id"))
     order = mixing.mix(rows.select("_id", "_source"), mixing.tempered_weights(rows, "_source"), "_source", "_id")
-    placed = rows.join(order.select(F.col("doc_id").alias("_id"), "position"), "_id")
+    placed = rows.hint("merge").join(order.select(F.col("doc_id").alias("_id"), "position"), "_id")
     # No sort in one task: ranges of positions, each sorted.
     placed = placed.repartitionByRange("position").sortWithinPartitions("position")
     return placed.select(*[F.col("_row").getField(c).alias(c) for c in names])
@@ -90,7 +94,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = freeze(stage(spark, docs, sf_dir))
+        if last is not None:
+            drop_frozen(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
