@@ -3,17 +3,22 @@
 The decoder follows the published bitstream specification: RIFF container, VP8L header,
 prefix codes (simple and normal, with entropy images), LZ77 back-references with the
 two-dimensional distance map, colour cache, and the inverse predictor, cross-colour,
-subtract-green and colour-indexing transforms. Streams whose codes all have one length
-(no cache, no references) are read with numpy in one go; all others symbol by symbol.
+subtract-green and colour-indexing transforms. A prefix code is a table over its longest
+code's bits; a pixel takes one look at nine bytes of the stream.
 
-The encoder writes literals of fixed-length codes by default; its options exist for round
-trips of every part of the decoder.
+The encoder writes Huffman codes of at most 15 bits, references to the last place of the
+same four pixels, and cache hits. ``plan`` chooses for each image by entropies: cross-colour
+that takes green from red and blue, the predictor with a mode per tile before it, a
+palette, or a colour cache.
 
-Bytes are stored as samples: rows of ``ROW`` samples in the green channel of an opaque
-image; payloads beyond ``MAX_ROWS`` rows take several files, one after the other.
+Bytes are stored as grey samples: red, green and blue of an opaque pixel are equal, and
+``ROW`` of them are a row; payloads beyond ``MAX_ROWS`` rows take several files, one after
+the other.
 
 Defined cases: a null text counts as empty; equal texts give equal stored bytes; repeated
-rows give equal rows; broken streams raise ``ValueError``.
+rows give equal rows; very long texts are stored whole, in several files; an empty table
+gives an empty result; further columns are not read, so any names may stand there; broken
+streams raise ``ValueError``.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from pyspark.sql import DataFrame
 from glossa.llm.batches import small_batches
 
 ROW = 576
-MAX_ROWS = 1 << 14
+MAX_ROWS = 1 << 8
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, COLOUR_INDEXING = range(4)
 
 # Fixed values of the bitstream: the order of code-length codes, the first offsets of the
@@ -49,84 +54,85 @@ NEAR = (
 )
 
 
-def _reverse(value: int, bits: int) -> int:
-    return int(format(value, f"0{bits}b")[::-1], 2) if bits else 0
+#: Longest code that the encoder gives, and that the format allows.
+LONGEST, ALLOWED = 10, 15
+_BACK = np.zeros(1 << ALLOWED, np.int64)  # the bits of each number from the other end
+for _k in range(ALLOWED):
+    _BACK |= (np.arange(1 << ALLOWED) >> _k & 1) << (ALLOWED - 1 - _k)
 
 
 # ---------------------------------------------------------------- prefix codes
 
 
 class Prefix:
-    """A canonical prefix code, read with the first code bit in the lowest bit."""
-
-    def __init__(self, lengths: dict[int, int]):
-        self.lengths = lengths
-        self.single = next(iter(lengths)) if len(lengths) == 1 else None
-        self.codes: dict[int, tuple[int, int]] = {}
-        self.table: dict[tuple[int, int], int] = {}
-        if self.single is not None:
-            self.codes[self.single] = (0, 0)
+    """A canonical prefix code, read with the first code bit in the lowest bit: symbols in
+    order of their codes, and the codes' lengths (0 where there is one symbol only)."""
+
+    def __init__(self, symbols: np.ndarray, lengths: np.ndarray):
+        self.single = len(symbols) == 1
+        if self.single:
+            self.symbols, self.lengths, self.depth = symbols, np.zeros(1, np.int64), 0
             return
-        if not lengths or sum(2.0 ** -n for n in lengths.values()) != 1.0:
+        order = np.lexsort((symbols, lengths))
+        self.symbols = symbols[order]
+        self.lengths = lengths[order]
+        if int((1 << (ALLOWED - self.lengths)).sum()) != 1 << ALLOWED:
             raise ValueError("prefix code is not complete")
-        code = last = 0
-        for symbol in sorted(lengths, key=lambda s: (lengths[s], s)):
-            n = lengths[symbol]
-            code <<= n - last
-            last = n
-            self.codes[symbol] = (_reverse(code, n), n)
-            self.table[n, _reverse(code, n)] = symbol
-            code += 1
-
-    @property
-    def uniform(self) -> int | None:
-        """The one length of all its codes, or None."""
-        if self.single is not None:
-            return 0
-        found = set(self.lengths.values())
-        return found.pop() if len(found) == 1 else None
-
-    def read(self, bits: Reader) -> int:
-        if self.single is not None:
-            return self.single
-        code = 0
-        for n in range(1, 16):
-            code |= bits.take(1) << (n - 1)
-            symbol = self.table.get((n, code))
-            if symbol is not None:
-                return symbol
-        raise ValueError("no such code")
+        self.depth = int(self.lengths[-1])
+
+    def table(self, shift: int = 0) -> list[int]:
+        """(symbol << shift) * 16 + length for each value of the next ``depth`` bits."""
+        if self.single:
+            return [int(self.symbols[0]) << shift + 4]
+        ahead = np.repeat((self.symbols << shift) << 4 | self.lengths, 1 << (self.depth - self.lengths))
+        return ahead[_BACK[: 1 << self.depth] >> (ALLOWED - self.depth)].tolist()
+
+    def arrays(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Code and length of each symbol."""
+        code, length = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        widths = 1 << (ALLOWED - self.lengths)
+        code[self.symbols] = _BACK[(np.cumsum(widths) - widths) & ((1 << ALLOWED) - 1)]
+        length[self.symbols] = self.lengths
+        return code, length
 
 
 class Reader:
     def __init__(self, data: bytes):
-        self.data, self.value, self.at = data, int.from_bytes(data, "little") if len(data) < 4096 else None, 0
+        self.data, self.at = data, 0
+
+    def look(self) -> int:
+        """The next 65 bits or more; zeros behind the end."""
+        k = self.at >> 3
+        return int.from_bytes(self.data[k : k + 9], "little") >> (self.at & 7)
 
     def take(self, n: int) -> int:
-        at = self.at
-        if at + n > 8 * len(self.data):
+        got = self.look() & ((1 << n) - 1)
+        self.at += n
+        if self.at > 8 * len(self.data):
             raise ValueError("the stream ends early")
-        self.at = at + n
-        if self.value is not None:
-            return (self.value >> at) & ((1 << n) - 1)
-        part = int.from_bytes(self.data[at >> 3 : (at + n + 7) >> 3], "little")
-        return (part >> (at & 7)) & ((1 << n) - 1)
+        return got
 
 
 class Writer:
     def __init__(self):
         self.value = self.n = 0
+        self.parts: list[np.ndarray] = []
 
     def put(self, value: int, n: int) -> None:
         self.value |= value << self.n
         self.n += n
 
-    def code(self, prefix: Prefix, symbol: int) -> None:
-        self.put(*prefix.codes[symbol])
-
-    def bits(self) -> np.ndarray:
+    def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        """Numbers, each in so many bits."""
         raw = self.value.to_bytes((self.n + 7) // 8, "little")
-        return np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")[: self.n]
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        step = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.parts += [np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")[: self.n], (values[of] >> step & 1).astype(np.uint8)]
+        self.value = self.n = 0
+
+    def bytes(self) -> bytes:
+        self.add(np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()
 
 
 def read_prefix(bits: Reader, size: int) -> Prefix:
@@ -135,97 +141,107 @@ def read_prefix(bits: Reader, size: int) -> Prefix:
         symbols = [bits.take(8 if bits.take(1) else 1)]
         if two:
             symbols.append(bits.take(8))
-        return Prefix({s: len(set(symbols)) - 1 for s in symbols})
-    lengths = {CODE_LENGTH_ORDER[i]: bits.take(3) for i in range(4 + bits.take(4))}
-    coder = Prefix({s: n for s, n in lengths.items() if n})
+        symbols = sorted(set(symbols))
+        return Prefix(np.array(symbols), np.ones(len(symbols), np.int64))
+    some = [(CODE_LENGTH_ORDER[i], n) for i in range(4 + bits.take(4)) if (n := bits.take(3))]
+    if not some:
+        raise ValueError("prefix code is not complete")
+    coder = Prefix(*np.array(some, np.int64).T)
     left = 2 + bits.take(2 + 2 * bits.take(3)) if bits.take(1) else size
+    table, mask = coder.table(), (1 << coder.depth) - 1
     out: list[int] = []
-    before = 8
+    before, x, have = 8, 0, 0
     while len(out) < size and left:
         left -= 1
-        s = coder.read(bits)
-        if s < 16:
-            out.append(s)
-            before = s or before
-        elif s == 16:
-            out += [before] * (3 + bits.take(2))
-        elif s == 17:
-            out += [0] * (3 + bits.take(3))
+        if have < 16:
+            x, have = bits.look(), 64
+        got = table[x & mask]
+        symbol, used = got >> 4, got & 15
+        x >>= used
+        if symbol < 16:
+            out.append(symbol)
+            before = symbol or before
+        elif symbol == 16:
+            out += [before] * (3 + (x & 3))
+            used += 2
+            x >>= 2
+        elif symbol == 17:
+            out += [0] * (3 + (x & 7))
+            used += 3
+            x >>= 3
         else:
-            out += [0] * (11 + bits.take(7))
-    if len(out) > size:
+            out += [0] * (11 + (x & 127))
+            used += 7
+            x >>= 7
+        bits.at += used
+        have -= used
+    if len(out) > size or bits.at > 8 * len(bits.data):
         raise ValueError("too many code lengths")
-    return Prefix({s: n for s, n in enumerate(out) if n})
+    lengths = np.array(out, np.int64)
+    symbols = np.flatnonzero(lengths)
+    if not len(symbols):
+        raise ValueError("prefix code is not complete")
+    return Prefix(symbols, lengths[symbols])
 
 
 def write_prefix(w: Writer, prefix: Prefix, size: int) -> None:
-    symbols = sorted(prefix.lengths)
-    if len(symbols) <= 2 and symbols[-1] < 256 and all(n <= 1 for n in prefix.lengths.values()):
+    symbols = np.sort(prefix.symbols).tolist()
+    if len(symbols) <= 2 and symbols[-1] < 256:
         w.put(1, 1)
         w.put(len(symbols) - 1, 1)
         w.put(1, 1)
         for s in symbols:
             w.put(s, 8)
         return
-    lengths = [prefix.lengths.get(s, 0) for s in range(size)]
-    while lengths[-1] == 0:
-        lengths.pop()
+    lengths = np.zeros(symbols[-1] + 1, np.int64)
+    lengths[prefix.symbols] = prefix.lengths
     runs: list[tuple[int, int, int]] = []  # symbol, extra bits, their number
-    i = 0
-    while i < len(lengths):
-        j = i
-        while j < len(lengths) and lengths[j] == lengths[i]:
-            j += 1
-        n = j - i
-        if lengths[i] == 0:
-            while n >= 11:
-                runs.append((18, min(n, 138) - 11, 7))
-                n -= min(n, 138)
-            if n >= 3:
-                runs.append((17, n - 3, 3))
-                n = 0
+    done = 0
+    own = prefix.symbols.tolist()
+    for k, length in sorted(zip(own, prefix.lengths.tolist(), strict=True)):
+        n = k - done
+        done = k + 1
+        while n >= 11:
+            runs.append((18, min(n, 138) - 11, 7))
+            n -= min(n, 138)
+        if n >= 3:
+            runs.append((17, n - 3, 3))
+        elif n > 0:
             runs += [(0, 0, 0)] * n
-        else:
-            runs.append((lengths[i], 0, 0))
-            n -= 1
-            while n >= 3:
-                runs.append((16, min(n, 6) - 3, 2))
-                n -= min(n, 6)
-            runs += [(lengths[i], 0, 0)] * n
-        i = j
-    used = sorted({s for s, _, _ in runs})
+        runs.append((length, 0, 0))
+    if len(runs) < 2 or len(lengths) == size:  # no shorter than all lengths
+        runs += [(0, 0, 0)] * (size - len(lengths))
+    names, extra, more = np.array(runs, np.int64).T
+    used = np.unique(names)
     depth = max(1, (len(used) - 1).bit_length())
     short = (1 << depth) - len(used)  # this many symbols take one bit less, in pairs of one
-    coder = Prefix({used[0]: 1} if len(used) == 1 else {s: depth - (k < short) for k, s in enumerate(used)})
+    coder = Prefix(used, np.where(np.arange(len(used)) < short, depth - 1, depth) if len(used) > 1 else np.ones(1, np.int64))
     w.put(0, 1)
-    count = max(4, max(CODE_LENGTH_ORDER.index(s) for s in used) + 1)
+    own = dict(zip(coder.symbols.tolist(), coder.lengths.tolist() if not coder.single else [1], strict=True))
+    count = max(4, max(CODE_LENGTH_ORDER.index(s) for s in own) + 1)
     w.put(count - 4, 4)
     for s in CODE_LENGTH_ORDER[:count]:
-        w.put(coder.lengths.get(s, 0), 3)
-    if len(lengths) < size and len(runs) >= 2:
+        w.put(own.get(s, 0), 3)
+    if len(runs) >= 2 and len(lengths) < size:
         w.put(1, 1)
         n = max(1, ((len(runs) - 2).bit_length() + 1) // 2)
         w.put(n - 1, 3)
         w.put(len(runs) - 2, 2 * n)
     else:
         w.put(0, 1)
-        runs += [(0, 0, 0)] * (size - len(lengths)) if len(lengths) < size else []
-        if len(lengths) < size and 0 not in coder.lengths:
-            raise ValueError("a lone run needs an end")
-    for s, extra, n in runs:
-        w.code(coder, s)
-        w.put(extra, n)
+    code, bits = coder.arrays(19)
+    w.add(code[names] | extra << bits[names], bits[names] + more)
 
 
 # ---------------------------------------------------------------- decoding
 
 
-def _stretch(symbol: int, bits: Reader) -> int:
-    """The length or distance that a prefix symbol and its extra bits stand for."""
+def _stretch(symbol: int, x: int) -> tuple[int, int]:
+    """The length or distance code of a prefix symbol and the bits that follow, and their number."""
     if symbol < 4:
-        return symbol + 1
+        return symbol + 1, 0
     n = (symbol - 2) >> 1
-    return ((2 + (symbol & 1)) << n) + bits.take(n) + 1
+    return ((2 + (symbol & 1)) << n) + (x & ((1 << n) - 1)) + 1, n
 
 
 def _distance(code: int, width: int) -> int:
@@ -239,38 +255,64 @@ def _parts(size: int, bits: int) -> int:
     return (size + (1 << bits) - 1) >> bits
 
 
-def _cache_slot(argb: int, bits: int) -> int:
-    return ((0x1E35A7BD * argb) & 0xFFFFFFFF) >> (32 - bits)
-
-
-def _uniform_pixels(bits: Reader, group: list[Prefix], n: int) -> np.ndarray | None:
-    """All pixels at once, where each code has one length and there are literals only."""
-    green, red, blue, alpha = group[:4]
-    if any(p.uniform is None for p in group[:4]) or max(green.lengths) > 255:
-        return None
-    widths = [p.uniform for p in group[:4]]
-    total = sum(widths)
-    out = np.zeros(n, np.uint32)
-    places = (8, 16, 0, 24)
-    if total:
-        if bits.at + n * total > 8 * len(bits.data):
-            raise ValueError("the stream ends early")
-        first = bits.at >> 3
-        raw = np.unpackbits(np.frombuffer(bits.data, np.uint8, count=((bits.at + n * total + 7) >> 3) - first, offset=first), bitorder="little")
-        grid = raw[bits.at & 7 : (bits.at & 7) + n * total].reshape(n, total)
-    at = 0
-    for prefix, width, place in zip(group, widths, places, strict=False):
-        if prefix.single is not None:
-            out |= np.uint32(prefix.single << place)
+def _read_green(bits: Reader, group: list[Prefix], width: int, n: int) -> np.ndarray:
+    """Pixels without a cache of which only green has a code of several symbols. One look
+    gives two literals where their codes are short enough together."""
+    depth = max(group[0].depth, 10)
+    one = np.array(group[0].table(), np.int64)
+    place = np.arange(1 << depth)
+    first = one[place & (len(one) - 1)]
+    second = one[place >> (first & 15) & (len(one) - 1)]
+    used = (first & 15) + (second & 15)
+    both = (used <= depth) & (second >> 4 < 256)
+    literal = first >> 4 < 256
+    sizes = np.where(both, used, first & 15).tolist()
+    raw = np.stack([first >> 4, second >> 4], axis=1).astype(np.uint8).tobytes()
+    counts = np.where(literal, 1 + both, 0).tolist()
+    pieces = [raw[k : k + c] for k, c in zip(range(0, len(raw), 2), counts, strict=True)]
+    one, single = one.tolist(), len(one) - 1
+    far, f = group[4].table(), (1 << group[4].depth) - 1
+    mask, data, fetch = (1 << depth) - 1, bits.data, int.from_bytes
+    out = bytearray()
+    at = bits.at >> 3
+    x = fetch(data[at : at + 16], "little") >> (bits.at & 7)
+    at += 16
+    have = 128 - (bits.at & 7)
+    while len(out) < n:
+        if have < 64:
+            x |= fetch(data[at : at + 16], "little") << have
+            at += 16
+            have += 128
+        k = x & mask
+        piece = pieces[k]
+        if piece:
+            out += piece
+            k = sizes[k]
+            x >>= k
+            have -= k
             continue
-        lut = np.zeros(1 << width, np.uint32)
-        for symbol, (code, _) in prefix.codes.items():
-            lut[code] = symbol << place
-        padded = np.packbits(grid[:, at : at + width], axis=1, bitorder="little")[:, 0] if width <= 8 else None
-        out |= lut[padded if padded is not None else grid[:, at : at + width] @ (1 << np.arange(width))]
-        at += width
-    bits.at += n * total
-    return out
+        got = one[x & single]
+        k = got & 15
+        x >>= k
+        length, used = _stretch((got >> 4) - 256, x)
+        x >>= used
+        got = far[x & f]
+        x >>= got & 15
+        code, more = _stretch(got >> 4, x)
+        x >>= more
+        have -= k + used + (got & 15) + more
+        back = _distance(code, width)
+        if back > len(out) or len(out) + length > n:
+            raise ValueError("a reference leaves the image")
+        piece = out[len(out) - back : len(out) - back + length]
+        out += piece if back >= length else (piece * (length // back + 1))[:length]
+    if len(out) > n:  # the second literal stands behind the image
+        have += int(group[0].lengths[group[0].symbols == out[n]][0])
+    bits.at = 8 * at - have
+    if bits.at > 8 * len(data):
+        raise ValueError("the stream ends early")
+    red, blue, alpha = (int(p.symbols[0]) for p in group[1:4])
+    return np.frombuffer(bytes(out[:n]), np.uint8).astype(np.uint32) << np.uint32(8) | np.uint32(alpha << 24 | red << 16 | blue)
 
 
 def _read_image(bits: Reader, width: int, height: int, main: bool) -> np.ndarray:
@@ -278,7 +320,7 @@ def _read_image(bits: Reader, width: int, height: int, main: bool) -> np.ndarray
     cache_bits = bits.take(4) if bits.take(1) else 0
     if cache_bits > 11:
         raise ValueError("colour cache of too many bits")
-    cache = [0] * (1 << cache_bits) if cache_bits else []
+    cache, shift = [0] * (1 << cache_bits) if cache_bits else [], 32 - cache_bits
     entropy, tile = None, 0
     if main and bits.take(1):
         tile = bits.take(3) + 2
@@ -287,34 +329,73 @@ def _read_image(bits: Reader, width: int, height: int, main: bool) -> np.ndarray
     sizes = (256 + 24 + len(cache), 256, 256, 256, 40)
     groups = [[read_prefix(bits, s) for s in sizes] for _ in range(max(entropy) + 1 if entropy else 1)]
     n = width * height
-    if not cache and len(groups) == 1:
-        fast = _uniform_pixels(bits, groups[0], n)
-        if fast is not None:
-            return fast
-    out = [0] * n
+    if not cache and len(groups) == 1 and all(p.single for p in groups[0][1:4]):
+        return _read_green(bits, groups[0], width, n)
     across = _parts(width, tile) if entropy else 0
+    # Symbols stand where their channel stands in a pixel, but green ones, which are compared.
+    look = [[(p.table(place), (1 << p.depth) - 1) for p, place in zip(g, (0, 16, 0, 24, 0), strict=True)] for g in groups]
+    (green, g), (red, r), (blue, b), (alpha, a), (far, f) = look[0]
+    opaque = alpha[0] >> 4 if not a else None
+    data, end, fetch = bits.data, 8 * len(bits.data), int.from_bytes
+    out: list[int] = []
+    add = out.append
     i = kept = 0
+    at = bits.at >> 3
+    x = fetch(data[at : at + 16], "little") >> (bits.at & 7)
+    at += 16
+    have = 128 - (bits.at & 7)
     while i < n:
-        group = groups[entropy[(i // width >> tile) * across + (i % width >> tile)]] if entropy else groups[0]
-        s = group[0].read(bits)
-        if s < 256:
-            red, blue, alpha = group[1].read(bits), group[2].read(bits), group[3].read(bits)
-            out[i] = alpha << 24 | red << 16 | s << 8 | blue
+        if have < 64:
+            x |= fetch(data[at : at + 16], "little") << have
+            at += 16
+            have += 128
+        if entropy:
+            (green, g), (red, r), (blue, b), (alpha, a), (far, f) = look[entropy[(i // width >> tile) * across + (i % width >> tile)]]
+            opaque = alpha[0] >> 4 if not a else None
+        got = green[x & g]
+        used = got & 15
+        x >>= used
+        have -= used
+        got >>= 4
+        if got < 256:
+            got_red = red[x & r]
+            used = got_red & 15
+            x >>= used
+            got_blue = blue[x & b]
+            last = got_blue & 15
+            x >>= last
+            have -= used + last
+            if opaque is None:
+                got_alpha = alpha[x & a]
+                x >>= got_alpha & 15
+                have -= got_alpha & 15
+                add(got_alpha >> 4 | got_red >> 4 | got << 8 | got_blue >> 4)
+            else:
+                add(opaque | got_red >> 4 | got << 8 | got_blue >> 4)
             i += 1
-        elif s < 280:
-            length = _stretch(s - 256, bits)
-            back = _distance(_stretch(group[4].read(bits), bits), width)
+        elif got < 280:
+            length, used = _stretch(got - 256, x)
+            x >>= used
+            got = far[x & f]
+            x >>= got & 15
+            code, more = _stretch(got >> 4, x)
+            x >>= more
+            have -= used + (got & 15) + more
+            back = _distance(code, width)
             if back > i or i + length > n:
                 raise ValueError("a reference leaves the image")
-            for _ in range(length):
-                out[i] = out[i - back]
-                i += 1
+            piece = out[i - back : i - back + length]
+            out += piece if back >= length else (piece * (length // back + 1))[:length]
+            i += length
         else:
-            for k in range(kept, i):
-                cache[_cache_slot(out[k], cache_bits)] = out[k]
+            for v in out[kept:]:
+                cache[(0x1E35A7BD * v & 0xFFFFFFFF) >> shift] = v
             kept = i
-            out[i] = cache[s - 280]
+            add(cache[got - 280])
             i += 1
+    bits.at = 8 * at - have
+    if bits.at > end:
+        raise ValueError("the stream ends early")
     return np.array(out, np.uint32)
 
 
@@ -365,45 +446,89 @@ def _predict(mode: int, left, top, left_top, right_top):
     raise ValueError(f"no predictor {mode}")
 
 
-def _predictions(image: list, modes: list, tile: int, width: int, residual=None) -> None:
-    """Undo the predictor in place, or with ``residual`` fill it with what remains."""
-    across = _parts(width, tile)
-    for y in range(len(image) // width):
-        for x in range(width):
-            i = y * width + x
-            if not i:
-                guess = [255, 0, 0, 0]
-            elif not y:
-                guess = image[i - 1]
-            elif not x:
-                guess = image[i - width]
-            else:
-                mode = modes[(y >> tile) * across + (x >> tile)]
-                # The pixel right above the last of a row is the first of its own row.
-                guess = _predict(mode, image[i - 1], image[i - width], image[i - width - 1], image[i - width + 1])
-            if residual is None:
-                image[i] = [(a + b) & 255 for a, b in zip(image[i], guess, strict=True)]
+def _edges(modes: np.ndarray, tile: int, width: int, height: int) -> np.ndarray:
+    """The mode of each pixel; the first row looks left and the first column up."""
+    grid = np.repeat(np.repeat(modes.reshape(_parts(height, tile), -1), 1 << tile, axis=0), 1 << tile, axis=1)[:height, :width].copy()
+    grid[0, :], grid[:, 0] = 1, 2
+    return grid
+
+
+def _restore(rest: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """Undo the predictor: rests (height, width, 4) and modes to channels."""
+    height, width, _ = rest.shape
+    out = np.zeros((height, width, 4), np.int32)
+    out[0] = np.cumsum(np.vstack([rest[:1, 0] + np.array([[255, 0, 0, 0]]), rest[0, 1:]]), axis=0) & 255
+    for y in range(1, height):
+        edges = [0, *(np.flatnonzero(np.diff(grid[y])) + 1).tolist(), width]
+        # The pixel right above the last of a row is the first of its own row.
+        out[y, 0] = (rest[y, 0] + out[y - 1, 0]) & 255
+        above = np.vstack([out[y - 1], out[y, :1]])
+        for x0, x1 in zip(edges, edges[1:], strict=False):
+            mode = int(grid[y, x0])
+            x0 = max(x0, 1)
+            if x0 >= x1:
+                continue
+            if mode == 1:
+                out[y, x0:x1] = np.cumsum(np.vstack([out[y, x0 - 1 : x0], rest[y, x0:x1]]), axis=0)[1:] & 255
+            elif mode in (0, 2, 3, 4, 8, 9):
+                guess = _predict(mode, None, *([c[..., k] for k in range(4)] for c in (above[x0:x1], above[x0 - 1 : x1 - 1], above[x0 + 1 : x1 + 1])))
+                out[y, x0:x1] = (rest[y, x0:x1] + np.stack(np.broadcast_arrays(*guess), axis=-1)) & 255
             else:
-                residual[i] = [(a - b) & 255 for a, b in zip(image[i], guess, strict=True)]
+                left, row, up = out[y, x0 - 1].tolist(), rest[y, x0:x1].tolist(), above[x0 - 1 : x1 + 1].tolist()
+                for k, item in enumerate(row):
+                    left = row[k] = [(a + b) & 255 for a, b in zip(item, _predict(mode, left, up[k + 1], up[k], up[k + 2]), strict=True)]
+                out[y, x0:x1] = row
+    return out
 
 
-def _signed(a):
-    return (a & 255) - ((a & 128) << 1)
+def _guess(image: np.ndarray, mode: int) -> np.ndarray:
+    """What a mode predicts for each pixel of a known image (height, width, 4)."""
+    height, width, _ = image.shape
+    c = np.zeros((height + 1, width + 2, 4), np.int32)
+    c[1:, 1:-1] = image
+    c[:-1, -1] = image[:, 0]
+    left, top, left_top, right_top = ([x[..., k] for k in range(4)] for x in (c[1:, :-2], c[:-1, 1:-1], c[:-1, :-2], c[:-1, 2:]))
+    if mode == 11:
+        far_left = sum(abs(t - x) for t, x in zip(top, left_top, strict=True))
+        far_top = sum(abs(t - x) for t, x in zip(left, left_top, strict=True))
+        guess = [np.where(far_left < far_top, a, b) for a, b in zip(left, top, strict=True)]
+    elif mode == 12:
+        guess = [np.clip(a + b - x, 0, 255) for a, b, x in zip(left, top, left_top, strict=True)]
+    elif mode == 13:
+        halves = [((a + b) >> 1, x) for a, b, x in zip(left, top, left_top, strict=True)]
+        guess = [np.clip(m + (m - x + (m < x)) // 2, 0, 255) for m, x in halves]
+    else:
+        guess = _predict(mode, left, top, left_top, right_top)
+    return np.stack(np.broadcast_arrays(*guess, left[0])[:4], axis=-1)
 
 
-def _cross(c: np.ndarray, parts: np.ndarray, tile: int, sign: int) -> np.ndarray:
-    """Add (or take away) the cross-colour deltas: c is (height, width, 4)."""
-    h, w, _ = c.shape
-    k = np.repeat(np.repeat(parts, 1 << tile, axis=0), 1 << tile, axis=1)[:h, :w]
-    green_to_red, green_to_blue, red_to_blue = (_signed(k[..., j]) for j in (3, 2, 1))
-    delta = lambda t, colour: (t * _signed(colour)) >> 5
-    out = c.copy()
-    out[..., 1] = (c[..., 1] + sign * delta(green_to_red, c[..., 2])) & 255
-    red = out[..., 1] if sign > 0 else c[..., 1]
-    out[..., 3] = (c[..., 3] + sign * (delta(green_to_blue, c[..., 2]) + delta(red_to_blue, red))) & 255
+def _rests(image: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """What the modes of ``grid`` leave of an image."""
+    out = np.zeros_like(image)
+    for mode in np.unique(grid).tolist():
+        at = grid == mode
+        out[at] = (image - _guess(image, mode))[at] & 255
+    out[0, 0] = (image[0, 0] - np.array([255, 0, 0, 0])) & 255
     return out
 
 
+def _cross(argb: np.ndarray, width: int, parts: np.ndarray, tile: int, sign: int) -> np.ndarray:
+    """Add (or take away) the cross-colour deltas of the tiles' numbers ``parts``."""
+    if (parts == parts.flat[0]).all():
+        k = parts.flat[0]
+    else:
+        grid = np.repeat(np.repeat(parts.reshape(-1, _parts(width, tile)), 1 << tile, axis=0), 1 << tile, axis=1)
+        k = grid[: len(argb) // width, :width].ravel()
+    # Bytes are signed numbers here.
+    green_to_red, green_to_blue, red_to_blue = (np.asarray(k >> np.uint32(s)).astype(np.int8).astype(np.int16) for s in (0, 8, 16))
+    red, green, blue = ((argb >> np.uint32(s)).astype(np.int8).astype(np.int16) for s in (16, 8, 0))
+    new = red + sign * (green_to_red * green >> 5)
+    known = (new if sign > 0 else red).astype(np.int8).astype(np.int16)
+    blue = blue + sign * ((green_to_blue * green >> 5) + (red_to_blue * known >> 5))
+    rest = argb & np.uint32(0xFF00FF00)
+    return rest | (new & 255).astype(np.uint32) << np.uint32(16) | (blue & 255).astype(np.uint32)
+
+
 def _index_bits(colours: int) -> int:
     return 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
 
@@ -457,85 +582,163 @@ def decode(data: bytes) -> np.ndarray:
             palette[: len(extra)] = extra
             out = palette[index]
         elif kind == CROSS_COLOUR:
-            parts = _channels(extra).reshape(_parts(height, tile), -1, 4)
-            out = _argb(_cross(_channels(out).reshape(height, w, 4), parts, tile, 1)).ravel()
+            out = _cross(out, w, extra, tile, 1)
         else:
-            image = _channels(out).tolist()
-            _predictions(image, ((extra >> 8) & 15).tolist(), tile, w)
-            out = _argb(np.array(image, np.int32).reshape(-1, 4))
+            modes = ((extra >> 8) & 15).astype(np.int64)
+            out = _argb(_restore(_channels(out).reshape(height, w, 4), _edges(modes, tile, w, height))).ravel()
     return out.reshape(height, width)
 
 
 # ---------------------------------------------------------------- encoding
 
 
-def _fixed(symbols: np.ndarray | list[int]) -> Prefix:
-    """A code of one length for the given symbols, filled up with unused ones."""
-    used = sorted({int(s) for s in symbols})
-    if len(used) == 1:
-        return Prefix({used[0]: 0})
-    n = (len(used) - 1).bit_length()
-    rest = (s for s in range(256) if s not in set(used))
-    while len(used) < 1 << n:
-        used.append(next(rest))
-    return Prefix(dict.fromkeys(used, n))
-
-
-def _pack(pixels: np.ndarray, group: list[Prefix]) -> np.ndarray:
-    """Bits of literal pixels by codes of one length each."""
-    parts = []
-    for prefix, place in zip(group, (8, 16, 0, 24), strict=False):
-        if prefix.single is None:
-            n = prefix.uniform
-            lut = np.zeros(256, np.uint8)
-            for s, (code, _) in prefix.codes.items():
-                lut[s] = code
-            parts.append(np.unpackbits(lut[(pixels >> place) & 255][:, None], axis=1, bitorder="little", count=n))
-    return np.hstack(parts).ravel() if parts else np.zeros(0, np.uint8)
-
-
-def _small_image(w: Writer, pixels: list[int]) -> None:
-    """A sub-image without cache, by literals."""
-    w.put(0, 1)
-    flat = np.array(pixels, np.uint32)
-    group = [_fixed((flat >> s) & 255) for s in (8, 16, 0, 24)] + [_fixed([0])]
-    for p, size in zip(group, (280, 256, 256, 256, 40), strict=True):
-        write_prefix(w, p, size)
-    for b in _pack(flat, group):
-        w.put(int(b), 1)
+def huffman(counts: np.ndarray) -> Prefix:
+    """The shortest code for symbols that occur; weights are evened until it is short enough."""
+    used = np.flatnonzero(counts)
+    if len(used) < 2:
+        only = int(used[0]) if len(used) else 0
+        return Prefix(np.array([only]), np.zeros(1, np.int64)) if only < 256 else Prefix(np.array([0, only]), np.ones(2, np.int64))
+    weights, n = counts[used], len(used)
+    while True:
+        order = np.argsort(weights, kind="stable")
+        # Leaves by weight, then joined nodes, which come by weight too.
+        heavy = weights[order].tolist()
+        heavy += [heavy[-1] + heavy[-2] + sum(heavy)] * n
+        parents, i, j = [0] * (2 * n), 0, n
+        for node in range(n, 2 * n - 1):
+            if i < n and (j >= node or heavy[i] <= heavy[j]):
+                a, i = i, i + 1
+            else:
+                a, j = j, j + 1
+            if i < n and (j >= node or heavy[i] <= heavy[j]):
+                b, i = i, i + 1
+            else:
+                b, j = j, j + 1
+            heavy[node] = heavy[a] + heavy[b]
+            parents[a] = parents[b] = node
+        depth = [0] * (2 * n - 1)
+        for node in range(2 * n - 3, -1, -1):
+            depth[node] = depth[parents[node]] + 1
+        if max(depth) <= LONGEST:
+            return Prefix(used[order], np.array(depth[:n], np.int64))
+        weights = (weights + 1) // 2
+
+
+def _slots(flat: np.ndarray, cache_bits: int) -> np.ndarray:
+    return (flat * np.uint32(0x1E35A7BD)) >> np.uint32(32 - cache_bits)
+
+
+def _last(keys: np.ndarray) -> np.ndarray:
+    """The last place before of each key, or -1."""
+    order = np.argsort(keys, kind="stable")
+    out = np.full(len(keys), -1, np.int64)
+    same = np.flatnonzero(keys[order[1:]] == keys[order[:-1]])
+    out[order[same + 1]] = order[same]
+    return out
 
 
-def _emit(w: Writer, symbol_value: int, prefix: Prefix, base: int) -> None:
-    """A length or distance by its symbol and extra bits."""
-    s, extra, n = _symbol_of(symbol_value)
-    w.code(prefix, base + s)
-    w.put(extra, n)
+def _hits(flat: np.ndarray, cache_bits: int) -> np.ndarray:
+    """Whether the cache holds each pixel when it comes: the last of its slot is equal."""
+    last = _last(_slots(flat, cache_bits))
+    return (last >= 0) & (flat[last] == flat)
+
+
+def _copies(flat: np.ndarray, least: int = 10) -> list[tuple[int, int, int]]:
+    """(start, length, distance) of references; shorter ones cost more time than they save."""
+    n = len(flat)
+    if n < 8:
+        return []
+    mixed = flat ^ flat >> np.uint32(15)
+    keys = ((mixed[:-3] * np.uint32(0x9E3779B1) ^ mixed[1:-2]) * np.uint32(0x85EBCA6B) ^ mixed[2:-1]) * np.uint32(0xC2B2AE35) ^ mixed[3:]
+    last = _last(keys)
+    at = np.flatnonzero(last >= 0)
+    from_ = last[at]
+    alike = (flat[at] == flat[from_]) & (flat[at + 1] == flat[from_ + 1]) & (flat[at + 2] == flat[from_ + 2]) & (flat[at + 3] == flat[from_ + 3])
+    back = np.zeros(n - 3, np.int64)
+    back[at[alike]] = (at - from_)[alike]
+    edges = np.append(np.flatnonzero(np.diff(back, prepend=0)), n - 3)
+    run = (back[edges[:-1]] > 0) & (np.diff(edges) >= least - 3) if len(edges) > 1 else np.zeros(0, bool)
+    out, free = [], 0
+    for begin, end, distance in zip(edges[:-1][run].tolist(), edges[1:][run].tolist(), back[edges[:-1][run]].tolist(), strict=True):
+        begin = max(begin, free)
+        while begin < end:
+            length = min(end - begin + 3, 4096)
+            out.append((begin, length, distance))
+            free = begin = begin + length
+    return out
 
 
-def _symbol_of(value: int) -> tuple[int, int, int]:
-    v = value - 1
-    if v < 4:
-        return v, 0, 0
-    top = v.bit_length() - 1
-    second = (v >> (top - 1)) & 1
-    return 2 * top + second, v & ((1 << (top - 1)) - 1), top - 1
+def _symbols(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbol, extra bits and their number of lengths or distance codes."""
+    v = values - 1
+    top = np.frexp(np.maximum(v, 1).astype(float))[1].astype(np.int64) - 1
+    small = v < 4
+    n = np.where(small, 0, top - 1)
+    return np.where(small, v, 2 * top + ((v >> n) & 1)), np.where(small, 0, v & ((1 << n) - 1)), n
+
+
+def _write_image(w: Writer, flat: np.ndarray, width: int, cache_bits: int = 0, references: bool = False, main: bool = False) -> None:
+    """Entropy-coded pixels: literals, cache hits and references by Huffman codes."""
+    n = len(flat)
+    copies = np.array(_copies(flat) if references else [], np.int64).reshape(-1, 3)
+    single = np.ones(n + 1, np.int64)
+    single[-1] = 0
+    cover = np.zeros(n + 1, np.int64)
+    np.add.at(cover, copies[:, 0], 1)
+    np.add.at(cover, copies[:, 0] + copies[:, 1], -1)
+    single = np.flatnonzero((np.cumsum(cover)[:n] == 0))
+    pixels = flat[single]
+    hit = _hits(flat, cache_bits)[single] if cache_bits else np.zeros(len(single), bool)
+    # One row per token: symbols by code, then extra bits and their numbers.
+    place = np.argsort(np.concatenate([single, copies[:, 0]]), kind="stable")
+    length, more, more_n = _symbols(copies[:, 1])
+    near = _near_codes(width)
+    codes = np.array([near.get(d, d + len(NEAR)) for d in copies[:, 2].tolist()], np.int64)
+    distance, far, far_n = _symbols(codes)
+    green = np.where(hit, 280 + (_slots(pixels, cache_bits).astype(np.int64) if cache_bits else 0), (pixels >> 8) & 255)
+    literal = ~hit
+    sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
+    symbols = [np.concatenate([green, 256 + length]).astype(np.int64), *[((pixels >> s) & 255)[literal].astype(np.int64) for s in (16, 0, 24)], distance]
+    group = [huffman(np.bincount(x, minlength=size)) for x, size in zip(symbols, sizes, strict=True)]
+    w.put(1 if cache_bits else 0, 1)
+    if cache_bits:
+        w.put(cache_bits, 4)
+    if main:
+        w.put(0, 1)  # one group of codes
+    for p, size in zip(group, sizes, strict=True):
+        write_prefix(w, p, size)
+    k, rows = len(single), len(single) + len(copies)
+    value, bits = np.zeros((rows, 4), np.int64), np.zeros((rows, 4), np.int64)
+    tables = [p.arrays(size) for p, size in zip(group, sizes, strict=True)]
+    value[:, 0], bits[:, 0] = tables[0][0][symbols[0]], tables[0][1][symbols[0]]
+    lit = np.flatnonzero(literal)
+    for c in (1, 2, 3):
+        value[lit, c], bits[lit, c] = tables[c][0][symbols[c]], tables[c][1][symbols[c]]
+    value[k:, 1], bits[k:, 1] = more, more_n
+    value[k:, 2], bits[k:, 2] = tables[4][0][distance], tables[4][1][distance]
+    value[k:, 3], bits[k:, 3] = far, far_n
+    value, bits = value[place].ravel(), bits[place].ravel()
+    w.add(value, bits)
 
 
-def _varied(symbols: list[int]) -> Prefix:
-    """A code of two lengths (shorter for the first symbols) over those that occur."""
-    used = sorted(set(symbols), key=lambda s: (-symbols.count(s), s))
-    if len(used) == 1:
-        return Prefix({used[0]: 0}) if used[0] < 256 else Prefix({used[0]: 1, 0: 1})
-    n = (len(used) - 1).bit_length()
-    short = (1 << n) - len(used)
-    return Prefix({s: n - (k < short) for k, s in enumerate(used)})
+_NEAR_CODES: dict[int, dict[int, int]] = {}
 
 
-def encode(argb: np.ndarray, transforms=(), cache_bits: int = 0, references: bool = False, tile: int = 2, mode: int = 11) -> bytes:
+def _near_codes(width: int) -> dict[int, int]:
+    """Distance to its code in the two-dimensional map, the first one."""
+    if width not in _NEAR_CODES:
+        if len(_NEAR_CODES) > 64:
+            _NEAR_CODES.clear()
+        _NEAR_CODES[width] = {_distance(c, width): c for c in range(len(NEAR), 0, -1)}
+    return _NEAR_CODES[width]
+
+
+def encode(argb: np.ndarray, transforms=(), cache_bits: int = 0, references: bool = False, tile: int = 2, mode: int = 11, modes=None, cross: int = 0xFFFF05) -> bytes:
     """An array of ARGB numbers (height, width) to one file, without loss.
 
-    ``transforms`` are applied in order; the default writes literals by codes of one
-    length, all others and ``cache_bits`` or ``references`` are for small images."""
+    ``transforms`` are applied in order. The predictor's ``modes`` by tile, or else modes
+    from ``mode`` on in turn; ``cross`` has red-to-blue, green-to-blue, green-to-red as
+    bytes of one number."""
     height, width = argb.shape
     head = Writer()
     head.put(width - 1, 14)
@@ -556,8 +759,7 @@ def encode(argb: np.ndarray, transforms=(), cache_bits: int = 0, references: boo
             if len(palette) > 256:
                 raise ValueError("more than 256 colours")
             head.put(len(palette) - 1, 8)
-            steps_ = np.diff(_channels(palette), axis=0, prepend=np.zeros((1, 4), np.int32))
-            _small_image(head, _argb(steps_).tolist())
+            _write_image(head, _argb(np.diff(_channels(palette), axis=0, prepend=np.zeros((1, 4), np.int32))), len(palette))
             index, bits = np.searchsorted(palette, flat).reshape(height, w), _index_bits(len(palette))
             new = _parts(w, bits)
             padded = np.zeros((height, new << bits), np.uint32)
@@ -566,87 +768,82 @@ def encode(argb: np.ndarray, transforms=(), cache_bits: int = 0, references: boo
             flat, w = (packed.astype(np.uint32) << 8 | 0xFF000000).astype(np.uint32).ravel(), new
         elif kind == CROSS_COLOUR:
             head.put(tile - 2, 3)
-            shape = (_parts(height, tile), _parts(w, tile))
-            parts = np.tile(np.array([255, 5, 250, 17], np.int32), (*shape, 1))
-            _small_image(head, _argb(parts).ravel().tolist())
-            flat = _argb(_cross(_channels(flat).reshape(height, w, 4), parts, tile, -1)).ravel()
+            parts = np.full(_parts(height, tile) * _parts(w, tile), 0xFF000000 | cross, np.uint32)
+            _write_image(head, parts, _parts(w, tile))
+            flat = _cross(flat, w, parts, tile, -1)
         else:
             head.put(tile - 2, 3)
             n = _parts(height, tile) * _parts(w, tile)
-            modes = [(mode + k) % 14 for k in range(n)]
-            _small_image(head, [0xFF000000 | m << 8 for m in modes])
-            image = _channels(flat).tolist()
-            left = [None] * len(image)
-            _predictions(image, modes, tile, w, left)
-            flat = _argb(np.array(left, np.int32).reshape(-1, 4))
+            chosen = np.array([(mode + k) % 14 for k in range(n)] if modes is None else modes, np.uint32)
+            _write_image(head, chosen << 8 | np.uint32(0xFF000000), _parts(w, tile))
+            flat = _argb(_rests(_channels(flat).reshape(height, w, 4), _edges(chosen.astype(np.int64), tile, w, height))).ravel()
     head.put(0, 1)
-    if cache_bits or references:
-        body = _tokens(head, flat.tolist(), w, cache_bits, references)
-    else:
-        head.put(0, 1)  # no colour cache
-        head.put(0, 1)  # one group of codes
-        group = [_fixed(np.flatnonzero(np.bincount((flat >> s) & 255, minlength=256))) for s in (8, 16, 0, 24)] + [_fixed([0])]
-        for p, size in zip(group, (280, 256, 256, 256, 40), strict=True):
-            write_prefix(head, p, size)
-        body = _pack(flat, group)
-    bits = np.concatenate([head.bits(), body])
-    stream = b"\x2f" + np.packbits(bits, bitorder="little").tobytes()
+    _write_image(head, flat, w, cache_bits, references, True)
+    stream = b"\x2f" + head.bytes()
     pad = b"\0" * (len(stream) & 1)
     return b"RIFF" + struct.pack("<I", 12 + len(stream) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(stream)) + stream + pad
 
 
-def _tokens(head: Writer, flat: list[int], width: int, cache_bits: int, references: bool) -> np.ndarray:
-    """Cache hits and references to the pixel before or above, by codes of two lengths."""
-    cache = [0] * (1 << cache_bits) if cache_bits else []
-    tokens: list[tuple] = []
-    i = 0
-    while i < len(flat):
-        best = (0, 0)
-        for back, code in ((1, 2), (width, 1), (width + 7, 120 + width + 7)) if references else ():
-            n = 0
-            while back <= i and i + n < len(flat) and flat[i + n] == flat[i + n - back] and n < 4000:
-                n += 1
-            best = max(best, (n, code))
-        if best[0] >= 3:
-            tokens.append(("copy", *best))
-            n = best[0]
-        elif cache and cache[_cache_slot(flat[i], cache_bits)] == flat[i]:
-            tokens.append(("cache", _cache_slot(flat[i], cache_bits)))
-            n = 1
-        else:
-            tokens.append(("pixel", flat[i]))
-            n = 1
-        for k in range(i, i + n) if cache else ():
-            cache[_cache_slot(flat[k], cache_bits)] = flat[k]
-        i += n
-    symbols: list[list[int]] = [[], [], [], [], []]
-    for t in tokens:
-        if t[0] == "pixel":
-            for k, s in enumerate((8, 16, 0, 24)):
-                symbols[k].append(t[1] >> s & 255)
-        elif t[0] == "copy":
-            symbols[0].append(256 + _symbol_of(t[1])[0])
-            symbols[4].append(_symbol_of(t[2])[0])
-        else:
-            symbols[0].append(280 + t[1])
-    head.put(1 if cache_bits else 0, 1)
-    if cache_bits:
-        head.put(cache_bits, 4)
-    head.put(0, 1)
-    group = [_varied(s or [0]) for s in symbols]
-    for p, size in zip(group, (280 + len(cache), 256, 256, 256, 40), strict=True):
-        write_prefix(head, p, size)
-    w = Writer()
-    for t in tokens:
-        if t[0] == "pixel":
-            for k, s in enumerate((8, 16, 0, 24)):
-                w.code(group[k], t[1] >> s & 255)
-        elif t[0] == "copy":
-            _emit(w, t[1], group[0], 256)
-            _emit(w, t[2], group[4], 0)
-        else:
-            w.code(group[0], 280 + t[1])
-    return w.bits()
+def _entropies(*values: np.ndarray) -> list[float]:
+    """For each array of bytes the bits that a value takes on average."""
+    k = np.repeat(np.arange(len(values)) * 256, [len(v) for v in values])
+    counts = np.bincount(np.concatenate(values) + k, minlength=256 * len(values)).reshape(-1, 256)
+    sizes = np.maximum(counts.sum(axis=1), 1)
+    return (np.log2(sizes) - (counts * np.log2(np.maximum(counts, 1))).sum(axis=1) / sizes).tolist()
+
+
+#: Bits of the cache, of a palette's colour and of a tile of transform data, and the tile,
+#: by which plans are compared.
+CACHE_BITS, COLOUR_COST, TILE_COST, TILE = 8, 20, 6, 5
+#: Predictor modes that a tile may have.
+MODES = (1, 2, 7, 11, 12)
+#: Cross-colour deltas that take green from red and blue as it is.
+GREY = 0x002020
+
+
+def plan(grey: np.ndarray) -> dict:
+    """Transforms and cache that promise the fewest bits for samples (height, width) as a
+    grey image, as arguments of ``encode``."""
+    height, width = grey.shape
+    flat = grey.ravel().astype(np.int64)
+    n, counts = grey.size, np.bincount(flat, minlength=256)
+    up = width if height > 1 else n
+    own, left, top = _entropies(flat, (flat[1:] - flat[:-1]) & 255, (flat[up:] - flat[:-up]) & 255)
+    colours = int((counts > 0).sum())
+    packed = _index_bits(colours)
+    costs = {
+        # Red and blue vanish; the deltas are one small image.
+        "cross": n * own + 4 * TILE_COST,
+        # Few colours share a pixel, and runs of them a symbol.
+        "palette": n * own * (0.9 if packed else 1) + colours * COLOUR_COST,
+        # A colour's first pixel takes three symbols, all others a hit.
+        "cache": n * own + colours * 8,
+        "predictor": n * min(left, top if height > 1 else left) + (_parts(height, TILE) * _parts(width, TILE) + 4) * TILE_COST,
+    }
+    best = min(costs, key=costs.get)
+    out = {"references": True, "tile": TILE}
+    if best == "palette":
+        return out | {"transforms": (COLOUR_INDEXING,)}
+    if best == "cache":
+        return out | {"cache_bits": CACHE_BITS}
+    if best == "predictor":
+        return out | {"transforms": (PREDICTOR, CROSS_COLOUR), "modes": _modes(_grey(grey)), "cross": GREY}
+    return out | {"transforms": (CROSS_COLOUR,), "cross": GREY}
+
+
+def _grey(samples: np.ndarray) -> np.ndarray:
+    return samples.astype(np.uint32) * np.uint32(0x010101) | np.uint32(0xFF000000)
+
+
+def _modes(argb: np.ndarray) -> np.ndarray:
+    """For each tile the predictor mode that leaves the smallest rests."""
+    height, width = argb.shape
+    image, costs = _channels(argb), []
+    for mode in MODES:
+        rest = abs(((image - _guess(image, mode) + 128) & 255) - 128).sum(axis=-1)
+        padded = np.pad(rest, ((0, -height % (1 << TILE)), (0, -width % (1 << TILE))))
+        costs.append(padded.reshape(_parts(height, TILE), 1 << TILE, -1, 1 << TILE).sum(axis=(1, 3)))
+    return np.array(MODES)[np.argmin(costs, axis=0)].ravel()
 
 
 # ---------------------------------------------------------------- media columns
@@ -655,7 +852,8 @@ def _tokens(head: Writer, flat: list[int], width: int, cache_bits: int, referenc
 def store(payload: bytes, row: int = ROW) -> bytes:
     """Bytes (whole rows) as grey samples of one or more files."""
     samples = np.frombuffer(payload, np.uint8).reshape(-1, row)
-    return b"".join(encode(samples[k : k + MAX_ROWS].astype(np.uint32) << 8 | np.uint32(0xFF000000)) for k in range(0, len(samples), MAX_ROWS))
+    files = (samples[k : k + MAX_ROWS] for k in range(0, len(samples), MAX_ROWS))
+    return b"".join(encode(_grey(x), **plan(x)) for x in files)
 
 
 def load(stored: bytes) -> np.ndarray:
@@ -663,7 +861,7 @@ def load(stored: bytes) -> np.ndarray:
     out, at = [], 0
     while at < len(stored):
         n = 8 + struct.unpack_from("<I", stored, at + 4)[0]
-        out.append(((decode(stored[at : at + n]) >> 8) & 255).astype(np.uint8))
+        out.append(((decode(stored[at : at + n]) >> np.uint32(8)) & np.uint32(255)).astype(np.uint8))
         at += n
     return np.vstack(out)
 
@@ -698,7 +896,9 @@ def media_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     def run(batches):
         for batch in batches:
-            rows = [media_row(t) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            known = {t: media_row(t) for t in dict.fromkeys(texts)}
+            rows = [known[t] for t in texts]
             columns = [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in names[1:]]
             types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)

@@ -1,4 +1,6 @@
+import hashlib
 import itertools
+import zlib
 
 import numpy as np
 import pytest
@@ -27,6 +29,53 @@ def test_each_predictor(mode):
     assert np.array_equal(webp.decode(webp.encode(image, (webp.PREDICTOR,), tile=3, mode=mode)), image)
 
 
+def seen(monkeypatch):
+    """Counts what decoding runs: transforms by kind, references, cache hits, plans."""
+    from collections import Counter
+
+    found = Counter()
+    for name in ("_cross", "_restore", "_distance", "_read_green"):
+        def run(*a, _f=getattr(webp, name), _n=name, **k):
+            found[_n] += 1
+            return _f(*a, **k)
+
+        monkeypatch.setattr(webp, name, run)
+    plan = webp.plan
+
+    def planned(x):
+        out = plan(x)
+        found.update(out.get("transforms", ()))
+        found["cache"] += "cache_bits" in out
+        return out
+
+    monkeypatch.setattr(webp, "plan", planned)
+    return found
+
+
+def test_stored_texts_use_every_part_of_the_format(monkeypatch):
+    """Prose, few letters, ramps: references, palette, predictor, cross-colour and prefix codes
+    of several lengths are read back by the query's own path, and a cache where it is planned."""
+    found = seen(monkeypatch)
+    draw = np.random.default_rng(3)
+    prose = " ".join("the of and to in is was heart liver kidney".split()[k] for k in draw.integers(0, 10, 900))
+    ramp = bytes((i * 3 + i // 576) % 128 for i in range(576 * 40)).decode()
+    for text in (prose, "acgt" * 3 + "".join("acgt"[k] for k in draw.integers(0, 4, 5000)), ramp, "日本 " + prose):
+        row = webp.media_row(text)
+        raw = text.encode()
+        payload = raw + b"\xff" * (-len(raw) % 576)
+        assert row[:4] == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        stored = webp.store(payload)
+        assert row[4:6] == (len(stored), hashlib.sha256(stored).hexdigest())
+        samples = np.frombuffer(payload, np.uint8).reshape(-1, 576).astype(float)
+        sums = samples.sum(axis=0).reshape(64, 9).sum(axis=1)
+        bits = "".join("01"[int(sums[k] > sums[k - 1])] for k in range(64))
+        assert row[6] == f"{int(bits, 2):016x}:{samples.mean():.4f}"
+    assert found[webp.CROSS_COLOUR] and found[webp.COLOUR_INDEXING] and found[webp.PREDICTOR]
+    assert found["_cross"] and found["_restore"] and found["_distance"] and found["_read_green"]
+    monkeypatch.setattr(webp, "plan", lambda x: {"references": True, "cache_bits": webp.CACHE_BITS})
+    assert webp.load(webp.store(payload)).tobytes() == payload
+
+
 def test_store_and_load():
     for n in (1, 2, 40):
         raw = np.random.default_rng(n).integers(0, 256, n * webp.ROW, dtype=np.uint8)
