@@ -9,12 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.functions import text as T
-from glossa.functions.udfs import flatten_synonyms
+from glossa.functions.udfs import flatten_synonyms, nfkc
 
 # The header of an abbreviation table.
 ABBREVIATION_HEADER = ("short_form", "matched_cl_id")
-#: Alternative names of ontology fields, first one first.
-FIELDS = {"concept_id": ("concept_id", "norm_concept_id", "id", "obo_id", "identifier"), "preferred_label": ("preferred_label", "norm_preferred_label", "label", "name", "prefLabel"), "synonyms": ("synonyms", "synonym", "aliases", "alias", "alt_labels"), "obsolete": ("obsolete", "is_obsolete", "deprecated")}
+# Alternative names of ontology fields, the first present one counts.
+FIELDS = {
+    "concept_id": ("norm_concept_id", "concept_id", "id", "obo_id", "identifier"),
+    "preferred_label": ("norm_preferred_label", "preferred_label", "label", "name", "prefLabel"),
+    "synonyms": ("synonyms", "synonym", "aliases", "alias", "alt_labels"),
+}
+# Marks of concepts that are no longer used; any one rules a concept out.
+OBSOLETE = ("obsolete", "is_obsolete", "deprecated")
 PASSAGE = "id bigint, document_id string, passage_id int, passage_offset int, text string, entities array<struct<start:int,end:int,label:string,text:string>>"
 
 
@@ -33,30 +39,81 @@ def split_json(text: str) -> list[str]:
         if at >= len(text):
             return out
         value, at = reader.raw_decode(text, at)
-        out += [json.dumps(v) for v in (value if isinstance(value, list) else [value])]
+        out += [json.dumps(v) for v in (value if isinstance(value, list) else [value]) if isinstance(v, dict)]
 
 
-def tolerant_ontology(spark: SparkSession, path: str) -> DataFrame:
-    """(concept_id, preferred_label, synonyms) under any of the known field names, without
-    obsolete concepts and without ids that are not CL ids."""
+def is_object(text: str) -> bool:
+    """Whether a text is one JSON object and no more."""
+    try:
+        return isinstance(json.loads(text), dict)
+    except ValueError:
+        return False
+
+
+def json_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, r): the JSON records of lines, of arrays, or of objects one after the other.
+
+    Lines are read as lines, so a large file is many tasks. Only files of which some line is
+    no whole object (arrays, or objects over several lines) are read again as one text."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("r")).where("r <> ''")
+
+    @F.pandas_udf("boolean")
+    def whole(x: pd.Series) -> pd.Series:
+        return x.map(is_object)
+
+    odd = [x.path for x in lines.where(~whole("r")).select("path").distinct().collect()]  # one row per odd file
+    if not odd:
+        return lines
+
     @F.pandas_udf("array<string>")
     def records(x: pd.Series) -> pd.Series:
         return x.map(split_json)
 
-    d = spark.read.option("wholetext", "true").text(path).select(F.explode(records("value")).alias("r"))
-    first = {k: F.coalesce(*[F.get_json_object("r", f"$.{n}") for n in names]) for k, names in FIELDS.items()}
-    d = d.select(*[v.alias(k) for k, v in first.items()])
-    d = d.where(F.lower(F.coalesce("obsolete", F.lit("false"))).isin("false", "0", "no", ""))
-    d = d.withColumn("concept_id", F.get(T.col(T.ontology_ids("concept_id")), F.lit(0)))
-    return d.where("concept_id is not null and coalesce(preferred_label, '') <> ''").withColumn("synonyms", flatten_synonyms("synonyms")).drop("obsolete")
+    texts = spark.read.option("wholetext", "true").text(odd).select(F.col("_metadata.file_path").alias("path"), F.explode(records("value")).alias("r"))
+    return lines.where(~F.col("path").isin(odd)).union(texts)
+
+
+def _present(names: tuple[str, ...]) -> Column:
+    """The first field that is not null, empty text or an empty list."""
+    found = [F.get_json_object("r", f"$.{n}") for n in names]
+    return F.coalesce(*[F.when(~f.isin("", "[]"), f) for f in found])
+
+
+def tolerant_ontology(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(concept_id, preferred_label, synonyms) under any of the known field names, without
+    obsolete concepts and without ids that are not CL ids. A concept without a label keeps
+    its synonyms; its label is null."""
+    d = json_records(spark, path)
+    mark = lambda n: F.coalesce(~F.lower(F.get_json_object("r", f"$.{n}")).isin("false", "0", "0.0", "", "[]", "{}"), F.lit(False))
+    d = d.where(~(mark(OBSOLETE[0]) | mark(OBSOLETE[1]) | mark(OBSOLETE[2]))).select(*[_present(names).alias(k) for k, names in FIELDS.items()])
+    d = d.withColumn("concept_id", F.get(T.col(T.ontology_ids("concept_id")), F.lit(0))).where("concept_id is not null")
+    label = F.expr(T.squeeze("preferred_label"))
+    return d.select("concept_id", F.when(label != "", label).alias("preferred_label"), flatten_synonyms("synonyms").alias("synonyms"))
+
+
+def relaxed_aliases(ontology: DataFrame) -> DataFrame:
+    """(form): the distinct relaxed keys of all labels and synonyms."""
+    names = ontology.select(F.explode(F.concat(F.array("preferred_label"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("name")).where("name is not null")
+    return names.select(nfkc("name").alias("name")).select(T.col(T.relaxed("name")).alias("form")).where("form <> ''").distinct()
+
+
+def is_abbreviation_table(spark: SparkSession, path: str) -> bool:
+    """A .tsv file whose first line that is not empty begins with the known header."""
+    if not path.lower().endswith(".tsv"):
+        return False
+    first = spark.read.text(path).where("trim(value) <> ''").head()  # the first rows only
+    return first is not None and tuple(x.strip() for x in first[0].lstrip("\ufeff").split("\t")[:2]) == ABBREVIATION_HEADER
 
 
 def abbreviations(spark: SparkSession, path: str) -> DataFrame:
-    """(short_form, identifier, line) of a tab-separated table with the known header; rows
-    without both fields go, and of several ids the first one counts."""
+    """(path, line, short_form, identifier) of a tab-separated table, which must pass
+    ``is_abbreviation_table``; rows without both fields go, and of several ids the first
+    one counts."""
+    if not is_abbreviation_table(spark, path):
+        raise ValueError(f"no abbreviation table: {path}")
     d = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("line"), F.split("value", "\t").alias("f"))
     d = d.where(F.size("f") >= 2).select("path", "line", F.trim(F.col("f")[0]).alias("short_form"), F.trim(F.split(F.col("f")[1], "[,;]")[0]).alias("identifier"))
-    return d.where((F.col("short_form") != "") & (F.col("short_form") != ABBREVIATION_HEADER[0])).where(~F.col("identifier").isin("", "-", "None", "none"))
+    return d.where((F.col("short_form") != "") & (F.regexp_replace("short_form", "\ufeff", "") != ABBREVIATION_HEADER[0])).where(~F.col("identifier").isin("", "-", "None", "none"))
 
 
 def pairs(spark: SparkSession, path: str) -> DataFrame:
@@ -91,3 +148,63 @@ def write_lines(lines: DataFrame, path: str) -> None:
 
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
+
+
+def dataset(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A data set by its file's extension: json and jsonl, csv with a header, parquet."""
+    kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    reader = spark.read.schema(schema) if schema else spark.read
+    if kind in ("json", "jsonl"):
+        first = spark.read.text(path).where("trim(value) <> ''").head()
+        return reader.option("multiLine", str(bool(first and first[0].lstrip().startswith("["))).lower()).json(path)
+    if kind == "csv":
+        return reader.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
+    if kind == "parquet":
+        return reader.parquet(path)
+    raise ValueError(f"unknown kind of data set: {path}")
+
+
+def infer_columns(columns: list[str], text: str | None = None, entities: str | None = None) -> dict[str, str | None]:
+    """Which columns hold what: by name, and else the first one holds the text."""
+    known = lambda name: name if name in columns else None
+    found = {"text": text or known("text") or columns[0], "entities": entities or known("entities")}
+    return found | {"document_id": known("document_id"), "passage_id": known("passage_id"), "passage_offset": known("passage_offset"), "record_id": known("id")}
+
+
+def limit_rows(d: DataFrame, order: list[str], limit: int | None) -> DataFrame:
+    """The first rows in a total order, all without a limit (the limit is the feature)."""
+    return d if limit is None else d.orderBy(*order).limit(limit)
+
+
+def write_predictions(predictions: DataFrame, folder: str) -> None:
+    """Predictions as JSON lines (``folder``/lines) and as one JSON array per part
+    (``folder``/array; a part without rows may be empty): id, text, passage_offset, document_id, passage_id and
+    predicted_entities (label, start_local, end_local, start, end, text)."""
+    entity = "array<struct<label:string,start_local:int,end_local:int,start:int,end:int,text:string>>"
+    d = predictions.select("id", "text", "passage_offset", "document_id", "passage_id", F.coalesce(F.col("predicted_entities").cast(entity), F.array().cast(entity)).alias("predicted_entities"))
+    d.write.mode("overwrite").json(f"{folder}/lines")
+
+    def array(batches):
+        lead = "["
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"value": [lead + ",\n".join(batch["value"])]})
+                lead = ","
+        yield pd.DataFrame({"value": ["[]" if lead == "[" else "]"]})
+
+    one = d.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).mapInPandas(array, "value string")
+    one.write.mode("overwrite").option("lineSep", "\n").text(f"{folder}/array")
+
+
+def predicted_entities(predictions: DataFrame) -> DataFrame:
+    """(document_id, label, start, end): one row per predicted entity."""
+    d = predictions.select(F.coalesce(F.col("document_id").cast("string"), F.lit("")).alias("document_id"), F.explode("predicted_entities").alias("e"))
+    return d.select("document_id", F.col("e.label").cast("string").alias("label"), F.col("e.start").cast("int").alias("start"), F.col("e.end").cast("int").alias("end"))
+
+
+def write_manifest(spark: SparkSession, facts: dict, path: str) -> None:
+    """Facts of a run as one indented JSON file, through the path's own file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(json.dumps(facts, indent=2, sort_keys=True, ensure_ascii=False).encode()))
+    out.close()

@@ -4,7 +4,7 @@ import pytest
 from glossa.operators import abbreviations as A
 from glossa.operators import linking as L
 from glossa.operators import recognize as R
-from glossa.sources import files
+from glossa.sources import files, paths
 from glossa.streaming import annotate
 from tests.test_bioc import XML
 
@@ -21,16 +21,75 @@ def test_ontologies(spark, tmp_path):
     with pytest.raises(Exception):  # noqa: B017
         files.ontology(spark, put(tmp_path / "bad.jsonl", "{broken\n")).collect()
     rows = [{"id": "CL_0000001", "label": "a", "alias": {"x": ["b", "c"]}}, {"id": "GO:1", "label": "no"}, {"id": "CL:3", "name": "d", "obsolete": True}]
-    want = [("CL:0000001", "a", ["b", "c"])]
+    rows += [{"norm_concept_id": "CL:7", "concept_id": "CL:8", "norm_preferred_label": "", "label": "seven", "deprecated": "no longer", "obsolete": False}]
+    rows += [{"concept_id": "CL:9", "norm_concept_id": "CL:4", "label": "x", "norm_preferred_label": "four", "deprecated": False, "obsolete": 0}, {"id": "CL:5", "synonyms": [], "alias": ["five"]}]
+    want = [("CL:0000001", "a", ["b", "c"]), ("CL:4", "four", []), ("CL:5", None, ["five"])]
     for text in (json.dumps(rows), "".join(map(json.dumps, rows)), "\n".join(map(json.dumps, rows))):
         got = files.tolerant_ontology(spark, put(tmp_path / "t.json", text)).collect()
-        assert [(r.concept_id, r.preferred_label, r.synonyms) for r in got] == want
+        assert sorted((r.concept_id, r.preferred_label, r.synonyms) for r in got) == sorted(want)
+    d = files.tolerant_ontology(spark, put(tmp_path / "t.json", "\n".join(map(json.dumps, rows))))
+    assert sorted(r.form for r in files.relaxed_aliases(d).collect()) == ["a", "b", "c", "five", "four"]
 
 
 def test_abbreviations(spark, tmp_path):
     path = put(tmp_path / "a.tsv", "short_form\tmatched_cl_id\nDC\tCL:1\nD-C\tCL:2;CL:9\nNK\tCL:3\tmore\nxx\t-\nbad\n")
     got = {r.key: (r.n_ids, r.short_form) for r in A.lookup(files.abbreviations(spark, path)).collect()}
     assert got == {"DC": (2, "D-C"), "NK": (1, "NK")}
+    for name, text in (("a.txt", "short_form\tmatched_cl_id\nDC\tCL:1\n"), ("b.tsv", "form\tid\nDC\tCL:1\n")):
+        with pytest.raises(ValueError, match="no abbreviation table"):
+            files.abbreviations(spark, put(tmp_path / name, text))
+
+
+def test_datasets(spark, tmp_path):
+    rows = [{"id": 1, "text": "a, b"}, {"id": 2, "text": "c"}]
+    for path in (put(tmp_path / "d.json", json.dumps(rows)), put(tmp_path / "d.jsonl", "\n".join(map(json.dumps, rows))), put(tmp_path / "d.csv", 'id,text\n1,"a, b"\n2,c\n')):
+        d = files.dataset(spark, path)
+        assert sorted((int(r.id), r.text) for r in d.collect()) == [(1, "a, b"), (2, "c")]
+    assert files.infer_columns(d.columns) == {"text": "text", "entities": None, "document_id": None, "passage_id": None, "passage_offset": None, "record_id": "id"}
+    assert files.infer_columns(["body", "tags"], entities="tags")["text"] == "body"
+    assert [r.text for r in files.limit_rows(d, ["id"], 1).collect()] == ["a, b"] and files.limit_rows(d, ["id"], None).count() == 2
+    with pytest.raises(ValueError):
+        files.dataset(spark, "x.zip")
+
+
+def test_predictions(spark, tmp_path):
+    kind = "id long, text string, passage_offset int, document_id string, passage_id int, predicted_entities array<struct<label:string,start_local:int,end_local:int,start:int,end:int,text:string>>"
+    d = spark.createDataFrame([(1, "T cells", 6, "7", 0, [("cell", 0, 7, 6, 13, "T cells")]), (2, "", 0, "8", 0, None)], kind)
+    files.write_predictions(d, f"file://{tmp_path}/out")
+    lines = spark.read.json(f"file://{tmp_path}/out/lines").orderBy("id").collect()
+    assert [len(r.predicted_entities) for r in lines] == [1, 0]
+    arrays = [json.loads(p.read_text()) for p in (tmp_path / "out" / "array").glob("part-*") if p.stat().st_size]
+    assert sorted(e["id"] for a in arrays for e in a) == [1, 2]
+    assert [tuple(r) for r in files.predicted_entities(d).collect()] == [("7", "cell", 6, 13)]
+    files.write_manifest(spark, {"rows": 2}, f"file://{tmp_path}/m.json")
+    assert json.loads((tmp_path / "m.json").read_text()) == {"rows": 2}
+
+
+def test_paths(spark, tmp_path):
+    for name in ("b.xml", "a.XML", "c.txt", "craft/train.xml", "craft/test.xml", "CellLink/dev.xml", "CellLink/valid_test.xml", "bio-id/x.xml"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        put(tmp_path / name, "<collection/>")
+    (tmp_path / "empty").mkdir()
+    root = f"file:{tmp_path}"
+    cut = lambda xs: [x[len(root) + 1 :] for x in xs]
+    assert cut(paths.xml_files(spark, root)) == ["a.XML", "b.xml"] and paths.xml_files(spark, f"{root}/b.xml") == [f"{root}/b.xml"]
+    for bad, error in ((f"{root}/empty", FileNotFoundError), (f"{root}/no", FileNotFoundError), (f"{root}/c.txt", ValueError)):
+        with pytest.raises(error):
+            paths.xml_files(spark, bad)
+    assert cut(paths.split_files(spark, [root])) == ["craft/train.xml"] and cut(paths.split_files(spark, [f"{root}/craft"])) == ["craft/train.xml"]
+    assert cut(paths.split_files(spark, [f"{root}/bio-id"])) == ["bio-id/x.xml"]
+    with pytest.raises(FileNotFoundError):
+        paths.split_files(spark, [f"{root}/bio-id"], otherwise_all=False)
+    found = {k: cut(v) for k, v in paths.discover(spark, root).items()}
+    assert found == {"CellLink": ["CellLink/dev.xml"], "BioID": ["bio-id/x.xml"], "CRAFT": ["craft/test.xml", "craft/train.xml"], "AnatEM": [], "JNLPBA": []}
+    assert paths.overrides(spark, [f" A  b={root}/b.xml, {root}/c.txt"]) == {"A b": [f"{root}/b.xml", f"{root}/c.txt"]}
+    for bad, error in (("A", ValueError), ("=x", ValueError), (f"A={root}/no", FileNotFoundError)):
+        with pytest.raises(error):
+            paths.overrides(spark, [bad])
+    assert paths.pairs(spark, [f"{root}/bio-id"], [f"{root}/empty"]) == [(f"{root}/bio-id/x.xml", f"{root}/empty/x.xml")]
+    assert paths.pairs(spark, [f"{root}/b.xml"], [f"{root}/o.xml"]) == [(f"{root}/b.xml", f"{root}/o.xml")]
+    with pytest.raises(ValueError):
+        paths.pairs(spark, [f"{root}/b.xml"], [f"{root}/empty"])
 
 
 def test_pairs(spark, tmp_path):
