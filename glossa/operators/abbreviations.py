@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions import text as T
 from glossa.functions.udfs import sequence_ratio
+from glossa.functions.vector import nearest
 
 
 def lookup(rows: DataFrame) -> DataFrame:
@@ -29,13 +30,22 @@ def match_exact(mentions: DataFrame, keys: DataFrame, mention: str = "mention")
     return d.join(keys, "key")
 
 
-def match_nearest(mentions: DataFrame, keys: DataFrame, distances: DataFrame) -> DataFrame:
-    """Mentions (mention, m) with the nearest key of ``distances`` (query_id, term_id,
-    distance, rank) if its similarity reaches the mention's threshold. Short mentions
-    must match exactly and never get here."""
-    near = distances.where("rank = 1").select("query_id", "term_id", (1 - F.col("distance")).alias("score"))
-    d = mentions.join(near, mentions.m == near.query_id).join(keys, near.term_id == keys.k)
-    return d.where(F.col("score") >= T.col(T.threshold("mention")))
+def match_nearest(mentions: DataFrame, keys: DataFrame, encoder) -> DataFrame:
+    """Mentions (mention, ...) whose key is longer than four characters, with the lookup row
+    of the most similar key by the encoder's vectors, if the similarity reaches the
+    mention's threshold: matched_key, score and the row's columns. Each distinct key is
+    encoded once. Short keys must match exactly and never get here."""
+    d = mentions.withColumn("_key", T.col(T.abbreviation_key("mention"))).where(T.col(T.threshold("mention")) < 1.0)
+    q = d.select(F.col("_key").alias("query")).distinct()
+    return pass_nearest(d, keys, nearest(q.select("query", encoder("query").alias("embedding")), keys.select(F.col("key").alias("term"), encoder("key").alias("embedding")), 1, "query", "term"))
+
+
+def pass_nearest(mentions: DataFrame, keys: DataFrame, near: DataFrame) -> DataFrame:
+    """Of mentions (mention, _key, ...) and the nearest keys of their keys (query_id,
+    term_id, distance), the rows that reach the mention's threshold."""
+    near = near.select(F.col("query_id").alias("_key"), F.col("term_id").alias("matched_key"), F.round(1 - F.col("distance"), 9).alias("score"))
+    d = mentions.join(near, "_key").where(F.col("score") >= T.col(T.threshold("mention")))
+    return d.join(keys.withColumnRenamed("key", "matched_key"), "matched_key").drop("_key")
 
 
 def cascade(wanted: DataFrame, defined: DataFrame, fuzzy: bool = True) -> DataFrame:
@@ -57,12 +67,22 @@ def cascade(wanted: DataFrame, defined: DataFrame, fuzzy: bool = True) -> DataFr
     return best.select("doc_key", F.col("wanted").alias("key"), F.col("best.method").alias("method"), F.col("best.key").alias("matched_key"), F.col("best.long_form").alias("long_form"), F.col("best.score").alias("score"))
 
 
-def resolve(mentions: DataFrame, keys: DataFrame, defined: DataFrame, fuzzy: bool = True) -> DataFrame:
+def resolve(mentions: DataFrame, keys: DataFrame, defined: DataFrame, fuzzy: bool = True, encoder=None) -> DataFrame:
     """Mentions (doc_key, mention) with ``kind``: direct (the key has one id),
-    ambiguous_long_form (the document defines it), ambiguous_unresolved, or none."""
+    ambiguous_long_form (the document defines it), ambiguous_unresolved, or none. A key is
+    found exactly or, with an ``encoder`` and for longer keys, as the nearest one;
+    ``key_method`` and ``key_score`` tell which."""
     d = mentions.withColumn("key", F.when(T.col(T.abbreviation_like("mention")), T.col(T.abbreviation_key("mention"))))
-    d = d.join(keys, "key", "left")
-    long = cascade(d.where("n_ids > 1").select("doc_key", "key"), defined, fuzzy).select("doc_key", "key", "long_form", "method", "score")
+    d = d.join(keys, "key", "left").withColumn("key_method", F.when(F.col("n_ids").isNotNull(), "exact_short_abbreviation")).withColumn("key_score", F.when(F.col("n_ids").isNotNull(), 1.0))
+    if encoder is not None:
+        open_ = mentions.where(T.col(T.abbreviation_like("mention"))).select("mention").distinct()
+        names = [c for c in keys.columns if c != "key"]
+        near = match_nearest(open_, keys, encoder).select(F.col("mention").alias("_m"), F.col("matched_key").alias("_key"), F.col("score").alias("_score"), *[F.col(c).alias(f"_{c}") for c in names])
+        d = d.join(near, F.col("mention") == F.col("_m"), "left")
+        by = F.col("n_ids").isNull() & F.col("_key").isNotNull()
+        d = d.withColumns({"key_method": F.when(by, "encoder_abbreviation_match").otherwise(F.col("key_method")), "key_score": F.when(by, F.col("_score")).otherwise(F.col("key_score")), "key": F.when(by, F.col("_key")).otherwise(F.col("key")), **{c: F.when(by, F.col(f"_{c}")).otherwise(F.col(c)) for c in names}})
+        d = d.drop("_m", "_key", "_score", *[f"_{c}" for c in names])
+    long = cascade(d.where("n_ids > 1").select("doc_key", "key"), defined, fuzzy).select("doc_key", "key", "long_form", "method", F.col("matched_key").alias("definition_key"), "score")
     d = d.join(long, ["doc_key", "key"], "left")
     kind = F.when(F.col("n_ids").isNull(), "none").when(F.col("n_ids") == 1, "direct").when(F.col("long_form").isNotNull(), "ambiguous_long_form").otherwise("ambiguous_unresolved")
     return d.withColumn("kind", kind).withColumn("identifier", F.when(kind == "direct", F.col("identifier")))
@@ -119,7 +139,3 @@ def document_texts(passages: DataFrame) -> DataFrame:
     both = F.array_sort(F.collect_list(F.struct("passage_idx", "text")))
     return passages.groupBy("doc_key").agg(F.array_join(F.transform(both, lambda p: p["text"]), "\n").alias("text"))
 
-
-def first_per(d: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key in a total order."""
-    return d.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

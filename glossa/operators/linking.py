@@ -94,7 +94,7 @@ def link(mentions: DataFrame, ontology: DataFrame, keys: DataFrame, defined: Dat
     encoder = encoder or hashed_encoder()
     terms = ontology_terms(ontology)
     names = terms.select("identifier", F.col("raw_name").alias("name"))
-    d = resolve(mentions.select("doc_key", "mention").distinct(), keys, defined)
+    d = resolve(mentions.select("doc_key", "mention").distinct(), keys, defined, encoder=encoder)
     by_model = (F.col("kind") != "direct")
     d = d.withColumn("query", F.when(by_model, F.when(F.col("kind") == "ambiguous_long_form", T.col(T.plural_normalize("long_form"))).otherwise(T.col(T.plural_normalize("mention")))))
     d = d.withColumn("_deep", F.col("kind") == "ambiguous_long_form")
@@ -112,15 +112,42 @@ def link(mentions: DataFrame, ontology: DataFrame, keys: DataFrame, defined: Dat
         "mention",
         F.coalesce(F.when(direct, F.col("identifier")), F.col("m_identifier")).alias("identifier"),
         F.coalesce(F.when(direct, F.col("short_form")), F.col("m_name")).alias("name"),
-        F.when(direct, F.lit(1.0)).otherwise(F.col("embedding_score")).alias("embedding_score"),
-        F.when(direct, F.lit(1.0)).otherwise(F.col("m_final")).alias("final_score"),
+        F.when(direct, F.col("key_score")).otherwise(F.col("embedding_score")).alias("embedding_score"),
+        F.when(direct, F.col("key_score")).otherwise(F.col("m_final")).alias("final_score"),
         source.alias("source"),
         F.when(direct, "cosine_similarity").otherwise("negated_cosine_distance").alias("score_kind"),
         F.when(F.col("_deep"), F.col("long_form")).alias("expanded_long_form"),
         F.when(F.col("_deep"), F.col("method")).alias("definition_method"),
+        F.when(F.col("_deep"), F.col("definition_key")).alias("definition_key"),
         F.when(F.col("_deep"), F.col("score")).alias("definition_score"),
+        F.when(F.col("kind") != "none", F.col("key_method")).alias("abbreviation_method"),
     )
 
 
+def baseline_link(mentions: DataFrame, terms: DataFrame, defined: DataFrame, encoder=None, threshold: float = 0.0, top: int = 10) -> DataFrame:
+    """Distinct (doc_key, mention) to (identifier, name, score, rank) of the ``top`` concepts:
+    hits of the document's long form of the mention come first, then those of the mention
+    itself; of hits of one concept the first counts; scores of at least ``threshold`` rank."""
+    encoder = encoder or hashed_encoder()
+    m = mentions.select("doc_key", F.trim("mention").alias("mention")).where("mention <> ''").distinct()
+    long = defined.groupBy("doc_key", F.col("key").alias("mention")).agg(F.max_by("long_form", "ord").alias("text"))
+    expanded = m.join(long, ["doc_key", "mention"]).where("text <> mention").select("doc_key", "mention", "text", F.lit(0).alias("turn"))
+    texts = expanded.unionByName(m.select("doc_key", "mention", F.col("mention").alias("text"), F.lit(1).alias("turn")))
+    hits = retrieve(texts.select(F.col("text").alias("query")).distinct(), terms, encoder, top, 10 * top)
+    hits = hits.select(F.col("query").alias("text"), F.expr(T.id_case("identifier")).alias("identifier"), F.col("preferred_label").alias("name"), (1 + F.col("embedding_score")).alias("score")).where(F.col("score") >= threshold)
+    one = texts.join(hits, "text").groupBy("doc_key", "mention", "identifier").agg(F.min_by(F.struct("name", "score"), F.struct("turn", -F.col("score"))).alias("b"))
+    rank = F.row_number().over(Window.partitionBy("doc_key", "mention").orderBy(F.desc("b.score"), "identifier"))
+    return one.select("doc_key", "mention", "identifier", "b.name", "b.score", (rank - 1).alias("rank")).where(F.col("rank") < top)
+
+
+def entry_names(ids: DataFrame, entries: DataFrame) -> DataFrame:
+    """Ids (identifier) with their CL form and the canonical name of the entry (id, name)
+    that is equal without regard to case; without one the id itself."""
+    e = entries.groupBy(F.upper("id").alias("_u")).agg(F.min_by("name", "id").alias("_name"))
+    d = ids.withColumn("identifier", F.expr(T.id_case("identifier"))).withColumn("_u", F.upper("identifier"))
+    return d.join(e, "_u", "left").withColumn("name", F.coalesce("_name", "identifier")).drop("_u", "_name")
+
+
 def decision_counts(links: DataFrame) -> DataFrame:
+    """Links by the source of the decision."""
     return links.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
