@@ -158,8 +158,21 @@ def byte_offset(x: str, at: str) -> str:
     return f"octet_length(substring({x}, 1, {at}))"
 
 
+def passage_key(doc_id: str, offset: str, infons: str) -> str:
+    """The passage's own id, else its article's, else document and offset."""
+    own = f"coalesce(nullif({infons}['passage_id'], ''), nullif({infons}['article-id_pmid'], ''))"
+    return f"coalesce({own}, concat({doc_id}, ':', {offset}))"
+
+
+def sourced_passage_key(prefix: str, doc_id: str, offset: str, infons: str) -> str:
+    """The passage's own id, else document and offset, after the file's place in its folder."""
+    own = f"coalesce(nullif({infons}['passage_id'], ''), concat(coalesce(nullif({doc_id}, ''), 'unknown_document'), ':', {offset}))"
+    return f"if(coalesce({prefix}, '') = '', {own}, concat({prefix}, '::', {own}))"
+
+
 def document_key(doc_id: str, article_id: str, passage_id: str) -> str:
-    return f"coalesce(nullif({doc_id}, ''), nullif({article_id}, ''), {passage_id})"
+    """The document's id, else its article's, else the passage's."""
+    return f"coalesce(nullif({doc_id}, ''), nullif({article_id}, ''), nullif({passage_id}, ''))"
 
 
 def annotatable(infons: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,16 +134,17 @@ def token_overlaps(refs: DataFrame, preds: DataFrame, tokens: DataFrame, key: st
     return both.where("ref_s < pred_e and pred_s < ref_e").select(key, "ref", "pred").distinct()
 
 
-def running_ids(d: DataFrame, order: list[str], out: str = "id", buckets: int = 1000) -> DataFrame:
-    """Gapless numbers from 0 in a total order. Rows are dealt into ranges of the first
-    column of ``order`` by fixed bounds (a sample's quantiles), so the rows and the ranges'
-    sizes agree whatever partitions Spark makes; ranges are numbered each, then shifted."""
-    first = order[0]
-    bounds = d.where(F.col(first).isNotNull()).agg(F.percentile_approx(first, [k / buckets for k in range(1, buckets)], 10_000)).head()[0] or []
-    edges = F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast(f"array<{dict(d.dtypes)[first]}>")
-    spread = d.withColumn("_part", F.when(F.col(first).isNull(), -1).otherwise(F.size(F.filter(edges, lambda b: b <= F.col(first)))))
-    sizes = spread.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+def running_ids(d: DataFrame, order: list[str], out: str = "id") -> DataFrame:
+    """Gapless numbers from 0 in a total order. Sorted ranges are written once to the shared
+    folder, so a row's number, its file's first number and its place in the file, cannot
+    change when a task runs again; no window holds more than one row per file."""
+    spark = d.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/glossa-ranges"
+    path = f"{folder.rstrip('/')}/ranges-{uuid.uuid4().hex}"
+    d.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
+    rows = spark.read.schema(d.schema).parquet(path).select(*[F.col(f"`{c}`") for c in d.columns], part.alias("_part"), F.col("_metadata.row_index").alias("_n"))
+    sizes = rows.groupBy("_part").agg((F.max("_n") + 1).alias("_size"))
     before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shifts = F.broadcast(sizes.select("_part", before.alias("_shift")))  # at most ``buckets`` rows
-    numbered = spread.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    return numbered.join(shifts, "_part").withColumn(out, F.col("_shift") + F.col("_n") - 1).drop("_part", "_n", "_shift")
+    shifts = F.broadcast(sizes.select("_part", before.alias("_shift")))  # one row per file
+    return rows.join(shifts, "_part").withColumn(out, F.col("_shift") + F.col("_n")).drop("_part", "_n", "_shift")

@@ -53,33 +53,20 @@ def entities(a: DataFrame) -> DataFrame:
     return d.withColumn("entity_id", F.concat_ws(":", "ann_id", "loc_idx")).withColumn("surface", F.expr("substring(passage_text, start + 1, end - start)")).drop("l")
 
 
-def write_spans(p: DataFrame, spans: DataFrame, path: str, source: str = "") -> None:
-    """Passages with ``spans`` (path, doc_id, start, end, label, infons map) as their only
-    annotations, T1..Tn per input file; spans outside every passage go. ``path`` is a
-    folder with one part per partition of files."""
-    s = spans.withColumnRenamed("path", "_p").withColumnRenamed("doc_id", "_d")
-    inside = (F.col("path") == F.col("_p")) & (F.col("doc_id") == F.col("_d")) & (F.col("start") >= F.col("passage_offset")) & (F.col("end") <= F.col("passage_offset") + F.char_length("text"))
-    rows = p.select("path", "doc_id", "passage_idx", "passage_offset", "text")
-    hits = rows.join(s, inside).withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("doc_id", "passage_idx", "start", "end", "label")))
-    more = F.transform(F.map_entries("infons"), lambda e: F.struct(e["key"].alias("_key"), e["value"].alias("_VALUE"))) if "infons" in spans.columns else F.array().cast(_INFON)
-    kind = F.array(F.struct(F.lit("type").alias("_key"), F.col("label").alias("_VALUE")))
-    note = F.struct(
-        F.concat(F.lit("T"), "_n").alias("_id"),
-        F.concat(kind, more).alias("infon"),
-        F.array(F.struct(F.col("start").alias("_offset"), (F.col("end") - F.col("start")).alias("_length"))).alias("location"),
-        F.expr("substring(text, start - passage_offset + 1, end - start)").alias("text"),
-    )
-    notes = hits.groupBy("path", "doc_id", "passage_idx").agg(F.array_sort(F.collect_list(F.struct("_n", note.alias("note")))).alias("_notes"))
-    joined = p.select("path", "doc_id", "passage_idx", "passage_offset", "text", "infons").join(notes, ["path", "doc_id", "passage_idx"], "left")
-    passage = F.struct(
-        F.transform(F.map_entries("infons"), lambda e: F.struct(e["key"].alias("_key"), e["value"].alias("_VALUE"))).alias("infon"),
-        F.col("passage_offset").alias("offset"),
-        "text",
-        F.transform("_notes", lambda n: n["note"]).alias("annotation"),
-    )
-    docs = joined.groupBy("path", "doc_id").agg(F.array_sort(F.collect_list(F.struct("passage_idx", passage.alias("x")))).alias("_x"))
-    docs = docs.select(F.col("doc_id").alias("id"), F.transform("_x", lambda x: x["x"]).alias("passage"))
-    docs.write.format("xml").option("rowTag", "document").option("rootTag", "collection").mode("overwrite").save(path)
+def text_of_locations(text: str, offset: str, locations: str) -> str:
+    """SQL: what a passage's text has at the locations, in order of offset, joined by blanks."""
+    return f"array_join(transform(array_sort({locations}), l -> substring({text}, l.offset - {offset} + 1, l.length)), ' ')"
+
+
+def spans_of(a: DataFrame) -> DataFrame:
+    """Annotations as spans of one or more locations, with ``locations`` sorted: those with a
+    type, with all locations of some length and within the passage; an annotation without a
+    location fails. ``text`` is the annotation's own, else that of its locations."""
+    some = F.assert_true(F.coalesce(F.size("locations"), F.lit(0)) > 0, F.lit("an annotation has no location"))
+    d = a.where("infons['type'] is not null").where(some.isNull())
+    inside = "forall(locations, l -> l.length > 0 and l.offset >= passage_offset and l.offset + l.length <= passage_offset + char_length(passage_text))"
+    d = d.where(inside).withColumn("locations", F.array_sort("locations")).withColumn("type", F.expr("infons['type']"))
+    return d.withColumn("text", F.expr(f"coalesce(nullif(text, ''), {text_of_locations('passage_text', 'passage_offset', 'locations')})"))
 
 
 def stem(name: str) -> str:
