@@ -158,6 +158,15 @@ def byte_offset(x: str, at: str) -> str:
     return f"octet_length(substring({x}, 1, {at}))"
 
 
+def byte_offsets(x: str, step: int = 64) -> str:
+    """UTF-8 bytes before each code point and at the end: sums by blocks of ``step``."""
+    sizes = f"transform(filter(split({x}, ''), c -> c <> ''), c -> octet_length(c))"
+    sums = f"transform(sequence(0, size(n) div {step}), q -> aggregate(slice(n, q * {step} + 1, {step}), 0, (a, v) -> a + v))"
+    before = f"transform(array({sums}), o -> transform(o, (z, q) -> aggregate(slice(o, 1, q), 0, (a, v) -> a + v)))[0]"
+    each = f"transform(array({before}), o -> transform(sequence(0, size(n)), i -> aggregate(slice(n, i - i % {step} + 1, i % {step}), o[i div {step}], (a, v) -> a + v)))[0]"
+    return f"transform(array({sizes}), n -> {each})[0]"
+
+
 def passage_key(doc_id: str, offset: str, infons: str) -> str:
     """The passage's own id, else its article's, else document and offset."""
     own = f"coalesce(nullif({infons}['passage_id'], ''), nullif({infons}['article-id_pmid'], ''))"

@@ -94,7 +94,7 @@ _ABBR = f"""abbr as (select case when p_partkey % 2 = 0 then {_PREFIX.format('-'
  lookup as (select {_key('short_form')} k, count(distinct identifier) n_ids, count(*) n_rows, arg_max(short_form, length(short_form) * 1000000000 - line) short_form,
   arg_max(identifier, length(short_form) * 1000000000 - line) identifier from abbr group by 1)"""
 _MENTIONS = f"""mentions as (select distinct {_PREFIX.format(' ')} || case when p_partkey % 3 = 0 then 's' else '' end mention, 'd' || (p_partkey % 50) doc_key from part)"""
-_DEFINED = f"""defined as (select 'd' || (p_partkey % 50) doc_key, {_PREFIX.format('')} || case when p_partkey % 2 = 0 then 's' else '' end k, arg_max(p_name, p_partkey) long_form from part where p_partkey % 5 = 0 group by 1, 2)"""
+_DEFINED = f"""defined as (select 'd' || (p_partkey % 50) doc_key, {_PREFIX.format('')} || case when p_partkey % 2 = 0 then 's' else '' end k, arg_max(p_name, p_partkey) long_form from part group by 1, 2)"""
 _CASCADE = f"""wanted as (select distinct doc_key, {_key('mention')} k from mentions),
  hits as (select w.doc_key, w.k, 1 prio, 'exact_key' "method", d.k matched_key, d.long_form from wanted w join defined d on w.doc_key = d.doc_key and w.k = d.k
   union all select w.doc_key, w.k, 2, 'exact_variant', d.k, d.long_form from wanted w join defined d on w.doc_key = d.doc_key and d.k = ({_other('w.k')})),
@@ -105,8 +105,8 @@ _RESOLVE = f"""resolved as (select m.doc_key, m.mention, case when l.k is null t
 _COS = "1 - list_cosine_similarity({0}.embedding::double[], {1}.embedding::double[])"
 _NEAR = f"""near as (select q.vec_id query_id, t.vec_id, t.label, round({_COS.format('q', 't')}, 9) distance from embeddings q, embeddings t where q.vec_id % 50 = 0),
  top as (select *, row_number() over (partition by query_id order by distance, vec_id) "rank" from near qualify "rank" <= 20)"""
-_LOGITS = "logits as (select vec_id // 3 token, unnest(range(5)) label, unnest(embedding[1:5])::double logit from embeddings), means as (select token, label, avg(logit) m, count(*) n from logits group by 1, 2)"
-_GAZ = f"{_words('bench', 'benchmark', 'item_id')}, gaz as (select lower(token) term, min(item_id) concept from bench where length(token) >= 8 group by 1)"
+_LOGITS = "logits as (select vec_id // 3 token, unnest(range(64)) label, unnest(embedding)::double logit from embeddings), means as (select token, label, avg(logit) m, count(*) n from logits group by 1, 2)"
+_GAZ = f"{_words('bench', 'benchmark', 'item_id')}, gaz as (select lower(token) term, min(item_id) concept from bench group by 1)"
 _SPANS = """gold as (select doc_id passage_key, pos id, case when token like '%ing' then 'ing' else 'tion' end "type", s, e from words where regexp_matches(token, '(ing|tion)$')),
  pred as (select doc_id passage_key, pos id, case when token like '%ing' then 'ing' else 'tion' end "type", case when pos % 3 = 0 then greatest(s - 4, 0) else s end s, e from words where regexp_matches(token, '(ing|ion)$') and length(token) >= 6)"""
 _ENT = """ent as (select doc_id, pos entity, case when token like '%ing' then 'ing' else 'tion' end label, s + length(token) // 2 s, e + 12 e from words where regexp_matches(token, '(ing|tion)$'))"""
@@ -127,6 +127,25 @@ _SIDES = """refs as (select doc_id passage_key, 0 o, text from documents),
   case when (case when doc_id % 11 = 0 then doc_id + 1000000000 else doc_id end) % 17 = 0 then text || '.' else text end text from documents where doc_id % 7 <> 0)"""
 _WORDN = f"len(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda w: w <> ''))"
 
+_CONV = """pas as (select conv_id, 'conv-' || lpad(conv_id::varchar, 8, '0') || '.xml' path, row_number() over (partition by conv_id order by turn, role, text) - 1 passage_idx, role, text,
+  coalesce(sum(length(text) + 1) over (partition by conv_id order by turn, role, text rows between unbounded preceding and 1 preceding), 0)::bigint o from conversations where text is not null)"""
+_NOTES = f"""wr as (select path, conv_id, passage_idx, o, unnest(regexp_extract_all(text, '{_W2}', 1)) gap, unnest(regexp_extract_all(text, '{_W2}', 2)) token, unnest(range(len(regexp_extract_all(text, '{_W2}', 2)))) pos from pas),
+ wp as (select *, cast(sum(length(gap) + length(token)) over (partition by path, passage_idx order by pos) as bigint) e from wr),
+ notes as (select path, conv_id, passage_idx, o, e - length(token) s, e, token, case when token like '%ing' then 'ing' else 'tion' end kind, row_number() over (partition by path order by passage_idx, e) n from wp where regexp_matches(token, '(ing|tion)$'))"""
+_GRID = f"""pred2 as (select passage_key, "type", id, r, 'CL:' || (id + r - 3) pred_id, id + case when id % 4 = 0 then 1 else 0 end loc from ids, range(10) t(r) where (id + r) % 9 <> 0),
+ placed2 as (select *, row_number() over (partition by passage_key, id order by r) - 1 place from pred2), k(top) as (values (1), (5), (10)), gates as (select distinct gate from gold),
+ g1 as (select distinct 'gold_mention_normalize' score_mode, gate, top, passage_key, "type", 0::bigint loc, gold_id i from gold, k union all select distinct 'end_to_end', gate, top, passage_key, "type", id, gold_id from gold, k),
+ p1 as (select distinct 'gold_mention_normalize' score_mode, g.gate, top, p.passage_key, p."type", 0::bigint loc, p.pred_id i from placed2 p join (select distinct gate, id, passage_key from gold) g on g.id = p.id and g.passage_key = p.passage_key join k on p.place < top
+  union all select distinct 'end_to_end', gate, top, passage_key, "type", loc, pred_id from placed2 join k on place < top, gates),
+ b1 as (select coalesce(g1.score_mode, p1.score_mode) score_mode, coalesce(g1.gate, p1.gate) gate, coalesce(g1.top, p1.top) top, g1.gate is not null r, p1.gate is not null q from g1 full join p1 on g1.score_mode = p1.score_mode and g1.gate = p1.gate and g1.top = p1.top
+  and g1.passage_key = p1.passage_key and g1."type" = p1."type" and g1.loc = p1.loc and g1.i = p1.i),
+ c1 as (select score_mode, gate, top::bigint top, count(*) filter (r and q) tp, count(*) filter (q and not r) fp, count(*) filter (r and not q) fn from b1 group by 1, 2, 3)"""
+_LOSS = """c as (select label from (select distinct label from embeddings) order by (label::bigint * 2654435761) % 1000003, label limit 8),
+ s as (select *, row_number() over (partition by label order by (vec_id * 2654435761 + 40503) % 1000003, vec_id) pick from embeddings where label in (select label from c) qualify pick <= 4),
+ pr as (select a.vec_id i, a.label = b.label same, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) / 0.05 x from s a join s b on a.vec_id <> b.vec_id),
+ an as (select i, max(x) m, sum(case when same then x end) pos, sum(same::int) n from pr group by 1),
+ l as (select an.i, an.pos, an.n, an.m, ln(sum(exp(pr.x - an.m))) lse from pr join an on an.i = pr.i group by all)"""
+
 SQL = {
     "passage_scan_filter": "select doc_id, source, row_number() over (partition by source order by doc_id) - 1 record_id, length(text) n from documents where length(text) > 0",
     "passage_running_id": "select doc_id, row_number() over (order by doc_id) - 1 id from documents where length(text) > 0",
@@ -143,7 +162,8 @@ SQL = {
     "identifier_gates": f"with {_IDS}, {_GOLD} select gate, \"type\", count(*) n, count(distinct gold_id) n_ids from gold group by 1, 2",
     "token_jaccard_pairs": f"with n as (select distinct p_name from part) select a.p_name a, b.p_name b, round({_jaccard(_set('a.p_name'), _set('b.p_name'))}, 9) jaccard from n a, n b where a.p_name < b.p_name and len(list_intersect({_set('a.p_name')}, {_set('b.p_name')})) > 0",
     "parenthetical_relation": f"with d as (select p_partkey, p_name, p_brand || ' (' || upper(p_name) || ')' f, '(' || p_brand || ')' o from part) select p_partkey, {_paren('p_name', 'f')} related, {_paren('p_name', 'o')} unrelated from d",
-    "byte_offset_map": "with d as (select doc_id, text, unnest(range(0, length(text) + 1, 500)) k from documents) select doc_id, k \"at\", strlen(substring(text, 1, k)) byte_at from d",
+    "byte_offset_map": "with c as (select doc_id, unnest(string_split(text, '')) c, unnest(range(length(text))) i from documents where text <> ''), o as (select doc_id, i + 1 i, sum(strlen(c)) over (partition by doc_id order by i)::bigint b from c union all select doc_id, 0, 0 from documents) select o.doc_id, length(any_value(d.text)) n, md5(string_agg(b::varchar, ',' order by i)) digest from o join documents d on d.doc_id = o.doc_id group by 1",
+    "passage_keys": "with d as (select conv_id, turn, case when conv_id % 5 = 0 then '' else conv_id::varchar end doc, case when turn % 3 = 0 then 'p' || turn else '' end p, case when turn % 2 = 0 then 'a' || conv_id else '' end a from conversations) select conv_id, turn, coalesce(nullif(p, ''), nullif(a, ''), doc || ':' || turn) passage_key, case when conv_id % 2 = 0 then 'a/b.xml::' else '' end || coalesce(nullif(p, ''), coalesce(nullif(doc, ''), 'unknown_document') || ':' || turn) sourced_key, coalesce(nullif(doc, ''), nullif(a, ''), nullif(p, '')) document_key from d",
     "json_entities_parse": "select event_id, len(json_keys(props)) n_keys, array_to_string(list_sort(json_keys(props)), '|') key_names from events",
     "ontology_terms": f"with {_ONT}, d as (select identifier, n[1] preferred_label, unnest(n) raw_name, unnest(range(len(n))) ord from ont) select identifier, preferred_label, raw_name, {_plural('raw_name')} name, ord = 0 is_preferred, ord from d",
     "concept_metadata": f"with {_ONT} select identifier, n[1] preferred_label, len(n) n_names, array_to_string(n, '|') names from ont",
@@ -154,9 +174,9 @@ SQL = {
     "decision_counters": f"with {_ABBR}, {_MENTIONS}, {_DEFINED}, {_CASCADE}, {_RESOLVE} select kind source, count(*) n from resolved group by 1",
     "link_topk_terms": f"with {_NEAR} select query_id, vec_id, distance, \"rank\" from top",
     "link_topk_concepts": f"with {_NEAR}, one as (select *, row_number() over (partition by query_id, label order by distance, vec_id) n from top qualify n = 1) select query_id, label, vec_id, distance, k \"rank\" from (select query_id, label, vec_id, distance, row_number() over (partition by query_id order by distance, vec_id) k from one) where k <= 5",
-    "abbrev_nearest_key": f"with near as (select q.vec_id, t.vec_id key_id, round({_COS.format('q', 't')}, 9) distance from embeddings q, embeddings t where q.vec_id % 50 = 0 and t.vec_id % 50 <> 0), one as (select *, row_number() over (partition by vec_id order by distance, key_id) n from near qualify n = 1), m as (select left('ABCDEFGHIJK', (3 + vec_id % 8)::int) mention, vec_id, key_id, round(1 - distance, 9) score from one) select *, score >= case when length(mention) <= 4 then 0.9 when length(mention) <= 7 then 0.5 else 0.1 end passes from m",
-    "cosine_pairs": f"select q.vec_id query_id, t.vec_id, round({_COS.format('q', 't')}, 9) distance from embeddings q join embeddings t on q.label = t.label where q.vec_id % 50 = 0",
-    "rerank_candidates": f"""with n as (select distinct p_brand identifier, p_name name from part), q as (select distinct p_name query from part where p_size = 1),
+    "abbrev_nearest_key": f"with q as (select vec_id, list_transform(embedding, lambda x, i: case when i % 8 = 1 then x * 0.5::float else x end) embedding from embeddings where vec_id % 50 = 0), near as (select q.vec_id, t.vec_id key_id, t.label::bigint n_ids, round({_COS.format('q', 't')}, 9) distance from q, embeddings t), one as (select *, row_number() over (partition by vec_id order by distance, key_id) n from near qualify n = 1), m as (select left('ABCDEFGHIJK', (3 + vec_id % 8)::int) mention, vec_id, key_id, n_ids, round(1 - distance, 9) score from one) select * from m where score >= case when length(mention) <= 4 then 2 when length(mention) <= 7 then 0.95 else 0.9 end",
+    "cosine_pairs": f"select q.vec_id query_id, t.vec_id, round({_COS.format('q', 't')}, 9) distance from embeddings q, embeddings t where q.vec_id % 50 = 0",
+    "rerank_candidates": f"""with n as (select distinct p_brand identifier, p_name name from part), q as (select distinct p_name query from part),
       c as (select query, identifier, min(name) filter (true) any_name, max(len(list_intersect(string_split(query, ' '), string_split(name, ' ')))) m from q, n group by 1, 2),
       s as (select query, identifier, (select count(*) from (select distinct w from (select unnest(string_split(name, ' ')) w from n where n.identifier = c.identifier) where list_contains(string_split(c.query, ' '), w))) shared from c where m > 0),
       f as (select s.query, s.identifier, -s.shared / 10.0::double emb, (select min(name) from n where n.identifier = s.identifier) lab, max(case when {_normal('query')} = {_normal('n.name')} then 1 else 0 end)::double exact,
@@ -164,7 +184,7 @@ SQL = {
       select query, identifier, round(exact, 9) exact, round(name_jaccard, 9) name_jaccard, round({_jaccard(_set('query'), _set('lab'))}, 9) label_jaccard, round(parenthetical, 9) parenthetical,
         round(emb + 0.35 * exact + 0.2 * name_jaccard + 0.15 * {_jaccard(_set('query'), _set('lab'))} + 0.1 * parenthetical + case when query = lab then 0.03 else 0 end, 9) final_score from f""",
     "mention_distinct": f"with {_words()} select lower(token) norm, count(*) n, count(distinct doc_id) n_docs from words group by 1",
-    "mention_link_join": f"with {_words()}, {_GAZ} select doc_id, count(*) n_mentions, count(concept) n_linked, count(distinct concept) n_concepts from words left join gaz on lower(token) = term where length(token) >= 8 group by 1",
+    "mention_link_join": f"with {_words()}, {_GAZ} select doc_id, count(*) n_mentions, count(concept) n_linked, count(distinct concept) n_concepts from words left join gaz on lower(token) = term group by 1",
     "chunk_windows": f"with d as (select doc_id, len({_tokens('text')}) n from documents), s as (select doc_id, n, unnest(range(0, greatest(n - 128, 1), 382)) \"first\" from d) select doc_id, \"first\" // 382 chunk, \"first\", least(\"first\" + 510, n) \"last\" from s",
     "logit_average": f"with {_LOGITS} select token, label, round(m, 9) mean_logit, n n_chunks from means",
     "logit_argmax": f"with {_LOGITS}, r as (select *, row_number() over (partition by token order by m desc, label) k from means) select token, label from r where k = 1",
@@ -190,13 +210,20 @@ SQL = {
     "link_prf_grid": f"""with {_IDS}, {_GOLD}, {_PRED.format('and 99 - r * 7 >= 50')}, gates as (select distinct gate from gold), g as (select distinct gate, "type", passage_key, gold_id i from gold), p as (select distinct gate, "type", passage_key, pred_id i from placed, gates where place < 5),
       b as (select coalesce(g.gate, p.gate) gate, coalesce(g."type", p."type") "type", g.gate is not null r, p.gate is not null q from g full join p on g.gate = p.gate and g."type" = p."type" and g.passage_key = p.passage_key and g.i = p.i),
       c as (select gate, "type", count(*) filter (r and q) tp, count(*) filter (q and not r) fp, count(*) filter (r and not q) fn from b group by 1, 2) select *, {_PRF} from c""",
+    "contrastive_loss": f"with {_LOSS} select round(avg(-(pos / n - m - lse)), 6) loss, count(*) anchors from l where n > 0",
+    "xml_passages": f"with {_CONV} select path, conv_id::varchar doc_id, passage_idx, o passage_offset, role \"type\", md5(text) digest from pas where text <> ''",
+    "xml_spans_write": f"with {_CONV}, {_NOTES} select path, 'T' || n ann_id, kind \"type\", passage_idx, o + s \"offset\", length(token)::bigint \"length\", token \"text\" from notes",
+    "xml_entities": f"with {_CONV}, {_NOTES} select path, 'T' || n || ':0' entity_id, s \"start\", e \"end\", token surface from notes",
+    "xml_links_write": f"with {_CONV}, {_NOTES}, x as (select *, {_singular('token')} w from notes) select p.path, count(w) filter (length(w) % 2 = 0) matched, count(w) filter (length(w) % 2 = 1) missing, count(distinct length(w)) filter (length(w) % 2 = 0) n_ids, min(w) filter (length(w) % 2 = 0) least_name from (select distinct path from pas) p left join x on x.path = p.path group by 1",
+    "training_records": f"with {_CONV}, {_NOTES} select row_number() over (order by p.path, p.conv_id::varchar, p.passage_idx) - 1 id, p.conv_id::varchar document_id, p.passage_idx passage_id, p.o passage_offset, count(n.token) n, md5(coalesce(string_agg(n.s || ':' || n.e || ':' || case n.kind when 'ing' then 'act' else n.kind end || ':' || n.token, ',' order by n.n), '')) digest from pas p left join notes n on n.path = p.path and n.passage_idx = p.passage_idx where p.text <> '' group by p.path, p.conv_id, p.passage_idx, p.o",
+    "evaluate_link_grid": f"with {_IDS}, {_GOLD}, {_GRID} select *, {_PRF} from c1",
     "verify_passages": f"with {_SIDES} select passage_key, 'missing' problem from refs where passage_key not in (select passage_key from preds) union all select passage_key, 'extra' from preds where passage_key not in (select passage_key from refs) union all select r.passage_key, case when r.o <> p.o then 'offset' else 'text' end from refs r join preds p on r.passage_key = p.passage_key where r.o <> p.o or r.text <> p.text",
     "drop_unknown_passages": f"with {_SIDES} select passage_key, o \"offset\" from preds where passage_key in (select passage_key from refs)",
     "term_dedupe": f"with {_TERMS} select * from terms",
     "training_pairs": f"with {_TERMS} select a.concept, a.term left_term, b.term right_term from terms a join terms b on a.concept = b.concept and a.pos < b.pos",
     "ambiguous_name_filter": f"with {_CN} select concept, name from kept",
     "ambiguous_name_statistics": f"with {_CN} select (select count(distinct concept) from cn) concepts_before, (select count(*) from cn) names_before, (select count(distinct concept) from kept) concepts_after, (select count(*) from kept) names_after, (select count(*) from (select name from cn group by 1 having count(*) > 1)) ambiguous_names, (select count(distinct concept) from cn) - (select count(distinct concept) from kept) concepts_dropped",
-    "corpus_overlap": f"with {_words()}, {_GAZ}, f as (select distinct d.lang corpus, lower(w.token) form from words w join documents d on w.doc_id = d.doc_id where length(w.token) >= 8) select corpus, count(*) n_forms, count(term) n_matched, round(100.0::double * count(term) / count(*), 2) percent from f left join gaz on form = term group by 1",
+    "corpus_overlap": f"with {_words()}, {_GAZ}, f as (select distinct d.lang corpus, lower(w.token) form from words w join documents d on w.doc_id = d.doc_id) select corpus, count(*) n_forms, count(term) n_matched, round(100.0::double * count(term) / count(*), 2) percent from f left join gaz on form = term group by 1",
     "annotate_e2e": f"with {_words(pattern=_UNICODE)}, {_GAZ} select doc_id, s \"start\", e \"end\", token \"text\", concept from words join gaz on lower(token) = term",
 }
 

@@ -17,9 +17,11 @@ from glossa.functions.vector import cosine_distance, nearest
 from glossa.operators import abbreviations as A
 from glossa.operators import corpus as C
 from glossa.operators import evaluate as V
+from glossa.operators import flows
 from glossa.operators import linking as L
 from glossa.operators import recognize as R
 from glossa.operators import spans as S
+from glossa.sources import annotated, bioc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ASCII = ("[^A-Za-z]", "[A-Za-z]")
@@ -182,9 +184,19 @@ def sequence_ratio_pairs(spark, sf):
 
 @query
 def byte_offset_map(spark, sf):
-    d = _t(spark, sf, "documents").select("doc_id", "text", F.char_length("text").alias("n"))
-    d = d.select("doc_id", "text", F.explode(F.expr("sequence(0, n, 500)")).alias("at"))
-    return d.select("doc_id", _long("at"), T.col(T.byte_offset("text", "at")).cast("long").alias("byte_at"))
+    """The byte offsets of all characters and of the text's end."""
+    d = _t(spark, sf, "documents").select("doc_id", "text", F.char_length("text").cast("long").alias("n")).withColumn("m", T.col(T.byte_offsets("text")))
+    return d.select("doc_id", "n", F.md5(F.array_join(F.transform("m", lambda x: x.cast("string")), ",").cast("binary")).alias("digest"))
+
+
+@query
+def passage_keys(spark, sf):
+    """Both kinds of passage keys, and document keys, where ids are missing."""
+    x = "map('passage_id', if(turn % 3 = 0, concat('p', turn), ''), 'article-id_pmid', if(turn % 2 = 0, concat('a', conv_id), ''))"
+    d = _t(spark, sf, "conversations").select("conv_id", "turn", F.expr("if(conv_id % 5 = 0, '', cast(conv_id as string))").alias("doc"), F.expr(x).alias("infons"))
+    keys = {"passage_key": T.passage_key("doc", "turn", "infons"), "sourced_key": T.sourced_passage_key("if(conv_id % 2 = 0, 'a/b.xml', '')", "doc", "turn", "infons")}
+    keys["document_key"] = T.document_key("doc", "infons['article-id_pmid']", "infons['passage_id']")
+    return d.select("conv_id", "turn", *[T.col(x).alias(k) for k, x in keys.items()])
 
 
 @query
@@ -232,7 +244,7 @@ def _short_mentions(spark, sf) -> DataFrame:
 
 def _defined(spark, sf) -> DataFrame:
     x = "array_join(transform(split(p_name, ' '), w -> upper(left(w, 2))), '')"
-    return _t(spark, sf, "part").where("p_partkey % 5 = 0").select(F.expr("concat('d', p_partkey % 50)").alias("doc_key"), F.expr(f"concat({x}, if(p_partkey % 2 = 0, 's', ''))").alias("key"), F.col("p_name").alias("long_form"), F.col("p_partkey").alias("ord"))
+    return _t(spark, sf, "part").select(F.expr("concat('d', p_partkey % 50)").alias("doc_key"), F.expr(f"concat({x}, if(p_partkey % 2 = 0, 's', ''))").alias("key"), F.col("p_name").alias("long_form"), F.col("p_partkey").alias("ord"))
 
 
 @query
@@ -289,30 +301,30 @@ def link_topk_concepts(spark, sf):
 
 @query
 def abbrev_nearest_key(spark, sf):
+    """Long mentions with their nearest key by given vectors: queries are dimmed copies."""
     e = _t(spark, sf, "embeddings")
-    keys = e.where("vec_id % 50 <> 0")
-    near = nearest(e.where("vec_id % 50 = 0").select("vec_id", "embedding"), keys, 1, "vec_id", "vec_id")
-    m = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("m"), F.expr("left('ABCDEFGHIJK', 3 + cast(vec_id % 8 as int))").alias("mention"))
-    limit = T.col("case when char_length(mention) <= 4 then 0.9D when char_length(mention) <= 7 then 0.5D else 0.1D end")
-    d = m.join(near, m.m == near.query_id).withColumn("score", F.round(1 - F.col("distance"), 9))
-    return d.select("mention", F.col("m").alias("vec_id"), F.col("term_id").alias("key_id"), "score", (F.col("score") >= limit).alias("passes"))
+    q = e.where("vec_id % 50 = 0").select("vec_id", F.expr("transform(embedding, (x, i) -> if(i % 8 = 0, x * 0.5F, x))").alias("embedding"))
+    near = nearest(q, e, 1, "vec_id", "vec_id")
+    m = q.select(F.col("vec_id").alias("_key"), "vec_id", F.expr("left('ABCDEFGHIJK', 3 + cast(vec_id % 8 as int))").alias("mention"))
+    keys = e.select(F.col("vec_id").alias("key"), F.col("label").cast("long").alias("n_ids"))
+    return A.pass_nearest(m, keys, near).select("mention", "vec_id", F.col("matched_key").alias("key_id"), "n_ids", "score")
 
 
 @query
 def cosine_pairs(spark, sf):
+    """Every query against all rows; the queries are one row of arrays."""
     e = _t(spark, sf, "embeddings")
-    a = e.select("vec_id", F.col("label").alias("la"), F.col("embedding").alias("u"))
-    b = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("v"))
-    d = a.join(b, a.la == b.label)
-    return d.select("query_id", "vec_id", F.round(F.expr(cosine_distance("u", "v")), 9).alias("distance"))
+    block = e.where("vec_id % 50 = 0").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("qs"))
+    d = e.select("vec_id", F.col("embedding").alias("u")).crossJoin(F.broadcast(block)).select("vec_id", "u", F.explode("qs").alias("q"))
+    return d.select(F.col("q.vec_id").alias("query_id"), "vec_id", F.round(F.expr(cosine_distance("u", "q.embedding")), 9).alias("distance"))
 
 
 @query
 def rerank_candidates(spark, sf):
-    """Names of parts of size 1 as queries against the brands that have a word of theirs."""
+    """All names as queries against the brands that have a word of theirs."""
     part = _t(spark, sf, "part")
     n = part.select(F.col("p_brand").alias("identifier"), F.col("p_name").alias("name")).distinct()
-    q = part.where("p_size = 1").select(F.col("p_name").alias("query")).distinct()
+    q = part.select(F.col("p_name").alias("query")).distinct()
     qw = q.select("query", F.explode(F.split("query", " ")).alias("w"))
     first = n.groupBy("identifier").agg(F.min("name").alias("preferred_label"))
     nw = n.select("identifier", F.explode(F.split("name", " ")).alias("w")).distinct()
@@ -329,14 +341,14 @@ def mention_distinct(spark, sf):
 
 
 def _gazetteer(spark, sf) -> DataFrame:
-    """Terms: words of eight letters or more of the benchmark, with their first item."""
-    b = S.token_spans(_t(spark, sf, "benchmark"), "item_id", "text", *ASCII).where("char_length(token) >= 8")
+    """Terms: the words of the benchmark, with their first item."""
+    b = S.token_spans(_t(spark, sf, "benchmark"), "item_id", "text", *ASCII)
     return b.groupBy(F.lower("token").alias("term")).agg(F.min("item_id").alias("concept"))
 
 
 @query
 def mention_link_join(spark, sf):
-    w = _words(spark, sf).where("char_length(token) >= 8").withColumn("norm", F.lower("token"))
+    w = _words(spark, sf).withColumn("norm", F.lower("token"))
     g = _gazetteer(spark, sf)
     d = w.join(g, w.norm == g.term, "left")
     return d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_mentions"), F.count("concept").alias("n_linked"), F.countDistinct("concept").alias("n_concepts"))
@@ -352,7 +364,7 @@ def decision_counters(spark, sf):
 def link_mentions(spark, sf):
     """The whole linker with its default encoder."""
     m = _short_mentions(spark, sf)
-    long = _t(spark, sf, "part").where("p_partkey % 10 = 1").select(F.expr("concat('d', p_partkey % 50)").alias("doc_key"), F.col("p_name").alias("mention"))
+    long = _t(spark, sf, "part").select(F.expr("concat('d', p_partkey % 50)").alias("doc_key"), F.col("p_name").alias("mention"))
     d = L.link(m.select("doc_key", "mention").union(long), _ontology(spark, sf), A.lookup(_abbr_rows(spark, sf)), _defined(spark, sf))
     return d.select("doc_key", "mention", "identifier", "name", F.round("final_score", 6).alias("final_score"), "source")
 
@@ -374,7 +386,7 @@ def chunk_windows(spark, sf):
 
 
 def _logits(spark, sf) -> DataFrame:
-    d = _t(spark, sf, "embeddings").select(F.expr("vec_id div 3").alias("token"), F.col("vec_id").alias("chunk"), F.posexplode(F.slice("embedding", 1, 5)).alias("label", "logit"))
+    d = _t(spark, sf, "embeddings").select(F.expr("vec_id div 3").alias("token"), F.col("vec_id").alias("chunk"), F.posexplode("embedding").alias("label", "logit"))
     return d.withColumn("logit", F.col("logit").cast("double"))
 
 
@@ -559,6 +571,87 @@ def drop_unknown_passages(spark, sf):
     return V.drop_unknown(preds, refs).select("passage_key", _long("offset"))
 
 
+# ---------------------------------------------------------------- files
+
+
+def _files(spark, sf) -> DataFrame:
+    """(path, content): a file per conversation, its turns as passages one after the other."""
+    c = _t(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("p"))
+    clean = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    at = "aggregate(slice(p, 1, i), 0, (a, x) -> a + char_length(x.text) + 1)"
+    passage = f"concat('<passage><infon key=\"type\">', x.role, '</infon><offset>', {at}, '</offset><text>', {clean.format('x.text')}, '</text></passage>')"
+    body = f"array_join(transform(p, (x, i) -> {passage}), '')"
+    text = f"concat('<collection><source>made</source><document><id>', conv_id, '</id>', {body}, '</document></collection>')"
+    return c.select(F.format_string("conv-%08d.xml", "conv_id").alias("path"), F.expr(text).cast("binary").alias("content"))
+
+
+def _file_spans(spark, sf) -> DataFrame:
+    """(path, doc_id, start, end, label): words of passages in ing and tion, by place."""
+    p = bioc.passages(annotated.documents(_files(spark, sf))).withColumn("key", F.concat_ws("|", "doc_id", "passage_idx"))
+    w = S.token_spans(p, "key", "text", *ASCII).where("token rlike '(ing|tion)$'")
+    d = w.join(p.select("key", "path", "doc_id", "passage_offset"), "key")
+    kind = F.when(F.endswith("token", F.lit("ing")), "ing").otherwise("tion")
+    return d.select("path", "doc_id", *[(F.col(c) + F.col("passage_offset")).cast("int").alias(c) for c in ("start", "end")], kind.alias("label"))
+
+
+def _written(spark, sf) -> DataFrame:
+    return annotated.with_spans(_files(spark, sf), _file_spans(spark, sf))
+
+
+@query
+def xml_passages(spark, sf):
+    d = bioc.passages(annotated.documents(_files(spark, sf)))
+    return d.select("path", "doc_id", _long("passage_idx"), _long("passage_offset"), F.col("infons")["type"].alias("type"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query
+def xml_spans_write(spark, sf):
+    """Spans written into files and read back: every annotation with its number."""
+    a = bioc.annotations(bioc.passages(annotated.documents(_written(spark, sf), "xml")))
+    return a.select("path", "ann_id", "type", _long("passage_idx"), F.col("locations")[0]["offset"].cast("long").alias("offset"), F.col("locations")[0]["length"].cast("long").alias("length"), "text")
+
+
+@query
+def xml_entities(spark, sf):
+    e = bioc.entities(bioc.annotations(bioc.passages(annotated.documents(_written(spark, sf), "xml"))))
+    return e.select("path", "entity_id", _long("start"), _long("end"), "surface")
+
+
+@query
+def xml_links_write(spark, sf):
+    """Links of annotations' normalised texts written as infons: matched and missing."""
+    files = _written(spark, sf).select("path", F.col("xml").cast("binary").alias("content"))
+    found = annotated.mentions(annotated.documents(files))
+    n = F.char_length("normal")
+    links = found.select("doc_key", F.col("normal").alias("mention")).distinct().withColumn("normal", F.col("mention")).where(n % 2 == 0)
+    links = links.select("doc_key", "mention", F.concat(F.lit("CL:"), n).alias("identifier"), F.col("mention").alias("name"), F.lit(0.5).alias("final_score"))
+    d = annotated.with_links(files, found, links, "m", True)
+    a = bioc.annotations(bioc.passages(annotated.documents(d, "xml"))).where(F.col("infons")["m_id_0"].isNotNull())
+    ids = a.groupBy("path").agg(F.countDistinct(F.col("infons")["m_id_0"]).alias("n_ids"), F.min(F.col("infons")["m_identifier_name_0"]).alias("least_name"))
+    return d.select("path", "matched", "missing").join(ids, "path", "left").select("path", "matched", "missing", F.coalesce("n_ids", F.lit(0)).alias("n_ids"), "least_name")
+
+
+@query
+def training_records(spark, sf):
+    d = flows.training_records(annotated.documents(_written(spark, sf), "xml"), rename={"ing": "act"}, without=("none",))
+    e = F.array_join(F.transform("entities", lambda x: F.concat_ws(":", x["start"], x["end"], x["label"], x["text"])), ",")
+    return d.select("id", "document_id", _long("passage_id"), _long("passage_offset"), F.size("entities").cast("long").alias("n"), F.md5(e.cast("binary")).alias("digest"))
+
+
+@query
+def evaluate_link_grid(spark, sf):
+    """All gates and tops, of gold mentions and end to end, of two sets of types."""
+    place = F.array(F.struct(F.col("id").cast("int").alias("offset"), F.lit(1).alias("length")))
+    gold = _ids(spark, sf).select(F.col("id").alias("ann"), "passage_key", "type", place.alias("locations"), F.col("x").alias("identifier"))
+    moved = F.array(F.struct((F.col("id") + (F.col("id") % 4 == 0).cast("int")).cast("int").alias("offset"), F.lit(1).alias("length")))
+    pred = _link_pred(spark, sf).select(F.col("id").alias("ann"), "passage_key", "type", moved.alias("locations"), "rank", "pred_id", "score").where("rank < 10")
+    out = None
+    for mode in ("gold_mention_normalize", "end_to_end"):
+        d = V.evaluate_links(gold, pred, mode=mode).withColumn("score_mode", F.lit(mode))
+        out = d if out is None else out.unionByName(d)
+    return out.select("score_mode", "gate", _long("top"), "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
 # ---------------------------------------------------------------- corpora
 
 
@@ -595,7 +688,7 @@ def ambiguous_name_statistics(spark, sf):
 @query
 def corpus_overlap(spark, sf):
     docs = _t(spark, sf, "documents").select("doc_id", "lang")
-    f = _words(spark, sf).where("char_length(token) >= 8").join(docs, "doc_id").select(F.col("lang").alias("corpus"), F.lower("token").alias("form"))
+    f = _words(spark, sf).join(docs, "doc_id").select(F.col("lang").alias("corpus"), F.lower("token").alias("form"))
     return C.overlap(f, _gazetteer(spark, sf).withColumnRenamed("term", "form"))
 
 

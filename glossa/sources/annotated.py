@@ -29,6 +29,13 @@ def files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("path"), "content")
 
 
+def documents(rows: DataFrame, text: str = "content") -> DataFrame:
+    """Files (path, content or xml) to (path, doc_id, passage), as ``bioc.read`` gives."""
+    kind = f"document array<struct<{', '.join(re.sub('^(id|infon|passage) ', lambda m: m[1] + ': ', x) for x in re.split(r', (?=infon |passage )', bioc.DOCUMENT))}>>"
+    d = rows.select("path", F.from_xml(F.col(text).cast("string"), F.lit(kind), {"ignoreSurroundingSpaces": "false"}).alias("c"))
+    return d.select("path", F.explode("c.document").alias("d")).select("path", F.trim("d.id").alias("doc_id"), "d.passage")
+
+
 def _parse(content: bytes) -> tuple[str, ET.Element]:
     """What stands before the root element, and the root."""
     root = ET.fromstring(content)
