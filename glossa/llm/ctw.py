@@ -7,20 +7,23 @@ children's product are mixed half and half from the leaves up, which gives each
 weight; the prediction of a bit mixes the estimates of all depths on its path by those
 weights.
 
-Training: tasks count the (DEPTH + 1)-grams of bytes of all training texts, Spark sums
-them, and partitions that hold whole subtrees (by the last two bytes) weigh them; the two
-shallowest depths have at most 256 x 255 nodes and are weighed on the driver. The result
-lists the log-probability of every byte seen after every context; a byte that a context
-has not seen shares the context's left-over mass by the next shorter context, so each
-context's distribution sums to 1.
-
-The tables grow with the corpus. Scoring reads them in shards of at most about
-``SHARD_ROWS`` rows, as many as needed, each a broadcast of bounded size. Word counts for
-the base score are not collected either: the most frequent, at most ``COMMON_WORDS``, are
-broadcast, all others are joined by word.
+Training: tasks count the (DEPTH + 1)-grams of bytes of all training texts and Spark sums
+them. Partitions that hold whole subtrees (by the last two bytes of the context) weigh
+them; the two shallowest depths have at most 256 x 255 nodes and are weighed on the driver.
+A gram's value is the log-probability of its last byte, the product of its eight decisions.
+A node without counts has the estimate 1/2 and its subtree too, so a byte that a context
+has not seen gets the mixture's own mass for it, and each context's distribution sums to 1.
+
+Scoring: the values of the most frequent grams, at most ``COMMON_GRAMS``, and the counts of
+the most frequent words, at most ``COMMON_WORDS``, are broadcast, both by levels of their
+counts. All other grams of a text, seen or not, are asked for: their distinct keys meet the
+counts in their subtrees' partitions, and the values are joined back to the rows. So what
+passes the driver is bounded, and what is shuffled grows with the corpus.
 
 Defined cases: a null text counts as empty and is its end alone; without training texts
-every bit has probability 1/2; equal texts get equal scores.
+every bit has probability 1/2; equal texts, repeated rows too, get equal scores; very long
+texts are cut into steps, not shortened; an empty table gives an empty result; further
+columns are not read, so any names may stand there.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from glossa.llm.batches import small_batches
 from glossa.llm.common import crc_of_id, freeze
 
 DEPTH = 5
-SHARD_ROWS = 8_000_000
+COMMON_GRAMS = 8_000_000
 COMMON_WORDS = 300_000
 PART_ROWS = 200_000
 END = b"\n"
@@ -173,17 +176,18 @@ def _levels(keys: np.ndarray, counts: np.ndarray) -> list[Level]:
     return levels[::-1]
 
 
-def _table(batches) -> tuple[np.ndarray, np.ndarray]:
+def _table(batches) -> list[np.ndarray]:
+    """Keys and, per further column, its numbers."""
     found = [b for b in batches if b.num_rows]
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)]
     t = pa.Table.from_batches(found)
-    return t.column("key").to_numpy().astype(np.uint64), t.column("n").to_numpy()
+    return [t.column(0).to_numpy().astype(np.uint64), *(t.column(k).to_numpy(zero_copy_only=False) for k in range(1, t.num_columns))]
 
 
 def _shallow_part(batches):
     """Sums of depth-2 nodes for the depths above: (node of depth 1, n0, n1, mixed)."""
-    keys, counts = _table(batches)
+    keys, counts, *_ = _table(batches)
     if not len(keys):
         return
     top = _levels(keys, counts)[0]
@@ -205,56 +209,40 @@ class Shallow:
         # What has been mixed in when depth 2 is reached, and the weight that is left.
         self.gone = root.stop[up] * root.one[up] + (1 - root.stop[up]) * one.stop * one.one
         self.left = (1 - root.stop[up]) * (1 - one.stop)
-        at_one = root.stop[up] * root.one[up] + (1 - root.stop[up]) * one.one
-        byte = np.arange(256, dtype=np.uint64)
-        p0, p1 = np.ones(256), np.ones((256, 256))
-        for node_, bit in _decisions(byte):
-            k, b = node_.astype(np.int64), bit.astype(bool)
-            p0 *= np.where(b, root.one[k], 1 - root.one[k])
-            q = at_one.reshape(256, 256)[:, k]
-            p1 *= np.where(b, q, 1 - q)
-        k, b = (0x80 | (byte >> np.uint64(1))).astype(np.int64), (byte & np.uint64(1)).astype(bool)
-        counts = np.where(b, one.n1.reshape(256, 256)[:, k], one.n0.reshape(256, 256)[:, k])
-        seen = counts > 0
-        left = np.maximum(1 - (p1 * seen).sum(axis=1), 1e-12) / np.maximum(1 - (p0 * seen).sum(axis=1), 1e-12)
-        self.p1 = np.where(seen, p1, p0[None, :] * np.where(seen.any(axis=1), left, 1.0)[:, None])
-
-
-def _compile_part(shallow):
-    """Rows (code, value) of whole subtrees: log10 of bytes after contexts of 2 to DEPTH
-    bytes, and of the factor by which a shorter context's value counts."""
+
+
+def gram_values(keys: np.ndarray, levels: list[Level], gone: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each gram's last byte after its context: the mixture over
+    all depths; below a node without counts all estimates are 1/2."""
+    context, byte = keys >> np.uint64(8) << np.uint64(8), keys & np.uint64(255)
+    out = np.zeros(len(keys))
+    for node, bit in _decisions(byte):
+        whole = context | node
+        low = (whole & np.uint64(0xFFFF)).astype(np.int64)
+        one, rest = gone[low], left[low]
+        for depth, level in enumerate(levels, 2):
+            k = whole & np.uint64((1 << 8 * (depth + 1)) - 1)
+            at = np.minimum(np.searchsorted(level.keys, k), len(level.keys) - 1)
+            seen = level.keys[at] == k
+            stop = np.where(seen, level.stop[at], 1.0)
+            one = one + rest * stop * np.where(seen, level.one[at], 0.5)
+            rest = rest * (1 - stop)
+        one = one + rest * 0.5
+        out += np.log10(np.where(bit.astype(bool), one, 1 - one))
+    return out
+
+
+def _value_part(shallow):
+    """Rows (key, n, ask) of whole subtrees to (key, value) of the distinct keys asked for."""
 
     def run(batches):
-        keys, counts = _table(batches)
-        if not len(keys):
+        keys, counts, ask = _table(batches)
+        asked = np.unique(keys[ask])
+        if not len(asked):
             return
-        s = shallow.value
-        levels = _levels(keys, counts)
-        low = (levels[0].keys & np.uint64(0xFFFF)).astype(np.int64)
-        gone, left = s["gone"][low], s["left"][low]
-        before, before_pairs = None, None
-        for depth, level in enumerate(levels, 2):
-            if depth > 2:
-                up = np.searchsorted(levels[depth - 3].keys, level.keys & np.uint64((1 << 8 * depth) - 1))
-                above = levels[depth - 3]
-                gone, left = (gone + left * above.stop * above.one)[up], (left * (1 - above.stop))[up]
-            bit_one = gone + left * level.one
-            pairs = np.unique(keys & np.uint64((1 << 8 * (depth + 1)) - 1))
-            context, byte = pairs >> np.uint64(8) << np.uint64(8), pairs & np.uint64(255)
-            p = np.ones(len(pairs))
-            for node, bit in _decisions(byte):
-                q = bit_one[np.searchsorted(level.keys, context | node)]
-                p *= np.where(bit.astype(bool), q, 1 - q)
-            if depth == 2:
-                shorter = s["p1"][((pairs >> np.uint64(8)) & np.uint64(255)).astype(np.int64), byte.astype(np.int64)]
-            else:
-                shorter = before[np.searchsorted(before_pairs, pairs & np.uint64((1 << 8 * depth) - 1))]
-            contexts, inv = np.unique(context >> np.uint64(8), return_inverse=True)
-            factor = np.maximum(1 - np.bincount(inv, p), 1e-12) / np.maximum(1 - np.bincount(inv, shorter), 1e-12)
-            before, before_pairs = p, pairs
-            for code, value, what in ((pairs, p, depth), (contexts, factor, depth + 8)):
-                suffix = code >> np.uint64(8) if what == depth else code
-                yield from pa.table({"code": pa.array((code | np.uint64(what << 56)).astype(np.int64)), "value": pa.array(np.log10(value).astype(np.float32)), "suffix": pa.array((suffix & np.uint64(0xFFFF)).astype(np.int32))}).to_batches(max_chunksize=100_000)
+        s, some = shallow.value, counts > 0
+        values = gram_values(asked, _levels(keys[some], counts[some]) if some.any() else [], s["gone"], s["left"])
+        yield from pa.table({"key": pa.array(asked.astype(np.int64)), "value": pa.array(values)}).to_batches(max_chunksize=100_000)
 
     return run
 
@@ -295,31 +283,11 @@ class Lookup:
         return out
 
 
-def gram_scores(keys: np.ndarray, look: Lookup, dense: np.ndarray) -> np.ndarray:
-    """log10 of each gram's last byte after its context."""
-    out = look(keys | np.uint64(DEPTH << 56)).astype(float)
-    todo = np.flatnonzero(np.isnan(out))
-    owed = np.zeros(len(todo))
-    for depth in range(DEPTH, 1, -1):
-        if not len(todo):
-            return out
-        k = keys[todo]
-        owed += np.nan_to_num(look((k >> np.uint64(8) & np.uint64((1 << 8 * depth) - 1)) | np.uint64((8 + depth) << 56)), nan=0.0)
-        if depth > 2:
-            got = look((k & np.uint64((1 << 8 * depth) - 1)) | np.uint64((depth - 1) << 56)).astype(float)
-        else:
-            got = dense[(k >> np.uint64(8) & np.uint64(255)).astype(np.int64), (k & np.uint64(255)).astype(np.int64)]
-        hit = ~np.isnan(got)
-        out[todo[hit]] = owed[hit] + got[hit]
-        todo, owed = todo[~hit], owed[~hit]
-    return out
-
-
 # ---------------------------------------------------------------- the operator
 
 
 def train(texts: DataFrame) -> dict:
-    """Tables of a model over all rows of ``texts`` (text): frames and small parts."""
+    """A model over all rows of ``texts`` (text): counted words and grams, and small parts."""
     spark = texts.sparkSession
     small_batches(spark)
     counted = texts.mapInArrow(_count, "word string, key long, n long")
@@ -327,86 +295,77 @@ def train(texts: DataFrame) -> dict:
     vocabulary = counted.where("word is not null").select("word", F.col("n").alias("c"))
     grams = counted.where("word is null").select("key", "n")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).head()
-    parts = max(1, -(-grams.count() // PART_ROWS))
-    by_subtree = grams.repartition(parts, F.expr("(key div 256) % 65536"))
-    rows = by_subtree.mapInArrow(_shallow_part, "node long, n0 double, n1 double, mixed double").groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "mixed")]).orderBy("node").collect()  # at most 256 x 255 rows
+    model = {"vocabulary": vocabulary, "total": total, "distinct": distinct, "grams": grams, "parts": max(1, -(-grams.count() // PART_ROWS))}
+    sums = by_subtree(model, grams).mapInArrow(_shallow_part, "node long, n0 double, n1 double, mixed double").groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "mixed")])
+    rows = sums.orderBy("node").collect()  # at most 256 x 255 rows
     shallow = Shallow(*(np.array([r[i] for r in rows]) for i in range(4))) if rows else Shallow()
-    tables = freeze(by_subtree.mapInArrow(_compile_part(spark.sparkContext.broadcast(vars(shallow))), "code long, value float, suffix int"))
-    return {"vocabulary": vocabulary, "total": total, "distinct": distinct, "tables": tables, "dense": np.log10(shallow.p1)}
-
-
-def _shards(tables: DataFrame, rows: int) -> tuple[list[DataFrame], np.ndarray]:
-    """The tables in parts of about ``rows`` rows that hold whole last-two-byte subtrees."""
-    sizes = tables.groupBy("suffix").count().orderBy("suffix").collect()  # at most 65,536 rows
-    of, shard, filled = np.zeros(65536, np.int32), 0, 0
-    for suffix, n in sizes:
-        if filled and filled + n > rows:
-            shard, filled = shard + 1, 0
-        of[suffix], filled = shard, filled + n
-    if not shard:
-        return [tables], of
-    owner = tables.sparkSession.createDataFrame([(int(s), int(of[s])) for s, _ in sizes], "suffix int, shard int")
-    owned = tables.join(F.broadcast(owner), "suffix")
-    return [owned.where(F.col("shard") == k) for k in range(shard + 1)], of
-
-
-def score(docs: DataFrame, model: dict, shard_rows: int = SHARD_ROWS, common: int = COMMON_WORDS) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``."""
+    return model | {"shallow": vars(shallow)}
+
+
+def by_subtree(model: dict, rows: DataFrame) -> DataFrame:
+    return rows.repartition(model["parts"], F.expr("(key div 256) % 65536"))
+
+
+def values(model: dict, asked: DataFrame) -> DataFrame:
+    """(key, value) of the distinct keys of ``asked`` (key), in training texts or not."""
+    rows = model["grams"].select("key", "n", F.lit(False).alias("ask")).union(asked.select("key", F.lit(0).cast("long"), F.lit(True)))
+    return by_subtree(model, rows).mapInArrow(_value_part(asked.sparkSession.sparkContext.broadcast(model["shallow"])), "key long, value double")
+
+
+def _most(rows: DataFrame, count: str, limit: int) -> DataFrame:
+    """The rows of the largest counts, whole quarter powers of two, at most ``limit``."""
+    level, lowest, held = F.floor(F.log2(count) * 4).cast("int"), None, 0
+    for r in rows.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("level")).collect():  # at most 4 x 64 rows
+        held += r["rows"]
+        if held > limit:
+            break
+        lowest = r["level"]
+    return rows.where(level >= lowest if lowest is not None else F.lit(False))
+
+
+def score(docs: DataFrame, model: dict, common_grams: int = COMMON_GRAMS, common: int = COMMON_WORDS) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte of
+    every row of ``docs``; the code length per byte is of the text as it is modelled."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
     total, distinct = model["total"], model["distinct"]
     below = total + 0.1 * (distinct + 1)
-    # Quarter powers of two of the counts, from the largest down, while `common` words hold them.
-    level = F.floor(F.log2("c") * 4).cast("int")
-    lowest, held = None, 0
-    for r in model["vocabulary"].groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # at most 4 x 64 rows
-        held += r["count"]
-        if held > common:
-            break
-        lowest = r["level"]
-    top = model["vocabulary"].where(level >= lowest if lowest is not None else F.lit(False)).toArrow()
+    top = _most(model["vocabulary"], "c", common).toArrow()  # at most `common` rows
     logs = np.log10((top.column("c").to_numpy() + 0.1) / below)
     words = dict(zip(top.column("word").cast(pa.binary()).to_pylist(), logs.tolist(), strict=True))
-    frames, of = _shards(model["tables"], shard_rows)
-    shared = []
-    for f in frames:  # each of about `shard_rows` rows at most
-        t = f.select("code", "value").toArrow()
-        shared.append(spark.sparkContext.broadcast({"codes": t.column("code").to_numpy(), "values": t.column("value").to_numpy()}))
-        del t
-    small = spark.sparkContext.broadcast({"words": words, "dense": model["dense"], "of": of if len(frames) > 1 else None})
+    t = values(model, _most(model["grams"], "n", common_grams)).toArrow()  # at most `common_grams` rows
+    grams = spark.sparkContext.broadcast({"codes": t.column("key").to_numpy(), "values": t.column("value").to_numpy().astype(np.float32)})
+    del t
+    small = spark.sparkContext.broadcast(words)
     ends = model["vocabulary"].where(F.col("word") == " ").agg(F.coalesce(F.sum("c"), F.lit(0))).head()[0]
     end = math.log10((ends + 0.1) / below)
-    names = ["doc_id", "n_tokens", "known", "base", "score", "rare", "rare_n"]
+    names = ["doc_id", "n_tokens", "known", "base", "score", "n_bytes", "rare", "rare_n", "asked", "asked_n"]
 
-    def table_of(s):
-        v = s.value
+    def run(batches):
+        v = grams.value
         if "look" not in v:  # built once in a worker
             v["look"] = Lookup(v.pop("codes").astype(np.uint64), v.pop("values"))
-        return v["look"]
-
-    def run(batches):
-        fixed = small.value
-        get, dense, of = fixed["words"].get, fixed["dense"], fixed["of"]
-        batches = batches if of is None else list(batches)
-        docs_of = lambda b: [_words(t) for t in b.column(1).to_pylist()]
-        marks = [np.zeros(b.num_rows) for b in batches] if of is not None else None
-        for k, s in enumerate(shared) if of is not None else ():
-            look = table_of(s)
-            for b, mark in zip(batches, marks, strict=True):
-                for i, j, keys, starts, lengths in _runs(docs_of(b)):
-                    at = np.flatnonzero(of[(keys >> np.uint64(8) & np.uint64(0xFFFF)).astype(np.int64)] == k)
-                    values = np.zeros(len(keys))
-                    values[at] = gram_scores(keys[at], look, dense)
-                    mark[i:j] += _sums(values, starts, lengths)
-            del s._value, look
-        for n, b in enumerate(batches):
-            texts = docs_of(b)
-            if of is None:
-                mark = np.zeros(b.num_rows)
-                for i, j, keys, starts, lengths in _runs(texts):
-                    mark[i:j] = _sums(gram_scores(keys, table_of(shared[0]), dense), starts, lengths)
-            else:
-                mark = marks[n]
+        get, look = small.value.get, v["look"]
+        for b in batches:
+            texts = [_words(t) for t in b.column(1).to_pylist()]
+            mark, sizes = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
+            asked: list = [[]] * b.num_rows
+            asked_n: list = [[]] * b.num_rows
+            for i, j, keys, starts, lengths in _runs(texts):
+                got = look(keys).astype(float)
+                at = np.flatnonzero(np.isnan(got))
+                got[at] = 0.0
+                mark[i:j], sizes[i:j] = _sums(got, starts, lengths), lengths
+                of = np.searchsorted(starts, at, "right") - 1
+                inside = at - starts[of] < lengths[of]
+                pairs = np.stack([of[inside].astype(np.uint64), keys[at[inside]]], axis=1)
+                if not len(pairs):
+                    continue
+                pairs, n = np.unique(pairs, axis=0, return_counts=True)
+                cuts = np.append(np.flatnonzero(np.diff(pairs[:, 0], prepend=np.uint64(1 << 63))), len(pairs))
+                for a, z in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+                    row = i + int(pairs[a, 0])
+                    asked[row], asked_n[row] = pairs[a:z, 1].astype(np.int64).tolist(), n[a:z].tolist()
             size, known, base, rare, rare_n = [], [], [], [], []
             for t in texts:
                 got = list(map(get, t))
@@ -417,21 +376,29 @@ def score(docs: DataFrame, model: dict, shard_rows: int = SHARD_ROWS, common: in
                 base.append(math.fsum(hits) + end)
                 rare.append(list(other))
                 rare_n.append(list(other.values()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(mark), pa.array(rare, pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(rare_n, pa.list_(pa.int64()))], names)
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(mark), pa.array(sizes), pa.array(rare, pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(rare_n, longs), pa.array(asked, longs), pa.array(asked_n, longs)], names)
 
     small_batches(spark)
-    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, known long, base double, score double, rare array<string>, rare_n array<long>")
+    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, known long, base double, score double, n_bytes long, rare array<string>, rare_n array<long>, asked array<long>, asked_n array<long>")
     scored = freeze(scored.withColumn("_row", F.monotonically_increasing_id()))
-    rare = scored.select("_row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("_row", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("m"))
+    each = lambda key, n: scored.select("_row", F.explode(F.arrays_zip(F.col(key).alias("k"), F.col(n).alias("m"))).alias("r")).select("_row", "r.k", "r.m")
+    rare = each("rare", "rare_n").withColumnRenamed("k", "word")
     c = F.coalesce("c", F.lit(0))
     rare = rare.join(model["vocabulary"], "word", "left").groupBy("_row").agg(F.sum(F.col("m") * F.log10((c + 0.1) / F.lit(float(below)))).alias("more"), F.sum(F.when(c > 0, F.col("m")).otherwise(0)).alias("more_known"))
-    return scored.drop("rare", "rare_n").join(rare, "_row", "left").select(
+    asked = each("asked", "asked_n").withColumnRenamed("k", "key")
+    found = freeze(values(model, asked.select("key").distinct()))
+    rest = asked.join(found, "key").groupBy("_row").agg(F.sum(F.col("m") * F.col("value")).alias("rest"))
+    whole = F.col("score") + F.coalesce("rest", F.lit(0.0))
+    return scored.drop("rare", "rare_n", "asked", "asked_n").join(rare, "_row", "left").join(rest, "_row", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        whole.alias("score"),
+        "n_bytes",
+        (-whole * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 
@@ -443,4 +410,4 @@ def _sums(values, starts, lengths):
 def score_documents(docs: DataFrame, fold: int = 10) -> DataFrame:
     """Train on the rows whose id's crc32 is not 0 by ``fold`` and score all rows."""
     model = train(docs.where(crc_of_id() % fold != 0).select("text"))
-    return score(docs, model).withColumn("held_out", crc_of_id() % fold == 0).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return score(docs, model).withColumn("held_out", crc_of_id() % fold == 0).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")

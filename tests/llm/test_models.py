@@ -163,9 +163,9 @@ def brute_ctw(text, grams):
             p, left = 0.0, 1.0
             for depth in range(ctw.DEPTH + 1):
                 k = (text[at - depth : at], node)
-                c = counts[k]
+                c = counts.get(k, (0, 0))
                 est = (c[bit] + 0.5) / (sum(c) + 1)
-                if depth == ctw.DEPTH:
+                if depth == ctw.DEPTH or k not in counts:
                     p += left * est
                     break
                 stop = math.exp(kt(c) - weigh(k) - math.log(2))
@@ -187,7 +187,13 @@ def test_ctw_against_brute_force(spark, odd, none):
     got = {r.doc_id: r for r in ctw.score(docs, model, common=2).collect()}
     for i, s in enumerate(seqs):
         assert abs(got[i].score - brute_ctw(s, grams)) < 1e-4
-    several = {r.doc_id: r for r in ctw.score(docs, model, shard_rows=20, common=0).collect()}
+        assert got[i].n_bytes == len(s) - ctw.DEPTH and abs(got[i].bits_per_byte * got[i].n_bytes + got[i].score * math.log2(10)) < 1e-9
+    new = "a cat satt é on"
+    s = ctw.END * ctw.DEPTH + b" ".join(new.encode().split()) + ctw.END
+    for few in (0, ctw.COMMON_GRAMS):
+        (r,) = ctw.score(spark.createDataFrame([(9, new)], "doc_id long, text string"), model, common_grams=few).collect()
+        assert abs(r.score - brute_ctw(s, grams)) < 1e-4
+    several = {r.doc_id: r for r in ctw.score(docs, model, common_grams=20, common=0).collect()}
     assert all(abs(several[i].score - got[i].score) < 1e-5 and abs(several[i].base_score - got[i].base_score) < 1e-9 and several[i].n_known == got[i].n_known for i in several)
     counts = Counter(w for t in texts for w in t.lower().split()) + Counter({" ": 4})
     n, v = sum(counts.values()), len(counts)
@@ -199,11 +205,10 @@ def test_ctw_against_brute_force(spark, odd, none):
 
 def test_ctw_sums_to_one(spark):
     model = ctw.train(spark.createDataFrame([("some words here and more words there",)], "text string"))
-    t = model["tables"].toArrow()
-    look = ctw.Lookup(t.column("code").to_numpy().astype(np.uint64), t.column("value").to_numpy())
     for context in (b"words", b" more", b"zzzzz", b"xxxxw"):
-        k = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], np.uint64)
-        assert abs((10 ** ctw.gram_scores(k, look, model["dense"])).sum() - 1) < 1e-5
+        k = [(int.from_bytes(context + bytes([b]), "big"),) for b in range(256)]
+        got = ctw.values(model, spark.createDataFrame(k, "key long")).collect()
+        assert len(got) == 256 and abs(sum(10**r.value for r in got) - 1) < 1e-5
 
 
 def test_ctw_odd(odd, none):
