@@ -280,17 +280,25 @@ def _read_green(bits: Reader, group: list[Prefix], width: int, n: int) -> np.nda
     have = 128 - (bits.at & 7)
     while len(out) < n:
         if have < 64:
-            x |= fetch(data[at : at + 16], "little") << have
-            at += 16
-            have += 128
-        k = x & mask
-        piece = pieces[k]
-        if piece:
+            x |= fetch(data[at : at + 24], "little") << have
+            at += 24
+            have += 192
+        piece = True
+        for _ in range(min(have // depth, (n - len(out) + 1) // 2)):
+            k = x & mask
+            piece = pieces[k]
+            if not piece:
+                break
             out += piece
             k = sizes[k]
             x >>= k
             have -= k
+        if piece:
             continue
+        if have < 64:
+            x |= fetch(data[at : at + 24], "little") << have
+            at += 24
+            have += 192
         got = one[x & single]
         k = got & 15
         x >>= k
@@ -329,6 +337,8 @@ def _read_image(bits: Reader, width: int, height: int, main: bool) -> np.ndarray
     sizes = (256 + 24 + len(cache), 256, 256, 256, 40)
     groups = [[read_prefix(bits, s) for s in sizes] for _ in range(max(entropy) + 1 if entropy else 1)]
     n = width * height
+    if len(groups) == 1 and all(p.single for p in groups[0][:4]) and groups[0][0].symbols[0] < 256:  # pixels take no bits
+        return np.full(n, sum(int(p.symbols[0]) << place for p, place in zip(groups[0], (8, 16, 0, 24), strict=False)), np.uint32)
     if not cache and len(groups) == 1 and all(p.single for p in groups[0][1:4]):
         return _read_green(bits, groups[0], width, n)
     across = _parts(width, tile) if entropy else 0
@@ -680,45 +690,59 @@ def _symbols(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _write_image(w: Writer, flat: np.ndarray, width: int, cache_bits: int = 0, references: bool = False, main: bool = False) -> None:
     """Entropy-coded pixels: literals, cache hits and references by Huffman codes."""
     n = len(flat)
-    copies = np.array(_copies(flat) if references else [], np.int64).reshape(-1, 3)
-    single = np.ones(n + 1, np.int64)
-    single[-1] = 0
-    cover = np.zeros(n + 1, np.int64)
-    np.add.at(cover, copies[:, 0], 1)
-    np.add.at(cover, copies[:, 0] + copies[:, 1], -1)
-    single = np.flatnonzero((np.cumsum(cover)[:n] == 0))
-    pixels = flat[single]
-    hit = _hits(flat, cache_bits)[single] if cache_bits else np.zeros(len(single), bool)
-    # One row per token: symbols by code, then extra bits and their numbers.
-    place = np.argsort(np.concatenate([single, copies[:, 0]]), kind="stable")
-    length, more, more_n = _symbols(copies[:, 1])
-    near = _near_codes(width)
-    codes = np.array([near.get(d, d + len(NEAR)) for d in copies[:, 2].tolist()], np.int64)
-    distance, far, far_n = _symbols(codes)
-    green = np.where(hit, 280 + (_slots(pixels, cache_bits).astype(np.int64) if cache_bits else 0), (pixels >> 8) & 255)
-    literal = ~hit
-    sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    symbols = [np.concatenate([green, 256 + length]).astype(np.int64), *[((pixels >> s) & 255)[literal].astype(np.int64) for s in (16, 0, 24)], distance]
-    group = [huffman(np.bincount(x, minlength=size)) for x, size in zip(symbols, sizes, strict=True)]
     w.put(1 if cache_bits else 0, 1)
     if cache_bits:
         w.put(cache_bits, 4)
     if main:
         w.put(0, 1)  # one group of codes
+    sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
+    if not cache_bits and (flat == flat[0]).all():  # pixels take no bits
+        for s, size in zip((8, 16, 0, 24), sizes, strict=False):
+            write_prefix(w, Prefix(np.array([int(flat[0]) >> s & 255]), np.zeros(1, np.int64)), size)
+        write_prefix(w, Prefix(np.array([0]), np.zeros(1, np.int64)), 40)
+        return
+    copies = np.array(_copies(flat) if references else [], np.int64).reshape(-1, 3)
+    single = np.arange(n)
+    if len(copies):
+        cover = np.zeros(n + 1, np.int64)
+        cover[copies[:, 0]] += 1
+        cover[copies[:, 0] + copies[:, 1]] -= 1  # a copy may begin where another ends
+        single = np.flatnonzero(np.cumsum(cover)[:n] == 0)
+    pixels = flat[single]
+    green = ((pixels >> np.uint32(8)) & np.uint32(255)).astype(np.int64)
+    lit = slice(None)
+    if cache_bits:
+        hit = _hits(flat, cache_bits)[single]
+        green = np.where(hit, 280 + _slots(pixels, cache_bits).astype(np.int64), green)
+        lit = np.flatnonzero(~hit)
+    length, more, more_n = _symbols(copies[:, 1])
+    near = _near_codes(width)
+    distance, far, far_n = _symbols(np.array([near.get(d, d + len(NEAR)) for d in copies[:, 2].tolist()], np.int64))
+    others = [((pixels[lit] >> np.uint32(s)) & np.uint32(255)).astype(np.int64) for s in (16, 0, 24)]
+    symbols = [np.concatenate([green, 256 + length]), *others, distance]
+    group = [huffman(np.bincount(x, minlength=size)) for x, size in zip(symbols, sizes, strict=True)]
     for p, size in zip(group, sizes, strict=True):
         write_prefix(w, p, size)
-    k, rows = len(single), len(single) + len(copies)
-    value, bits = np.zeros((rows, 4), np.int64), np.zeros((rows, 4), np.int64)
-    tables = [p.arrays(size) for p, size in zip(group, sizes, strict=True)]
-    value[:, 0], bits[:, 0] = tables[0][0][symbols[0]], tables[0][1][symbols[0]]
-    lit = np.flatnonzero(literal)
-    for c in (1, 2, 3):
-        value[lit, c], bits[lit, c] = tables[c][0][symbols[c]], tables[c][1][symbols[c]]
-    value[k:, 1], bits[k:, 1] = more, more_n
-    value[k:, 2], bits[k:, 2] = tables[4][0][distance], tables[4][1][distance]
-    value[k:, 3], bits[k:, 3] = far, far_n
-    value, bits = value[place].ravel(), bits[place].ravel()
-    w.add(value, bits)
+    # One number per token: its codes and extra bits, the first ones lowest.
+    code, bits = (table[symbols[0]] for table in group[0].arrays(sizes[0]))
+    k = len(single)
+    for p, size, x in zip(group[1:4], sizes[1:4], others, strict=True):
+        if not p.single:
+            own, own_n = p.arrays(size)
+            code[:k][lit] |= own[x] << bits[:k][lit]
+            bits[:k][lit] += own_n[x]
+    if len(copies):
+        own, own_n = group[4].arrays(sizes[4])
+        for value, number in ((more, more_n), (own[distance], own_n[distance]), (far, far_n)):
+            code[k:] |= value << bits[k:]
+            bits[k:] += number
+        at = np.searchsorted(single, copies[:, 0]) + np.arange(len(copies))
+        rest = np.ones(len(code), bool)
+        rest[at] = False
+        order = np.empty(len(code), np.int64)
+        order[at], order[rest] = np.arange(k, len(code)), np.arange(k)
+        code, bits = code[order], bits[order]
+    w.add(code, bits)
 
 
 _NEAR_CODES: dict[int, dict[int, int]] = {}
