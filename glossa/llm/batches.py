@@ -13,10 +13,14 @@ from glossa.llm.common import crc_of_id
 
 #: Bytes of text that one step of numpy works on; longer texts are a step of their own.
 STEP_BYTES = 1 << 20
+#: Bytes of an Arrow batch, or one row.
+BATCH_BYTES = 32 << 20
 
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Hold Arrow batches to a number of rows that fits a worker's memory."""
+    """Hold Arrow batches of this session to a number of rows and of bytes that fit a
+    worker's memory, whatever the rows' size."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
@@ -34,6 +38,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the lower-cased texts, and offsets; nulls are empty."""
+    texts = [(t or "").lower() for t in column.to_pylist()]
+    data = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    return data, np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+
+
 def steps(offsets: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes, one row at least."""
     start, n = 0, len(offsets) - 1

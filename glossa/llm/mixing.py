@@ -15,7 +15,9 @@ sizes are bounded, so a source with a third of all rows is spread like any other
 
 Defined cases: a null source is a source of its own; every row is kept; when a source
 ends, its slots are passed over and the others keep their order; an empty table gives an
-empty result; repeated rows each have a place.
+empty result; repeated rows each have a place; equal deadlines go by the source's name, and
+rows of a block by a hash of their ids; texts are not read, so their length is free; of the
+columns only id and source are read, so any further names may stand there.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ not there is encoded. Where white space makes the parts depend on each other, or
 holds the end marker, the whole text is encoded by tokenizers. Both ways give its ids.
 
 Defined cases: a null text counts as empty, whose ids are the closing id alone; repeated
-rows are packed each; an empty table gives an empty result.
+rows are packed each; an empty table gives an empty result; equal lengths go by id, piece
+and checksum; very long texts are cut into full sequences and a rest; further columns are
+not read, so any names may stand there.
 """
 
 from __future__ import annotations

@@ -2,18 +2,24 @@
 
 Statistics of whole texts (character classes, words, repetition, lines) are standardised
 and mapped to cosines of random projections, which approximate a Gaussian kernel. Each
-partition sums its part of the normal equations; the driver adds the fixed-size sums and
-solves for ridge weights. Pool-adjacent-violators turns raw values into probabilities.
+partition sums its part of the normal equations, by two folds; the driver adds the
+fixed-size sums and solves for ridge weights, of both folds and of each alone.
+Pool-adjacent-violators turns raw values into probabilities: it is fitted on the values that
+each fold gets from the other one's weights, so no row calibrates what it was fitted on.
 
 Bound, a parameter: ``FIT_ROWS`` labelled documents are fitted on.
 
 Defined cases: null and empty texts have the statistics of an empty text; with one class
-or no labels every score is the smoothed share of label 1; repeated rows and equal texts
-get equal scores.
+or no labels every score is the smoothed share of label 1; equal texts, repeated rows too,
+get equal scores; of several labels of an id the largest counts; equal values pool; very
+long texts are measured whole; an empty table gives an empty result; further columns are
+not read unless they are carried, in one struct.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -88,19 +94,30 @@ def features(x: np.ndarray, m: dict) -> np.ndarray:
     return np.hstack([np.cos(z @ m["w"] + m["b"]) * np.sqrt(2 / DIMENSIONS), np.ones((len(x), 1))])
 
 
+def fold_of(x: np.ndarray) -> np.ndarray:
+    """0 or 1 for each row of statistics, by its bytes."""
+    return np.array([zlib.crc32(row.tobytes()) & 1 for row in np.ascontiguousarray(x, float)], np.int64)
+
+
 def _normal(m):
     def run(batches):
-        a, b = np.zeros((DIMENSIONS + 1, DIMENSIONS + 1)), np.zeros(DIMENSIONS + 1)
+        a, b = np.zeros((2, DIMENSIONS + 1, DIMENSIONS + 1)), np.zeros((2, DIMENSIONS + 1))
         for batch in batches:
             x = np.array(batch.column(0).to_pylist()).reshape(-1, WIDTH)
-            phi, y = features(x, m), batch.column(1).to_numpy(zero_copy_only=False).astype(float)
-            a += phi.T @ phi
-            b += phi.T @ y
+            phi, y, fold = features(x, m), batch.column(1).to_numpy(zero_copy_only=False).astype(float), fold_of(x)
+            for k in (0, 1):
+                a[k] += phi[fold == k].T @ phi[fold == k]
+                b[k] += phi[fold == k].T @ y[fold == k]
         yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary())], ["a", "b"])
 
     return run
 
 
+def ridge(a: np.ndarray, b: np.ndarray, rows: int) -> np.ndarray:
+    """Weights of the normal equations; the constant is not penalised."""
+    return np.linalg.solve(a + RIDGE * rows * np.diag([1.0] * DIMENSIONS + [0.0]) + 1e-9 * np.eye(DIMENSIONS + 1), b)
+
+
 def isotonic(value: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: knots and non-decreasing probabilities. Equal values pool."""
     knots, inverse = np.unique(value, return_inverse=True)
@@ -131,10 +148,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, seed: int = 7)
     m = {"mean": x.mean(axis=0), "scale": np.where(scale > 1e-9, scale, 1.0), "w": draw.normal(size=(WIDTH, DIMENSIONS)) * 0.25, "b": draw.uniform(0, 2 * np.pi, DIMENSIONS)}
     sums = sample.mapInArrow(_normal(m), "a binary, b binary").collect()  # a fixed size for each of 8 partitions
     size = DIMENSIONS + 1
-    a = sum(np.frombuffer(r.a).reshape(size, size) for r in sums)
-    b = sum(np.frombuffer(r.b) for r in sums)
-    m["beta"] = np.linalg.solve(a + RIDGE * len(y) * np.diag([1.0] * DIMENSIONS + [0.0]) + 1e-9 * np.eye(size), b)
-    m["knots"], m["levels"] = isotonic(features(x, m) @ m["beta"], y)
+    a = sum(np.frombuffer(r.a).reshape(2, size, size) for r in sums)
+    b = sum(np.frombuffer(r.b).reshape(2, size) for r in sums)
+    m["beta"] = ridge(a.sum(axis=0), b.sum(axis=0), len(y))
+    phi, fold = features(x, m), fold_of(x)
+    both = all(len(np.unique(y[fold == k])) == 2 for k in (0, 1))
+    raw = phi @ m["beta"]
+    for k in (0, 1) if both else ():  # too few rows for two folds calibrate on themselves
+        raw[fold == k] = phi[fold == k] @ ridge(a[1 - k], b[1 - k], int((fold != k).sum()))
+    m["knots"], m["levels"] = isotonic(raw, y)
     return m
 
 

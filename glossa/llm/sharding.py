@@ -12,12 +12,14 @@ What reaches the driver is one count per pair of labels.
 
 Defined cases: a null text counts as empty for its group and has size 1; repeated rows
 are separate nodes of one group; an empty table gives an empty result; a group larger
-than a shard is split: what its shard cannot hold stays spread.
+than a shard is split: what its shard cannot hold stays spread; ties among labels go by a
+hash of the leading hub; very long texts count by their bytes and do not move; further
+columns are not read, so any names may stand there. Texts are equal by a 128-bit digest.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.llm.common import freeze, positions, spread_join
@@ -67,7 +69,12 @@ def cut_links(placed: DataFrame, links: DataFrame, shard: str = "shard") -> Data
 def place(nodes: DataFrame, links: DataFrame, n_shards: int, rounds: int = 6, spread: int = 256) -> DataFrame:
     """``nodes`` (node long, and more) with shard and slot; counts are at most one apart."""
     total = nodes.count()
-    labels = propagate(links, n_shards, -(-total // n_shards), rounds)
+    state = propagate(links, n_shards, -(-total // n_shards), rounds)
+    # At last the nodes of a leading hub go where most of them are: they stand side by side in
+    # the numbering, and only what lies across one of its cuts is split.
+    count = state.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("n"))
+    most = count.groupBy("hub").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label"), F.sum("n").alias("hub_rows"))
+    labels = freeze(spread_join(state.select("node", "hub"), most, "hub", "hub_rows", max(total, 1)).select("node", "label", "hub"))
     load = {r[0]: r[1] for r in labels.groupBy("label").count().collect()}  # one row per label
     room = [max(0, total / n_shards - load.get(s, 0)) for s in range(n_shards)]
     edges, at = [], 0.0
@@ -79,11 +86,13 @@ def place(nodes: DataFrame, links: DataFrame, n_shards: int, rounds: int = 6, sp
     free = F.coalesce(*[F.when(u < e, F.lit(s)) for s, e in enumerate(edges[:-1])], F.lit(n_shards - 1))
     d = d.withColumn("_zone", F.when(F.col("label").isNotNull(), 1).otherwise(2 * F.pmod(F.xxhash64("node", F.lit(13)), F.lit(2)).cast("int")))
     d = d.withColumn("label", F.coalesce("label", free))
-    hubs = labels.groupBy("hub").count().where(F.col("count") * 1000 >= total).select(F.col("hub").alias("_hub"), F.lit(True).alias("_wide"))
-    d = d.join(F.broadcast(hubs), "_hub", "left")  # at most 1000 rows
+    # A hub of a thousandth of all rows or more has buckets of its own, by its nodes' hashes.
+    wide = F.row_number().over(Window.orderBy("_hub"))  # at most 1000 rows
+    hubs = labels.groupBy("hub").count().where(F.col("count") * 1000 >= total).select(F.col("hub").alias("_hub")).withColumn("_wide", wide)
+    d = d.join(F.broadcast(hubs), "_hub", "left")
     by_node, by_hub = F.pmod(F.xxhash64("node", F.lit(17)), F.lit(spread)), F.pmod(F.xxhash64("_hub", F.lit(17)), F.lit(spread))
-    fine = F.when(F.col("_wide") | F.col("_hub").isNull(), by_node + spread).otherwise(by_hub)
-    d = d.withColumn("_bucket", ((F.col("label") * 3 + F.col("_zone")) * (2 * spread) + fine).cast("int"))
+    fine = F.when(F.col("_wide").isNotNull() | F.col("_hub").isNull(), by_node).otherwise(by_hub)
+    d = d.withColumn("_bucket", (((F.col("label") * 3 + F.col("_zone")) * 1001 + F.coalesce("_wide", F.lit(0))) * spread + fine).cast("int"))
     d = positions(d, [], "_bucket", ["_hub", "node"], "_pos")
     d = d.withColumn("shard", F.expr(f"cast(_pos * {n_shards} div {max(total, 1)} as int)"))
     return d.withColumn("slot", F.col("_pos") - F.expr(f"(cast(shard as bigint) * {total} + {n_shards - 1}) div {n_shards}")).drop("_hub", "_zone", "_wide", "_bucket", "_pos", "label")
@@ -92,7 +101,7 @@ def place(nodes: DataFrame, links: DataFrame, n_shards: int, rounds: int = 6, sp
 def shard_equal_texts(docs: DataFrame, n_shards: int, doc_id: str = "doc_id", text: str = "text", rounds: int = 6) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: equal texts are linked."""
     t = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.xxhash64(t, F.octet_length(t)).alias("_h"))
+    base = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.unhex(F.md5(t.cast("binary"))).alias("_h"))
     base = freeze(base.withColumn("node", F.monotonically_increasing_id()))
     groups = base.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     links = freeze(spread_join(base.select("node", "_h"), groups, "_h", "_n", max(base.count(), 1)).select("node", F.col("_h").alias("hub")))

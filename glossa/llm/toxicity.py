@@ -1,6 +1,7 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes ratios.
 
-Features are the presence of hashed byte n-grams (orders 3 to 6) of the lower-cased text.
+Features are the presence of hashed character n-grams (3 to 6 code points of the
+lower-cased text).
 On a bounded sample of labelled documents Spark sums each bucket's documents per class;
 the log-count ratio r of a bucket scales its feature, the buckets with the largest
 z-scores of r stay, and a regularised logistic regression over the scaled features gives
@@ -9,8 +10,10 @@ the weights. Scoring is one pass over whole texts without a shuffle.
 Bounds, both parameters: ``FIT_ROWS`` documents are fitted on and ``FEATURES`` kept.
 
 Defined cases: null and empty texts have no features and get the score of the bias; with
-one class or no labels the score is the smoothed share of label 1; repeated rows get equal
-scores; equal texts get equal scores.
+one class or no labels the score is the smoothed share of label 1; equal texts, repeated
+rows too, get equal scores; of several labels of an id the largest counts; ties among
+features go by bucket; very long texts are scored whole; an empty table gives an empty
+result; further columns are not read, so any names may stand there.
 """
 
 from __future__ import annotations
@@ -20,18 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.batches import held_out, labelled_sample, small_batches, steps, utf8
+from glossa.llm.batches import held_out, labelled_sample, points, small_batches, steps
 
 ORDERS = (3, 4, 5, 6)
 BITS = 20
 FIT_ROWS = 12_000
 FEATURES = 4096
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 
 
 def gram_buckets(data: np.ndarray, ends: np.ndarray, order: int) -> np.ndarray:
-    """Bucket + 1 of the n-gram that starts at each byte; 0 where it would leave its text."""
+    """Bucket + 1 of the n-gram that starts at each code point; 0 where it would leave its text."""
     n = len(data)
     out = np.zeros(n, np.uint32)
     if n < order:
@@ -53,7 +54,7 @@ def gram_buckets(data: np.ndarray, ends: np.ndarray, order: int) -> np.ndarray:
 
 def _hits(data, offsets, keep):
     """(row, kept index) pairs, each once: ``keep`` maps bucket + 1 to index + 1 or 0."""
-    data, ends = _LOWER[data], offsets[1:]
+    ends = offsets[1:]
     found = []
     for order in ORDERS:
         got = keep[gram_buckets(data, ends, order)]
@@ -67,7 +68,7 @@ def _count(batches):
     sums: dict[int, np.ndarray] = {}
     everything = np.arange((1 << BITS) + 1, dtype=np.int64)
     for batch in batches:
-        data, offsets = utf8(batch.column(0))
+        data, offsets = points(batch.column(0))
         y = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
         for a, b in steps(offsets):
             rows, found = _hits(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], everything)
@@ -82,7 +83,7 @@ def _count(batches):
 def _presence(keep):
     def run(batches):
         for batch in batches:
-            data, offsets = utf8(batch.column(0))
+            data, offsets = points(batch.column(0))
             for a, b in steps(offsets):
                 rows, found = _hits(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], keep)
                 grid = np.zeros((b - a, FEATURES), bool)
@@ -140,7 +141,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches):
         m = shared.value
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
+            data, offsets = points(batch.column(1))
             z = np.full(len(offsets) - 1, m["bias"])
             for a, b in steps(offsets):
                 rows, found = _hits(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], m["keep"])

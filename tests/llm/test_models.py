@@ -273,3 +273,77 @@ def test_media(odd, none):
     got = webp.media_columns(odd).collect()
     assert len(got) == odd.count() and all(r.payload_bytes % 576 == 0 and r.payload_bytes > 0 for r in got)
     assert webp.media_columns(none).count() == 0
+
+
+def test_character_grams_against_brute_force():
+    """Each n-gram of code points of the lower-cased text is one bucket, also at text edges."""
+    texts = ["ÄbÇ日本x", "", None, "ab", "äbç日本X and more", "İstanbul ẞ"]
+    data, offsets = toxicity.points(pa.array(texts))
+    keep = np.arange((1 << toxicity.BITS) + 1, dtype=np.int64)
+    rows, found = toxicity._hits(data, offsets, keep)
+    got = {k: set(found[rows == k].tolist()) for k in range(len(texts))}
+
+    def bucket(gram):
+        h = len(gram) * 0x9E3779B1 & 0xFFFFFFFF
+        for c in gram:
+            h = (h * 0x01000193 & 0xFFFFFFFF) ^ ord(c)
+        h ^= h >> 15
+        return (h * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - toxicity.BITS)
+
+    for k, t in enumerate(texts):
+        t = (t or "").lower()
+        assert got[k] == {bucket(t[i : i + n]) for n in toxicity.ORDERS for i in range(len(t) - n + 1)}
+    assert got[0] <= got[4]
+
+
+def test_toxicity_against_brute_force(spark):
+    """Log-count ratios scale the features and the weights are at the optimum."""
+    draw = random.Random(6)
+    rows = [(i, words(draw, 12, 40) + (" zut!" if i % 4 == 0 else "")) for i in range(160)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    m = toxicity.fit(docs, marks)
+    fit = [(t, i % 4 == 0) for i, t in rows if zlib.crc32(str(i).encode()) % 5]
+    data, offsets = toxicity.points(pa.array([t for t, _ in fit]))
+    at, found = toxicity._hits(data, offsets, np.arange((1 << toxicity.BITS) + 1, dtype=np.int64))
+    y = np.array([b for _, b in fit])
+    grid = np.zeros((len(fit), 1 << toxicity.BITS), np.float32)
+    grid[at, found] = 1
+    pos, neg = grid[y].sum(axis=0), grid[~y].sum(axis=0)
+    ratio = np.log((pos + 1) / (y.sum() + 2)) - np.log((neg + 1) / ((~y).sum() + 2))
+    kept = np.flatnonzero(m["keep"][1:])
+    assert set(kept) == set(np.flatnonzero(pos + neg >= 5))  # fewer than FEATURES
+    x = grid[:, kept] * ratio[kept]
+    w = m["weights"][m["keep"][kept + 1] - 1] / ratio[kept]
+    z = x @ w + m["bias"]
+    g = 1 / (1 + np.exp(-z)) - y
+    assert np.abs(x.T @ g / len(y) + 1e-3 * w).max() < 0.02 and abs(g.mean()) < 0.02
+    got = {r.doc_id: r.score for r in toxicity.score(docs, m).collect()}
+    train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    assert np.allclose([got[i] for i in train], 1 / (1 + np.exp(-z)), atol=1e-5)
+
+
+def test_quality_against_brute_force(spark):
+    """Ridge by a direct solution, isotonic by its minimax formula, on held folds."""
+    draw = random.Random(9)
+    rows = [(i, words(draw, 30 + i % 50) if i % 3 else "| ".join(["## X"] * draw.randrange(2, 60))) for i in range(240)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 > 0 and i % 7 > 0)) for i, _ in rows], "doc_id long, quality int")
+    m = rff_quality.fit(docs, marks)
+    fit = [(t, float(i % 3 > 0 and i % 7 > 0)) for i, t in rows if zlib.crc32(str(i).encode()) % 5]
+    x, y = np.array([rff_quality.statistics(t) for t, _ in fit]), np.array([b for _, b in fit])
+    assert np.allclose(m["mean"], x.mean(axis=0))
+    phi = rff_quality.features(x, m)
+    penalty = np.sqrt(rff_quality.RIDGE * len(y)) * np.eye(phi.shape[1])
+    penalty[-1, -1] = 0
+    direct = np.linalg.lstsq(np.vstack([phi, penalty]), np.concatenate([y, np.zeros(phi.shape[1])]), rcond=None)[0]
+    assert np.allclose(phi @ m["beta"], phi @ direct, atol=1e-4)
+    fold, raw = rff_quality.fold_of(x), np.zeros(len(y))
+    for k in (0, 1):
+        o = fold != k
+        raw[~o] = phi[~o] @ rff_quality.ridge(phi[o].T @ phi[o], phi[o].T @ y[o], int(o.sum()))
+    order = np.argsort(raw, kind="stable")
+    v = y[order]
+    means = lambda a, b: v[a : b + 1].mean()
+    want = [max(min(means(a, b) for b in range(k, len(v))) for a in range(k + 1)) for k in range(len(v))]
+    got = np.interp(raw[order], m["knots"], m["levels"])
+    assert np.abs(got - want).max() < 2e-3
+    assert np.allclose(rff_quality.predict(x, m), np.clip(np.interp(phi @ m["beta"], m["knots"], m["levels"]), 0, 1))

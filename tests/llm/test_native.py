@@ -230,3 +230,43 @@ def test_digest_is_the_contract(spark):
     text = "a@b.co 1.2.3.4"
     r = pii.find_spans(spark.createDataFrame([(text,)], "text string")).select(F.sha2(F.expr(pii.digest("spans")), 256)).head()[0]
     assert r == hashlib.sha256(b"email:0:6,ip:7:14").hexdigest()
+
+
+def test_labels_move_to_their_neighbours(spark):
+    """Planted communities: far fewer rows stand outside their hub's shard than at first, no
+    shard is above its capacity by much, and small groups of equal texts stay whole."""
+    draw = random.Random(4)
+    links = [(i, f"c{i // 50}.{k}") for i in range(400) for k in draw.sample(range(12), 3)] + [(i, f"x{draw.randrange(40)}") for i in draw.sample(range(400), 40)]
+    d = spark.createDataFrame(links, "node long, hub string")
+    before = spark.createDataFrame([(i, draw.randrange(4)) for i in range(400)], "node long, shard int")
+    after = sharding.propagate(d, 4, 100, rounds=12).select("node", F.col("label").alias("shard"))
+    cut = lambda p: sharding.cut_links(p, d).head().cut
+    # By brute force: rows outside the shard where most of their hub stands.
+    of, hubs = {r.node: r.shard for r in after.collect()}, {}
+    for i, h in links:
+        hubs.setdefault(h, Counter())[of[i]] += 1
+    assert cut(after) == sum(sum(c.values()) - max(c.values()) for c in hubs.values()) < 0.75 * cut(before)
+    assert max(Counter(of.values()).values()) <= 130
+    texts = [f"text {k % 90}" for k in range(270)] + ["hot"] * 130
+    got = sharding.shard_equal_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4).collect()
+    shards = {}
+    for r in got:
+        shards.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert Counter(r.shard for r in got) == {k: 100 for k in range(4)}
+    assert sum(len(s) > 1 for s in shards.values()) <= 4
+    for k in range(4):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(100))
+
+
+def test_equal_weights_do_not_drift(spark):
+    """Three equal sources over many blocks: at every position each has its share but a block."""
+    rows = [(i, "abc"[i % 3]) for i in range(6000)]
+    d = spark.createDataFrame(rows, "doc_id long, source string")
+    got = mixing.mix(d, {"a": 1.0, "b": 1.0, "c": 1.0}, block_rows=1).orderBy("position").collect()
+    done = Counter()
+    for t, r in enumerate(got):
+        assert r.position == t
+        done[r.source] += 1
+        assert all(abs(done[s] - (t + 1) / 3) < 1 for s in "abc")
+    many = spark.createDataFrame([(i, f"s{i % 3000}") for i in range(6000)], "doc_id long, source string")
+    assert sorted(r.position for r in mixing.mix(many, mixing.tempered_weights(many)).collect()) == list(range(6000))
