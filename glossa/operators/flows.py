@@ -130,6 +130,14 @@ def corpus_mentions(docs: DataFrame, relations: tuple[str, ...] | None = None) -
     return once.select("concept", "term", pos.alias("pos"))
 
 
+def corpus_counts(docs: DataFrame) -> DataFrame:
+    """(path, n_docs, n_passages, n_chars, n_tokens, n_mentions) of documents as of
+    ``bioc.read``: passages with text, and their annotations."""
+    p = bioc.passages(docs)
+    m = p.groupBy("path").agg(F.sum(F.coalesce(F.size("annotation"), F.lit(0)).cast("long")).alias("n_mentions"))
+    return C.statistics(p, ["path"], "doc_id").join(m, "path")
+
+
 def vocabulary_overlap(spark: SparkSession, corpora: dict[str, list[str]], ontology: DataFrame, without_vague: tuple[str, ...] = ("CellLink",)) -> DataFrame:
     """Per corpus: distinct surface forms of its annotations, how many are ontology names
     by their relaxed keys, percent."""

@@ -148,3 +148,11 @@ def running_ids(d: DataFrame, order: list[str], out: str = "id") -> DataFrame:
     before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shifts = F.broadcast(sizes.select("_part", before.alias("_shift")))  # one row per file
     return rows.join(shifts, "_part").withColumn(out, F.col("_shift") + F.col("_n")).drop("_part", "_n", "_shift")
+
+
+def ids_within(d: DataFrame, group: str, order: list[str], out: str = "id") -> DataFrame:
+    """Gapless numbers from 0 within each group, in a total order, by numbers over all rows:
+    a group with most of the rows is spread like any other."""
+    n = running_ids(d, [group, *order], "_id")
+    first = n.groupBy(F.col(group).alias("_g")).agg(F.min("_id").alias("_first"))
+    return n.join(first, F.col(group).eqNullSafe(F.col("_g"))).withColumn(out, F.col("_id") - F.col("_first")).drop("_id", "_g", "_first")

@@ -61,7 +61,7 @@ def _paren(a: str, b: str) -> str:
 
 
 def _relaxed(x: str) -> str:
-    t = f"regexp_replace({_normal(x)}, '[\\x{{2010}}\\x{{2011}}\\x{{2012}}\\x{{2013}}\\x{{2014}}\\x{{2212}}_-]+', ' ', 'g')"
+    t = f"regexp_replace(translate({_normal(x)}, '’‘`“”', '''''''\"\"'), '[\\x{{2010}}\\x{{2011}}\\x{{2012}}\\x{{2013}}\\x{{2014}}\\x{{2212}}_-]+', ' ', 'g')"
     t = f"regexp_replace(regexp_replace({t}, '^[\\s.,;:()\\[\\]{{}}]+', ''), '[\\s.,;:()\\[\\]{{}}]+$', '')"
     return _squeeze(f"regexp_replace({t}, '\\bcells\\b', 'cell', 'g')")
 
@@ -157,7 +157,7 @@ SQL = {
     "token_split": f"select doc_id, len({_tokens('text')}) n, md5(array_to_string({_tokens('text')}, '|')) digest from documents",
     "plural_normalize": f"select doc_id, length({_plural('text')}) n, md5({_plural('text')}) digest from documents",
     "text_keys": f"with d as (select p_partkey, p_name, upper(substring(p_name, 1, 3)) || '-' || p_brand || '  s' x from part) select p_partkey, {_normal('x')} normal, {_key('x')} abbr_key, {_key('x')} || '|' || ({_other(_key('x'))}) variants, {_limit('x')} threshold, {_short('x')} looks_short, {_short('p_name')} name_looks_short from d",
-    "relaxed_key": f"with d as (select p_partkey id, '(' || p_name || '_Cells).' x from part union all select n_nationkey, n_name || 'ies' from nation), r as (select id, string_split({_relaxed('x')}, ' ') a from d), l as (select id, a, a[-1] w from r) select id, array_to_string(list_append(a[1:len(a) - 1], {_LAST}), ' ') relaxed from l",
+    "relaxed_key": f"with d as (select p_partkey id, '(“' || p_name || '’s”—A_Cells).' x from part union all select n_nationkey, n_name || 'ies' from nation), r as (select id, string_split({_relaxed('x')}, ' ') a from d), l as (select id, a, a[-1] w from r) select id, array_to_string(list_append(a[1:len(a) - 1], {_LAST}), ' ') relaxed from l",
     "identifier_split": f"with {_IDS}, d as (select id, x, {_PARTS} p from ids) select id, unnest(case when len(p) = 0 then [null] else p end) part, regexp_replace(x, '^(?i)cl[_:]', 'CL:') cased, array_to_string(list_transform(regexp_extract_all(x, '(?i)CL\\s*[:_]\\s*(\\d+)', 1), lambda k: 'CL:' || k), '|') found from d",
     "identifier_gates": f"with {_IDS}, {_GOLD} select gate, \"type\", count(*) n, count(distinct gold_id) n_ids from gold group by 1, 2",
     "token_jaccard_pairs": f"with n as (select distinct p_name from part) select a.p_name a, b.p_name b, round({_jaccard(_set('a.p_name'), _set('b.p_name'))}, 9) jaccard from n a, n b where a.p_name < b.p_name and len(list_intersect({_set('a.p_name')}, {_set('b.p_name')})) > 0",
@@ -212,6 +212,8 @@ SQL = {
       c as (select gate, "type", count(*) filter (r and q) tp, count(*) filter (q and not r) fp, count(*) filter (r and not q) fn from b group by 1, 2) select *, {_PRF} from c""",
     "contrastive_loss": f"with {_LOSS} select round(avg(-(pos / n - m - lse)), 6) loss, count(*) anchors from l where n > 0",
     "xml_passages": f"with {_CONV} select path, conv_id::varchar doc_id, passage_idx, o passage_offset, role \"type\", md5(text) digest from pas where text <> ''",
+    "xml_corpus_counts": f"with {_CONV}, {_NOTES} select path, count(distinct conv_id) n_docs, count(*) n_passages, sum(length(text))::bigint n_chars, sum({_WORDN})::bigint n_tokens, (select count(*) from notes n where n.path = p.path) n_mentions from pas p where text <> '' group by path",
+    "xml_concatenate": f"with {_CONV} select '1' place, md5(conv_id::varchar) digest from pas group by conv_id union all select '0', md5('<collection><source>made</source>') union all select '2', md5('</collection>')",
     "xml_spans_write": f"with {_CONV}, {_NOTES} select path, 'T' || n ann_id, kind \"type\", passage_idx, o + s \"offset\", length(token)::bigint \"length\", token \"text\" from notes",
     "xml_entities": f"with {_CONV}, {_NOTES} select path, 'T' || n || ':0' entity_id, s \"start\", e \"end\", token surface from notes",
     "xml_links_write": f"with {_CONV}, {_NOTES}, x as (select *, {_singular('token')} w from notes) select p.path, count(w) filter (length(w) % 2 = 0) matched, count(w) filter (length(w) % 2 = 1) missing, count(distinct length(w)) filter (length(w) % 2 = 0) n_ids, min(w) filter (length(w) % 2 = 0) least_name from (select distinct path from pas) p left join x on x.path = p.path group by 1",

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossa.functions import text as T
-from glossa.functions.udfs import sequence_ratio
+from glossa.functions.udfs import nfkc, sequence_ratio
 from glossa.functions.vector import cosine_distance, nearest
 from glossa.operators import abbreviations as A
 from glossa.operators import corpus as C
@@ -58,9 +58,8 @@ def _long(x: str):
 
 @query
 def passage_scan_filter(spark, sf):
-    d = _t(spark, sf, "documents").where("length(text) > 0")
-    rid = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return d.select("doc_id", "source", rid.cast("long").alias("record_id"), F.char_length("text").cast("long").alias("n"))
+    d = _t(spark, sf, "documents").where("length(text) > 0").select("doc_id", "source", F.char_length("text").cast("long").alias("n"))
+    return S.ids_within(d, "source", ["doc_id"], "record_id").select("doc_id", "source", _long("record_id"), "n")
 
 
 @query
@@ -131,9 +130,9 @@ def text_keys(spark, sf):
 
 @query
 def relaxed_key(spark, sf):
-    a = _t(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("id"), F.concat(F.lit("("), "p_name", F.lit("_Cells).")).alias("x"))
+    a = _t(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("id"), F.concat(F.lit("(\u201c"), "p_name", F.lit("\u2019s\u201d\u2014\uff21_Cells).")).alias("x"))
     b = _t(spark, sf, "nation").select(F.col("n_nationkey").cast("long"), F.concat("n_name", F.lit("ies")))
-    return a.union(b).select("id", T.col(T.relaxed("x")).alias("relaxed"))
+    return a.union(b).select("id", nfkc("x").alias("x")).select("id", T.col(T.relaxed("x")).alias("relaxed"))
 
 
 @query
@@ -357,7 +356,7 @@ def mention_link_join(spark, sf):
 @query
 def decision_counters(spark, sf):
     d = A.resolve(_short_mentions(spark, sf), A.lookup(_abbr_rows(spark, sf)), _defined(spark, sf), fuzzy=False)
-    return d.groupBy(F.col("kind").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    return L.decision_counts(d.withColumnRenamed("kind", "source"))
 
 
 @query
@@ -604,6 +603,18 @@ def xml_passages(spark, sf):
     return d.select("path", "doc_id", _long("passage_idx"), _long("passage_offset"), F.col("infons")["type"].alias("type"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
+@query
+def xml_corpus_counts(spark, sf):
+    return flows.corpus_counts(annotated.documents(_written(spark, sf), "xml"))
+
+
+@query
+def xml_concatenate(spark, sf):
+    """All files as one collection: lines of one document each, between header and end."""
+    d = annotated.concatenate(_files(spark, sf))
+    return d.select("place", F.md5(F.when(F.col("place").isin("0", "2"), F.col("value")).otherwise(F.regexp_extract("value", "<id>([^<]*)</id>", 1)).cast("binary")).alias("digest"))
+
+
 @query
 def xml_spans_write(spark, sf):
     """Spans written into files and read back: every annotation with its number."""

@@ -122,6 +122,38 @@ def put_links(content: bytes, links: list[dict], model: str, scores: bool = Fals
     return _text(head, root), matched, missing
 
 
+def concatenate(rows: DataFrame) -> DataFrame:
+    """Files (path, content) as one collection: (place, path, n, value), to be written in that
+    order. Place 0 is the head and header of the first file by path, 1 a document each, 2
+    the end."""
+    first = rows.orderBy("path").limit(1)  # the header's file
+
+    def head(batches):
+        for b in batches:
+            out = []
+            for c in b["content"]:
+                before, root = _parse(c)
+                for document in root.findall("document"):
+                    root.remove(document)
+                root.text, root.tail = root.text or "", None
+                text = ET.tostring(root, encoding="unicode", short_empty_elements=False)
+                out.append(before + text[: text.rindex("</")].rstrip())
+            yield pd.DataFrame({"place": "0", "path": b["path"], "n": 0, "value": out})
+
+    def each(batches):
+        for b in batches:
+            for path, c in zip(b["path"], b["content"], strict=True):
+                values = []
+                for document in _parse(c)[1].findall("document"):
+                    document.tail = None
+                    values.append(ET.tostring(document, encoding="unicode"))
+                yield pd.DataFrame({"place": "1", "path": path, "n": range(len(values)), "value": values})
+
+    kind = "place string, path string, n long, value string"
+    end = first.select(F.lit("2").alias("place"), "path", F.lit(0).cast("long").alias("n"), F.lit("</collection>").alias("value"))
+    return first.mapInPandas(head, kind).union(rows.mapInPandas(each, kind)).union(end)
+
+
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """Files (path, content) and spans (path, doc_id, start, end, label) to (path, xml,
     n_annotations)."""
