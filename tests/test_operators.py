@@ -1,11 +1,14 @@
 import random
 
+import numpy as np
 import pandas as pd
 
+from glossa.functions import vector
 from glossa.functions.vector import nearest
 from glossa.operators import abbreviations as A
 from glossa.operators import corpus as C
 from glossa.operators import evaluate as V
+from glossa.operators import linking as L
 from glossa.operators import recognize as R
 from glossa.operators import spans as S
 
@@ -108,12 +111,13 @@ def test_cascade(spark):
     assert got == {"DC": ("exact_variant", "dendritic"), "NKT": ("exact_key", "new"), "LONGKEYS": ("fuzzy", "long")}
 
 
-def test_nearest(spark):
+def test_nearest(spark, monkeypatch):
     draw = random.Random(3)
     vectors = [(i, [draw.gauss(0, 1) for _ in range(6)]) for i in range(80)] + [(99, [0.0] * 6)]
     d = spark.createDataFrame(vectors, "i long, embedding array<float>")
     for block in (4, 1000):
-        got = nearest(d.where("i < 9"), d, 3, "i", "i", block=block)
+        monkeypatch.setattr(vector, "QUERIES", block)
+        got = nearest(d.where("i < 9"), d, 3, "i", "i")
         assert got.count() == 27
         assert {(r.query_id, r.term_id) for r in got.where("rank = 1").collect()} == {(i, i) for i in range(9)}
 
@@ -135,3 +139,51 @@ def test_empty_corpus(spark):
     d = spark.createDataFrame([], "concept string, name string")
     assert C.drop_ambiguous(d).count() == 0
     assert C.ambiguity_statistics(d).head().names_before == 0
+
+
+def test_numbers_within_groups(spark):
+    rows = [(i, "a" if i % 3 else "b") for i in range(200)] + [(i, None) for i in range(5)]
+    d = spark.createDataFrame(rows, "k long, g string").repartition(5)
+    got = sorted((r.g or "", r.id, r.k) for r in S.ids_within(d, "g", ["k"]).collect())
+    for g in ("a", "b", ""):
+        own = [(i, k) for x, i, k in got if x == g]
+        assert [i for i, _ in own] == list(range(len(own))) and [k for _, k in own] == sorted(k for _, k in own)
+    assert S.running_ids(d.limit(0), ["k"]).count() == 0
+
+
+def test_nearest_in_cells(spark, monkeypatch):
+    """Several blocks on both sides, zero vectors and ties, against brute force."""
+    monkeypatch.setattr(vector, "QUERIES", 7)
+    monkeypatch.setattr(vector, "TERMS", 11)
+    draw = np.random.default_rng(1)
+    x = draw.integers(-2, 3, (60, 4)).astype(np.float32)
+    x[5] = 0
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<float>")
+    got = {}
+    for r in vector.nearest(e.where("i < 20"), e, 4, "i", "i", "v").orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.distance, r.term_id))
+    unit = {i: v / np.linalg.norm(v) for i, v in enumerate(x.astype(float)) if v.any()}
+    want = {q: sorted((round(1 - float(unit[q] @ unit[t]), 9) + 0.0, t) for t in unit)[:4] for q in unit if q < 20}
+    assert got.keys() == want.keys()
+    assert all(np.allclose([d for d, _ in got[q]], [d for d, _ in want[q]], atol=2e-9) for q in want)
+    assert all([t for _, t in got[q]] == [t for _, t in want[q]] for q in want)
+
+
+def test_nearest_abbreviation_keys(spark):
+    """Long keys are found by similarity, short ones exactly only."""
+    keys = A.lookup(spark.createDataFrame([("REGULATORYCELLSUBSETABCXYZ", "CL:1", 0), ("NK", "CL:2", 1)], "short_form string, identifier string, line long"))
+    m = spark.createDataFrame([("d", "REGULATORYCELLSUBSETABCXYZs"), ("d", "NKs"), ("d", "NK"), ("d", "QWERTZUIOP")], "doc_key string, mention string")
+    none = spark.createDataFrame([], "doc_key string, key string, long_form string, ord int")
+    got = {r.mention: (r.kind, r.identifier, r.key_method) for r in A.resolve(m, keys, none, encoder=L.hashed_encoder()).collect()}
+    assert got == {"REGULATORYCELLSUBSETABCXYZs": ("direct", "CL:1", "encoder_abbreviation_match"), "NKs": ("none", None, None), "NK": ("direct", "CL:2", "exact_short_abbreviation"), "QWERTZUIOP": ("none", None, None)}
+
+
+def test_baseline_linker(spark):
+    terms = L.ontology_terms(spark.createDataFrame([("cl_1", "T cell", ["T lymphocyte"]), ("CL:2", "dendritic cell", None)], "concept_id string, preferred_label string, synonyms array<string>"))
+    defined = spark.createDataFrame([("d", "DC", "dendritic cell", 0)], "doc_key string, key string, long_form string, ord int")
+    m = spark.createDataFrame([("d", "DC"), ("d", "T cell"), ("d", " ")], "doc_key string, mention string")
+    got = {(r.mention, r["rank"]): (r.identifier, r.name) for r in L.baseline_link(m, terms, defined, threshold=0.5).collect()}
+    assert got["DC", 0] == ("CL:2", "dendritic cell") and got["T cell", 0] == ("CL:1", "T cell")
+    ids = spark.createDataFrame([("cl_1",), ("CL:9",)], "identifier string")
+    entries = spark.createDataFrame([("cl:1", "T cell")], "id string, name string")
+    assert {r.identifier: r.name for r in L.entry_names(ids, entries).collect()} == {"CL:1": "T cell", "CL:9": "CL:9"}
