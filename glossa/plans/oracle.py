@@ -210,6 +210,13 @@ SQL = {
     "link_prf_grid": f"""with {_IDS}, {_GOLD}, {_PRED.format('and 99 - r * 7 >= 50')}, gates as (select distinct gate from gold), g as (select distinct gate, "type", passage_key, gold_id i from gold), p as (select distinct gate, "type", passage_key, pred_id i from placed, gates where place < 5),
       b as (select coalesce(g.gate, p.gate) gate, coalesce(g."type", p."type") "type", g.gate is not null r, p.gate is not null q from g full join p on g.gate = p.gate and g."type" = p."type" and g.passage_key = p.passage_key and g.i = p.i),
       c as (select gate, "type", count(*) filter (r and q) tp, count(*) filter (q and not r) fp, count(*) filter (r and not q) fn from b group by 1, 2) select *, {_PRF} from c""",
+    "document_definitions": f"select p_partkey, {_PREFIX.format('').replace('left(w, 2)', 'left(w, 1)')} \"key\", p_name long_form, 0::bigint ord from part",
+    "doc_shortform_fuzzy": f"with {_MENTIONS}, {_DEFINED}, {_CASCADE} select doc_key, k \"key\", \"method\", matched_key, long_form, 1.0::double score from cascade",
+    "relaxed_span_prf": f"""with {_words()}, {_SPANS}, nodes as (select passage_key, id, 1 k, "type", s, e from gold union all
+        select p.passage_key, p.id, 0, p."type", p.s, p.e from pred p join words w on w.doc_id = p.passage_key and w.pos = p.id where lower(w.token) not in ('the', 'being')),
+      linked as (select *, case when lag(k) over o <> k and lag("type") over o = "type" and lag(s) over o < e and s < lag(e) over o then 0 else 1 end opens from nodes window o as (partition by passage_key order by id, k)),
+      paths as (select passage_key, sum(opens) over (partition by passage_key order by id, k) path from linked), sizes as (select count(*) n from paths group by passage_key, path),
+      d as (select sum(n // 2) tp from sizes), c as (select tp::bigint tp, ((select count(*) from pred) - tp)::bigint fp, ((select count(*) from gold) - tp)::bigint fn from d) select *, {_PRF} from c""",
     "contrastive_loss": f"with {_LOSS} select round(avg(-(pos / n - m - lse)), 6) loss, count(*) anchors from l where n > 0",
     "xml_passages": f"with {_CONV} select path, conv_id::varchar doc_id, passage_idx, o passage_offset, role \"type\", md5(text) digest from pas where text <> ''",
     "xml_corpus_counts": f"with {_CONV}, {_NOTES} select path, count(distinct conv_id) n_docs, count(*) n_passages, sum(length(text))::bigint n_chars, sum({_WORDN})::bigint n_tokens, (select count(*) from notes n where n.path = p.path) n_mentions from pas p where text <> '' group by path",
