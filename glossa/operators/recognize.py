@@ -25,10 +25,12 @@ def gazetteer(terms: DataFrame, label: str = "cell_type", longest: int = 5) -> R
         key = tokens.columns[0]
         w = Window.partitionBy(key).orderBy("pos")
         ahead = F.array(*[F.lower(F.lead("token", k).over(w)) for k in range(longest)])
-        d = tokens.withColumn("_ahead", ahead)
-        grams = d.select(key, "pos", F.explode(F.expr(f"transform(sequence(1, {longest}), n -> named_struct('n', n, 'phrase', if(_ahead[n - 1] is null, null, array_join(slice(_ahead, 1, n), ' '))))")).alias("g"))
-        hits = grams.where("g.phrase is not null").select(key, "pos", "g.n", "g.phrase").join(table, ["phrase", "n"]).groupBy(key, "pos").agg(F.max("n").alias("len"))
-        d = tokens.join(hits, [key, "pos"], "left")
+        own = tokens.columns
+        grams = tokens.withColumn("_ahead", ahead).select(*own, F.explode(F.expr(f"transform(sequence(1, {longest}), n -> named_struct('n', n, 'phrase', if(_ahead[n - 1] is null, null, array_join(slice(_ahead, 1, n), ' '))))")).alias("g"))
+        # Every token has its own word as a phrase, so none is lost, and nothing is joined back.
+        found = grams.where("g.phrase is not null").select(*own, F.col("g.n").alias("_n"), F.col("g.phrase").alias("_p"))
+        found = found.join(table, (F.col("_p") == F.col("phrase")) & (F.col("_n") == F.col("n")), "left")
+        d = found.groupBy(*own).agg(F.max("n").alias("len"))
         # A token is inside if a match that begins before it reaches it.
         reach = F.max(F.col("pos") + F.col("len")).over(w.rowsBetween(Window.unboundedPreceding, -1))
         inside = F.coalesce(reach, F.lit(-1)) > F.col("pos")
