@@ -82,10 +82,13 @@ class Prefix:
 
     def table(self, shift: int = 0) -> list[int]:
         """(symbol << shift) * 16 + length for each value of the next ``depth`` bits."""
+        return self.ahead(shift).tolist()
+
+    def ahead(self, shift: int = 0) -> np.ndarray:
         if self.single:
-            return [int(self.symbols[0]) << shift + 4]
+            return self.symbols[:1] << shift + 4
         ahead = np.repeat((self.symbols << shift) << 4 | self.lengths, 1 << (self.depth - self.lengths))
-        return ahead[_BACK[: 1 << self.depth] >> (ALLOWED - self.depth)].tolist()
+        return ahead[_BACK[: 1 << self.depth] >> (ALLOWED - self.depth)]
 
     def arrays(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Code and length of each symbol."""
@@ -136,13 +139,15 @@ class Writer:
 
 
 def read_prefix(bits: Reader, size: int) -> Prefix:
-    if bits.take(1):
-        two = bits.take(1)
-        symbols = [bits.take(8 if bits.take(1) else 1)]
-        if two:
-            symbols.append(bits.take(8))
-        symbols = sorted(set(symbols))
-        return Prefix(np.array(symbols), np.ones(len(symbols), np.int64))
+    x = bits.look()
+    if x & 1:  # one or two symbols: their number, the first one's width, the symbols
+        wide = 8 if x >> 2 & 1 else 1
+        first, second = x >> 3 & ((1 << wide) - 1), x >> 3 + wide & 255
+        bits.take(3 + wide + (8 if x & 2 else 0))
+        if not x & 2 or first == second:
+            return Prefix(np.array([first]), np.zeros(1, np.int64))
+        return Prefix(np.array([min(first, second), max(first, second)]), np.ones(2, np.int64))
+    bits.take(1)
     some = [(CODE_LENGTH_ORDER[i], n) for i in range(4 + bits.take(4)) if (n := bits.take(3))]
     if not some:
         raise ValueError("prefix code is not complete")
@@ -259,9 +264,9 @@ def _read_green(bits: Reader, group: list[Prefix], width: int, n: int) -> np.nda
     """Pixels without a cache of which only green has a code of several symbols. One look
     gives two literals where their codes are short enough together."""
     depth = max(group[0].depth, 10)
-    one = np.array(group[0].table(), np.int64)
+    one = group[0].ahead()
     place = np.arange(1 << depth)
-    first = one[place & (len(one) - 1)]
+    first = one if len(one) == 1 << depth else one[place & (len(one) - 1)]
     second = one[place >> (first & 15) & (len(one) - 1)]
     used = (first & 15) + (second & 15)
     both = (used <= depth) & (second >> 4 < 256)
@@ -529,12 +534,16 @@ def _cross(argb: np.ndarray, width: int, parts: np.ndarray, tile: int, sign: int
     else:
         grid = np.repeat(np.repeat(parts.reshape(-1, _parts(width, tile)), 1 << tile, axis=0), 1 << tile, axis=1)
         k = grid[: len(argb) // width, :width].ravel()
+    if sign < 0 and np.ndim(k) == 0 and int(k) & 0xFFFFFF == GREY and not ((argb ^ argb >> np.uint32(8)) & np.uint32(0xFFFF)).any():
+        return argb & np.uint32(0xFF00FF00)  # a grey image: red and blue less green
     # Bytes are signed numbers here.
     green_to_red, green_to_blue, red_to_blue = (np.asarray(k >> np.uint32(s)).astype(np.int8).astype(np.int16) for s in (0, 8, 16))
     red, green, blue = ((argb >> np.uint32(s)).astype(np.int8).astype(np.int16) for s in (16, 8, 0))
     new = red + sign * (green_to_red * green >> 5)
-    known = (new if sign > 0 else red).astype(np.int8).astype(np.int16)
-    blue = blue + sign * ((green_to_blue * green >> 5) + (red_to_blue * known >> 5))
+    blue = blue + sign * (green_to_blue * green >> 5)
+    if red_to_blue.any():
+        known = (new if sign > 0 else red).astype(np.int8).astype(np.int16)
+        blue = blue + sign * (red_to_blue * known >> 5)
     rest = argb & np.uint32(0xFF00FF00)
     return rest | (new & 255).astype(np.uint32) << np.uint32(16) | (blue & 255).astype(np.uint32)
 
@@ -660,6 +669,8 @@ def _copies(flat: np.ndarray, least: int = 10) -> list[tuple[int, int, int]]:
         return []
     mixed = flat ^ flat >> np.uint32(15)
     keys = ((mixed[:-3] * np.uint32(0x9E3779B1) ^ mixed[1:-2]) * np.uint32(0x85EBCA6B) ^ mixed[2:-1]) * np.uint32(0xC2B2AE35) ^ mixed[3:]
+    if n < 1 << 13:  # short numbers sort faster; two that meet by chance are told apart below
+        keys = (keys ^ keys >> np.uint32(16)).astype(np.uint16)
     last = _last(keys)
     at = np.flatnonzero(last >= 0)
     from_ = last[at]
@@ -715,9 +726,11 @@ def _write_image(w: Writer, flat: np.ndarray, width: int, cache_bits: int = 0, r
         hit = _hits(flat, cache_bits)[single]
         green = np.where(hit, 280 + _slots(pixels, cache_bits).astype(np.int64), green)
         lit = np.flatnonzero(~hit)
-    length, more, more_n = _symbols(copies[:, 1])
-    near = _near_codes(width)
-    distance, far, far_n = _symbols(np.array([near.get(d, d + len(NEAR)) for d in copies[:, 2].tolist()], np.int64))
+    length = distance = np.zeros(0, np.int64)
+    if len(copies):
+        length, more, more_n = _symbols(copies[:, 1])
+        near = _near_codes(width)
+        distance, far, far_n = _symbols(np.array([near.get(d, d + len(NEAR)) for d in copies[:, 2].tolist()], np.int64))
     others = [((pixels[lit] >> np.uint32(s)) & np.uint32(255)).astype(np.int64) for s in (16, 0, 24)]
     symbols = [np.concatenate([green, 256 + length]), *others, distance]
     group = [huffman(np.bincount(x, minlength=size)) for x, size in zip(symbols, sizes, strict=True)]
@@ -808,12 +821,11 @@ def encode(argb: np.ndarray, transforms=(), cache_bits: int = 0, references: boo
     return b"RIFF" + struct.pack("<I", 12 + len(stream) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(stream)) + stream + pad
 
 
-def _entropies(*values: np.ndarray) -> list[float]:
-    """For each array of bytes the bits that a value takes on average."""
-    k = np.repeat(np.arange(len(values)) * 256, [len(v) for v in values])
-    counts = np.bincount(np.concatenate(values) + k, minlength=256 * len(values)).reshape(-1, 256)
-    sizes = np.maximum(counts.sum(axis=1), 1)
-    return (np.log2(sizes) - (counts * np.log2(np.maximum(counts, 1))).sum(axis=1) / sizes).tolist()
+def _entropy(counts: np.ndarray) -> float:
+    """Bits that a value takes on average, by how often each occurs."""
+    some = counts[counts > 0]
+    total = int(some.sum())
+    return float(np.log2(total) - (some * np.log2(some)).sum() / total) if total else 0.0
 
 
 #: Bits of the cache, of a palette's colour and of a tile of transform data, and the tile,
@@ -829,10 +841,10 @@ def plan(grey: np.ndarray) -> dict:
     """Transforms and cache that promise the fewest bits for samples (height, width) as a
     grey image, as arguments of ``encode``."""
     height, width = grey.shape
-    flat = grey.ravel().astype(np.int64)
+    flat = grey.ravel()
     n, counts = grey.size, np.bincount(flat, minlength=256)
     up = width if height > 1 else n
-    own, left, top = _entropies(flat, (flat[1:] - flat[:-1]) & 255, (flat[up:] - flat[:-up]) & 255)
+    own, left, top = _entropy(counts), _entropy(np.bincount(flat[1:] - flat[:-1])), _entropy(np.bincount(flat[up:] - flat[:-up]))
     colours = int((counts > 0).sum())
     packed = _index_bits(colours)
     costs = {
@@ -919,10 +931,16 @@ def media_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     names = ["doc_id", *(x.split()[0] for x in SCHEMA.split(", "))]
 
     def run(batches):
+        known: dict = {}  # of the task's last texts, by digest
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            known = {t: media_row(t) for t in dict.fromkeys(texts)}
-            rows = [known[t] for t in texts]
+            rows = []
+            for t in batch.column(1).to_pylist():
+                name = hashlib.sha256((t or "").encode()).digest()
+                if name not in known:
+                    if len(known) >= 20_000:
+                        known.clear()
+                    known[name] = media_row(t)
+                rows.append(known[name])
             columns = [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in names[1:]]
             types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
