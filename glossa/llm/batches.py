@@ -58,13 +58,15 @@ def steps(offsets: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, i
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, fold: int = 5) -> DataFrame:
     """(text, label) of the ``rows`` training documents (crc32 of the id, by ``fold``, is
     not 0) that are first by a hash of the id: the documented bound of what is fitted on.
-    Labels that are not 0 or 1 and repeated ids count once."""
+    Labels that are not 0 or 1 do not count, repeated labels of an id count once, and of
+    several documents of one id the one with the least digest of its text counts."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and _id is not null").groupBy("_id").agg(F.max("label").alias("label"))
     known = known.where(crc_of_id("_id") % fold != 0)
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # At most `rows` ids: their size is bounded, so the texts need no shuffle.
-    return d.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "label")
+    # At most `rows` ids: their size is bounded. Combined before the shuffle, so an id on very many rows sends one a task.
+    own = d.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).groupBy("_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("b"))
+    return own.select("b.text", "b.label")
 
 
 def held_out(fold: int = 5):

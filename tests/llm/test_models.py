@@ -347,3 +347,15 @@ def test_quality_against_brute_force(spark):
     got = np.interp(raw[order], m["knots"], m["levels"])
     assert np.abs(got - want).max() < 2e-3
     assert np.allclose(rff_quality.predict(x, m), np.clip(np.interp(phi @ m["beta"], m["knots"], m["levels"]), 0, 1))
+
+
+def test_sample_is_bounded_by_rows(spark):
+    """One labelled id on very many rows counts once, whatever the rows' order."""
+    from glossa.llm.batches import labelled_sample
+
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids] + [(ids[0], f"copy {k}") for k in range(5000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids] + [(ids[0], 0)], "doc_id long, quality int")
+    got = [sorted(map(tuple, labelled_sample(d, labels, "quality", 10).collect())) for d in (docs, docs.orderBy(docs.text.desc()))]
+    assert got[0] == got[1] and len(got[0]) == 10
+    assert labelled_sample(docs, labels, "quality", 1000).count() == len(ids)
