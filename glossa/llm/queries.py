@@ -75,6 +75,25 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_treaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.treaps import ranked
+
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
+
+
+def op12_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.tiles import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+def op13_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.merging import branches, merge
+
+    d = merge(branches(table(spark, sf_dir, "documents")))
+    return d.select("doc_id", "lang", "source", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "n_clean", "n_edit_edit", "n_edit_delete", "n_insert_insert")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
