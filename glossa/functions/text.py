@@ -65,6 +65,18 @@ def jaccard(a: str, b: str) -> str:
     return f"if(size({a}) = 0 or size({b}) = 0, 0.0D, cast(size(array_intersect({a}, {b})) as double) / size(array_union({a}, {b})))"
 
 
+def length_bound(a: str, b: str) -> str:
+    """The largest matching-blocks ratio that two texts of these lengths can have."""
+    return f"(2.0D * least(char_length({a}), char_length({b})) / greatest(char_length({a}) + char_length({b}), 1))"
+
+
+def ratio_bound(a: str, b: str) -> str:
+    """The largest matching-blocks ratio that two texts with these characters can have."""
+    times = lambda x, c: f"(char_length({x}) - char_length(replace({x}, {c}, '')))"
+    common = f"aggregate(array_distinct(filter(split({a}, ''), c -> c <> '')), 0, (s, c) -> s + least({times(a, 'c')}, {times(b, 'c')}))"
+    return f"if(char_length({a}) + char_length({b}) = 0, 1.0D, 2.0D * {common} / (char_length({a}) + char_length({b})))"
+
+
 def parenthetical(a: str, b: str) -> str:
     """Whether one side equals what stands in some parentheses of the other."""
 

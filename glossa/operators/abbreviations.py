@@ -51,22 +51,32 @@ def pass_nearest(mentions: DataFrame, keys: DataFrame, near: DataFrame) -> DataF
 def cascade(wanted: DataFrame, defined: DataFrame, fuzzy: bool = True) -> DataFrame:
     """(doc_key, key) of ``wanted`` with the document's long form: by the key itself, by
     the key with or without its final s, or by the most similar key of the document that
-    reaches the threshold. defined: (doc_key, key, long_form, ord), the last one counts."""
-    last = defined.groupBy("doc_key", "key").agg(F.max_by("long_form", "ord").alias("long_form"))
+    reaches the threshold, the first one in the document on ties. defined: (doc_key, key,
+    long_form, ord), the last long form of a key counts."""
+    last = defined.groupBy("doc_key", "key").agg(F.max(F.struct("ord", "long_form"))["long_form"].alias("long_form"), F.min("ord").alias("first"))
     w = wanted.select("doc_key", F.col("key").alias("wanted")).distinct()
     other = F.filter(T.col(T.variant_keys("wanted")), lambda k: k != F.col("wanted"))
     exact = w.select("doc_key", "wanted", F.lit(1).alias("prio"), F.lit("exact_key").alias("method"), F.col("wanted").alias("key"))
     variant = w.select("doc_key", "wanted", F.lit(2), F.lit("exact_variant"), F.explode(other))
     hits = exact.union(variant).join(last, ["doc_key", "key"]).withColumn("score", F.lit(1.0))
     if fuzzy:
-        # Within one document only; keys of four characters or less never pass.
-        pairs = w.where(T.col(T.threshold("wanted")) < 1.0).join(last, "doc_key")
-        pairs = pairs.select("doc_key", "wanted", F.lit(3).alias("prio"), F.lit("fuzzy").alias("method"), "key", "long_form", sequence_ratio("wanted", "key").alias("score"))
+        pairs = fuzzy_pairs(w, last).withColumn("score", sequence_ratio("wanted", "key"))
+        pairs = pairs.select("doc_key", "wanted", F.lit(3).alias("prio"), F.lit("fuzzy").alias("method"), "key", "long_form", "first", "score")
         hits = hits.unionByName(pairs.where(F.col("score") >= T.col(T.threshold("wanted"))))
-    best = hits.groupBy("doc_key", "wanted").agg(F.max_by(F.struct("method", "key", "long_form", "score"), F.struct(-F.col("prio"), F.col("score"))).alias("best"))
+    best = hits.groupBy("doc_key", "wanted").agg(F.min(F.struct("prio", -F.col("score"), "first", "key", "method", "long_form", "score")).alias("best"))
     return best.select("doc_key", F.col("wanted").alias("key"), F.col("best.method").alias("method"), F.col("best.key").alias("matched_key"), F.col("best.long_form").alias("long_form"), F.col("best.score").alias("score"))
 
 
+def fuzzy_pairs(wanted: DataFrame, keys: DataFrame) -> DataFrame:
+    """Pairs of wanted keys (doc_key, wanted) and keys (doc_key, key, ...) of one document whose
+    ratio can reach the threshold: keys of four characters or less never pass, and twice
+    the common characters over all characters bounds the ratio from above."""
+    pairs = wanted.where(T.col(T.threshold("wanted")) < 1.0).join(keys, "doc_key")
+    limit = T.col(T.threshold("wanted"))
+    # The lengths alone decide most pairs, and cost nothing.
+    return pairs.where(T.col(T.length_bound("wanted", "key")) >= limit).where(T.col(T.ratio_bound("wanted", "key")) >= limit)
+
+
 def resolve(mentions: DataFrame, keys: DataFrame, defined: DataFrame, fuzzy: bool = True, encoder=None) -> DataFrame:
     """Mentions (doc_key, mention) with ``kind``: direct (the key has one id),
     ambiguous_long_form (the document defines it), ambiguous_unresolved, or none. A key is

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.functions import text as T
+from glossa.operators.spans import ids_within, running_ids
 
 
 def statistics(passages: DataFrame, by: list[str], doc: str, text: str = "text") -> DataFrame:
@@ -94,15 +95,77 @@ def recode(annotations: DataFrame, type_: str, to: dict[str, str], drop: tuple[s
     return annotations.where(~F.col(type_).isin(*drop)).withColumn(type_, value).where(F.col(type_).isNotNull())
 
 
+#: Modulus and factors of the draws: plain arithmetic, alike everywhere.
+PRIME, FACTORS = 2_147_483_647, (48_271, 69_621, 40_692)
+
+
+def draw(x, *salts) -> Column:
+    """A number below PRIME that depends on whole numbers."""
+    mixed = F.pmod(F.col(x).cast("long") if isinstance(x, str) else x, F.lit(PRIME))
+    for salt in salts:
+        mixed = F.pmod(mixed * FACTORS[0] + F.pmod(F.lit(salt) if isinstance(salt, int) else salt, F.lit(PRIME)) * FACTORS[1] + 11, F.lit(PRIME))
+    return F.pmod(mixed * FACTORS[2] + 1, F.lit(PRIME))
+
+
+def supported(rows: DataFrame, label: str, least: int) -> DataFrame:
+    """Labels with at least ``least`` rows, and their number."""
+    return rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+
+
 def balanced_sample(rows: DataFrame, label: str, key: str, labels: int, each: int, seed: int = 0) -> DataFrame:
-    """``labels`` labels drawn by a seeded hash, and ``each`` rows of every one of them."""
-    draw = lambda c, s: F.pmod(F.col(c).cast("long") * 2654435761 + s * 40503, F.lit(1_000_003))
-    chosen = rows.select(label).distinct().withColumn("_d", draw(label, seed)).orderBy("_d", label).limit(labels).select(label)
+    """``labels`` labels of those with enough rows, drawn by a seeded hash, and ``each`` rows
+    of every one of them."""
+    draw_ = lambda c, s: F.pmod(F.col(c).cast("long") * 2654435761 + s * 40503, F.lit(1_000_003))
+    chosen = supported(rows, label, each).withColumn("_d", draw_(label, seed)).orderBy("_d", label).limit(labels).select(label)
     d = rows.join(F.broadcast(chosen), label)  # `labels` rows
-    w = Window.partitionBy(label).orderBy(draw(key, seed + 1), key)
+    w = Window.partitionBy(label).orderBy(draw_(key, seed + 1), key)
     return d.withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= each)
 
 
+def label_index(rows: DataFrame, label: str, key: str, least: int = 1, seed: int | None = None) -> DataFrame:
+    """(label_id, label, n, pos, key): the rows of labels with at least ``least`` of them. Labels
+    are numbered from 0 without gaps in their order, and so are the rows of each: by key, or
+    by a seeded draw of the (whole) key. No label's rows meet in one task."""
+    names = running_ids(supported(rows, label, least), [label], "label_id").select("label_id", F.col(label).alias("label"), "n")
+    order = [F.col("key")] if seed is None else [draw("key", seed), F.col("key")]
+    d = rows.select(F.col(label).alias("label"), F.col(key).alias("key")).join(names, "label")
+    if seed is not None:
+        d = d.withColumn("_draw", order[0])
+    return ids_within(d, "label_id", ["key"] if seed is None else ["_draw", "key"], "pos").select("label_id", "label", "n", "pos", "key")
+
+
+def batch_plan(rows: DataFrame, label: str, key: str, labels: int, each: int, batches: int, epoch: int = 0, seed: int = 42) -> DataFrame:
+    """(batch, slot, label, key): the batches of one epoch: in each, ``labels`` labels of those
+    with at least ``each`` rows, and ``each`` rows of every one, both without repetition, in
+    shuffled order. The same epoch and seed give the same plan; epochs differ.
+
+    Labels and, within a label, rows lie in an order drawn for the epoch; a batch takes every
+    s-th from a start on, so a draw is a formula and two equal joins: nothing is sorted or
+    ranked per batch but its own slots."""
+    if labels < 2 or each < 2:
+        raise ValueError("a batch needs two labels and two rows of each at least")
+    index = label_index(rows, label, key, each, seed + epoch)
+    found = supported(rows, label, each).count()
+    if found < labels:
+        raise ValueError(f"{labels} labels with {each} rows each are needed; {found} were found")
+
+    def taken(n: Column, count: int, start: Column, step: Column) -> Column:
+        """``count`` different numbers below ``n``."""
+        stride = 1 + F.pmod(step, F.floor((n - 1) / (count - 1)).cast("long"))
+        return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.pmod(start + k.cast("long") * stride, n))
+
+    salt = seed + epoch
+    b = rows.sparkSession.range(batches).select(F.col("id").alias("batch"))
+    b = b.select("batch", F.explode(taken(F.lit(found).cast("long"), labels, draw("batch", salt, 1), draw("batch", salt, 2))).alias("place"))
+    order = running_ids(index.groupBy("label_id").agg(F.first("n").alias("n")).withColumn("_draw", draw("label_id", salt)), ["_draw", "label_id"], "place").select("place", "label_id", "n")
+    picks = b.join(order, "place")
+    both = F.col("batch") * 1_000_003 + F.col("label_id")
+    picks = picks.select("batch", "label_id", F.explode(taken(F.col("n"), each, draw(both, salt, 3), draw(both, salt, 4))).alias("pos"))
+    d = picks.join(index.select("label_id", "pos", "label", "key"), ["label_id", "pos"])
+    slot = F.row_number().over(Window.partitionBy("batch").orderBy(draw("key", salt, F.col("batch"), 5), "key")) - 1  # one batch
+    return d.select("batch", slot.cast("long").alias("slot"), "label", "key")
+
+
 def contrastive_loss(batch: DataFrame, vector: str = "embedding", label: str = "label", key: str = "vec_id", temperature: float = 0.05) -> DataFrame:
     """One row: the supervised contrastive loss of one training batch (a bounded set)."""
     norm = f"sqrt(aggregate({vector}, 0D, (s, x) -> s + cast(x as double) * cast(x as double)))"

@@ -10,6 +10,7 @@ from glossa.functions.udfs import nfkc
 from glossa.operators import abbreviations as A
 from glossa.operators import corpus as C
 from glossa.operators import linking as L
+from glossa.operators import recognize as R
 from glossa.operators import spans as S
 from glossa.operators.recognize import Recognizer, recognize
 from glossa.sources import annotated, bioc, files, paths
@@ -47,10 +48,10 @@ def recognize_files(spark: SparkSession, inputs: list[str], output: str, recogni
     return annotated.save_each(annotated.with_spans(annotated.files(spark, inputs), found), output, suffix)
 
 
-def link_files(spark: SparkSession, inputs: list[str], output: str, ontology: DataFrame, keys: DataFrame | None = None, encoder=None, model: str = "model", scores: bool = False, suffix: str = ".normalized.xml") -> tuple[list[str], DataFrame]:
+def link_files(spark: SparkSession, inputs: list[str], output: str, ontology: DataFrame, keys: DataFrame | None = None, encoder=None, model: str = "model", scores: bool = False, suffix: str = ".normalized.xml", ranks: int = 1) -> tuple[list[str], DataFrame]:
     """The files with links in their annotations' infons, one file per input, and (path,
     matched, missing). Every distinct mention of a document is linked once; definitions
-    come from the documents' own texts."""
+    come from the documents' own texts. ``ranks`` concepts of each are written."""
     docs = bioc.read(spark, inputs)
     found = annotated.mentions(docs)
     p = bioc.passages(docs).where(T.annotatable("infons"))
@@ -58,7 +59,7 @@ def link_files(spark: SparkSession, inputs: list[str], output: str, ontology: Da
     defined = A.document_definitions(A.document_texts(p.select(key.alias("doc_key"), "passage_idx", "text")))
     if keys is None:
         keys = A.lookup(spark.createDataFrame([], "short_form string, identifier string, line long"))
-    links = L.link(found.select("doc_key", F.col("normal").alias("mention")).distinct(), ontology, keys, defined, encoder)
+    links = L.link(found.select("doc_key", F.col("normal").alias("mention")).distinct(), ontology, keys, defined, encoder, ranks=ranks)
     rows = annotated.with_links(annotated.files(spark, inputs), found, links, model, scores)
     done = annotated.save_each(rows.select("path", "xml"), output, suffix)
     return done, rows.select("path", "matched", "missing")
@@ -99,14 +100,11 @@ def training_records(docs: DataFrame, policy: str = "last", rename: dict[str, st
 def training_chunks(records: DataFrame, labels: DataFrame, mode: str = "expand", max_length: int = 512, overlap: int = 128) -> DataFrame:
     """(id, chunk, pos, start, end, tag, label_id): the tokens of every window of every
     record with their labels; labels: (label_id, label)."""
-    tokens = S.token_spans(records, "id")
     e = records.select("id", F.posexplode("entities").alias("entity", "e")).select("id", "entity", "e.label", "e.start", "e.end")
-    tags = S.encode_tags(tokens, e, "id", mode)
-    n = tokens.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    windows = S.chunks(n, "id", "n", max_length, overlap)
-    places = windows.select("id", "chunk", F.explode(F.expr("sequence(first, last - 1)")).alias("pos"))
+    d = R.tagged_windows(S.tag_rows(S.token_rows(records, "id"), e, "id", mode), "id", max_length, overlap)
+    d = d.select("id", "chunk", "first", F.posexplode("tokens").alias("_k", "_t")).select("id", "chunk", (F.col("first") + F.col("_k")).alias("pos"), "_t.start", "_t.end", "_t.tag")
     named = labels.select(F.col("label").alias("tag"), "label_id")
-    return places.join(tags, ["id", "pos"]).join(F.broadcast(named), "tag", "left").select("id", "chunk", "pos", "start", "end", "tag", "label_id")  # two labels a type
+    return d.join(F.broadcast(named), "tag", "left").select("id", "chunk", "pos", "start", "end", "tag", "label_id")  # two labels a type
 
 
 def prepare_training(spark: SparkSession, sources: list[str], split: str = "train.xml", policy: str = "last", mode: str = "expand", max_length: int = 512, overlap: int = 128) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -149,11 +147,12 @@ def vocabulary_overlap(spark: SparkSession, corpora: dict[str, list[str]], ontol
         a = bioc.annotations(bioc.passages(bioc.read(spark, own), keep_empty=True))
         if name in without_vague:
             a = a.where(F.coalesce("type", F.lit("")) != annotated.VAGUE)
-        d = a.select(F.lit(name).alias("corpus"), F.expr(T.squeeze("text")).alias("surface")).where("surface <> ''").distinct()
+        # The compatibility form comes first: forms that differ without it are one.
+        d = a.select(F.lit(name).alias("corpus"), nfkc("text").alias("text")).select("corpus", F.expr(T.squeeze("text")).alias("surface")).where("surface <> ''").distinct()
         out = d if out is None else out.unionByName(d)
     if out is None:
         raise ValueError("no files in any corpus")
-    keyed = out.withColumn("_c", nfkc("surface")).withColumn("form", T.col(T.relaxed("_c")))
+    keyed = out.withColumn("form", T.col(T.relaxed("surface")))
     hits = keyed.join(aliases.withColumn("_hit", F.lit(1)), "form", "left")
     d = hits.groupBy("corpus").agg(F.count(F.lit(1)).alias("n_forms"), F.count("_hit").alias("n_matched"))
     return d.withColumn("percent", F.round(100 * F.col("n_matched") / F.col("n_forms"), 2))

@@ -17,17 +17,20 @@ WEIGHTS = {"embedding_score": 1.0, "exact": 0.35, "name_jaccard": 0.20, "label_j
 
 
 def ontology_terms(ontology: DataFrame) -> DataFrame:
-    """(concept_id, preferred_label, synonyms) to one row per name: raw_name, its
-    plural-normalised name, identifier, preferred_label, is_preferred, ord."""
+    """(concept_id, preferred_label, synonyms, and record where the records have an order) to
+    one row per name: raw_name, its plural-normalised name, identifier, preferred_label,
+    is_preferred, ord, record."""
     o = ontology.where("coalesce(concept_id, '') <> '' and coalesce(preferred_label, '') <> ''")
     names = F.concat(F.array("preferred_label"), F.filter(F.coalesce("synonyms", F.array().cast("array<string>")), lambda s: F.coalesce(s, F.lit("")) != ""))
-    d = o.select(F.col("concept_id").alias("identifier"), "preferred_label", F.posexplode(names).alias("ord", "raw_name"))
+    record = F.col("record") if "record" in ontology.columns else F.lit(0)
+    d = o.select(F.col("concept_id").alias("identifier"), "preferred_label", record.cast("long").alias("record"), F.posexplode(names).alias("ord", "raw_name"))
     return d.withColumn("name", T.col(T.plural_normalize("raw_name"))).withColumn("is_preferred", F.col("ord") == 0)
 
 
 def concept_metadata(terms: DataFrame) -> DataFrame:
-    """(identifier, preferred_label, names): distinct names, sorted."""
-    return terms.groupBy("identifier").agg(F.min_by("preferred_label", "ord").alias("preferred_label"), F.sort_array(F.collect_set("raw_name")).alias("names"))
+    """(identifier, preferred_label, names): the label of a concept's first record (the least
+    one where records have no order), and its distinct names, sorted."""
+    return terms.groupBy("identifier").agg(F.min(F.struct("record", "preferred_label"))["preferred_label"].alias("preferred_label"), F.sort_array(F.collect_set("raw_name")).alias("names"))
 
 
 def best_per_concept(hits: DataFrame, query: str, concept: str, score: str, tie: list[str], top: int) -> DataFrame:
@@ -80,50 +83,70 @@ def hashed_encoder(dimensions: int = 128):
 
 def retrieve(queries: DataFrame, terms: DataFrame, encoder, top: int, hits: int) -> DataFrame:
     """Distinct ``queries`` (query) with the ``top`` concepts of their ``hits`` nearest terms."""
-    t = terms.withColumn("term", F.xxhash64("identifier", "ord", "raw_name"))
+    t = terms.withColumn("term", F.xxhash64("identifier", "record", "ord", "raw_name"))
     vectors = t.select("term", encoder("name").alias("embedding"))
     near = nearest(queries.select("query", encoder("query").alias("embedding")), vectors, hits, "query", "term")
     d = near.join(t, near.term_id == t.term).select(F.col("query_id").alias("query"), "identifier", "raw_name", "preferred_label", "is_preferred", (-F.col("distance")).alias("embedding_score"), "ord")
     return best_per_concept(d, "query", "identifier", "embedding_score", ["identifier", "ord"], top).drop("rank", "ord")
 
 
-def link(mentions: DataFrame, ontology: DataFrame, keys: DataFrame, defined: DataFrame, encoder=None, top: int = 1, ambiguous_top: int = 5) -> DataFrame:
+def _by_model(queries: DataFrame, terms: DataFrame, names: DataFrame, encoder, top: int, hits: int) -> DataFrame:
+    """(query, m_hits): the reranked concepts of every distinct query, best first."""
+    ranked = rerank(retrieve(queries.select("query").distinct(), terms, encoder, top, hits), names)
+    one = F.struct("rank", "identifier", F.col("raw_name").alias("name"), "embedding_score", F.col("final_score").alias("score"))
+    return ranked.groupBy(F.col("query").alias("_q")).agg(F.sort_array(F.collect_list(one)).alias("m_hits"))  # `top` concepts
+
+
+def link(mentions: DataFrame, ontology: DataFrame, keys: DataFrame, defined: DataFrame, encoder=None, top: int = 1, ambiguous_top: int = 5, ranks: int = 1) -> DataFrame:
     """Distinct (doc_key, mention) to identifier, name, scores and the source of the
     decision: abbreviation_direct, abbreviation_ambiguous_via_long_form, model_normal or
-    none. Rules come first; only what is left is encoded, each distinct query once."""
+    none. Rules come first; only what is left is encoded, each distinct query once. A long
+    form without any candidate leaves the mention to the model itself. ``hits`` are the
+    best ``ranks`` concepts (identifier, name, embedding_score, score), best first."""
     encoder = encoder or hashed_encoder()
     terms = ontology_terms(ontology)
     names = terms.select("identifier", F.col("raw_name").alias("name"))
     d = resolve(mentions.select("doc_key", "mention").distinct(), keys, defined, encoder=encoder)
-    by_model = (F.col("kind") != "direct")
-    d = d.withColumn("query", F.when(by_model, F.when(F.col("kind") == "ambiguous_long_form", T.col(T.plural_normalize("long_form"))).otherwise(T.col(T.plural_normalize("mention")))))
-    d = d.withColumn("_deep", F.col("kind") == "ambiguous_long_form")
-    parts = []
-    for deep, k, hits in ((False, top, max(10 * top, 20)), (True, ambiguous_top, 50)):
-        q = d.where(by_model & (F.col("_deep") == deep)).select("query").distinct()
-        best = rerank(retrieve(q, terms, encoder, k, hits), names).where("rank = 1")
-        parts.append(best.select(F.lit(deep).alias("_d"), F.col("query").alias("_q"), F.col("identifier").alias("m_identifier"), F.col("raw_name").alias("m_name"), "embedding_score", F.col("final_score").alias("m_final")))
-    model = parts[0].unionByName(parts[1])
-    d = d.join(model, (F.col("query") == F.col("_q")) & (F.col("_deep") == F.col("_d")), "left")
-    direct = F.col("kind") == "direct"
-    source = F.when(direct, "abbreviation_direct").when(F.col("m_identifier").isNull(), "none").when(F.col("_deep"), "abbreviation_ambiguous_via_long_form").otherwise("model_normal")
+    d = d.withColumn("_direct", F.col("kind") == "direct").withColumn("_long", F.when(F.col("kind") == "ambiguous_long_form", T.col(T.plural_normalize("long_form"))))
+    deep = _by_model(d.where("_long is not null").select(F.col("_long").alias("query")), terms, names, encoder, max(ambiguous_top, ranks), max(50, 10 * ranks))
+    d = d.join(deep.select(F.col("_q").alias("_long"), F.col("m_hits").alias("_deep")), "_long", "left")
+    d = d.withColumn("query", F.when(~F.col("_direct") & F.col("_deep").isNull(), T.col(T.plural_normalize("mention"))))
+    k = max(top, ranks)
+    normal = _by_model(d.where("query is not null").select("query"), terms, names, encoder, k, max(10 * k, 20))
+    d = d.join(normal, F.col("query") == F.col("_q"), "left").withColumn("_found", F.coalesce("_deep", "m_hits"))
+    direct, long = F.col("_direct"), F.col("_deep").isNotNull()
+    source = F.when(direct, "abbreviation_direct").when(F.col("_found").isNull(), "none").when(long, "abbreviation_ambiguous_via_long_form").otherwise("model_normal")
+    own = F.array(F.struct("identifier", F.col("short_form").alias("name"), F.col("key_score").alias("embedding_score"), F.col("key_score").alias("score")))
+    found = F.transform(F.slice("_found", 1, ranks), lambda x: F.struct(x["identifier"].alias("identifier"), x["name"].alias("name"), x["embedding_score"].alias("embedding_score"), x["score"].alias("score")))
+    d = d.withColumn("hits", F.when(direct, own).otherwise(found))
+    first = F.get("hits", F.lit(0))
     return d.select(
         "doc_key",
         "mention",
-        F.coalesce(F.when(direct, F.col("identifier")), F.col("m_identifier")).alias("identifier"),
-        F.coalesce(F.when(direct, F.col("short_form")), F.col("m_name")).alias("name"),
-        F.when(direct, F.col("key_score")).otherwise(F.col("embedding_score")).alias("embedding_score"),
-        F.when(direct, F.col("key_score")).otherwise(F.col("m_final")).alias("final_score"),
+        first["identifier"].alias("identifier"),
+        first["name"].alias("name"),
+        first["embedding_score"].alias("embedding_score"),
+        first["score"].alias("final_score"),
         source.alias("source"),
         F.when(direct, "cosine_similarity").otherwise("negated_cosine_distance").alias("score_kind"),
-        F.when(F.col("_deep"), F.col("long_form")).alias("expanded_long_form"),
-        F.when(F.col("_deep"), F.col("method")).alias("definition_method"),
-        F.when(F.col("_deep"), F.col("definition_key")).alias("definition_key"),
-        F.when(F.col("_deep"), F.col("score")).alias("definition_score"),
+        F.when(long, F.col("long_form")).alias("expanded_long_form"),
+        F.when(long, F.col("method")).alias("definition_method"),
+        F.when(long, F.col("definition_key")).alias("definition_key"),
+        F.when(long, F.col("score")).alias("definition_score"),
         F.when(F.col("kind") != "none", F.col("key_method")).alias("abbreviation_method"),
+        "hits",
     )
 
 
+def hits_of(ranked: DataFrame) -> DataFrame:
+    """(doc_key, mention, identifier, name, score, rank) to one row per mention: its best
+    concept and all of them as ``hits``, by rank."""
+    one = F.struct("rank", "identifier", "name", F.col("score").cast("double").alias("score"))
+    d = ranked.groupBy("doc_key", "mention").agg(F.sort_array(F.collect_list(one)).alias("_h"))  # the ranks of one mention
+    hits = F.transform("_h", lambda x: F.struct(x["identifier"].alias("identifier"), x["name"].alias("name"), x["score"].alias("embedding_score"), x["score"].alias("score")))
+    return d.select("doc_key", "mention", F.col("_h")[0]["identifier"].alias("identifier"), F.col("_h")[0]["name"].alias("name"), F.col("_h")[0]["score"].alias("final_score"), hits.alias("hits"))
+
+
 def baseline_link(mentions: DataFrame, terms: DataFrame, defined: DataFrame, encoder=None, threshold: float = 0.0, top: int = 10) -> DataFrame:
     """Distinct (doc_key, mention) to (identifier, name, score, rank) of the ``top`` concepts:
     hits of the document's long form of the mention come first, then those of the mention

@@ -1,15 +1,20 @@
-"""Recognition: a pluggable token labeller and the default one, a gazetteer."""
+"""Recognition: pluggable token labellers over token rows, a gazetteer and models over windows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections import Counter
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.operators.spans import decode_tags, token_spans
+from glossa.operators.spans import WORD, decode_tags, token_rows, windows
 
-#: A recognizer takes tokens (key, pos, token, start, end) and adds ``tag``.
+#: A recognizer takes token rows (key, tokens: token, start, end, lead) and gives tags (key,
+#: token, start, end, lead, tag); tokens that it leaves out are outside of all spans.
 Recognizer = Callable[[DataFrame], DataFrame]
 
 
@@ -18,31 +23,173 @@ def gazetteer(terms: DataFrame, label: str = "cell_type", longest: int = 5) -> R
     over shorter ones that begin within them; terms: (term)."""
     words = F.filter(F.split(F.lower("term"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     table = terms.select(F.array_join(words, " ").alias("phrase"), F.size(words).alias("n")).where(f"n between 1 and {longest}").distinct()
+    own = ["token", "start", "end", "lead"]
 
-    def run(tokens: DataFrame) -> DataFrame:
+    def run(rows: DataFrame) -> DataFrame:
         from pyspark.sql import Window
 
-        key = tokens.columns[0]
-        w = Window.partitionBy(key).orderBy("pos")
-        ahead = F.array(*[F.lower(F.lead("token", k).over(w)) for k in range(longest)])
-        own = tokens.columns
-        grams = tokens.withColumn("_ahead", ahead).select(*own, F.explode(F.expr(f"transform(sequence(1, {longest}), n -> named_struct('n', n, 'phrase', if(_ahead[n - 1] is null, null, array_join(slice(_ahead, 1, n), ' '))))")).alias("g"))
-        # Every token has its own word as a phrase, so none is lost, and nothing is joined back.
-        found = grams.where("g.phrase is not null").select(*own, F.col("g.n").alias("_n"), F.col("g.phrase").alias("_p"))
-        found = found.join(table, (F.col("_p") == F.col("phrase")) & (F.col("_n") == F.col("n")), "left")
-        d = found.groupBy(*own).agg(F.max("n").alias("len"))
+        key = rows.columns[0]
+        if longest == 1:
+            tokens = rows.select(key, F.explode("tokens").alias("_t")).select(key, "_t.*").withColumn("_p", F.lower("token"))
+            found = tokens.join(table.select("phrase"), F.col("_p") == F.col("phrase"))
+            return found.select(key, *own, F.lit(f"B-{label}").alias("tag"))
+        # All phrases that begin at a token are made within the row.
+        lower = "transform(tokens, t -> lower(t.token))"
+        phrases = f"transform(sequence(1, least({longest}, size(w) - i)), k -> array_join(slice(w, i + 1, k), ' '))"
+        grams = F.expr(f"transform(array({lower}), w -> transform(tokens, (t, i) -> struct(t, {phrases} as phrases)))[0]")
+        d = rows.where("size(tokens) > 0").select(key, F.posexplode(grams).alias("pos", "_g"))
+        d = d.select(key, "pos", "_g.t.*", F.posexplode("_g.phrases").alias("_n", "_p"))
+        found = d.join(table, (F.col("_p") == F.col("phrase")) & (F.col("_n") + 1 == F.col("n")), "left")
+        d = found.groupBy(key, "pos", *own).agg(F.max("n").alias("len"))
         # A token is inside if a match that begins before it reaches it.
-        reach = F.max(F.col("pos") + F.col("len")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        inside = F.coalesce(reach, F.lit(-1)) > F.col("pos")
+        before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+        inside = F.coalesce(F.max(F.col("pos") + F.col("len")).over(before), F.lit(-1)) > F.col("pos")
         tag = F.when(inside, f"I-{label}").when(F.col("len").isNotNull(), f"B-{label}").otherwise("O")
-        return d.select(*tokens.columns, tag.alias("tag"))
+        return d.select(key, *own, tag.alias("tag"))
 
     return run
 
 
-def recognize(passages: DataFrame, recognizer: Recognizer, key: str = "passage_id", text: str = "text") -> DataFrame:
-    """(key, label, start, end, n_tokens, text) of all recognised spans."""
-    tokens = token_spans(passages, key, text)
-    spans = decode_tags(recognizer(tokens), key, ["pos"], "tag", "start", "end")
-    d = spans.join(passages.select(key, F.col(text).alias("_t")), key)
-    return d.withColumn("text", F.expr("substring(_t, start + 1, end - start)")).drop("_t")
+def recognize(passages: DataFrame, recognizer: Recognizer, key: str = "passage_id", text: str = "text", word: str = WORD) -> DataFrame:
+    """(key, label, start, end, n_tokens, text) of all recognised spans. A span's text is made
+    of its own tokens, so no text is shuffled."""
+    tags = recognizer(token_rows(passages, key, text, word, lead=True))
+    return decode_tags(tags, key, ["start"], "tag", "start", "end", "token", "lead")
+
+
+# ---------------------------------------------------------------- models over windows
+
+
+class Lazy:
+    """A model that each worker makes by ``load`` when it first needs it; ``labels`` in the
+    order of its scores."""
+
+    def __init__(self, load: Callable[[], object], labels: list[str]):
+        self.load, self.labels, self._made = load, list(labels), None
+
+    def scores(self, tokens: list[str], sizes: np.ndarray) -> np.ndarray:
+        if self._made is None:
+            self._made = self.load()
+        return self._made.scores(tokens, sizes)
+
+    def __getstate__(self):
+        return {**self.__dict__, "_made": None}
+
+
+def features(tokens: list[str], sizes: Iterable[int]) -> list[list[str]]:
+    """Of every kind of feature its value at each token: the token, its ending, and its
+    neighbours within the window."""
+    low = [t.lower() for t in tokens]
+    before, after = ["^", *low[:-1]], [*low[1:], "$"]
+    at = 0
+    for n in sizes:
+        if n:
+            before[at], after[at + n - 1] = "^", "$"
+        at += n
+    return [[f"{kind}:{x}" for x in values] for kind, values in (("w", low), ("s", [t[-3:] for t in low]), ("p", before), ("n", after))]
+
+
+class Linear:
+    """A linear token classifier: the sum of the weights of a token's features per label."""
+
+    def __init__(self, labels: list[str], prior: np.ndarray, weights: dict[str, int], table: np.ndarray):
+        self.labels, self.prior, self.weights, self.table = list(labels), prior, weights, table
+
+    def scores(self, tokens: list[str], sizes: np.ndarray) -> np.ndarray:
+        """(tokens, labels) scores of windows' tokens, one window after the other."""
+        out = np.tile(self.prior, (len(tokens), 1))
+        for values in features(tokens, sizes.tolist()):
+            out += self.table[[self.weights.get(v, -1) for v in values]]  # the last row is of unknown features
+        return out
+
+
+def _windows_of(batch: pa.RecordBatch, k: int):
+    """(sizes, fields of all tokens) of a column of windows."""
+    sizes = pa.compute.list_value_length(batch.column(k)).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = batch.column(k).flatten()
+    return sizes, {f.name: flat.field(i) for i, f in enumerate(flat.type)}
+
+
+def fit_linear(tagged: DataFrame, labels: list[str], least: int = 5, most: int = 200_000) -> Linear:
+    """The classifier of windows whose tokens have a ``tag`` (see ``tagged_windows``), from the
+    counts of all windows. Features that occur ``least`` times or more have weights, at most
+    the ``most`` most frequent: that bounds the model, not what is counted."""
+    place = {t: k for k, t in enumerate(labels)}
+
+    def run(batches):
+        count: Counter = Counter()
+
+        def out():
+            rows = list(count.items())
+            count.clear()
+            return pa.RecordBatch.from_arrays([pa.array([f for (f, _), _ in rows], pa.string()), pa.array([t for (_, t), _ in rows], pa.int32()), pa.array([n for _, n in rows], pa.int64())], ["feature", "label", "n"])
+
+        for batch in batches:
+            sizes, token = _windows_of(batch, 0)
+            tags = [place[t] for t in token["tag"].to_pylist()]
+            for values in features(token["token"].to_pylist(), sizes.tolist()):
+                count.update(zip(values, tags, strict=True))
+            count.update(("", t) for t in tags)
+            if len(count) > 500_000:
+                yield out()
+        yield out()
+
+    each = tagged.select("tokens").mapInArrow(run, "feature string, label int, n long")
+    sums = each.groupBy("feature").agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"n_{k}") for k in range(len(labels))])
+    kept = sums.where((F.col("n") >= least) | (F.col("feature") == "")).orderBy(F.desc("n"), "feature").limit(most + 1).collect()  # `most` rows
+    whole = next(([r[f"n_{k}"] for k in range(len(labels))] for r in kept if r.feature == ""), [0] * len(labels))
+    total, size = sum(whole), len(labels)
+    weight = lambda n, k, c: math.floor(1000 * math.log((c + 1) * (total + size) / ((n + size) * (whole[k] + 1))))
+    rows = [r for r in kept if r.feature != ""]
+    table = np.array([[weight(r.n, k, r[f"n_{k}"]) for k in range(size)] for r in rows] + [[0] * size], float)
+    prior = np.array([math.floor(1000 * math.log((c + 1) / (total + size))) for c in whole], float)
+    return Linear(labels, prior, {r.feature: k for k, r in enumerate(rows)}, table)
+
+
+def tagged_windows(tagged: DataFrame, key: str, max_length: int = 512, overlap: int = 128, special: int = 2) -> DataFrame:
+    """(key, chunk, first, tokens) of rows (key, tokens, tags): windows whose tokens have a tag."""
+    names = [f.name for f in tagged.schema["tokens"].dataType.elementType]
+    both = F.expr(f"transform(arrays_zip(tokens, tags), x -> struct({', '.join(f'x.tokens.{n} as {n}' for n in names)}, x.tags as tag))")
+    return windows(tagged.select(key, both.alias("tokens")), key, max_length, overlap, special)
+
+
+def score_windows(cut: DataFrame, key: str, model) -> DataFrame:
+    """(key, chunk, token, start, end, lead, s_0, ...): a score per token and label of every
+    window. The model comes once to a worker; a token that it scores NaN has none."""
+    shared = cut.sparkSession.sparkContext.broadcast(model)
+    names = [f"s_{k}" for k in range(len(model.labels))]
+
+    def run(batches):
+        m = shared.value
+        for batch in batches:
+            sizes, token = _windows_of(batch, 2)
+            s = np.asarray(m.scores(token["token"].to_pylist(), sizes), float)
+            of = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+            own = [token[c] for c in ("token", "start", "end", "lead")]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *own, *[pa.array(s[:, k], mask=np.isnan(s[:, k])) for k in range(len(names))]], [key, "chunk", "token", "start", "end", "lead", *names])
+
+    d = cut.select(key, "chunk", "tokens")
+    return d.mapInArrow(run, f"`{key}` {d.schema[0].dataType.simpleString()}, chunk int, token string, start int, end int, lead string, {', '.join(f'{n} double' for n in names)}")
+
+
+def best_of(labels: list[str], means: list[Column], default: str = "O") -> Column:
+    """The label of the largest mean, the first one on ties; the default without any."""
+    names = F.array(*[F.lit(x) for x in labels])
+    top = F.array_max(F.array(*means))
+    return F.when(top.isNull(), default).otherwise(F.get(names, (F.array_position(F.array(*means), top) - 1).cast("int")))
+
+
+def windowed(model, max_length: int = 512, overlap: int = 128, special: int = 2) -> Recognizer:
+    """A recognizer of a model with ``labels`` and ``scores(tokens, sizes)``: windows of tokens,
+    scores of every window, their means over the windows that hold a token (by its exact
+    place), the best label. Windows are cut within the row, and a text's scores meet once."""
+
+    def run(rows: DataFrame) -> DataFrame:
+        key = rows.columns[0]
+        scored = score_windows(windows(rows, key, max_length, overlap, special), key, model)
+        names = [f"s_{k}" for k in range(len(model.labels))]
+        # Dealt by text, which the decoding needs as well: no second shuffle.
+        means = scored.repartition(key).groupBy(key, "start", "end", "token", "lead").agg(*[F.avg(n).alias(n) for n in names])
+        return means.select(key, "token", "start", "end", "lead", best_of(model.labels, [F.col(n) for n in names]).alias("tag"))
+
+    return run

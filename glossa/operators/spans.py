@@ -2,33 +2,100 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A token and the characters before it; ``token_spans`` turns lengths into places.
-WORD = ("[^\\p{L}\\p{N}]", "[\\p{L}\\p{N}]")
-
-
-#: Tokens of a block of running sums, characters of a bin of interval joins.
-STEP, BIN = 32, 64
-
-
-def token_spans(docs: DataFrame, key: str, text: str = "text", gap: str = WORD[0], word: str = WORD[1]) -> DataFrame:
-    """(key, pos, token, start, end): code-point places of all words of every text.
-
-    Every match is the characters before a word and the word, so the running sum of both
-    lengths is the word's end. Sums go by blocks of ``STEP`` words within the row: nothing
-    is shuffled or sorted, and time is nearly linear in a text's words."""
-    pattern = f"({gap}*)({word}+)".replace("\\", "\\\\")
-    d = docs.select(key, F.expr(f"regexp_extract_all({text}, '{pattern}', 1)").alias("_g"), F.expr(f"regexp_extract_all({text}, '{pattern}', 2)").alias("_t"))
-    d = d.withColumn("_n", F.expr("zip_with(_g, _t, (g, t) -> char_length(g) + char_length(t))"))
-    sums = f"transform(sequence(0, size(_n) div {STEP}), q -> aggregate(slice(_n, q * {STEP} + 1, {STEP}), 0, (a, x) -> a + x))"
-    before = f"transform(array({sums}), o -> transform(o, (z, q) -> aggregate(slice(o, 1, q), 0, (a, x) -> a + x)))[0]"
-    ends = f"transform(array({before}), o -> transform(_n, (z, i) -> aggregate(slice(_n, i - i % {STEP} + 1, i % {STEP} + 1), o[i div {STEP}], (a, x) -> a + x)))[0]"
-    d = d.select(key, F.posexplode(F.expr(f"zip_with(_t, {ends}, (t, e) -> named_struct('_t', t, '_e', e))")).alias("pos", "_p"))
-    return d.select(key, "pos", F.col("_p._t").alias("token"), (F.col("_p._e") - F.char_length("_p._t")).cast("int").alias("start"), F.col("_p._e").cast("int").alias("end"))
+#: Characters of tokens: letters and numbers, the same with the underscore (which counts in
+#: evaluations), letters of ASCII. Python's classes of one character.
+WORD, EVALUATED, ASCII = r"[^\W_]", r"\w", "[A-Za-z]"
+#: Characters of texts that are cut at once (or one text), characters of a bin of interval joins.
+PART, BIN = 1 << 20, 64
+TOKENS = "array<struct<token:string,start:int,end:int>>"
+TOKENS_WITH_LEADS = "array<struct<token:string,start:int,end:int,lead:string>>"
+
+
+@cache
+def _class(word: str, size: int) -> np.ndarray:
+    """Whether each code point below ``size`` belongs to a class."""
+    own = re.compile(word)
+    return np.array([own.match(chr(c)) is not None for c in range(size)])
+
+
+def _strings(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Strings that lie one after the other in UTF-8 bytes."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+def _cut(texts: list[str], word: str, lead: bool) -> pa.Array:
+    """The tokens of each text: maximal runs of characters of the class, by array operations
+    over all texts at once."""
+    whole = "".join(texts)
+    points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
+    row = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+    top = int(points.max(initial=0))
+    inside = _class(word, 1 << max(top.bit_length(), 8))[points]
+    before, after = np.roll(inside, 1), np.roll(inside, -1)
+    before[row[:-1][row[:-1] < len(points)]] = False
+    after[row[1:][row[1:] > 0] - 1] = False
+    first, last = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    of = np.searchsorted(row, first, "right") - 1
+    raw = np.frombuffer(whole.encode("utf-8", "surrogatepass"), np.uint8)
+    byte = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+    width = np.diff(byte)
+    fields = [_strings(raw[np.repeat(inside, width)], byte[last] - byte[first]), pa.array((first - row[of]).astype(np.int32)), pa.array((last - row[of]).astype(np.int32))]
+    names = ["token", "start", "end"]
+    if lead:  # what lies between a token and the one before; what follows a text's last token is left out
+        begin = np.where(np.concatenate([[-1], of[:-1]])[: len(of)] == of, np.concatenate([[0], last[:-1]])[: len(first)], row[of])
+        mark = np.zeros(len(points) + 1, np.int64)
+        np.add.at(mark, begin, 1)
+        np.add.at(mark, first, -1)
+        fields.append(_strings(raw[np.repeat(np.cumsum(mark[:-1]) > 0, width)], byte[first] - byte[begin]))
+        names.append("lead")
+    counts = np.bincount(of, minlength=len(texts)) if len(of) else np.zeros(len(texts), np.int64)
+    ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(fields, names))
+
+
+def _parts(sizes: list[int], limit: int = PART) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``limit`` in size, one row at least."""
+    start, total = 0, 0
+    for k, n in enumerate(sizes):
+        if k > start and total + n > limit:
+            yield start, k
+            start, total = k, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def token_rows(docs: DataFrame, key: str, text: str = "text", word: str = WORD, lead: bool = False) -> DataFrame:
+    """(key, tokens): of every text the array of its tokens with their code-point places, and
+    with ``lead`` the characters before each. A null text has none.
+
+    Places need running sums over a text's characters, which no built-in expression gives;
+    batches are cut by array operations, without a step per token, and nothing is shuffled."""
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in _parts([len(t) for t in texts]):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _cut(texts[a:b], word, lead)], [key, "tokens"])
+
+    d = docs.select(key, F.col(text).alias("_text"))
+    return d.mapInArrow(run, f"`{key}` {d.schema[0].dataType.simpleString()}, tokens {TOKENS_WITH_LEADS if lead else TOKENS}")
+
+
+def token_spans(docs: DataFrame, key: str, text: str = "text", word: str = WORD) -> DataFrame:
+    """(key, pos, token, start, end): code-point places of all words of every text."""
+    return token_rows(docs, key, text, word).select(key, F.posexplode("tokens").alias("pos", "_t")).select(key, "pos", "_t.token", "_t.start", "_t.end")
 
 
 def _bins(start: str, end: str, width: int = BIN):
@@ -45,17 +112,29 @@ def meeting(a: DataFrame, b: DataFrame, key: str, width: int = BIN) -> DataFrame
     return left.join(right, [key, "_bin"]).where((F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end")) & common).drop("_bin")
 
 
-def chunks(docs: DataFrame, key: str, n: str, max_length: int = 512, overlap: int = 128, special: int = 2) -> DataFrame:
-    """(key, chunk, first, last): token windows of max_length - special, each sharing
-    ``overlap`` tokens with the one before; the last one may be shorter."""
+def window_starts(n: str, max_length: int = 512, overlap: int = 128, special: int = 2) -> tuple[str, int]:
+    """SQL of the first tokens of all windows of ``n`` tokens, and the windows' width."""
     width = max_length - special
     if not 0 <= overlap < width:
         raise ValueError("the overlap must be shorter than a window")
-    starts = f"sequence(0, greatest(cast({n} as int) - {overlap}, 1) - 1, {width - overlap})"
+    return f"sequence(0, greatest(cast({n} as int) - {overlap}, 1) - 1, {width - overlap})", width
+
+
+def chunks(docs: DataFrame, key: str, n: str, max_length: int = 512, overlap: int = 128, special: int = 2) -> DataFrame:
+    """(key, chunk, first, last): token windows of max_length - special, each sharing
+    ``overlap`` tokens with the one before; the last one may be shorter."""
+    starts, width = window_starts(n, max_length, overlap, special)
     d = docs.select(key, F.col(n).cast("int").alias("_n"), F.posexplode(F.expr(starts)).alias("chunk", "first"))
     return d.select(key, "chunk", "first", F.expr(f"least(first + {width}, _n)").alias("last"))
 
 
+def windows(rows: DataFrame, key: str, max_length: int = 512, overlap: int = 128, special: int = 2) -> DataFrame:
+    """(key, chunk, first, tokens): the windows of token rows, cut within the row."""
+    starts, width = window_starts("size(tokens)", max_length, overlap, special)
+    cut = F.expr(f"transform({starts}, f -> named_struct('first', f, 'tokens', slice(tokens, f + 1, {width})))")
+    return rows.where("size(tokens) > 0").select(key, F.posexplode(cut).alias("chunk", "_w")).select(key, "chunk", "_w.first", "_w.tokens")
+
+
 def average_logits(tokens: DataFrame, keys: list[str], label: str, logit: str) -> DataFrame:
     """Mean logit of each token and label over the chunks that hold the token."""
     return tokens.groupBy(*keys, label).agg(F.avg(logit).alias("mean_logit"), F.count(F.lit(1)).alias("n_chunks"))
@@ -66,43 +145,96 @@ def best_label(means: DataFrame, keys: list[str], label: str, logit: str = "mean
     return means.groupBy(*keys).agg(F.max_by(label, F.struct(F.col(logit), -F.col(label))).alias(label))
 
 
-def decode_tags(tags: DataFrame, key: str, order: list[str], tag: str, start: str, end: str) -> DataFrame:
-    """Tags O, B-x, I-x of ordered tokens to (key, label, start, end, n_tokens).
+def decode_tags(tags: DataFrame, key: str, order: list[str], tag: str, start: str, end: str, token: str | None = None, lead: str | None = None) -> DataFrame:
+    """Tags O, B-x, I-x of ordered tokens to (key, label, start, end, n_tokens), and with the
+    columns ``token`` and ``lead`` (what lies before it) the span's text.
 
     A span begins at B, at another label than the token before, or after O; tokens
     without width are left out first. A tag without a dash begins a span of its own."""
     w = Window.partitionBy(key).orderBy(*order)
-    d = tags.where(F.col(end) > F.col(start)).select(key, *order, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(tag).alias("_tag"))
+    some = [F.struct(F.col(lead).alias("lead"), F.col(token).alias("token")).alias("_piece")] if token else []
+    d = tags.where(F.col(end) > F.col(start)).select(key, *order, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(tag).alias("_tag"), *some)
     dashed = F.contains("_tag", F.lit("-"))
     d = d.withColumn("_label", F.when(F.col("_tag") == "O", None).when(dashed, F.expr("substring(_tag, instr(_tag, '-') + 1)")).otherwise(F.col("_tag")))
     opens = F.col("_label").isNotNull() & (F.startswith("_tag", F.lit("B-")) | ~dashed | ~F.col("_label").eqNullSafe(F.lag("_label").over(w)))
     d = d.withColumn("_span", F.sum(opens.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     d = d.where("_label is not null")
-    return d.groupBy(key, "_span").agg(F.first("_label").alias("label"), F.min("_s").alias("start"), F.max_by("_e", F.struct(*order)).alias("end"), F.count(F.lit(1)).alias("n_tokens")).drop("_span")
-
-
-def encode_tags(tokens: DataFrame, entities: DataFrame, key: str, mode: str = "expand") -> DataFrame:
-    """Tokens (key, pos, start, end) with the tag of their owner among ``entities``
+    out = d.groupBy(key, "_span").agg(F.first("_label").alias("label"), F.min("_s").alias("start"), F.max_by("_e", F.struct(*order)).alias("end"), F.count(F.lit(1)).alias("n_tokens"), *([F.sort_array(F.collect_list(F.struct(*order, "_piece"))).alias("_pieces")] if token else []))  # of one span
+    if token:
+        text = F.array_join(F.transform("_pieces", lambda x, i: F.when(i == 0, x["_piece"]["token"]).otherwise(F.concat(x["_piece"]["lead"], x["_piece"]["token"]))), "")
+        out = out.withColumn("text", text).drop("_pieces")
+    return out.drop("_span")
+
+
+def _owners(mode: str):
+    """(tokens, entities) of a row to each token's entity: -1 where it has none."""
+
+    def of(tokens: pa.Array, entities: pa.Array) -> np.ndarray:
+        start, end = (tokens.field(k).to_numpy(zero_copy_only=False) for k in ("start", "end"))
+        name, low, high = (entities.field(k).to_numpy(zero_copy_only=False) for k in ("entity", "start", "end"))
+        owner = np.full(len(start), -1, np.int64)
+        first, last = np.searchsorted(end, low, "right"), np.searchsorted(start, high, "left")
+        for k in np.argsort(name, kind="stable").tolist():
+            a, b = first[k], last[k]
+            cut = b > a and (start[a] < low[k] or end[b - 1] > high[k])
+            if mode == "strict" and (cut or b <= a):
+                raise ValueError(f"an entity {'cuts a token' if cut else 'meets no token'}: {low[k]}-{high[k]}")
+            if not (cut and mode == "skip"):
+                owner[a:b] = k
+        return owner
+
+    return of
+
+
+def _tag(mode: str, key: str):
+    of = _owners(mode)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in range(batch.num_rows):
+                tokens, entities = (batch.column(k)[r].values for k in (1, 2))
+                if tokens is None or not len(tokens):
+                    out.append([])
+                    continue
+                if entities is None or not len(entities):
+                    out.append(["O"] * len(tokens))
+                    continue
+                owner = of(tokens, entities)
+                labels = np.array(entities.field("label").to_pylist(), object)
+                fresh = np.concatenate([[True], owner[1:] != owner[:-1]])
+                out.append(["O" if k < 0 else ("B-" if new else "I-") + labels[k] for k, new in zip(owner.tolist(), fresh.tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.string()))], [key, "tokens", "tags"])
+
+    return run
+
+
+def tag_rows(rows: DataFrame, entities: DataFrame, key: str, mode: str = "expand") -> DataFrame:
+    """Token rows (key, tokens) with ``tags``: every token's tag of its owner among ``entities``
     (key, entity, label, start, end); the last entity owns a token that several cover.
 
     ``expand`` takes every token that overlaps an entity, ``skip`` leaves out entities
-    that cut a token, ``strict`` fails on them. A token whose left neighbour has another
-    owner, or none, begins its span anew."""
+    that cut a token, ``strict`` fails on them and on entities that meet no token. A token
+    whose left neighbour has another owner, or none, begins its span anew. A text's tokens
+    and entities meet once, as one row each; no token is shuffled alone."""
     if mode not in ("expand", "skip", "strict"):
         raise ValueError(f"unknown mode {mode}")
-    e = entities.select(key, F.col("entity").alias("_entity"), F.col("label").alias("_label"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    pairs = meeting(tokens.select(key, "pos", "start", "end"), e, key).withColumn("_cut", (F.col("start") < F.col("_s")) | (F.col("end") > F.col("_e")))
-    if mode != "expand":
-        # Aggregated per entity, not windowed with its tokens' rows again.
-        pairs = pairs.join(pairs.groupBy(key, "_entity").agg(F.max("_cut").alias("_bad")), [key, "_entity"])
-        if mode == "strict":
-            pairs = pairs.where(F.assert_true(~F.col("_bad"), F.lit("an entity cuts a token")).isNull())
-        pairs = pairs.where(~F.col("_bad"))
-    owner = pairs.groupBy(F.col(key).alias("_ok"), F.col("pos").alias("_op")).agg(F.max(F.struct("_entity", "_label")).alias("_owner"))
-    d = tokens.join(owner, (F.col(key) == F.col("_ok")) & (F.col("pos") == F.col("_op")), "left")
-    before = F.lag("_owner._entity").over(Window.partitionBy(key).orderBy("pos"))
-    prefix = F.when(F.col("_owner._entity") == before, "I-").otherwise("B-")
-    return d.withColumn("tag", F.when(F.col("_owner").isNull(), "O").otherwise(F.concat(prefix, F.col("_owner._label")))).drop("_ok", "_op", "_owner")
+    e = entities.where("end > start" if mode != "strict" else "true").select(key, F.struct(F.col("entity").cast("long").alias("entity"), F.col("label").alias("label"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")).alias("e"))
+    own = e.groupBy(key).agg(F.collect_list("e").alias("_entities"))  # of one text
+    d = rows.join(own, key, "left").select(key, "tokens", "_entities")
+    kind = d.schema
+    return d.mapInArrow(_tag(mode, key), f"`{key}` {kind[0].dataType.simpleString()}, tokens {kind[1].dataType.simpleString()}, tags array<string>")
+
+
+def encode_tags(tokens: DataFrame, entities: DataFrame, key: str, mode: str = "expand") -> DataFrame:
+    """Tokens (key, pos, token, start, end), or token rows, with their ``tag``; see ``tag_rows``."""
+    if "tokens" not in tokens.columns:
+        one = F.struct("pos", *[c for c in ("token", "start", "end") if c in tokens.columns])
+        tokens = tokens.groupBy(key).agg(F.sort_array(F.collect_list(one)).alias("tokens"))  # of one text
+    d = tag_rows(tokens, entities, key, mode)
+    d = d.select(key, F.posexplode(F.arrays_zip("tokens", "tags")).alias("pos", "_x"))
+    names = [c for c in ("token", "start", "end") if c in d.schema["_x"].dataType["tokens"].dataType.names]
+    return d.select(key, "pos", *[f"_x.tokens.{c}" for c in names], F.col("_x.tags").alias("tag"))
 
 
 def contained(entities: DataFrame, passages: DataFrame, key: str) -> DataFrame:
@@ -120,18 +252,22 @@ def overlapping_pairs(spans: DataFrame, key: str, index: str) -> DataFrame:
     return meeting(d, other, key).where("a < b").select(key, "a", "b")
 
 
-def token_overlaps(refs: DataFrame, preds: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
-    """(key, ref, pred): spans of one type that overlap and share a token.
-
-    Both sides meet at tokens, so the join is on equal keys: no range condition is left
-    but that of the spans themselves."""
-
-    def at(spans: DataFrame, name: str) -> DataFrame:
-        t = tokens.select(key, F.col("pos").alias("_pos"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-        return meeting(spans, t, key).select(key, "_pos", "type", F.col("id").alias(name), F.col("start").alias(f"{name}_s"), F.col("end").alias(f"{name}_e"))
-
-    both = at(refs, "ref").join(at(preds, "pred"), [key, "_pos", "type"])
-    return both.where("ref_s < pred_e and pred_s < ref_e").select(key, "ref", "pred").distinct()
+def token_overlaps(refs: DataFrame, preds: DataFrame, passages: DataFrame, key: str, by: list[str] | None = None) -> DataFrame:
+    """(key, ref, pred): spans (key, id, start, end and the columns ``by``, by default their
+    type) that overlap, agree in ``by`` and share a token of the passage's text. passages:
+    (key, text), and offset where the spans' places do not begin at 0.
+
+    A token meets both spans only where they overlap, so they share one if and only if their
+    common part holds a character of a token: spans meet spans, and no token is listed."""
+    by = ["type"] if by is None else by
+    same = lambda x: F.concat_ws("\u0001", F.col(key).cast("string"), *[F.col(c).cast("string") for c in by])
+    r = refs.select(F.col(key).alias("_key"), same(key).alias("_meet"), F.col("id").alias("ref"), "start", "end")
+    p = preds.select(same(key).alias("_meet"), F.col("id").alias("pred"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    pairs = meeting(r, p, "_meet").select(F.col("_key").alias(key), "ref", "pred", F.greatest("start", "_s").alias("_a"), F.least("end", "_e").alias("_b"))
+    shift = F.col("offset") if "offset" in passages.columns else F.lit(0)
+    t = passages.select(key, "text", shift.alias("_o"))
+    common = F.expr("substring(text, cast(_a - _o as int) + 1, cast(_b - _a as int))")
+    return pairs.join(t, key).where(common.rlike(r"[\p{L}\p{N}_]")).select(key, "ref", "pred").distinct()
 
 
 def running_ids(d: DataFrame, order: list[str], out: str = "id") -> DataFrame:

@@ -140,12 +140,60 @@ _GRID = f"""pred2 as (select passage_key, "type", id, r, 'CL:' || (id + r - 3) p
  b1 as (select coalesce(g1.score_mode, p1.score_mode) score_mode, coalesce(g1.gate, p1.gate) gate, coalesce(g1.top, p1.top) top, g1.gate is not null r, p1.gate is not null q from g1 full join p1 on g1.score_mode = p1.score_mode and g1.gate = p1.gate and g1.top = p1.top
   and g1.passage_key = p1.passage_key and g1."type" = p1."type" and g1.loc = p1.loc and g1.i = p1.i),
  c1 as (select score_mode, gate, top::bigint top, count(*) filter (r and q) tp, count(*) filter (q and not r) fp, count(*) filter (r and not q) fn from b1 group by 1, 2, 3)"""
-_LOSS = """c as (select label from (select distinct label from embeddings) order by (label::bigint * 2654435761) % 1000003, label limit 8),
+_LOSS = """c as (select label from (select label from embeddings group by 1 having count(*) >= 4) order by (label::bigint * 2654435761) % 1000003, label limit 8),
  s as (select *, row_number() over (partition by label order by (vec_id * 2654435761 + 40503) % 1000003, vec_id) pick from embeddings where label in (select label from c) qualify pick <= 4),
  pr as (select a.vec_id i, a.label = b.label same, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) / 0.05 x from s a join s b on a.vec_id <> b.vec_id),
  an as (select i, max(x) m, sum(case when same then x end) pos, sum(same::int) n from pr group by 1),
  l as (select an.i, an.pos, an.n, an.m, ln(sum(exp(pr.x - an.m))) lse from pr join an on an.i = pr.i group by all)"""
 
+_FEATURES = f"""{_words()}, {_ENT}, {_OWN.format('')}, n as (select doc_id, count(*) n from words group by 1), st as (select doc_id, n, unnest(range(0, greatest(n - 32, 1), 94)) f from n),
+ wt as (select st.doc_id, f // 94 chunk, w.pos, w.s, w.e, lower(w.token) t, g.tag from st join words w on w.doc_id = st.doc_id and w.pos >= f and w.pos < least(f + 126, n) join tagged g on g.doc_id = w.doc_id and g.pos = w.pos),
+ nb as (select *, coalesce(lag(t) over (partition by doc_id, chunk order by pos), '^') p, coalesce(lead(t) over (partition by doc_id, chunk order by pos), '$') x from wt),
+ fe as (select doc_id, chunk, pos, s, e, tag, unnest(['w:' || t, 's:' || right(t, 3), 'p:' || p, 'n:' || x]) f from nb)"""
+_SCORED = """lab(k, tag) as (values (0, 'O'), (1, 'B-ing'), (2, 'I-ing'), (3, 'B-tion'), (4, 'I-tion')), al as (select count(*) n from wt),
+ nl as (select k, lab.tag, count(wt.tag) c from lab left join wt on wt.tag = lab.tag group by 1, 2), ff as (select f, count(*) n from fe group by 1 having count(*) >= 5 order by n desc, f limit 200000),
+ fl as (select f, tag, count(*) c from fe group by 1, 2),
+ we as (select ff.f, k, floor(1000 * ln(((coalesce(fl.c, 0) + 1) * (al.n + 5))::double / ((ff.n + 5) * (nl.c + 1)))) v from ff cross join nl cross join al left join fl on fl.f = ff.f and fl.tag = nl.tag),
+ sc as (select doc_id, chunk, pos, s, e, k, sum(v) v from fe join we using (f) group by all),
+ se as (select w.doc_id, w.pos, w.s, w.e, nl.k, nl.tag, avg(floor(1000 * ln((nl.c + 1)::double / (al.n + 5))) + coalesce(sc.v, 0)) m from wt w cross join nl cross join al
+  left join sc on sc.doc_id = w.doc_id and sc.chunk = w.chunk and sc.pos = w.pos and sc.k = nl.k group by all),
+ be as (select doc_id, pos, s, e, arg_min(tag, k) filter (m = top) tag from (select *, max(m) over (partition by doc_id, pos) top from se) group by all),
+ la as (select *, case when tag = 'O' then null else substring(tag, 3) end label from be),
+ op as (select *, sum(case when label is not null and (tag like 'B-%' or before is null or before <> label) then 1 else 0 end) over (partition by doc_id order by pos) g from (select *, lag(label) over (partition by doc_id order by pos) before from la)),
+ sp as (select doc_id, min(label) label, min(s) s, max(e) e, count(*) n_tokens from op where label is not null group by doc_id, g)"""
+
+def _draw(x: str, *salts) -> str:
+    m = f"({x} % 2147483647)"
+    for salt in salts:
+        m = f"(({m} * 48271 + {salt} * 69621 + 11) % 2147483647)"
+    return f"(({m} * 40692 + 1) % 2147483647)"
+
+
+_SUITE = f"""{_words()}, gw as (select doc_id pk, pos id, case when token like '%ing' then 'ing' else 'tion' end kind, s, e, e - s n from words where regexp_matches(token, '(ing|tion)$')),
+ pw as (select doc_id pk, pos id, case when token like '%ing' then 'ing' else 'tion' end kind, case when pos % 3 = 0 then greatest(s - 4, 0) else s end s, e, e - s n, lower(token) t from words where regexp_matches(token, '(ing|ion)$') and length(token) >= 6),
+ gl as (select 'singleID' gate, pk, id, kind, s, e, 'CL:' || n link from gw where id % 5 in (0, 1, 4) union all select 'exactIDsOnly', pk, id, kind, s, e, 'CL:' || n from gw where id % 5 in (0, 4)
+  union all select 'allLabels', pk, id, kind, s, e, 'CL:' || n from gw where id % 5 <> 3 union all select 'allLabels', pk, id, kind, s, e, 'CL:' || (n + 1) from gw where id % 5 = 2),
+ gates(gate) as (values ('singleID'), ('exactIDsOnly'), ('allLabels')), models(model) as (values ('a'), ('b')), tops(top) as (values (1), (3), (5)), sets(type_set, kinds) as (values ('both', ['ing', 'tion']), ('ing', ['ing'])),
+ pl as (select *, row_number() over (partition by pk, id, model order by r) - 1 place from (select pw.*, model, r, 'CL:' || (n + case model when 'a' then r - 1 else -r end) link from pw, range(5) x(r), models where (id + r) % 7 <> 0)),
+ g1 as (select distinct 'gold_mention_normalize' score_mode, gate, pk, kind, 0::bigint s, 0::bigint e, link from gl union all select distinct 'end_to_end', gate, pk, kind, s, e, link from gl),
+ p1 as (select distinct 'gold_mention_normalize' score_mode, model, a.gate, top, pl.pk, kind, 0::bigint s, 0::bigint e, link from pl join (select distinct gate, pk, id from gl) a on a.pk = pl.pk and a.id = pl.id join tops on place < top
+  union all select distinct 'end_to_end', model, gate, top, pk, kind, s, e, link from pl join tops on place < top, gates),
+ np as (select score_mode, model, gate, top, kind, count(*) n from p1 group by all), nr as (select score_mode, gate, kind, count(*) n from g1 group by all),
+ nm as (select p1.score_mode, model, p1.gate, top, p1.kind, count(*) n from p1 join g1 on p1.score_mode = g1.score_mode and p1.gate = g1.gate and p1.pk = g1.pk and p1.kind = g1.kind and p1.s = g1.s and p1.e = g1.e and p1.link = g1.link group by all),
+ nodes as (select model, gate, top, pk, kind, link, id, 1 k, s, e from gl, models, tops union all select model, gate, top, pk, kind, link, id, 0, s, e from pl join tops on place < top, gates where t <> 'being'),
+ edges as (select *, case when lag(k) over o <> k and lag(s) over o < e and s < lag(e) over o then 0 else 1 end opens from nodes window o as (partition by model, gate, top, pk, kind, link order by id, k)),
+ paths as (select *, sum(opens) over (partition by model, gate, top, pk, kind, link order by id, k) path from edges),
+ rm as (select model, gate, top, kind, sum(n // 2)::bigint n from (select model, gate, top, kind, pk, link, path, count(*) n from paths group by all) group by all),
+ full_ as (select m.model, g.gate, t.top, w.score_mode, kinds.kind, coalesce(np.n, 0) np, coalesce(nr.n, 0) nr, coalesce(case when w.score_mode = 'relax_end_to_end' then rm.n else nm.n end, 0) m
+  from models m, gates g, tops t, (values ('gold_mention_normalize', 'gold_mention_normalize'), ('end_to_end', 'end_to_end'), ('relax_end_to_end', 'end_to_end')) w(score_mode, as_), (values ('ing'), ('tion')) kinds(kind)
+  left join np on np.score_mode = w.as_ and np.model = m.model and np.gate = g.gate and np.top = t.top and np.kind = kinds.kind left join nr on nr.score_mode = w.as_ and nr.gate = g.gate and nr.kind = kinds.kind
+  left join nm on nm.score_mode = w.as_ and nm.model = m.model and nm.gate = g.gate and nm.top = t.top and nm.kind = kinds.kind left join rm on rm.model = m.model and rm.gate = g.gate and rm.top = t.top and rm.kind = kinds.kind),
+ c as (select model, gate, type_set, score_mode, top::bigint top, sum(m)::bigint tp, sum(np - m)::bigint fp, sum(nr - m)::bigint fn from full_, sets where list_contains(kinds, kind) group by all)"""
+_RANKS = f"""x as (select path, passage_idx, kind, token, n, length({_singular('token')}) z from notes),
+ g as (select distinct path, passage_idx, kind, 'CL:' || (length(token) + n % 12) i from x), p as (select distinct top, path, passage_idx, kind, 'CL:' || (z + r) i from x, range(10) q(r), (values (1), (5), (10)) k(top) where z % 3 <> 0 and r < top),
+ c as (select top::bigint top, (select count(*) from p join g on p.path = g.path and p.passage_idx = g.passage_idx and p.kind = g.kind and p.i = g.i where p.top = k.top) tp, (select count(*) from p where p.top = k.top) np, (select count(*) from g) ng from (values (1), (5), (10)) k(top)),
+ d as (select top, tp, np - tp fp, ng - tp fn from c)"""
+
 SQL = {
     "passage_scan_filter": "select doc_id, source, row_number() over (partition by source order by doc_id) - 1 record_id, length(text) n from documents where length(text) > 0",
     "passage_running_id": "select doc_id, row_number() over (order by doc_id) - 1 id from documents where length(text) > 0",
@@ -164,7 +212,7 @@ SQL = {
     "parenthetical_relation": f"with d as (select p_partkey, p_name, p_brand || ' (' || upper(p_name) || ')' f, '(' || p_brand || ')' o from part) select p_partkey, {_paren('p_name', 'f')} related, {_paren('p_name', 'o')} unrelated from d",
     "byte_offset_map": "with c as (select doc_id, unnest(string_split(text, '')) c, unnest(range(length(text))) i from documents where text <> ''), o as (select doc_id, i + 1 i, sum(strlen(c)) over (partition by doc_id order by i)::bigint b from c union all select doc_id, 0, 0 from documents) select o.doc_id, length(any_value(d.text)) n, md5(string_agg(b::varchar, ',' order by i)) digest from o join documents d on d.doc_id = o.doc_id group by 1",
     "passage_keys": "with d as (select conv_id, turn, case when conv_id % 5 = 0 then '' else conv_id::varchar end doc, case when turn % 3 = 0 then 'p' || turn else '' end p, case when turn % 2 = 0 then 'a' || conv_id else '' end a from conversations) select conv_id, turn, coalesce(nullif(p, ''), nullif(a, ''), doc || ':' || turn) passage_key, case when conv_id % 2 = 0 then 'a/b.xml::' else '' end || coalesce(nullif(p, ''), coalesce(nullif(doc, ''), 'unknown_document') || ':' || turn) sourced_key, coalesce(nullif(doc, ''), nullif(a, ''), nullif(p, '')) document_key from d",
-    "json_entities_parse": "select event_id, len(json_keys(props)) n_keys, array_to_string(list_sort(json_keys(props)), '|') key_names from events",
+    "json_entities_parse": f"with {_words()}, {_SPANS}, g as (select g.*, w.token from gold g join words w on w.doc_id = g.passage_key and w.pos = g.id) select d.doc_id, count(g.id) n, md5(coalesce(string_agg(g.s || ':' || g.e || ':' || g.\"type\" || ':' || g.token, ',' order by g.s), '')) digest from documents d left join g on g.passage_key = d.doc_id group by 1",
     "ontology_terms": f"with {_ONT}, d as (select identifier, n[1] preferred_label, unnest(n) raw_name, unnest(range(len(n))) ord from ont) select identifier, preferred_label, raw_name, {_plural('raw_name')} name, ord = 0 is_preferred, ord from d",
     "concept_metadata": f"with {_ONT} select identifier, n[1] preferred_label, len(n) n_names, array_to_string(n, '|') names from ont",
     "abbrev_lookup": f"with {_ABBR} select k \"key\", n_ids, n_rows, short_form, identifier from lookup",
@@ -197,10 +245,18 @@ SQL = {
     "chunk_labels": f"""with {_words()}, {_ENT}, {_OWN.format('')}, n as (select doc_id, count(*) n from tagged group by 1), s as (select doc_id, n, unnest(range(0, greatest(n - 32, 1), 94)) f from n),
       c as (select doc_id, f // 94 chunk, f, least(f + 126, n) l from s) select c.doc_id, c.chunk, (sum(case t.tag when 'O' then 0 when 'B-ing' then 1 when 'I-ing' then 2 when 'B-tion' then 3 else 4 end) - 200)::bigint label_sum, count(*) + 2 n
       from c join tagged t on t.doc_id = c.doc_id and t.pos >= c.f and t.pos < c.l group by 1, 2""",
+    "recognize_windows": f"with {_FEATURES}, {_SCORED} select sp.doc_id, label, s \"start\", e \"end\", n_tokens, md5(substring(text, s::int + 1, (e - s)::int)) digest from sp join documents d on d.doc_id = sp.doc_id",
     "label_schema": "with t as (select distinct event_type x from events where event_type is not null), n as (select x, row_number() over (order by x) k from t) select 0 label_id, 'O' label union all select 2 * k - 1, 'B-' || x from n union all select 2 * k, 'I-' || x from n",
     "label_recode": "select case when event_type = 'click' then 'view' else event_type end event_type, count(*) n from events where event_type <> 'purchase' group by 1",
-    "balanced_sample": "with c as (select label from (select distinct label from embeddings) order by (label::bigint * 2654435761) % 1000003, label limit 5) select label, vec_id, row_number() over (partition by label order by (vec_id * 2654435761 + 40503) % 1000003, vec_id) pick from embeddings where label in (select label from c) qualify pick <= 3",
-    "label_index": "select label, count(*) n, md5(string_agg(vec_id::varchar, ',' order by vec_id)) digest from embeddings group by 1",
+    "balanced_sample": "with c as (select label from (select label from embeddings group by 1 having count(*) >= 3) order by (label::bigint * 2654435761) % 1000003, label limit 5) select label, vec_id, row_number() over (partition by label order by (vec_id * 2654435761 + 40503) % 1000003, vec_id) pick from embeddings where label in (select label from c) qualify pick <= 3",
+    "label_index": "with l as (select label, count(*) n from embeddings group by 1 having count(*) >= 3), i as (select *, row_number() over (order by label) - 1 label_id from l), p as (select label, vec_id, row_number() over (partition by label order by vec_id) pos from embeddings) select label_id, label::bigint label, n, sum(pos * vec_id)::bigint mark from i join p using (label) group by 1, 2, 3",
+    "batch_plan": f"""with l as (select label, count(*) n, row_number() over (order by label) - 1 label_id from embeddings group by 1 having count(*) >= 3),
+      o as (select *, row_number() over (order by {_draw('label_id', 43)}, label_id) - 1 place, count(*) over () m from l),
+      r as (select label_id, vec_id, n, e.label, row_number() over (partition by e.label order by {_draw('vec_id', 43)}, vec_id) - 1 pos from embeddings e join l on e.label = l.label),
+      b as (select b batch, k, {_draw('b', 43, 1)} a, {_draw('b', 43, 2)} t from range(200) x(b), range(4) y(k)),
+      q as (select b.batch, o.label_id, o.n, b.batch * 1000003 + o.label_id z from b join o on o.place = (a + k * (1 + t % ((m - 1) // 3))) % m),
+      p as (select q.batch, q.label_id, ({_draw('z', 43, 3)} + j * (1 + {_draw('z', 43, 4)} % ((n - 1) // 2))) % n pos from q, range(3) w(j))
+      select batch, row_number() over (partition by batch order by {_draw('vec_id', 43, 'batch', 5)}, vec_id) - 1 slot, label::bigint label, vec_id from p join r on r.label_id = p.label_id and r.pos = p.pos""",
     "span_overlap_pairs": f"with {_words()}, {_SPANS}, b as (select passage_key, 2 * id i, s, e from pred union all select passage_key, 2 * id + 1, s, e from gold) select x.passage_key, count(*) n, sum(x.i * 3 + y.i)::bigint mark from b x join b y on x.passage_key = y.passage_key and x.i < y.i and x.s < y.e and y.s < x.e group by 1",
     "span_containment_join": f"with {_words()}, {_SPANS} select passage_key doc_id, id, s // 400 passage, s % 400 local_start from gold where s // 400 = (e - 1) // 400",
     "span_token_overlap_join": f"with {_words()}, {_SPANS} select g.passage_key, count(*) n, sum(g.id * 3 + p.id)::bigint mark from gold g join pred p on g.passage_key = p.passage_key and g.\"type\" = p.\"type\" and g.s < p.e and p.s < g.e where exists (select 1 from words t where t.doc_id = g.passage_key and g.s < t.e and t.s < g.e and p.s < t.e and t.s < p.e) group by 1",
@@ -226,6 +282,8 @@ SQL = {
     "xml_links_write": f"with {_CONV}, {_NOTES}, x as (select *, {_singular('token')} w from notes) select p.path, count(w) filter (length(w) % 2 = 0) matched, count(w) filter (length(w) % 2 = 1) missing, count(distinct length(w)) filter (length(w) % 2 = 0) n_ids, min(w) filter (length(w) % 2 = 0) least_name from (select distinct path from pas) p left join x on x.path = p.path group by 1",
     "training_records": f"with {_CONV}, {_NOTES} select row_number() over (order by p.path, p.conv_id::varchar, p.passage_idx) - 1 id, p.conv_id::varchar document_id, p.passage_idx passage_id, p.o passage_offset, count(n.token) n, md5(coalesce(string_agg(n.s || ':' || n.e || ':' || case n.kind when 'ing' then 'act' else n.kind end || ':' || n.token, ',' order by n.n), '')) digest from pas p left join notes n on n.path = p.path and n.passage_idx = p.passage_idx where p.text <> '' group by p.path, p.conv_id, p.passage_idx, p.o",
     "evaluate_link_grid": f"with {_IDS}, {_GOLD}, {_GRID} select *, {_PRF} from c1",
+    "evaluate_link_suite": f"with {_SUITE} select *, {_PRF} from c",
+    "link_ranks_round_trip": f"with {_CONV}, {_NOTES}, {_RANKS} select *, {_PRF} from d",
     "verify_passages": f"with {_SIDES} select passage_key, 'missing' problem from refs where passage_key not in (select passage_key from preds) union all select passage_key, 'extra' from preds where passage_key not in (select passage_key from refs) union all select r.passage_key, case when r.o <> p.o then 'offset' else 'text' end from refs r join preds p on r.passage_key = p.passage_key where r.o <> p.o or r.text <> p.text",
     "drop_unknown_passages": f"with {_SIDES} select passage_key, o \"offset\" from preds where passage_key in (select passage_key from refs)",
     "term_dedupe": f"with {_TERMS} select * from terms",

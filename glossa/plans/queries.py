@@ -21,10 +21,9 @@ from glossa.operators import flows
 from glossa.operators import linking as L
 from glossa.operators import recognize as R
 from glossa.operators import spans as S
-from glossa.sources import annotated, bioc
+from glossa.sources import annotated, bioc, files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ASCII = ("[^A-Za-z]", "[A-Za-z]")
 
 
 def query(f):
@@ -46,7 +45,11 @@ def _names(spark, sf) -> DataFrame:
 
 def _words(spark, sf) -> DataFrame:
     """(doc_id, pos, token, start, end): ASCII words of all documents."""
-    return S.token_spans(_t(spark, sf, "documents"), "doc_id", "text", *ASCII)
+    return S.token_spans(_t(spark, sf, "documents"), "doc_id", "text", S.ASCII)
+
+
+def _word_rows(spark, sf) -> DataFrame:
+    return S.token_rows(_t(spark, sf, "documents"), "doc_id", "text", S.ASCII)
 
 
 def _long(x: str):
@@ -200,8 +203,12 @@ def passage_keys(spark, sf):
 
 @query
 def json_entities_parse(spark, sf):
-    d = _t(spark, sf, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m"), F.expr("json_object_keys(props)").alias("k"))
-    return d.select("event_id", F.size("k").cast("long").alias("n_keys"), F.array_join(F.sort_array("k"), "|").alias("key_names"))
+    """Entities given as JSON texts, made of the spans of all documents, as typed lists."""
+    e = _gold(spark, sf).select("passage_key", F.struct("start", "end", F.col("type").alias("label"), "text").alias("e"))
+    texts = e.groupBy(F.col("passage_key").alias("doc_id")).agg(F.to_json(F.collect_list("e")).alias("entities"))
+    d = _t(spark, sf, "documents").select("doc_id").join(texts, "doc_id", "left").select("doc_id", F.sort_array(files.parse_entities()).alias("e"))
+    lines = F.transform("e", lambda x: F.concat_ws(":", x["start"], x["end"], x["label"], x["text"]))
+    return d.select("doc_id", F.size("e").cast("long").alias("n"), F.md5(F.array_join(lines, ",").cast("binary")).alias("digest"))
 
 
 # ---------------------------------------------------------------- ontology and abbreviations
@@ -341,7 +348,7 @@ def mention_distinct(spark, sf):
 
 def _gazetteer(spark, sf) -> DataFrame:
     """Terms: the words of the benchmark, with their first item."""
-    b = S.token_spans(_t(spark, sf, "benchmark"), "item_id", "text", *ASCII)
+    b = S.token_spans(_t(spark, sf, "benchmark"), "item_id", "text", S.ASCII)
     return b.groupBy(F.lower("token").alias("term")).agg(F.min("item_id").alias("concept"))
 
 
@@ -417,20 +424,20 @@ def _entities(spark, sf) -> DataFrame:
 
 @query
 def bio_encode(spark, sf):
-    d = S.encode_tags(_words(spark, sf), _entities(spark, sf), "doc_id")
+    d = S.encode_tags(_word_rows(spark, sf), _entities(spark, sf), "doc_id")
     return d.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("pos").cast("long")).alias("pos_sum"))
 
 
 @query
 def bio_encode_skip(spark, sf):
-    d = S.encode_tags(_words(spark, sf), _entities(spark, sf), "doc_id", "skip")
+    d = S.encode_tags(_word_rows(spark, sf), _entities(spark, sf), "doc_id", "skip")
     return d.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("pos").cast("long")).alias("pos_sum"))
 
 
 @query
 def chunk_labels(spark, sf):
     """Labels of all windows' tokens; the window's two special places are -100."""
-    tags = S.encode_tags(_words(spark, sf), _entities(spark, sf), "doc_id").select("doc_id", "pos", "tag")
+    tags = S.encode_tags(_word_rows(spark, sf), _entities(spark, sf), "doc_id").select("doc_id", "pos", "tag")
     n = tags.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     w = S.chunks(n, "doc_id", "n", 128, 32)
     places = w.select("doc_id", "chunk", F.explode(F.expr("sequence(first - 1, last)")).alias("pos"), "first", "last")
@@ -439,6 +446,15 @@ def chunk_labels(spark, sf):
     return d.groupBy("doc_id", "chunk").agg(F.sum(label.cast("long")).alias("label_sum"), F.count(F.lit(1)).alias("n")).select("doc_id", _long("chunk"), "label_sum", "n")
 
 
+@query
+def recognize_windows(spark, sf):
+    """Recognition of all documents by a linear model over windows, fitted on their labels."""
+    tagged = S.tag_rows(_word_rows(spark, sf), _entities(spark, sf), "doc_id")
+    model = R.fit_linear(R.tagged_windows(tagged, "doc_id", 128, 32), ["O", "B-ing", "I-ing", "B-tion", "I-tion"])
+    d = R.recognize(_t(spark, sf, "documents"), R.windowed(model, 128, 32), "doc_id", word=S.ASCII)
+    return d.select("doc_id", "label", _long("start"), _long("end"), "n_tokens", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 @query
 def label_schema(spark, sf):
     return C.label_schema(_t(spark, sf, "events"), "event_type").select(_long("label_id"), "label")
@@ -459,8 +475,16 @@ def balanced_sample(spark, sf):
 
 @query
 def label_index(spark, sf):
-    d = _t(spark, sf, "embeddings").groupBy("label").agg(F.sort_array(F.collect_list("vec_id")).alias("v"))
-    return d.select(_long("label"), F.size("v").cast("long").alias("n"), F.md5(F.array_join(F.transform("v", lambda x: x.cast("string")), ",").cast("binary")).alias("digest"))
+    """The rows of every label that has three or more, by dense numbers of labels and rows."""
+    d = C.label_index(_t(spark, sf, "embeddings"), "label", "vec_id", 3)
+    return d.groupBy("label_id", "label", "n").agg(F.sum((F.col("pos") + 1) * F.col("key")).alias("mark")).select("label_id", _long("label"), "n", "mark")
+
+
+@query
+def batch_plan(spark, sf):
+    """The second epoch's batches: four labels, three rows of each."""
+    d = C.batch_plan(_t(spark, sf, "embeddings"), "label", "vec_id", 4, 3, 200, 1)
+    return d.select("batch", "slot", _long("label"), F.col("key").alias("vec_id"))
 
 
 # ---------------------------------------------------------------- span joins
@@ -501,8 +525,7 @@ def span_containment_join(spark, sf):
 
 @query
 def span_token_overlap_join(spark, sf):
-    t = _words(spark, sf).withColumnRenamed("doc_id", "passage_key")
-    d = S.token_overlaps(_gold(spark, sf), _pred(spark, sf), t, "passage_key")
+    d = S.token_overlaps(_gold(spark, sf), _pred(spark, sf), _t(spark, sf, "documents").withColumnRenamed("doc_id", "passage_key"), "passage_key")
     return d.groupBy("passage_key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("ref").cast("long") * 3 + F.col("pred")).alias("mark"))
 
 
@@ -514,8 +537,7 @@ def strict_span_prf(spark, sf):
 
 @query
 def relaxed_span_prf(spark, sf):
-    t = _words(spark, sf).withColumnRenamed("doc_id", "passage_key")
-    d = V.relaxed_spans(_gold(spark, sf), _pred(spark, sf), t, ["the", "being"])
+    d = V.relaxed_spans(_gold(spark, sf), _pred(spark, sf), _t(spark, sf, "documents").withColumnRenamed("doc_id", "passage_key"), ["the", "being"])
     return d.select("tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
@@ -553,6 +575,28 @@ def link_prf_grid(spark, sf):
     return out.select("gate", "type", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
+def _linked(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Spans of all documents with ids, and predicted spans with ranked ids of two models."""
+    n = F.char_length("text")
+    place = F.array(F.struct(F.col("start").alias("offset"), (F.col("end") - F.col("start")).alias("length")))
+    own = F.concat(F.lit("CL:"), n)
+    kind = F.col("id") % 5
+    x = F.when(kind == 1, F.concat(F.lit("(skos:related)"), own)).when(kind == 2, F.concat(own, F.lit(";CL:"), n + 1)).when(kind == 3, "-").otherwise(own)
+    gold = _gold(spark, sf).select(F.col("id").alias("ann"), "passage_key", "type", place.alias("locations"), x.alias("identifier"))
+    p = _pred(spark, sf).select("*", F.explode(F.expr("sequence(0, 5)")).alias("rank")).select("*", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("model"))
+    pred = F.when((F.col("id") + F.col("rank")) % 7 == 0, "-").otherwise(F.concat(F.lit("CL:"), n + F.when(F.col("model") == "a", F.col("rank") - 1).otherwise(-F.col("rank"))))
+    return gold, p.select(F.col("id").alias("ann"), "passage_key", "type", place.alias("locations"), "text", "model", "rank", pred.alias("pred_id"), F.concat(F.lit("0."), 90 - F.col("rank") * 10).alias("score"))
+
+
+@query
+def evaluate_link_suite(spark, sf):
+    """Models, gates, sets of types, all three modes and tops in one pass, with a blacklist."""
+    gold, pred = _linked(spark, sf)
+    passages = _t(spark, sf, "documents").withColumnRenamed("doc_id", "passage_key")
+    d = V.link_grid(gold, pred, passages, ["a", "b"], V.GATES, {"both": None, "ing": ["ing"]}, (1, 3, 5), V.MODES, 0.5, ["being"])
+    return d.select("model", "gate", "type_set", "score_mode", _long("top"), "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
 def _passage_sides(spark, sf) -> tuple[DataFrame, DataFrame]:
     d = _t(spark, sf, "documents").select(F.col("doc_id").alias("passage_key"), F.lit(0).alias("offset"), "text")
     p = d.where("passage_key % 7 <> 0").select(F.expr("if(passage_key % 11 = 0, passage_key + 1000000000, passage_key)").alias("passage_key"), F.expr("if(passage_key % 13 = 0, 1, offset)").alias("offset"), F.expr("if(passage_key % 17 = 0, concat(text, '.'), text)").alias("text"))
@@ -587,7 +631,7 @@ def _files(spark, sf) -> DataFrame:
 def _file_spans(spark, sf) -> DataFrame:
     """(path, doc_id, start, end, label): words of passages in ing and tion, by place."""
     p = bioc.passages(annotated.documents(_files(spark, sf))).withColumn("key", F.concat_ws("|", "doc_id", "passage_idx"))
-    w = S.token_spans(p, "key", "text", *ASCII).where("token rlike '(ing|tion)$'")
+    w = S.token_spans(p, "key", "text", S.ASCII).where("token rlike '(ing|tion)$'")
     d = w.join(p.select("key", "path", "doc_id", "passage_offset"), "key")
     kind = F.when(F.endswith("token", F.lit("ing")), "ing").otherwise("tion")
     return d.select("path", "doc_id", *[(F.col(c) + F.col("passage_offset")).cast("int").alias(c) for c in ("start", "end")], kind.alias("label"))
@@ -642,6 +686,21 @@ def xml_links_write(spark, sf):
     return d.select("path", "matched", "missing").join(ids, "path", "left").select("path", "matched", "missing", F.coalesce("n_ids", F.lit(0)).alias("n_ids"), "least_name")
 
 
+@query
+def link_ranks_round_trip(spark, sf):
+    """Ten ranked links of each mention into files, back from them, and scored at three tops."""
+    xml = _written(spark, sf).select("path", F.col("xml").cast("binary").alias("content"))
+    found = annotated.mentions(annotated.documents(xml))
+    n = F.char_length("mention")
+    m = found.select("doc_key", F.col("normal").alias("mention")).distinct().where(n % 3 != 0)
+    ranked = m.select("doc_key", "mention", F.explode(F.expr("sequence(0, 9)")).alias("rank")).withColumns({"identifier": F.concat(F.lit("CL:"), n + F.col("rank")), "name": F.col("mention"), "score": 1 / (1 + F.col("rank"))})
+    done = annotated.with_links(xml, found, L.hits_of(ranked), "m", True, 6)
+    a = bioc.annotations(bioc.passages(annotated.documents(done, "xml"))).select(F.concat_ws("|", "path", "passage_idx").alias("passage_key"), F.col("ann_id").alias("ann"), "type", "locations", "text", "infons")
+    gold = a.withColumn("identifier", F.concat(F.lit("CL:"), F.char_length("text") + F.expr("cast(substring(ann, 2) as int) % 12")))
+    d = V.evaluate_links(gold, V.predicted_ids(a, "m"), ("allLabels",), None, threshold=0.0)
+    return d.select(_long("top"), "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
 @query
 def training_records(spark, sf):
     d = flows.training_records(annotated.documents(_written(spark, sf), "xml"), rename={"ing": "act"}, without=("none",))

@@ -21,7 +21,7 @@ from glossa.sources import bioc
 
 #: Annotations of this type are neither linked nor counted.
 VAGUE = "cell_vague"
-LINK = "doc_key string, mention string, identifier string, name string, final_score double, expanded_long_form string, definition_method string, definition_key string, definition_score double"
+LINK = "doc_key string, mention string, identifier string, name string, final_score double, expanded_long_form string, definition_method string, definition_key string, definition_score double, hits array<struct<identifier:string,name:string,embedding_score:double,score:double>>"
 
 
 def files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -81,9 +81,11 @@ def put_spans(content: bytes, spans: list[dict]) -> tuple[str, int]:
     return _text(head, root), n
 
 
-def put_links(content: bytes, links: list[dict], model: str, scores: bool = False) -> tuple[str, int, int]:
+def put_links(content: bytes, links: list[dict], model: str, scores: bool = False, digits: int | None = None) -> tuple[str, int, int]:
     """The file with the links (as of LINK; ``mention`` is the annotation's own text) as
-    infons of its annotations; the numbers of annotations with a link and without."""
+    infons of its annotations, a set for each rank of their hits; the numbers of
+    annotations with a link and without. Scores have ``digits`` decimals, or all."""
+    shown = lambda x: x if digits is None or x is None else f"{x:.{digits}f}"
     head, root = _parse(content)
     known = {(x["doc_key"], x["mention"]): x for x in links}
     matched = missing = 0
@@ -105,9 +107,11 @@ def put_links(content: bytes, links: list[dict], model: str, scores: bool = Fals
                     missing += 1
                     continue
                 matched += 1
-                new = {f"{model}_id_0": best["identifier"], f"{model}_identifier_name_0": best["name"]}
-                if scores:
-                    new[f"{model}_identifier_score_0"] = best["final_score"]
+                new, hits = {}, best.get("hits")
+                for rank, hit in enumerate([{**best, "score": best["final_score"]}] if hits is None else hits):
+                    new[f"{model}_id_{rank}"], new[f"{model}_identifier_name_{rank}"] = hit["identifier"], hit["name"]
+                    if scores:
+                        new[f"{model}_identifier_score_{rank}"] = shown(hit["score"])
                 new[f"{model}_expanded_long_form"] = best["expanded_long_form"]
                 new[f"{model}_ab3p_method"] = best["definition_method"]
                 new[f"{model}_ab3p_matched_key"] = best["definition_key"]
@@ -181,17 +185,18 @@ def mentions(rows: DataFrame) -> DataFrame:
     return a.select("path", F.col("doc_id").alias("doc_key"), raw.alias("mention")).distinct().withColumn("normal", T.col(T.plural_normalize("mention")))
 
 
-def with_links(rows: DataFrame, found: DataFrame, links: DataFrame, model: str = "model", scores: bool = False) -> DataFrame:
+def with_links(rows: DataFrame, found: DataFrame, links: DataFrame, model: str = "model", scores: bool = False, digits: int | None = None) -> DataFrame:
     """Files (path, content), their mentions and links (doc_key, mention: the normalised
-    text, and more, as of ``linking.link``) to (path, xml, matched, missing)."""
-    names = [x.split()[0] for x in LINK.split(", ")]
-    have = links.select(*[F.col(c) if c in links.columns else F.lit(None).alias(c) for c in names]).withColumnRenamed("mention", "normal")
+    text, and more, as of ``linking.link``; ``hits`` hold all ranks) to (path, xml, matched,
+    missing)."""
+    names, kinds = zip(*[x.split() for x in LINK.split(", ")], strict=True)
+    have = links.select(*[(F.col(c) if c in links.columns else F.lit(None)).cast(k).alias(c) for c, k in zip(names, kinds, strict=True)]).withColumnRenamed("mention", "normal")
     each = found.join(have, ["doc_key", "normal"]).groupBy("path").agg(F.collect_list(F.struct(*names)).alias("found"))  # of one file
     d = rows.join(each, "path", "left").select("path", "content", F.coalesce("found", F.array().cast(each.schema["found"].dataType)).alias("found"))
 
     def run(batches):
         for b in batches:
-            done = [put_links(c, [x if isinstance(x, dict) else x.asDict() for x in f], model, scores) for c, f in zip(b["content"], b["found"], strict=True)]
+            done = [put_links(c, [x if isinstance(x, dict) else x.asDict(True) for x in f], model, scores, digits) for c, f in zip(b["content"], b["found"], strict=True)]
             yield pd.DataFrame({"path": b["path"], "xml": [x[0] for x in done], "matched": [x[1] for x in done], "missing": [x[2] for x in done]})
 
     return d.mapInPandas(run, "path string, xml string, matched long, missing long")

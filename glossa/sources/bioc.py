@@ -41,8 +41,19 @@ def passages(docs: DataFrame, keep_empty: bool = False) -> DataFrame:
 def annotations(p: DataFrame) -> DataFrame:
     """One row per annotation: ann_id, infons, type, locations (offset, length), text."""
     d = p.select("path", "doc_id", "passage_idx", "passage_offset", F.col("text").alias("passage_text"), F.posexplode("annotation").alias("ann_idx", "a"))
-    d = d.select("path", "doc_id", "passage_idx", "passage_offset", "passage_text", "ann_idx", F.col("a._id").alias("ann_id"), F.expr(infons("a.infon")).alias("infons"), F.expr("transform(a.location, l -> named_struct('offset', l._offset, 'length', l._length))").alias("locations"), F.col("a.text").alias("text"))
-    return d.withColumn("type", F.expr("coalesce(infons['type'], infons['semantic_type'], infons['entity_type'])"))
+    d = d.select("path", "doc_id", "passage_idx", "passage_offset", "passage_text", "ann_idx", F.col("a._id").alias("ann_id"), F.expr(infons("a.infon")).alias("infons"), F.col("a.infon").alias("_infons"), F.expr("transform(a.location, l -> named_struct('offset', l._offset, 'length', l._length))").alias("locations"), F.col("a.text").alias("text"))
+    return d.withColumn("type", F.expr(first_type("_infons"))).drop("_infons")
+
+
+#: Keys of an annotation's type.
+TYPE_KEYS = ("type", "semantic_type", "entity_type")
+
+
+def first_type(x: str) -> str:
+    """SQL: the value of the first infon, in order of the file, whose key in any case is one
+    of the type's and whose value is not blank."""
+    known = ", ".join(f"'{k}'" for k in TYPE_KEYS)
+    return f"get(transform(filter({x}, i -> lower(trim(i._key)) in ({known}) and trim(i._VALUE) <> ''), i -> trim(i._VALUE)), 0)"
 
 
 def entities(a: DataFrame) -> DataFrame:

@@ -25,9 +25,10 @@ PASSAGE = "id bigint, document_id string, passage_id int, passage_offset int, te
 
 
 def ontology(spark: SparkSession, path: str) -> DataFrame:
-    """(concept_id, preferred_label, synonyms) of JSON lines; a malformed line fails."""
+    """(concept_id, preferred_label, synonyms, namespace, record) of JSON lines; records are
+    numbered in order of the file; a malformed line fails."""
     d = spark.read.schema("norm_concept_id string, norm_preferred_label string, synonyms array<string>, namespace string").option("mode", "FAILFAST").json(path)
-    return d.select(F.col("norm_concept_id").alias("concept_id"), F.col("norm_preferred_label").alias("preferred_label"), "synonyms", "namespace").where("coalesce(concept_id, '') <> '' and coalesce(preferred_label, '') <> ''")
+    return d.select(F.col("norm_concept_id").alias("concept_id"), F.col("norm_preferred_label").alias("preferred_label"), "synonyms", "namespace", F.monotonically_increasing_id().alias("record")).where("coalesce(concept_id, '') <> '' and coalesce(preferred_label, '') <> ''")
 
 
 def split_json(text: str) -> list[str]:

@@ -88,13 +88,12 @@ def test_matching_is_maximum():
 
 def test_relaxed_spans(spark):
     docs = spark.createDataFrame([("p", "aa bb cc dd")], "passage_key string, text string")
-    tokens = S.token_spans(docs, "passage_key")
     kind = "passage_key string, id int, type string, start int, end int, text string"
     refs = spark.createDataFrame([("p", 0, "x", 0, 5, "aa bb"), ("p", 1, "x", 6, 8, "cc"), ("q", 2, "x", 0, 1, "z")], kind)
     preds = spark.createDataFrame([("p", 0, "x", 3, 8, "bb cc"), ("p", 1, "x", 0, 2, "aa"), ("p", 2, "y", 9, 11, "dd")], kind)
-    r = V.relaxed_spans(refs, preds, tokens).head()
+    r = V.relaxed_spans(refs, preds, docs).head()
     assert (r.tp, r.fp, r.fn) == (2, 1, 1)
-    r = V.relaxed_spans(refs, preds, tokens, ["AA"]).head()
+    r = V.relaxed_spans(refs, preds, docs, ["AA"]).head()
     assert (r.tp, r.fp, r.fn) == (1, 2, 2)
 
 
