@@ -12,9 +12,10 @@ state stands and the conflict is insert_insert (the base has no such cell), edit
 side dropped it) or edit_edit. A dropped row counts alone: it is clean if the other branch
 drops it too or has no changed cell in it, else an edit_delete conflict.
 
-Paths meet by partial aggregation before the shuffle, so a row that is repeated very often
-moves once a task; lines of a long text are dealt to many tasks; nothing is collected but
-the lines of one row, which were one value before.
+Repeated rows meet by partial aggregation before the only shuffle of texts, so a row that is
+repeated very often moves once a task. Paths and rows are grouped where they then lie; what
+one task gets of a row is what was one value before. Added rows are cells of other ids and
+meet by themselves, without any text.
 
 Defined cases: null columns and texts are empty; an empty text is one empty line; a null id
 is an id of its own (as text: empty), and its added row has a null id; rows that are equal
@@ -26,6 +27,8 @@ are not merged.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,13 +39,13 @@ BASE, LEFT, RIGHT = range(3)
 CLEAN, EDIT_EDIT, EDIT_DELETE, INSERT_INSERT = "clean", "edit_edit", "edit_delete", "insert_insert"
 #: What the example branches put behind a value or in as a new line, by code.
 MARKS = ("!", "?")
-CELL = "struct<doc_id: bigint, copy: bigint, kind: int, n: int, version: int, gone: boolean, value: string>"
+CELL = "struct<kind: int, n: int, version: int, gone: boolean, value: string>"
 
 
-def cell(kind: int, n, version: int, value=None, doc_id="doc_id", copy="copy") -> Column:
-    """A cell; without a value it is gone."""
-    column = lambda x: F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(x)
-    names = {"doc_id": column(doc_id).cast("long"), "copy": column(copy).cast("long"), "kind": F.lit(kind), "n": column(n).cast("int"), "version": F.lit(version), "gone": F.lit(value is None), "value": (F.lit(None) if value is None else value).cast("string")}
+def cell(kind: int, n, version: int, value=None) -> Column:
+    """A cell of a row; without a value it is gone."""
+    place = n if isinstance(n, Column) else F.lit(n)
+    names = {"kind": F.lit(kind), "n": place.cast("int"), "version": F.lit(version), "gone": F.lit(value is None), "value": (F.lit(None) if value is None else value).cast("string")}
     return F.struct(*[v.alias(k) for k, v in names.items()])
 
 
@@ -57,14 +60,18 @@ def _edited(code: Column, value: Column) -> Column:
     return F.when(code == 1, F.concat(value, F.lit(MARKS[0]))).when(code == 2, F.concat(value, F.lit(MARKS[1])))
 
 
-def branches(docs: DataFrame, names: tuple[str, str] = ("L", "R"), columns: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+def branches(docs: DataFrame, names: tuple[str, str] = ("L", "R"), columns: tuple[str, ...] = ("lang", "source")) -> list[DataFrame]:
     """The cells of ``docs`` (doc_id, text and ``columns``) and of two branches whose edits
     follow from codes of their names: every row, column and line is kept, dropped, marked,
-    or followed by something new."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in ("text", *columns)])
-    d = d.withColumn("copy", F.xxhash64("text", *columns)).withColumns({f"_{b}": _code(b, F.lit("row")) for b in names})
+    or followed by something new. The first frame has the cells of the base's rows, the
+    second one those of rows that a branch adds."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in ("text", *columns)])
+    codes = {f"_{b}": _code(b, F.lit("row")) for b in names}
+    cells = F.explode(F.array_compact(F.array(*[F.when(F.col(f"_{b}").isin(3, 4), cell(ADDED, 0, v, F.to_json(F.struct(F.when(F.col(f"_{b}") == 3, MARKS[0]).otherwise(MARKS[1]).alias("text"), *columns)))) for v, b in enumerate(names, LEFT)])))
+    added = plain.withColumns(codes).select((-1 - F.col("doc_id")).alias("doc_id"), F.lit(0).cast("long").alias("copy"), cells.alias("x")).select("doc_id", "copy", "x.*")
+    d = plain.withColumn("copy", F.xxhash64("text", *columns)).groupBy("doc_id", "copy").agg(*[F.first(c).alias(c) for c in ("text", *columns)]).withColumns(codes)
     parts = F.concat(F.array(F.lit(None).cast("string")), F.split("text", "\n"))
-    d = d.select("doc_id", "copy", *[f"_{b}" for b in names], *columns, F.posexplode(parts).alias("_n", "_line"))
+    d = d.select("doc_id", "copy", *codes, *columns, F.posexplode(parts).alias("_n", "_line"))
     n, line = F.col("_n") - 1, F.col("_line")
     head = [cell(ROW, 0, BASE, F.lit("")), *[cell(COLUMN, k, BASE, F.col(c)) for k, c in enumerate(columns)]]
     rest = [cell(LINE, n, BASE, line)]
@@ -76,12 +83,10 @@ def branches(docs: DataFrame, names: tuple[str, str] = ("L", "R"), columns: tupl
             code = _code(b, F.lit(c))
             value = F.when(code == 0, F.lit("")).otherwise(_edited(code, F.col(c)))
             head.append(F.when(stays & value.isNotNull(), cell(COLUMN, k, version, value)))
-        new = F.to_json(F.struct(F.when(row == 3, MARKS[0]).otherwise(MARKS[1]).alias("text"), *columns))
-        head.append(F.when(row.isin(3, 4), cell(ADDED, 0, version, new, -1 - F.col("doc_id"), 0)))
         code = _code(b, n.cast("string"))
         rest.append(F.when(stays & (code == 0), cell(LINE, n, version)).when(stays & code.isin(1, 2), cell(LINE, n, version, _edited(code, line))).when(stays & code.isin(3, 4), cell(GAP, n, version, F.when(code == 3, MARKS[0]).otherwise(MARKS[1]))))
     cells = F.explode(F.filter(F.when(F.col("_n") == 0, F.array(*head)).otherwise(F.array(*rest)), lambda x: x.isNotNull()).cast(f"array<{CELL}>"))
-    return d.select(cells.alias("x")).select("x.*")
+    return [d.select("doc_id", "copy", cells.alias("x")).select("doc_id", "copy", "x.*"), added]
 
 
 def resolve(cells: DataFrame) -> DataFrame:
@@ -127,6 +132,6 @@ def assemble(paths: DataFrame, columns: tuple[str, ...] = ("lang", "source")) ->
     return d.select("doc_id", present.alias("present"), *[get(c, F.col(f"_{k}")) for k, c in enumerate(columns)], get("text", text), *[number(o) for o in counts])
 
 
-def merge(cells: DataFrame, columns: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """The merged rows of the cells of three versions."""
-    return assemble(resolve(cells), columns)
+def merge(cells: DataFrame | list[DataFrame], columns: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+    """The merged rows of the cells of three versions; frames of a list share no path."""
+    return reduce(DataFrame.unionByName, [assemble(resolve(c), columns) for c in (cells if isinstance(cells, list) else [cells])])
