@@ -111,8 +111,8 @@ def _windows_of(batch: pa.RecordBatch, k: int):
 
 
 def fit_linear(tagged: DataFrame, labels: list[str], least: int = 5, most: int = 200_000) -> Linear:
-    """The classifier of windows whose tokens have a ``tag`` (see ``tagged_windows``), from the
-    counts of all windows. Features that occur ``least`` times or more have weights, at most
+    """The classifier of windows whose tokens have a ``tag`` (see ``tagged_windows``): a weight is
+    the logarithm of the label's share of the feature in all windows. Features that occur ``least`` times or more have weights, at most
     the ``most`` most frequent: that bounds the model, not what is counted."""
     place = {t: k for k, t in enumerate(labels)}
 
@@ -139,10 +139,10 @@ def fit_linear(tagged: DataFrame, labels: list[str], least: int = 5, most: int =
     kept = sums.where((F.col("n") >= least) | (F.col("feature") == "")).orderBy(F.desc("n"), "feature").limit(most + 1).collect()  # `most` rows
     whole = next(([r[f"n_{k}"] for k in range(len(labels))] for r in kept if r.feature == ""), [0] * len(labels))
     total, size = sum(whole), len(labels)
-    weight = lambda n, k, c: math.floor(1000 * math.log((c + 1) * (total + size) / ((n + size) * (whole[k] + 1))))
+    weight = lambda n, c: math.floor(1000 * math.log((c + 1) / (n + size)))
     rows = [r for r in kept if r.feature != ""]
-    table = np.array([[weight(r.n, k, r[f"n_{k}"]) for k in range(size)] for r in rows] + [[0] * size], float)
-    prior = np.array([math.floor(1000 * math.log((c + 1) / (total + size))) for c in whole], float)
+    table = np.array([[weight(r.n, r[f"n_{k}"]) for k in range(size)] for r in rows] + [[0] * size], float)
+    prior = np.array([weight(total, c) for c in whole], float)
     return Linear(labels, prior, {r.feature: k for k, r in enumerate(rows)}, table)
 
 

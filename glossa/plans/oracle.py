@@ -153,7 +153,7 @@ _FEATURES = f"""{_words()}, {_ENT}, {_OWN.format('')}, n as (select doc_id, coun
 _SCORED = """lab(k, tag) as (values (0, 'O'), (1, 'B-ing'), (2, 'I-ing'), (3, 'B-tion'), (4, 'I-tion')), al as (select count(*) n from wt),
  nl as (select k, lab.tag, count(wt.tag) c from lab left join wt on wt.tag = lab.tag group by 1, 2), ff as (select f, count(*) n from fe group by 1 having count(*) >= 5 order by n desc, f limit 200000),
  fl as (select f, tag, count(*) c from fe group by 1, 2),
- we as (select ff.f, k, floor(1000 * ln(((coalesce(fl.c, 0) + 1) * (al.n + 5))::double / ((ff.n + 5) * (nl.c + 1)))) v from ff cross join nl cross join al left join fl on fl.f = ff.f and fl.tag = nl.tag),
+ we as (select ff.f, k, floor(1000 * ln((coalesce(fl.c, 0) + 1)::double / (ff.n + 5))) v from ff cross join nl left join fl on fl.f = ff.f and fl.tag = nl.tag),
  sc as (select doc_id, chunk, pos, s, e, k, sum(v) v from fe join we using (f) group by all),
  se as (select w.doc_id, w.pos, w.s, w.e, nl.k, nl.tag, avg(floor(1000 * ln((nl.c + 1)::double / (al.n + 5))) + coalesce(sc.v, 0)) m from wt w cross join nl cross join al
   left join sc on sc.doc_id = w.doc_id and sc.chunk = w.chunk and sc.pos = w.pos and sc.k = nl.k group by all),
