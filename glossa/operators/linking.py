@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions import text as T
 from glossa.functions.udfs import sequence_ratio
-from glossa.functions.vector import nearest
+from glossa.functions.vector import Index, nearest
 from glossa.operators.abbreviations import resolve
 
 # The weights of the final score.
@@ -81,38 +81,49 @@ def hashed_encoder(dimensions: int = 128):
     return encode
 
 
-def retrieve(queries: DataFrame, terms: DataFrame, encoder, top: int, hits: int) -> DataFrame:
-    """Distinct ``queries`` (query) with the ``top`` concepts of their ``hits`` nearest terms."""
-    t = terms.withColumn("term", F.xxhash64("identifier", "record", "ord", "raw_name"))
-    vectors = t.select("term", encoder("name").alias("embedding"))
-    near = nearest(queries.select("query", encoder("query").alias("embedding")), vectors, hits, "query", "term")
-    d = near.join(t, near.term_id == t.term).select(F.col("query_id").alias("query"), "identifier", "raw_name", "preferred_label", "is_preferred", (-F.col("distance")).alias("embedding_score"), "ord")
+def _numbered(terms: DataFrame) -> DataFrame:
+    return terms.withColumn("term", F.xxhash64("identifier", "record", "ord", "raw_name"))
+
+
+def term_index(terms: DataFrame, encoder) -> Index:
+    """The terms' vectors as an index, encoded once for any number of ``retrieve``."""
+    return Index(_numbered(terms).select("term", encoder("name").alias("embedding")), "term")
+
+
+def retrieve(queries: DataFrame, terms: DataFrame, encoder, top: int, hits: int, index: Index | None = None) -> DataFrame:
+    """Distinct ``queries`` (query) with the ``top`` concepts of their ``hits`` nearest terms, by
+    an index of the terms where there is one, with the same result."""
+    t = _numbered(terms)
+    q = queries.select("query", encoder("query").alias("embedding"))
+    near = index.nearest(q, hits, "query") if index else nearest(q, t.select("term", encoder("name").alias("embedding")), hits, "query", "term")
+    d = near.join(t, F.col("term_id") == F.col("term")).select(F.col("query_id").alias("query"), "identifier", "raw_name", "preferred_label", "is_preferred", (-F.col("distance")).alias("embedding_score"), "ord")
     return best_per_concept(d, "query", "identifier", "embedding_score", ["identifier", "ord"], top).drop("rank", "ord")
 
 
-def _by_model(queries: DataFrame, terms: DataFrame, names: DataFrame, encoder, top: int, hits: int) -> DataFrame:
+def _by_model(queries: DataFrame, terms: DataFrame, names: DataFrame, encoder, top: int, hits: int, index: Index | None) -> DataFrame:
     """(query, m_hits): the reranked concepts of every distinct query, best first."""
-    ranked = rerank(retrieve(queries.select("query").distinct(), terms, encoder, top, hits), names)
+    ranked = rerank(retrieve(queries.select("query").distinct(), terms, encoder, top, hits, index), names)
     one = F.struct("rank", "identifier", F.col("raw_name").alias("name"), "embedding_score", F.col("final_score").alias("score"))
     return ranked.groupBy(F.col("query").alias("_q")).agg(F.sort_array(F.collect_list(one)).alias("m_hits"))  # `top` concepts
 
 
-def link(mentions: DataFrame, ontology: DataFrame, keys: DataFrame, defined: DataFrame, encoder=None, top: int = 1, ambiguous_top: int = 5, ranks: int = 1) -> DataFrame:
+def link(mentions: DataFrame, ontology: DataFrame, keys: DataFrame, defined: DataFrame, encoder=None, top: int = 1, ambiguous_top: int = 5, ranks: int = 1, index: Index | None = None) -> DataFrame:
     """Distinct (doc_key, mention) to identifier, name, scores and the source of the
     decision: abbreviation_direct, abbreviation_ambiguous_via_long_form, model_normal or
     none. Rules come first; only what is left is encoded, each distinct query once. A long
     form without any candidate leaves the mention to the model itself. ``hits`` are the
-    best ``ranks`` concepts (identifier, name, embedding_score, score), best first."""
+    best ``ranks`` concepts (identifier, name, embedding_score, score), best first. An
+    ``index`` of the ontology's terms (``term_index``) may serve several calls."""
     encoder = encoder or hashed_encoder()
     terms = ontology_terms(ontology)
     names = terms.select("identifier", F.col("raw_name").alias("name"))
     d = resolve(mentions.select("doc_key", "mention").distinct(), keys, defined, encoder=encoder)
     d = d.withColumn("_direct", F.col("kind") == "direct").withColumn("_long", F.when(F.col("kind") == "ambiguous_long_form", T.col(T.plural_normalize("long_form"))))
-    deep = _by_model(d.where("_long is not null").select(F.col("_long").alias("query")), terms, names, encoder, max(ambiguous_top, ranks), max(50, 10 * ranks))
+    deep = _by_model(d.where("_long is not null").select(F.col("_long").alias("query")), terms, names, encoder, max(ambiguous_top, ranks), max(50, 10 * ranks), index)
     d = d.join(deep.select(F.col("_q").alias("_long"), F.col("m_hits").alias("_deep")), "_long", "left")
     d = d.withColumn("query", F.when(~F.col("_direct") & F.col("_deep").isNull(), T.col(T.plural_normalize("mention"))))
     k = max(top, ranks)
-    normal = _by_model(d.where("query is not null").select("query"), terms, names, encoder, k, max(10 * k, 20))
+    normal = _by_model(d.where("query is not null").select("query"), terms, names, encoder, k, max(10 * k, 20), index)
     d = d.join(normal, F.col("query") == F.col("_q"), "left").withColumn("_found", F.coalesce("_deep", "m_hits"))
     direct, long = F.col("_direct"), F.col("_deep").isNotNull()
     source = F.when(direct, "abbreviation_direct").when(F.col("_found").isNull(), "none").when(long, "abbreviation_ambiguous_via_long_form").otherwise("model_normal")

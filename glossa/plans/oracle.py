@@ -221,6 +221,7 @@ SQL = {
     "abbrev_resolve": f"with {_ABBR}, {_MENTIONS}, {_DEFINED}, {_CASCADE}, {_RESOLVE} select * from resolved",
     "decision_counters": f"with {_ABBR}, {_MENTIONS}, {_DEFINED}, {_CASCADE}, {_RESOLVE} select kind source, count(*) n from resolved group by 1",
     "link_topk_terms": f"with {_NEAR} select query_id, vec_id, distance, \"rank\" from top",
+    "link_topk_indexed": f"with {_NEAR} select query_id, vec_id, distance, \"rank\" from top",
     "link_topk_concepts": f"with {_NEAR}, one as (select *, row_number() over (partition by query_id, label order by distance, vec_id) n from top qualify n = 1) select query_id, label, vec_id, distance, k \"rank\" from (select query_id, label, vec_id, distance, row_number() over (partition by query_id order by distance, vec_id) k from one) where k <= 5",
     "abbrev_nearest_key": f"with q as (select vec_id, list_transform(embedding, lambda x, i: case when i % 8 = 1 then x * 0.5::float else x end) embedding from embeddings where vec_id % 50 = 0), near as (select q.vec_id, t.vec_id key_id, t.label::bigint n_ids, round({_COS.format('q', 't')}, 9) distance from q, embeddings t), one as (select *, row_number() over (partition by vec_id order by distance, key_id) n from near qualify n = 1), m as (select left('ABCDEFGHIJK', (3 + vec_id % 8)::int) mention, vec_id, key_id, n_ids, round(1 - distance, 9) score from one) select * from m where score >= case when length(mention) <= 4 then 2 when length(mention) <= 7 then 0.95 else 0.9 end",
     "cosine_pairs": f"select q.vec_id query_id, t.vec_id, round({_COS.format('q', 't')}, 9) distance from embeddings q, embeddings t where q.vec_id % 50 = 0",

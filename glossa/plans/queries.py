@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions import text as T
 from glossa.functions.udfs import nfkc, sequence_ratio
-from glossa.functions.vector import cosine_distance, nearest
+from glossa.functions.vector import Index, cosine_distance, nearest
 from glossa.operators import abbreviations as A
 from glossa.operators import corpus as C
 from glossa.operators import evaluate as V
@@ -296,6 +296,14 @@ def link_topk_terms(spark, sf):
     return _near(spark, sf, 20).select("query_id", F.col("term_id").alias("vec_id"), F.col("distance"), _long("rank"))
 
 
+@query
+def link_topk_indexed(spark, sf):
+    """The same hits as of all cells, by an index of clusters."""
+    e = _t(spark, sf, "embeddings")
+    d = Index(e, "vec_id").nearest(e.where("vec_id % 50 = 0"), 20, "vec_id")
+    return d.select("query_id", F.col("term_id").alias("vec_id"), F.col("distance"), _long("rank"))
+
+
 @query
 def link_topk_concepts(spark, sf):
     """Nearest 20 terms of each query, best per concept, 5 best concepts."""

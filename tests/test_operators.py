@@ -186,3 +186,27 @@ def test_baseline_linker(spark):
     ids = spark.createDataFrame([("cl_1",), ("CL:9",)], "identifier string")
     entries = spark.createDataFrame([("cl:1", "T cell")], "id string, name string")
     assert {r.identifier: r.name for r in L.entry_names(ids, entries).collect()} == {"CL:1": "T cell", "CL:9": "CL:9"}
+
+
+def test_index(spark, monkeypatch):
+    """The index gives the hits of all cells, and reads few rows where directions cluster."""
+    draw = np.random.default_rng(8)
+    base = draw.normal(size=(30, 12))
+    x = np.vstack([base[draw.integers(0, 30, 1500)] + draw.normal(size=(1500, 12)) * 0.05, draw.normal(size=(40, 12)), np.repeat(base[:1], 50, axis=0), np.zeros((2, 12))])
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9000, None), (9001, [1.0])], "i long, embedding array<float>")
+    q = d.where("i % 9 = 0")
+    for terms in (16_384, 40):
+        monkeypatch.setattr(vector, "TERMS", terms)
+        index = vector.Index(d, "i", centers=40)
+        for k in (1, 7, 90):
+            assert rows(index.nearest(q, k, "i")) == rows(nearest(q, d, k, "i", "i"))
+    one, _, two = index.probes(q, 7, "i")
+    read = sum(int(index.size[r.cluster]) for part in (one, two) for r in part.collect())
+    assert index.size.sum() == len(x) - 2 and read < 0.15 * one.select("i").distinct().count() * len(x)
+    index.drop()
+    empty = vector.Index(d.limit(0), "i")
+    assert empty.nearest(q, 3, "i").count() == 0
+    terms = L.ontology_terms(spark.createDataFrame([(f"CL:{i}", f"name {i} {i % 7}", None) for i in range(60)], "concept_id string, preferred_label string, synonyms array<string>"))
+    asked = spark.createDataFrame([(f"name {i}",) for i in range(9)], "query string")
+    got = [rows(L.retrieve(asked, terms, L.hashed_encoder(), 3, 20, index)) for index in (None, L.term_index(terms, L.hashed_encoder()))]
+    assert got[0] == got[1] and len(got[0]) == 27
