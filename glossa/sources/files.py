@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossa.functions import text as T
@@ -51,27 +51,93 @@ def is_object(text: str) -> bool:
         return False
 
 
+def cut_line(line: str, depth: int, base: int) -> list[tuple[bool, str]]:
+    """The pieces of a line that begins ``depth`` brackets deep, cut after every closing bracket
+    that leads back to ``base``; whether a piece begins there."""
+    out, begin, fresh, quoted, skip = [], 0, depth <= base, False, False
+    for i, c in enumerate(line):
+        if skip:
+            skip = False
+        elif quoted:
+            skip, quoted = c == "\\", c != '"'
+        elif c == '"':
+            quoted = True
+        elif c in "[{":
+            depth += 1
+        elif c in "]}":
+            depth -= 1
+            if depth == base:
+                out.append((fresh, line[begin : i + 1]))
+                begin, fresh = i + 1, True
+    if not fresh or line[begin:].strip(" \t\r,]"):
+        out.append((fresh, line[begin:]))
+    return out
+
+
+#: SQL: a line without its strings, and the brackets that it opens more than it closes.
+_BARE = r"""regexp_replace(value, '"(?:[^"\\\\]|\\\\.)*"', '')"""
+_DEPTH = "char_length(regexp_replace(_bare, '[^\\\\[{]', '')) - char_length(regexp_replace(_bare, '[^\\\\]}]', ''))"
+
+
+def _over_lines(spark: SparkSession, odd: DataFrame) -> DataFrame:
+    """(path, r): the records of files whose lines are no whole objects. odd: (path).
+
+    A line never begins inside a string, so its depth in brackets is the sum of what all
+    lines before it open: ranges of a file are summed alone, their sums run over the file's
+    few ranges, and lines run within their range. A piece at the files' base depth (1 where
+    the file is an array) begins a record; a record's pieces meet by the place where it
+    begins, wherever the ranges' seams lie, so no file is one task."""
+    paths = [r.path for r in odd.collect()]  # one row per odd file
+    meta = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.text(paths).select(*meta, F.monotonically_increasing_id().alias("line"), F.regexp_replace("value", "^\ufeff", "").alias("value")).where("trim(value) <> ''")
+    lines = lines.withColumn("_bare", F.expr(_BARE)).withColumn("_opens", F.expr(_DEPTH))
+    within = Window.partitionBy("path", "block").orderBy("line")
+    lines = lines.withColumn("_inside", F.sum("_opens").over(within.rowsBetween(Window.unboundedPreceding, -1)))
+    ranges = lines.groupBy("path", "block").agg(F.sum("_opens").alias("sum"), F.min_by("_bare", "line").alias("first"))
+    over = Window.partitionBy("path").orderBy("block")  # one row per range of a file
+    ranges = ranges.withColumn("before", F.coalesce(F.sum("sum").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("base", F.startswith(F.trim(F.first("first").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))), F.lit("[")).cast("int"))
+    d = lines.join(ranges.select("path", "block", "before", "base"), ["path", "block"])
+    d = d.select("path", "block", "line", "value", "base", (F.col("before") + F.coalesce("_inside", F.lit(0))).cast("int").alias("depth"))
+
+    @F.pandas_udf("array<struct<fresh: boolean, text: string>>")
+    def pieces(value: pd.Series, depth: pd.Series, base: pd.Series) -> pd.Series:
+        cut = lambda v, k, b: [{"fresh": f, "text": t} for f, t in cut_line(v[v.index("[") + 1 :] if b and k == 0 and "[" in v else v, k if not (b and k == 0) else 1, b)]
+        return pd.Series([cut(*x) for x in zip(value, depth, base, strict=True)])
+
+    d = d.select("path", "block", "line", F.posexplode(pieces("value", "depth", "base")).alias("n", "p")).select("path", "block", "line", "n", "p.fresh", "p.text")
+    own = F.when(F.col("fresh"), F.struct("block", "line", "n"))
+    here = F.last(own, True).over(Window.partitionBy("path", "block").orderBy("line", "n").rowsBetween(Window.unboundedPreceding, 0))
+    d = d.withColumn("_begin", here)
+    last = d.where("fresh").groupBy("path", "block").agg(F.max(F.struct("block", "line", "n")).alias("_last"))
+    seams = d.select("path", "block").distinct().join(last, ["path", "block"], "left").withColumn("_before", F.last("_last", True).over(over.rowsBetween(Window.unboundedPreceding, -1))).select("path", "block", "_before")
+    d = d.join(seams, ["path", "block"]).withColumn("_begin", F.coalesce("_begin", "_before"))
+    one = F.sort_array(F.collect_list(F.struct("block", "line", "n", "text")))  # of one record
+    whole = d.groupBy("path", "_begin").agg(F.array_join(F.transform(one, lambda x: x["text"]), "\n").alias("value"))
+
+    @F.pandas_udf("array<string>")
+    def records(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: split_json(t.strip(" \t\r\n,")))
+
+    return whole.select("path", F.explode(records("value")).alias("r"))
+
+
 def json_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, r): the JSON records of lines, of arrays, or of objects one after the other.
 
     Lines are read as lines, so a large file is many tasks. Only files of which some line is
-    no whole object (arrays, or objects over several lines) are read again as one text."""
+    no whole object (arrays, or objects over several lines) are put together from their
+    lines' depths, also as many tasks. A file that is no JSON fails."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("r")).where("r <> ''")
 
     @F.pandas_udf("boolean")
     def whole(x: pd.Series) -> pd.Series:
         return x.map(is_object)
 
-    odd = [x.path for x in lines.where(~whole("r")).select("path").distinct().collect()]  # one row per odd file
-    if not odd:
+    odd = lines.where(~whole("r")).select("path").distinct()
+    names = [x.path for x in odd.collect()]  # one row per odd file
+    if not names:
         return lines
-
-    @F.pandas_udf("array<string>")
-    def records(x: pd.Series) -> pd.Series:
-        return x.map(split_json)
-
-    texts = spark.read.option("wholetext", "true").text(odd).select(F.col("_metadata.file_path").alias("path"), F.explode(records("value")).alias("r"))
-    return lines.where(~F.col("path").isin(odd)).union(texts)
+    return lines.where(~F.col("path").isin(names)).union(_over_lines(spark, spark.createDataFrame([(n,) for n in names], "path string")))
 
 
 def _present(names: tuple[str, ...]) -> Column:

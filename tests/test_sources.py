@@ -125,3 +125,31 @@ def test_stream(spark, tmp_path):
     q.awaitTermination()
     got = spark.read.parquet(f"file://{tmp_path}/out").select("start", "end", "text", "identifier").collect()
     assert [(r.start, r.end, r.text.replace("\u00a0", " "), r.identifier) for r in got] == [(6, 13, "T cells", "CL:1")]
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_records_over_ranges(spark, tmp_path, indent):
+    """Files of several objects or arrays, read by several tasks, whatever the seams cut."""
+    import random
+
+    draw = random.Random(10)
+    value = lambda deep: draw.choice([1, None, 'a "q" \\ }{][', "é\n😀", True]) if deep == 0 or draw.random() < 0.3 else draw.choice([[value(deep - 1) for _ in range(draw.randrange(3))], {f"k{i}": value(deep - 1) for i in range(draw.randrange(3))}])
+    rows = [{"id": i, "x": value(3), "{": [[]]} for i in range(120)]
+    texts = {"array": json.dumps(rows, indent=indent), "after": "".join(json.dumps(r, indent=indent) for r in rows), "lines": "\n".join(json.dumps(r, indent=indent) for r in rows) + "\n", "commas": "[\n" + ",\n".join(json.dumps(r, indent=indent) for r in rows) + "\n]\n", "bom": "﻿" + json.dumps(rows, indent=indent), "empty": "[]", "blank": "\n"}
+    want = sorted(json.dumps(r, sort_keys=True) for r in rows)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "100")
+        for name, text in texts.items():
+            d = files.json_records(spark, put(tmp_path / f"{name}.json", text))
+            got = sorted(json.dumps(json.loads(r.r), sort_keys=True) for r in d.collect())
+            assert got == ([] if name in ("empty", "blank") else want), name
+        assert spark.read.text(f"file:{tmp_path}/after.json").rdd.getNumPartitions() > 3
+        both = files.json_records(spark, f"file:{tmp_path}/*.json")
+        assert both.groupBy("path").count().count() == 5 and both.count() == 5 * len(rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+    with pytest.raises(Exception):  # noqa: B017
+        files.json_records(spark, put(tmp_path / "bad.txt", '{"a": \n nonsense')).collect()
