@@ -197,5 +197,6 @@ def document_key(doc_id: str, article_id: str, passage_id: str) -> str:
 
 
 def annotatable(infons: str) -> str:
-    """A missing mark passes, and so does every text but the empty one."""
-    return f"({infons}['annotatable'] is null or {infons}['annotatable'] <> '')"
+    """A missing mark passes, and so does every text but the empty one (which a reader may
+    give as a key without a value)."""
+    return f"(not map_contains_key({infons}, 'annotatable') or coalesce({infons}['annotatable'], '') <> '')"

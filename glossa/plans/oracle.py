@@ -169,6 +169,15 @@ def _draw(x: str, *salts) -> str:
     return f"(({m} * 40692 + 1) % 2147483647)"
 
 
+_NOTED = "noted as (select conv_id, turn, conv_id || '/' || turn path, role, text, regexp_extract(text, '^([A-Za-z]*)', 1) w, length(regexp_extract(text, '^([A-Za-z]*)', 1)) n from conversations where length(text) > 0)"
+
+_RERANK = f"""with n as (select distinct p_brand identifier, p_name name from part), q as (select distinct p_name query from part),
+      c as (select query, identifier, min(name) filter (true) any_name, max(len(list_intersect(string_split(query, ' '), string_split(name, ' ')))) m from q, n group by 1, 2),
+      s as (select query, identifier, (select count(*) from (select distinct w from (select unnest(string_split(name, ' ')) w from n where n.identifier = c.identifier) where list_contains(string_split(c.query, ' '), w))) shared from c where m > 0),
+      f as (select s.query, s.identifier, -s.shared / 10.0::double emb, (select min(name) from n where n.identifier = s.identifier) lab, max(case when {_normal('query')} = {_normal('n.name')} then 1 else 0 end)::double exact,
+        max({_jaccard(_set('query'), _set('n.name'))}) name_jaccard, max(case when {_paren('query', 'n.name')} then 1 else 0 end)::double parenthetical from s join n on n.identifier = s.identifier group by s.query, s.identifier, s.shared),
+      g as (select *, {_jaccard(_set('query'), _set('lab'))} label_jaccard, emb + 0.35 * exact + 0.2 * name_jaccard + 0.15 * {_jaccard(_set('query'), _set('lab'))} + 0.1 * parenthetical + case when query = lab then 0.03 else 0 end final from f)"""
+
 _SUITE = f"""{_words()}, gw as (select doc_id pk, pos id, case when token like '%ing' then 'ing' else 'tion' end kind, s, e, e - s n from words where regexp_matches(token, '(ing|tion)$')),
  pw as (select doc_id pk, pos id, case when token like '%ing' then 'ing' else 'tion' end kind, case when pos % 3 = 0 then greatest(s - 4, 0) else s end s, e, e - s n, lower(token) t from words where regexp_matches(token, '(ing|ion)$') and length(token) >= 6),
  gl as (select 'singleID' gate, pk, id, kind, s, e, 'CL:' || n link from gw where id % 5 in (0, 1, 4) union all select 'exactIDsOnly', pk, id, kind, s, e, 'CL:' || n from gw where id % 5 in (0, 4)
@@ -225,13 +234,8 @@ SQL = {
     "link_topk_concepts": f"with {_NEAR}, one as (select *, row_number() over (partition by query_id, label order by distance, vec_id) n from top qualify n = 1) select query_id, label, vec_id, distance, k \"rank\" from (select query_id, label, vec_id, distance, row_number() over (partition by query_id order by distance, vec_id) k from one) where k <= 5",
     "abbrev_nearest_key": f"with q as (select vec_id, list_transform(embedding, lambda x, i: case when i % 8 = 1 then x * 0.5::float else x end) embedding from embeddings where vec_id % 50 = 0), near as (select q.vec_id, t.vec_id key_id, t.label::bigint n_ids, round({_COS.format('q', 't')}, 9) distance from q, embeddings t), one as (select *, row_number() over (partition by vec_id order by distance, key_id) n from near qualify n = 1), m as (select left('ABCDEFGHIJK', (3 + vec_id % 8)::int) mention, vec_id, key_id, n_ids, round(1 - distance, 9) score from one) select * from m where score >= case when length(mention) <= 4 then 2 when length(mention) <= 7 then 0.95 else 0.9 end",
     "cosine_pairs": f"select q.vec_id query_id, t.vec_id, round({_COS.format('q', 't')}, 9) distance from embeddings q, embeddings t where q.vec_id % 50 = 0",
-    "rerank_candidates": f"""with n as (select distinct p_brand identifier, p_name name from part), q as (select distinct p_name query from part),
-      c as (select query, identifier, min(name) filter (true) any_name, max(len(list_intersect(string_split(query, ' '), string_split(name, ' ')))) m from q, n group by 1, 2),
-      s as (select query, identifier, (select count(*) from (select distinct w from (select unnest(string_split(name, ' ')) w from n where n.identifier = c.identifier) where list_contains(string_split(c.query, ' '), w))) shared from c where m > 0),
-      f as (select s.query, s.identifier, -s.shared / 10.0::double emb, (select min(name) from n where n.identifier = s.identifier) lab, max(case when {_normal('query')} = {_normal('n.name')} then 1 else 0 end)::double exact,
-        max({_jaccard(_set('query'), _set('n.name'))}) name_jaccard, max(case when {_paren('query', 'n.name')} then 1 else 0 end)::double parenthetical from s join n on n.identifier = s.identifier group by s.query, s.identifier, s.shared)
-      select query, identifier, round(exact, 9) exact, round(name_jaccard, 9) name_jaccard, round({_jaccard(_set('query'), _set('lab'))}, 9) label_jaccard, round(parenthetical, 9) parenthetical,
-        round(emb + 0.35 * exact + 0.2 * name_jaccard + 0.15 * {_jaccard(_set('query'), _set('lab'))} + 0.1 * parenthetical + case when query = lab then 0.03 else 0 end, 9) final_score from f""",
+    "rerank_candidates": f"""{_RERANK} select query, identifier, round(exact, 9) exact, round(name_jaccard, 9) name_jaccard, round(label_jaccard, 9) label_jaccard, round(parenthetical, 9) parenthetical, round(final, 9) final_score from g""",
+    "rerank_ranks": f"with r as ({_RERANK} select * from g) select query, identifier, row_number() over (partition by query order by final desc, emb desc, identifier) \"rank\" from r",
     "mention_distinct": f"with {_words()} select lower(token) norm, count(*) n, count(distinct doc_id) n_docs from words group by 1",
     "mention_link_join": f"with {_words()}, {_GAZ} select doc_id, count(*) n_mentions, count(concept) n_linked, count(distinct concept) n_concepts from words left join gaz on lower(token) = term group by 1",
     "chunk_windows": f"with d as (select doc_id, len({_tokens('text')}) n from documents), s as (select doc_id, n, unnest(range(0, greatest(n - 128, 1), 382)) \"first\" from d) select doc_id, \"first\" // 382 chunk, \"first\", least(\"first\" + 510, n) \"last\" from s",
@@ -292,6 +296,22 @@ SQL = {
     "ambiguous_name_filter": f"with {_CN} select concept, name from kept",
     "ambiguous_name_statistics": f"with {_CN} select (select count(distinct concept) from cn) concepts_before, (select count(*) from cn) names_before, (select count(distinct concept) from kept) concepts_after, (select count(*) from kept) names_after, (select count(*) from (select name from cn group by 1 having count(*) > 1)) ambiguous_names, (select count(distinct concept) from cn) - (select count(distinct concept) from kept) concepts_dropped",
     "corpus_overlap": f"with {_words()}, {_GAZ}, f as (select distinct d.lang corpus, lower(w.token) form from words w join documents d on w.doc_id = d.doc_id) select corpus, count(*) n_forms, count(term) n_matched, round(100.0::double * count(term) / count(*), 2) percent from f left join gaz on form = term group by 1",
+    "file_datasets": "select doc_id, lang, md5(text) digest from documents",
+    "file_predictions": f"with {_words()}, {_SPANS} select passage_key::varchar document_id, \"type\" label, s + 7 \"start\", e + 7 \"end\" from gold",
+    "file_training_pairs": f"with {_TERMS}, p as (select a.concept, a.term x, b.term y from terms a join terms b on a.concept = b.concept and a.pos < b.pos) select concept, x \"name\" from p union select concept, y from p",
+    "file_dictionary": f"with {_TERMS} select term, concept from terms",
+    "file_abbreviations": f"with {_ABBR} select k \"key\", n_ids, n_rows from lookup",
+    "file_ontology": f"with {_ONT}, d as (select identifier, unnest(n) raw_name, unnest(range(len(n))) ord from ont) select identifier, raw_name, {_plural('raw_name')} \"name\", ord = 0 is_preferred, ord from d",
+    "file_ontology_tolerant": f"with {_ONT}, r as (select unnest(n) x from ont where right(identifier, 1) not in ('3', '4')), l as (select string_split({_relaxed('x')}, ' ') a from r), m as (select a, a[-1] w from l) select distinct array_to_string(list_append(a[1:len(a) - 1], {_LAST}), ' ') form from m",
+    "file_xml_each": f"with {_CONV}, {_NOTES} select replace(path, '.xml', '.out.xml') \"name\", count(*) n, sum(o + s)::bigint offsets from notes group by 1",
+    "xml_corpus_mentions": f"with {_NOTED}, m as (select distinct n, lower(w) t from noted where n % 2 = 0 and n > 0) select 'CL:' || n concept, count(*) n, min(t) least, count(*) n_pos from m group by 1",
+    "xml_types": f"with {_NOTED} select 's' || n \"type\", count(*) n from noted where n > 0 group by 1",
+    "xml_spans_of": f"with {_NOTED} select path, role \"type\", 5::bigint \"first\", substring(text, 1, (n - 1)::int) || ' ' || substring(text, 5, 1) \"text\" from noted where n > 1 and n <> 3 and length(text) >= greatest(n - 1, 5)",
+    "xml_text_units": f"with {_NOTED}, u as (select path, -1 i, 5::bigint o, text t from noted where turn % 4 <> 0 union all select path, 0, 5, left(text, length(text) // 2) from noted where turn % 4 = 0 union all select path, 1, 5 + length(text) // 2, substring(text, length(text) // 2 + 1) from noted where turn % 4 = 0) select path, i::bigint sentence_idx, o unit_offset, md5(t) digest from u where t <> ''",
+    "xml_link_mentions": f"with {_NOTED}, m as (select distinct conv_id::varchar doc_key, path, w from noted where n > 0 and n <> 3 and turn % 3 <> 0) select doc_key, count(*) n, min(w) least from m group by 1",
+    "entry_names": "with i as (select distinct 'CL:' || p_size identifier from part), d as (select distinct case when p_partkey % 2 = 0 then 'cl_' else 'CL:' end || p_size x, p_size from part), e as (select p_size, min(p_type) n from part where p_size % 3 <> 0 group by 1) select 'CL:' || d.p_size identifier, coalesce(case when x like 'CL:%' then e.n end, e.n, 'CL:' || d.p_size) \"name\" from d left join e using (p_size)",
+    "evaluate_link_top": f"with {_SUITE.replace('and 90 - r * 10 >= 50', '').replace('range(5) x(r)', 'range(6) x(r)')}, k as (select * from g1 where score_mode = 'end_to_end' and kind = 'ing'), q as (select * from p1 where score_mode = 'end_to_end' and kind = 'ing' and model = 'a' and top = 5), c5 as (select gate, 5::bigint top, (select count(*) from q join k using (gate, pk, s, e, link) where q.gate = gates.gate) tp, (select count(*) from q where q.gate = gates.gate) np, (select count(*) from k where k.gate = gates.gate) nr from gates), z as (select gate, top, tp, np - tp fp, nr - tp fn from c5) select *, {_PRF} from z",
+    "stream_mentions": f"with {_words()}, {_GAZ} select distinct lower(token) mention, coalesce(concept, -1)::bigint concept from words left join gaz on lower(token) = term",
     "annotate_e2e": f"with {_words(pattern=_UNICODE)}, {_GAZ} select doc_id, s \"start\", e \"end\", token \"text\", concept from words join gaz on lower(token) = term",
 }
 

@@ -6,6 +6,7 @@ Stand-ins: ``part`` is the ontology (concept p_brand, name p_name, order p_partk
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,7 +22,8 @@ from glossa.operators import flows
 from glossa.operators import linking as L
 from glossa.operators import recognize as R
 from glossa.operators import spans as S
-from glossa.sources import annotated, bioc, files
+from glossa.sources import annotated, bioc, files, paths
+from glossa.streaming import annotate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -39,6 +41,12 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/glossa-files"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def _names(spark, sf) -> DataFrame:
     return _t(spark, sf, "part").select("p_name").distinct()
 
@@ -333,8 +341,7 @@ def cosine_pairs(spark, sf):
     return d.select(F.col("q.vec_id").alias("query_id"), "vec_id", F.round(F.expr(cosine_distance("u", "q.embedding")), 9).alias("distance"))
 
 
-@query
-def rerank_candidates(spark, sf):
+def _reranked(spark, sf) -> DataFrame:
     """All names as queries against the brands that have a word of theirs."""
     part = _t(spark, sf, "part")
     n = part.select(F.col("p_brand").alias("identifier"), F.col("p_name").alias("name")).distinct()
@@ -344,8 +351,13 @@ def rerank_candidates(spark, sf):
     nw = n.select("identifier", F.explode(F.split("name", " ")).alias("w")).distinct()
     c = qw.join(nw, "w").groupBy("query", "identifier").agg(F.count(F.lit(1)).alias("shared")).join(first, "identifier")
     c = c.select("query", "identifier", "preferred_label", (F.col("shared") / -10.0).alias("embedding_score"), (F.col("query") == F.col("preferred_label")).alias("is_preferred"))
-    d = L.rerank(c, n, sequence=False)
-    return d.select("query", "identifier", *[F.round(x, 9).alias(x) for x in ("exact", "name_jaccard", "label_jaccard", "parenthetical", "final_score")])
+    return L.rerank(c, n, sequence=False)
+
+
+@query
+def rerank_candidates(spark, sf):
+    """Candidates of all names with their features and scores."""
+    return _reranked(spark, sf).select("query", "identifier", *[F.round(x, 9).alias(x) for x in ("exact", "name_jaccard", "label_jaccard", "parenthetical", "final_score")])
 
 
 @query
@@ -374,6 +386,20 @@ def decision_counters(spark, sf):
     return L.decision_counts(d.withColumnRenamed("kind", "source"))
 
 
+@query
+def stream_mentions(spark, sf):
+    """All documents as a stream: every distinct word is linked once, by the batch that first
+    brings it; state and batches lie in the shared folder."""
+    docs = _t(spark, sf, "documents")
+    g = _gazetteer(spark, sf)
+    folder = _folder(spark, "stream")
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 8).parquet(f"{sf}/documents.parque[t]")  # a pattern: one file or a folder of files
+    words = S.token_spans(stream, "doc_id", "text", S.ASCII).select(F.lower("token").alias("mention"))
+    find = lambda m: m.join(g.withColumnRenamed("term", "mention"), "mention", "left").select("mention", "concept")
+    annotate.link_new(words, find, f"{folder}/links", f"{folder}/state").awaitTermination()
+    return spark.read.schema("mention string, concept long").parquet(f"{folder}/links").select("mention", F.coalesce("concept", F.lit(-1)).cast("long").alias("concept"))
+
+
 @query
 def link_mentions(spark, sf):
     """The whole linker with its default encoder."""
@@ -730,6 +756,155 @@ def evaluate_link_grid(spark, sf):
     return out.select("score_mode", "gate", _long("top"), "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
+@query
+def file_datasets(spark, sf):
+    """Documents as JSON lines, read back as a data set, its columns inferred."""
+    path = _folder(spark, "docs") + ".jsonl"
+    d = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("document_id"))
+    files.write_json(d, path)
+    back = files.dataset(spark, path, "id long, text string, document_id string")
+    c = files.infer_columns(back.columns)
+    return back.select(F.col(c["record_id"]).alias("doc_id"), F.col(c["document_id"]).alias("lang"), F.md5(F.col(c["text"]).cast("binary")).alias("digest"))
+
+
+@query
+def file_predictions(spark, sf):
+    """Spans of all documents written as predictions, and back as one row per entity."""
+    path = _folder(spark, "predictions")
+    e = F.struct(F.col("type").alias("label"), F.col("start").alias("start_local"), F.col("end").alias("end_local"), (F.col("start") + 7).alias("start"), (F.col("end") + 7).alias("end"), "text")
+    own = _gold(spark, sf).groupBy(F.col("passage_key").alias("doc_id")).agg(F.sort_array(F.collect_list(e)).alias("predicted_entities"))
+    d = _t(spark, sf, "documents").join(own, "doc_id", "left")
+    files.write_predictions(d.select(F.col("doc_id").alias("id"), "text", F.lit(7).alias("passage_offset"), F.col("doc_id").cast("string").alias("document_id"), F.lit(0).alias("passage_id"), "predicted_entities"), path)
+    kind = "document_id string, predicted_entities array<struct<label:string,start:int,end:int>>"
+    back = files.predicted_entities(spark.read.schema(kind).json(f"{path}/lines"))
+    return back.select("document_id", "label", _long("start"), _long("end"))
+
+
+@query
+def file_training_pairs(spark, sf):
+    """Training pairs as lines, and the distinct names of each concept from them."""
+    path = _folder(spark, "pairs")
+    files.write_lines(C.pair_lines(C.training_pairs(_terms(spark, sf))), path)
+    return files.pairs(spark, path)
+
+
+@query
+def file_dictionary(spark, sf):
+    path = _folder(spark, "dictionary")
+    files.write_dictionary(_terms(spark, sf), path)
+    return spark.read.text(path).select(F.split("value", "\t")[0].alias("term"), F.split("value", "\t")[1].alias("concept"))
+
+
+@query
+def file_abbreviations(spark, sf):
+    """Short forms as a tab-separated table with its header, and the lookup of its rows."""
+    path = _folder(spark, "abbreviations") + ".tsv"
+    rows = _abbr_rows(spark, sf).select(F.concat_ws("\t", "short_form", F.concat("identifier", F.lit(";CL:0")), F.lit("more")).alias("value"), F.col("line").alias("n"))
+    head = spark.createDataFrame([("\t".join(files.ABBREVIATION_HEADER), -1)], "value string, n int")
+    head.union(rows).repartitionByRange(4, "n").sortWithinPartitions("n").select("value").write.text(path)
+    return A.lookup(files.abbreviations(spark, path)).select("key", "n_ids", "n_rows")
+
+
+@query
+def file_ontology(spark, sf):
+    """The ontology as JSON lines, strictly read, as terms."""
+    path = _folder(spark, "ontology")
+    o = _ontology(spark, sf).select(F.col("concept_id").alias("norm_concept_id"), F.col("preferred_label").alias("norm_preferred_label"), "synonyms", F.lit("x").alias("namespace"))
+    o.write.json(path)
+    d = L.ontology_terms(files.ontology(spark, path))
+    return d.select("identifier", "raw_name", "name", "is_preferred", _long("ord"))
+
+
+@query
+def file_ontology_tolerant(spark, sf):
+    """The ontology under other field names, over several lines an object, with obsolete and
+    foreign concepts: the relaxed keys of what is left."""
+    path = _folder(spark, "tolerant")
+    mark, other = F.expr("conv(right(concept_id, 1), 10, 10) = 3"), F.expr("conv(right(concept_id, 1), 10, 10) = 4")
+    o = _ontology(spark, sf).select(F.concat(F.when(other, "GO:").otherwise("CL_"), F.regexp_replace("concept_id", "[^0-9]", "")).alias("id"), F.col("preferred_label").alias("label"), F.struct(F.col("synonyms").alias("near"), F.lit(None).cast("string").alias("none")).alias("alias"), mark.alias("deprecated"))
+    o.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")).write.text(path)
+    return files.relaxed_aliases(files.tolerant_ontology(spark, path))
+
+
+@query
+def file_xml_each(spark, sf):
+    """One annotated file per conversation, listed and read back by name."""
+    folder = _folder(spark, "each")
+    annotated.save_each(_written(spark, sf).select("path", "xml"), folder, ".out.xml")
+    docs = bioc.read(spark, paths.xml_files(spark, folder))
+    a = bioc.annotations(bioc.passages(docs))
+    return a.groupBy(F.expr("element_at(split(path, '/'), -1)").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("locations")[0]["offset"]).cast("long").alias("offsets"))
+
+
+def _noted(spark, sf) -> DataFrame:
+    """Documents of one passage per turn whose first word is annotated, with ids and a mark of
+    vague ones; every third turn must not be annotated, every fourth one has sentences of
+    which the second one lacks its text."""
+    clean = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    c = _t(spark, sf, "conversations").where("length(text) > 0").withColumn("w", F.regexp_extract("text", "^([A-Za-z]*)", 1)).withColumn("n", F.char_length("w"))
+    note = """if(n = 0, '', concat('<annotation id="A"><infon key="identifier">(skos:', if(n % 2 = 0, 'exact', 'related'), ')CL:', n, '</infon><infon key="Semantic_Type">s', n, '</infon><infon key="type">', if(n = 3, 'cell_vague', role),
+        '</infon><location offset="9" length="1"/><location offset="5" length="', n - 1, '"/><text>', w, '</text></annotation>'))"""
+    cut = "char_length(text) div 2"
+    sentences = f"""if(turn % 4 = 0, concat('<sentence><offset>5</offset><text>', {clean.format(f"substring(text, 1, {cut})")}, '</text></sentence><sentence><offset>', 5 + {cut}, '</offset></sentence>'), '')"""
+    body = f"""concat('<collection><document><id>', conv_id, '</id><passage>', if(turn % 3 = 0, '<infon key="annotatable"></infon>', ''), '<offset>5</offset><text>', {clean.format('text')}, '</text>', {sentences}, {note}, '</passage></document></collection>')"""
+    return annotated.documents(c.select(F.concat_ws("/", "conv_id", "turn").alias("path"), F.expr(body).alias("xml")), "xml")
+
+
+@query
+def xml_corpus_mentions(spark, sf):
+    """The distinct spellings of each gold concept, of exact relations."""
+    return flows.corpus_mentions(_noted(spark, sf), ("exact",)).groupBy("concept").agg(F.count(F.lit(1)).alias("n"), F.min(F.lower("term")).alias("least"), F.countDistinct("pos").alias("n_pos"))
+
+
+@query
+def xml_types(spark, sf):
+    """Annotations by the first of their types in the file."""
+    return bioc.annotations(bioc.passages(_noted(spark, sf))).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def xml_spans_of(spark, sf):
+    """Annotations of two places that lie within their passages, and the texts there."""
+    a = bioc.annotations(bioc.passages(_noted(spark, sf))).withColumn("text", F.lit(""))
+    return bioc.spans_of(V.of_types(a.withColumn("type", F.col("infons")["type"]))).select("path", "type", F.col("locations")[0]["offset"].cast("long").alias("first"), "text")
+
+
+@query
+def xml_text_units(spark, sf):
+    """Passages or their sentences; a sentence without text has the passage's."""
+    u = flows.text_units(_noted(spark, sf))
+    return u.select("path", _long("sentence_idx"), _long("unit_offset"), F.md5(F.col("text").cast("binary")).alias("digest")).withColumn("sentence_idx", F.coalesce("sentence_idx", F.lit(-1)))
+
+
+@query
+def xml_link_mentions(spark, sf):
+    """Mentions to link: in passages that may be annotated, without vague ones."""
+    m = annotated.mentions(_noted(spark, sf))
+    return m.groupBy("doc_key").agg(F.count(F.lit(1)).alias("n"), F.min("mention").alias("least"))
+
+
+@query
+def entry_names(spark, sf):
+    """Ids in any case with the canonical names of entries."""
+    ids = _t(spark, sf, "part").select(F.concat(F.when(F.col("p_partkey") % 2 == 0, "cl_").otherwise("CL:"), "p_size").alias("identifier")).distinct()
+    entries = _t(spark, sf, "part").where("p_size % 3 <> 0").select(F.concat(F.lit("Cl:"), "p_size").alias("id"), F.first("p_type").over(Window.partitionBy("p_size").orderBy("p_type")).alias("name"))
+    return L.entry_names(ids, entries).select("identifier", "name")
+
+
+@query
+def evaluate_link_top(spark, sf):
+    """One top of the link evaluation, of two types."""
+    gold, pred = _linked(spark, sf)
+    d = V.choose_top(V.evaluate_links(gold, pred.where("model = 'a'").drop("model"), types=["ing"], mode="end_to_end"), "top5")
+    return d.select("gate", _long("top"), "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query
+def rerank_ranks(spark, sf):
+    """The places of reranked candidates."""
+    return _reranked(spark, sf).select("query", "identifier", _long("rank"))
+
+
 # ---------------------------------------------------------------- corpora
 
 

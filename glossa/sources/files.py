@@ -165,10 +165,11 @@ def relaxed_aliases(ontology: DataFrame) -> DataFrame:
 
 
 def is_abbreviation_table(spark: SparkSession, path: str) -> bool:
-    """A .tsv file whose first line that is not empty begins with the known header."""
+    """A .tsv file, or folder of files in order of their names, whose first line that is not
+    empty begins with the known header."""
     if not path.lower().endswith(".tsv"):
         return False
-    first = spark.read.text(path).where("trim(value) <> ''").head()  # the first rows only
+    first = spark.read.text(sorted(spark.read.text(path).inputFiles())[:1] or path).where("trim(value) <> ''").head()  # the first rows only
     return first is not None and tuple(x.strip() for x in first[0].lstrip("\ufeff").split("\t")[:2]) == ABBREVIATION_HEADER
 
 
