@@ -153,3 +153,33 @@ def test_records_over_ranges(spark, tmp_path, indent):
         spark.conf.set("spark.sql.files.openCostInBytes", old[1])
     with pytest.raises(Exception):  # noqa: B017
         files.json_records(spark, put(tmp_path / "bad.txt", '{"a": \n nonsense')).collect()
+
+
+def test_mentions_are_linked_once(spark, tmp_path):
+    """A mention of two batches is linked in the first; a batch that runs again adds no rows."""
+    (tmp_path / "in").mkdir()
+    root, asked = f"file://{tmp_path}", []
+    terms = spark.createDataFrame([("t cells",), ("dendritic cells",), ("dc",)], "term string")
+
+    def linker(m):
+        rows = sorted(r.mention for r in m.collect())
+        asked.append(rows)
+        return spark.createDataFrame([(r, f"CL:{len(r)}") for r in rows], "mention string, identifier string")
+
+    def run():
+        annotate.recognize_stream(annotate.read(spark, f"{root}/in"), R.gazetteer(terms), f"{root}/spans", f"{root}/state1").awaitTermination()
+        annotate.link_new(annotate.spans_stream(spark, f"{root}/spans"), linker, f"{root}/links", f"{root}/state2").awaitTermination()
+        return sorted((r.doc_id, r.start, r.mention, r.identifier) for r in annotate.linked(spark, f"{root}/spans", f"{root}/links").collect())
+
+    put(tmp_path / "in" / "a.xml", XML.replace("Dendritic cells (DC).", "No more."))
+    assert run() == [("7", 6, "t cells", "CL:7")]
+    put(tmp_path / "in" / "b.xml", XML.replace("<id>7<", "<id>8<"))
+    want = [("7", 6, "t cells", "CL:7"), ("8", 6, "t cells", "CL:7"), ("8", 22, "dendritic cells", "CL:15"), ("8", 39, "dc", "CL:2")]
+    assert run() == want
+    assert [a for a in asked if a] == [["t cells"], ["dc", "dendritic cells"]]
+    for state in ("state1", "state2"):  # as after a failure before the batch was noted as done
+        last = max((p for p in (tmp_path / state / "commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+        last.unlink()
+        (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    assert run() == want
+    assert spark.read.parquet(f"{root}/links").count() == 3
