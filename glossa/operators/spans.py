@@ -270,13 +270,26 @@ def token_overlaps(refs: DataFrame, preds: DataFrame, passages: DataFrame, key:
     return pairs.join(t, key).where(common.rlike(r"[\p{L}\p{N}_]")).select(key, "ref", "pred").distinct()
 
 
+#: Folders of sorted ranges that numbered tables read; see ``drop_ranges``.
+RANGES: list[str] = []
+
+
+def drop_ranges(spark) -> None:
+    """Delete the files under all numbered tables so far, when nothing reads them any more."""
+    while RANGES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(RANGES.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def running_ids(d: DataFrame, order: list[str], out: str = "id") -> DataFrame:
     """Gapless numbers from 0 in a total order. Sorted ranges are written once to the shared
     folder, so a row's number, its file's first number and its place in the file, cannot
-    change when a task runs again; no window holds more than one row per file."""
+    change when a task runs again; no window holds more than one row per file. The files
+    stay until ``drop_ranges``."""
     spark = d.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/glossa-ranges"
     path = f"{folder.rstrip('/')}/ranges-{uuid.uuid4().hex}"
+    RANGES.append(path)
     d.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
     part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
     rows = spark.read.schema(d.schema).parquet(path).select(*[F.col(f"`{c}`") for c in d.columns], part.alias("_part"), F.col("_metadata.row_index").alias("_n"))

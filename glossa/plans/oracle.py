@@ -283,6 +283,7 @@ SQL = {
     "xml_corpus_counts": f"with {_CONV}, {_NOTES} select path, count(distinct conv_id) n_docs, count(*) n_passages, sum(length(text))::bigint n_chars, sum({_WORDN})::bigint n_tokens, (select count(*) from notes n where n.path = p.path) n_mentions from pas p where text <> '' group by path",
     "xml_concatenate": f"with {_CONV} select '1' place, md5(conv_id::varchar) digest from pas group by conv_id union all select '0', md5('<collection><source>made</source>') union all select '2', md5('</collection>')",
     "xml_spans_write": f"with {_CONV}, {_NOTES} select path, 'T' || n ann_id, kind \"type\", passage_idx, o + s \"offset\", length(token)::bigint \"length\", token \"text\" from notes",
+    "xml_by_document": f"with {_CONV}, {_NOTES} select conv_id::varchar doc_id, kind \"type\", passage_idx, o + s \"offset\", length(token)::bigint \"length\", token \"text\" from notes",
     "xml_entities": f"with {_CONV}, {_NOTES} select path, 'T' || n || ':0' entity_id, s \"start\", e \"end\", token surface from notes",
     "xml_links_write": f"with {_CONV}, {_NOTES}, x as (select *, {_singular('token')} w from notes) select p.path, count(w) filter (length(w) % 2 = 0) matched, count(w) filter (length(w) % 2 = 1) missing, count(distinct length(w)) filter (length(w) % 2 = 0) n_ids, min(w) filter (length(w) % 2 = 0) least_name from (select distinct path from pas) p left join x on x.path = p.path group by 1",
     "training_records": f"with {_CONV}, {_NOTES} select row_number() over (order by p.path, p.conv_id::varchar, p.passage_idx) - 1 id, p.conv_id::varchar document_id, p.passage_idx passage_id, p.o passage_offset, count(n.token) n, md5(coalesce(string_agg(n.s || ':' || n.e || ':' || case n.kind when 'ing' then 'act' else n.kind end || ':' || n.token, ',' order by n.n), '')) digest from pas p left join notes n on n.path = p.path and n.passage_idx = p.passage_idx where p.text <> '' group by p.path, p.conv_id, p.passage_idx, p.o",

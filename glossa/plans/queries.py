@@ -22,7 +22,7 @@ from glossa.operators import flows
 from glossa.operators import linking as L
 from glossa.operators import recognize as R
 from glossa.operators import spans as S
-from glossa.sources import annotated, bioc, files, paths
+from glossa.sources import annotated, bioc, files, paths, pieces
 from glossa.streaming import annotate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -662,15 +662,19 @@ def _files(spark, sf) -> DataFrame:
     return c.select(F.format_string("conv-%08d.xml", "conv_id").alias("path"), F.expr(text).cast("binary").alias("content"))
 
 
-def _file_spans(spark, sf) -> DataFrame:
+def _document_spans(docs: DataFrame) -> DataFrame:
     """(path, doc_id, start, end, label): words of passages in ing and tion, by place."""
-    p = bioc.passages(annotated.documents(_files(spark, sf))).withColumn("key", F.concat_ws("|", "doc_id", "passage_idx"))
+    p = bioc.passages(docs).withColumn("key", F.concat_ws("|", "doc_id", "passage_idx"))
     w = S.token_spans(p, "key", "text", S.ASCII).where("token rlike '(ing|tion)$'")
     d = w.join(p.select("key", "path", "doc_id", "passage_offset"), "key")
     kind = F.when(F.endswith("token", F.lit("ing")), "ing").otherwise("tion")
     return d.select("path", "doc_id", *[(F.col(c) + F.col("passage_offset")).cast("int").alias(c) for c in ("start", "end")], kind.alias("label"))
 
 
+def _file_spans(spark, sf) -> DataFrame:
+    return _document_spans(annotated.documents(_files(spark, sf)))
+
+
 def _written(spark, sf) -> DataFrame:
     return annotated.with_spans(_files(spark, sf), _file_spans(spark, sf))
 
@@ -700,6 +704,17 @@ def xml_spans_write(spark, sf):
     return a.select("path", "ann_id", "type", _long("passage_idx"), F.col("locations")[0]["offset"].cast("long").alias("offset"), F.col("locations")[0]["length"].cast("long").alias("length"), "text")
 
 
+@query
+def xml_by_document(spark, sf):
+    """All conversations in one collection's files, edited by document: every annotation."""
+    folder = _folder(spark, "collection")
+    annotated.concatenate(_files(spark, sf)).repartitionByRange(4, "place", "path", "n").sortWithinPartitions("place", "path", "n").select("value").write.text(folder)
+    whole = lambda d: annotated.documents(d.where(pieces.is_document()).select("path", F.concat(F.lit("<collection>"), F.expr("substring(value, instr(value, '<document'))"), F.lit(pieces.END + "</collection>")).alias("xml")), "xml")
+    d = pieces.read(spark, folder)
+    a = bioc.annotations(bioc.passages(whole(pieces.with_spans(d, _document_spans(whole(d))))))
+    return a.select("doc_id", "type", _long("passage_idx"), F.col("locations")[0]["offset"].cast("long").alias("offset"), F.col("locations")[0]["length"].cast("long").alias("length"), "text")
+
+
 @query
 def xml_entities(spark, sf):
     e = bioc.entities(bioc.annotations(bioc.passages(annotated.documents(_written(spark, sf), "xml"))))

@@ -32,7 +32,7 @@ def files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def documents(rows: DataFrame, text: str = "content") -> DataFrame:
     """Files (path, content or xml) to (path, doc_id, passage), as ``bioc.read`` gives."""
     kind = f"document array<struct<{', '.join(re.sub('^(id|infon|passage) ', lambda m: m[1] + ': ', x) for x in re.split(r', (?=infon |passage )', bioc.DOCUMENT))}>>"
-    d = rows.select("path", F.from_xml(F.col(text).cast("string"), F.lit(kind), {"ignoreSurroundingSpaces": "false"}).alias("c"))
+    d = rows.select("path", F.from_xml(F.col(text).cast("string"), F.lit(kind), {"ignoreSurroundingSpaces": "false", "ignoreNamespace": "true"}).alias("c"))
     return d.select("path", F.explode("c.document").alias("d")).select("path", F.trim("d.id").alias("doc_id"), "d.passage")
 
 
@@ -202,14 +202,21 @@ def with_links(rows: DataFrame, found: DataFrame, links: DataFrame, model: str =
     return d.mapInPandas(run, "path string, xml string, matched long, missing long")
 
 
-def save_each(rows: DataFrame, folder: str, suffix: str = ".normalized.xml") -> list[str]:
+def save_each(rows: DataFrame, folder: str, suffix: str = ".normalized.xml", line_sep: str = "\n", order: list[str] | None = None) -> list[str]:
     """Write (path, xml) as one file per input, ``<stem><suffix>``. Tasks write the files;
-    the driver only moves them to their names. Two inputs of one stem are an error."""
+    the driver only moves them to their names. Two inputs of one stem are an error. With
+    ``order`` an input is many rows, and one task writes them one after the other."""
     spark = rows.sparkSession
     name = F.concat(F.expr(bioc.stem("element_at(split(path, '/'), -1)")), F.lit(suffix))
     fs_of = lambda p: (spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path(p))
     fs, stage = fs_of(f"{folder.rstrip('/')}/_writing-{uuid.uuid4().hex}")
-    rows.select(name.alias("name"), F.col("xml").alias("value")).write.partitionBy("name").option("lineSep", "\n").text(stage.toString())
+    named = rows.withColumn("name", name)
+    if order:
+        one = named.select("name", "path").distinct().groupBy("name").count().where("count > 1").take(1)
+        if one:
+            raise ValueError(f"several inputs are named {one[0].name}")
+        named = named.repartition("name").sortWithinPartitions("name", *order)
+    named.select("name", F.col("xml").alias("value")).write.partitionBy("name").option("lineSep", line_sep).text(stage.toString())
     out = []
     try:
         for of_name in fs.listStatus(stage):

@@ -20,8 +20,8 @@ def infons(x: str) -> str:
 
 
 def read(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, doc_id, passage): one row per document."""
-    x = spark.read.format("xml").option("rowTag", "document").option("ignoreSurroundingSpaces", "false").schema(DOCUMENT).load(path)
+    """(path, doc_id, passage): one row per document. Prefixes of tags within it do not count."""
+    x = spark.read.format("xml").option("rowTag", "document").option("ignoreSurroundingSpaces", "false").option("ignoreNamespace", "true").schema(DOCUMENT).load(path)
     return x.select(F.col("_metadata.file_path").alias("path"), F.trim("id").alias("doc_id"), "passage")
 
 

@@ -131,7 +131,9 @@ def test_gazetteer(spark):
 def test_running_ids(spark):
     d = spark.createDataFrame([(i * 7 % 101,) for i in range(101)], "k int")
     got = {r.k: r.id for r in S.running_ids(d, ["k"]).collect()}
-    assert got == {k: k for k in range(101)}
+    assert got == {k: k for k in range(101)} and S.RANGES
+    S.drop_ranges(spark)
+    assert not S.RANGES
 
 
 def test_empty_corpus(spark):

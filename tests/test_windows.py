@@ -215,6 +215,9 @@ def test_types_and_forms_of_files(spark, tmp_path):
     (tmp_path / "a.xml").write_text(XML, encoding="utf-8")
     docs = bioc.read(spark, f"file:{tmp_path}/a.xml")
     assert [r.type for r in bioc.annotations(bioc.passages(docs)).orderBy("ann_id").collect()] == ["b", "d"]
+    prefixed = re.sub(r"<(/?)(passage|annotation|infon|text|location|offset)", r"<\1b:\2", XML).replace("<collection>", '<collection xmlns:b="x">')
+    again = annotated.documents(spark.createDataFrame([("p", prefixed)], "path string, xml string"), "xml")
+    assert [r.type for r in bioc.annotations(bioc.passages(again)).orderBy("ann_id").collect()] == ["b", "d"]
     ontology = spark.createDataFrame([("CL:1", "CD4+", None)], "concept_id string, preferred_label string, synonyms array<string>")
     r = flows.vocabulary_overlap(spark, {"x": [f"file:{tmp_path}/a.xml"]}, ontology).head()
     assert (r.n_forms, r.n_matched) == (1, 1)
