@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions import text as T
 from glossa.functions.udfs import nfkc, sequence_ratio
-from glossa.functions.vector import Index, cosine_distance, nearest
+from glossa.functions.vector import Index, cosine_distance, nearest, query_blocks
 from glossa.operators import abbreviations as A
 from glossa.operators import corpus as C
 from glossa.operators import evaluate as V
@@ -161,12 +161,8 @@ def _ids(spark, sf):
 
 @query
 def identifier_gates(spark, sf):
-    d = _ids(spark, sf).withColumnRenamed("x", "identifier")
-    out = None
-    for gate in V.GATES:
-        g = V.gold_ids(d, gate).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("gold_id").alias("n_ids")).withColumn("gate", F.lit(gate))
-        out = g if out is None else out.unionByName(g)
-    return out
+    d = V.gated_ids(_ids(spark, sf).withColumnRenamed("x", "identifier"))
+    return d.groupBy("type", "gate").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("gold_id").alias("n_ids"))
 
 
 @query
@@ -334,11 +330,12 @@ def abbrev_nearest_key(spark, sf):
 
 @query
 def cosine_pairs(spark, sf):
-    """Every query against all rows; the queries are one row of arrays."""
+    """Every query against all rows: rows meet blocks of queries by the blocks' numbers."""
     e = _t(spark, sf, "embeddings")
-    block = e.where("vec_id % 50 = 0").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("qs"))
-    d = e.select("vec_id", F.col("embedding").alias("u")).crossJoin(F.broadcast(block)).select("vec_id", "u", F.explode("qs").alias("q"))
-    return d.select(F.col("q.vec_id").alias("query_id"), "vec_id", F.round(F.expr(cosine_distance("u", "q.embedding")), 9).alias("distance"))
+    blocks, n = query_blocks(e.where("vec_id % 50 = 0"), "vec_id", "embedding", 1024)
+    d = e.select("vec_id", F.col("embedding").alias("u"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
+    d = d.join(blocks, "block").select("vec_id", "u", F.explode("items").alias("q"))
+    return d.select(F.col("q.i").alias("query_id"), "vec_id", F.round(F.expr(cosine_distance("u", "q.v")), 9).alias("distance"))
 
 
 def _reranked(spark, sf) -> DataFrame:
@@ -599,14 +596,10 @@ def link_prf_topk(spark, sf):
 def link_prf_grid(spark, sf):
     """Every gate and every part type as entity type set, with a score threshold."""
     pred = _placed(V.ranked_ids(_link_pred(spark, sf), 0.5))
-    d = _ids(spark, sf).withColumnRenamed("x", "identifier")
-    out = None
-    for gate in V.GATES:
-        gold = V.gold_ids(d, gate)
-        g = V.set_counts(gold.select("type", "passage_key", F.col("gold_id").alias("i")), pred.where("place < 5").select("type", "passage_key", F.col("pred_id").alias("i")), ["passage_key", "i"], ["type"])
-        g = V.scores(g).withColumn("gate", F.lit(gate))
-        out = g if out is None else out.unionByName(g)
-    return out.select("gate", "type", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+    gold = V.gated_ids(_ids(spark, sf).withColumnRenamed("x", "identifier"))
+    best = pred.where("place < 5").select("type", "passage_key", F.col("pred_id").alias("i"), F.explode(F.array(*[F.lit(g) for g in V.GATES])).alias("gate"))
+    d = V.scores(V.set_counts(gold.select("gate", "type", "passage_key", F.col("gold_id").alias("i")), best, ["passage_key", "i"], ["gate", "type"]))
+    return d.select("gate", "type", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
 def _linked(spark, sf) -> tuple[DataFrame, DataFrame]:
