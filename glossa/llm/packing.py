@@ -87,13 +87,28 @@ class Encoder:
             return ids + b"".join([memo.get(p) or self._learn(p) for p in parts[1:]])
 
 
+class Kept:
+    """An encoder that a worker makes at its first use and keeps, with its memo, from task to
+    task: it is sent as a broadcast variable."""
+
+    def __init__(self, vocabulary: str):
+        self.vocabulary, self.made = vocabulary, None
+
+    def __call__(self) -> Encoder:
+        if self.made is None:
+            self.made = Encoder(self.vocabulary)
+        return self.made
+
+
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: a first piece of the rest, then full ones."""
     kind = dict(docs.dtypes)["doc_id"]
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
+    shared = docs.sparkSession.sparkContext.broadcast(Kept(vocabulary))  # a name
+
     def run(batches):
-        encode = Encoder(vocabulary)
+        encode = shared.value()
         for batch in batches:
             rows, out = [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
