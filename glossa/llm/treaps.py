@@ -39,7 +39,7 @@ from glossa.llm.common import drop_frozen, freeze
 
 #: Bytes of query texts of a block, postings of a shard, documents of a range that is not
 #: split further, entries (term of a range) that are walked at once, merges of partial results.
-BLOCK_BYTES, SHARD, LEAF, WIDTH, MERGES = 4 << 20, 1 << 21, 64, 1 << 20, 64
+BLOCK_BYTES, SHARD, LEAF, WIDTH, MERGES = 4 << 20, 1 << 19, 64, 1 << 19, 64
 #: Fixed values of the score.
 SCALE, GAIN, SLOPE, CONSTANT, SHARE = 1_000_000_000, 1000, 12, 100, 25
 
