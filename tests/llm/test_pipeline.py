@@ -12,7 +12,7 @@ SMALL = "/root/testdata/sf0.001"
 def test_names():
     found = __spark_entry__.queries()
     assert "pipeline" in found
-    assert {n.split("_")[0] for n in found if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in found if n.startswith("op")} == {f"op{k}" for k in range(1, 14)}
     assert [f.__name__ for _, f in corpus_pipeline.STAGES] == ["quality", "near_dedup", "private", "mixed", "packed"]
 
 
