@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.operators.spans import WORD, decode_tags, token_rows, windows
+from glossa.operators.spans import WORD, bounded_batches, decode_tags, slices, token_rows, windows
 
 #: A recognizer takes token rows (key, tokens: token, start, end, lead) and gives tags (key,
 #: token, start, end, lead, tag); tokens that it leaves out are outside of all spans.
@@ -124,13 +124,13 @@ def fit_linear(tagged: DataFrame, labels: list[str], least: int = 5, most: int =
             count.clear()
             return pa.RecordBatch.from_arrays([pa.array([f for (f, _), _ in rows], pa.string()), pa.array([t for (_, t), _ in rows], pa.int32()), pa.array([n for _, n in rows], pa.int64())], ["feature", "label", "n"])
 
-        for batch in batches:
+        for batch in slices(batches):
             sizes, token = _windows_of(batch, 0)
             tags = [place[t] for t in token["tag"].to_pylist()]
             for values in features(token["token"].to_pylist(), sizes.tolist()):
                 count.update(zip(values, tags, strict=True))
             count.update(("", t) for t in tags)
-            if len(count) > 500_000:
+            if len(count) > 200_000:
                 yield out()
         yield out()
 
@@ -156,12 +156,13 @@ def tagged_windows(tagged: DataFrame, key: str, max_length: int = 512, overlap:
 def score_windows(cut: DataFrame, key: str, model) -> DataFrame:
     """(key, chunk, token, start, end, lead, s_0, ...): a score per token and label of every
     window. The model comes once to a worker; a token that it scores NaN has none."""
+    bounded_batches(cut.sparkSession)
     shared = cut.sparkSession.sparkContext.broadcast(model)
     names = [f"s_{k}" for k in range(len(model.labels))]
 
     def run(batches):
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             sizes, token = _windows_of(batch, 2)
             s = np.asarray(m.scores(token["token"].to_pylist(), sizes), float)
             of = pa.array(np.repeat(np.arange(batch.num_rows), sizes))

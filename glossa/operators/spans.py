@@ -64,6 +64,23 @@ def _cut(texts: list[str], word: str, lead: bool) -> pa.Array:
     return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(fields, names))
 
 
+#: Bytes of an Arrow batch, rows of token arrays that a step in Python works on.
+BATCH_BYTES, STEP = 16 << 20, 128
+
+
+def bounded_batches(spark) -> None:
+    """Hold Arrow batches of this session to a number of bytes that fits a worker's memory,
+    whatever the rows' size; no result depends on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def slices(batches, rows: int = STEP) -> Iterator[pa.RecordBatch]:
+    """The batches in steps of some rows."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def _parts(sizes: list[int], limit: int = PART) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``limit`` in size, one row at least."""
     start, total = 0, 0
@@ -90,6 +107,7 @@ def token_rows(docs: DataFrame, key: str, text: str = "text", word: str = WORD,
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _cut(texts[a:b], word, lead)], [key, "tokens"])
 
     d = docs.select(key, F.col(text).alias("_text"))
+    bounded_batches(docs.sparkSession)
     return d.mapInArrow(run, f"`{key}` {d.schema[0].dataType.simpleString()}, tokens {TOKENS_WITH_LEADS if lead else TOKENS}")
 
 
@@ -190,7 +208,7 @@ def _tag(mode: str, key: str):
     of = _owners(mode)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for r in range(batch.num_rows):
                 tokens, entities = (batch.column(k)[r].values for k in (1, 2))
