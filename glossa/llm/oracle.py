@@ -3,7 +3,7 @@
 Near-duplicate texts, trained models, codecs, tokenizers, packing and the iterative sharding
 have none; tests hold them against brute force, exact round trips or held-out accuracy.
 The patterns of personal data look behind, which DuckDB's do not; tests compare them with
-the plain patterns. The mixing schedule is simulated slot by slot; tests check deadlines.
+the plain patterns. The mixing schedule is tested against a simulation slot by slot.
 The merge's codes are CRC sums, which are written out here byte by byte from their table.
 """
 

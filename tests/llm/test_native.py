@@ -147,18 +147,40 @@ def test_pii_in_very_long_texts(spark):
     assert took < 60
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_every_deadline_is_met(seed):
-    draw = random.Random(seed)
-    quota = mixing.quotas({f"s{i}": draw.random() ** 3 + 1e-4 for i in range(draw.randrange(1, 30))}, 200)
-    plan = mixing.hyperperiod(quota)
-    assert sum(quota.values()) == 200 and len(plan) == 200
-    done = Counter()
-    for t, (s, k, slot) in enumerate(plan):
-        assert slot == t and k == done[s]
-        done[s] += 1
-        for s_, q in quota.items():
-            assert abs(done[s_] - (t + 1) * q / 200) < 1
+def schedule(weights, blocks):
+    """(source's place, block, slot), slot by slot by earliest deadline first; the last open
+    source's rest at its deadlines."""
+    share = list(mixing.shares(weights).values())
+    total, left = sum(share), [blocks.get(s, 0) for s in weights]
+    ends = sorted(-(-n * total // w) for n, w in zip(left, share, strict=True))
+    at, out = [0] * len(share), []
+    for slot in range(-(-ends[-2] // mixing.RANGE) * mixing.RANGE if len(ends) > 1 else 0):
+        ready = [(-(-(k + 1) * total // w), i) for i, (k, w) in enumerate(zip(at, share, strict=True)) if k * total // w <= slot]
+        due, i = min(ready)
+        assert due > slot
+        if at[i] < left[i]:
+            out.append((i, at[i], slot))
+        at[i] += 1
+    out += sorted(((i, k, -(-(k + 1) * total // share[i]) - 1) for i, n in enumerate(left) for k in range(at[i], n)), key=lambda r: r[2])
+    return tuple(map(list, zip(*out, strict=True)))
+
+
+@pytest.mark.parametrize("sizes", [[70], [1, 1], [5000, 3, 900], [40] * 30, [10000, 9000, 1, 2, 50, 77, 400, 3000], [1, 2, 3] * 60])
+def test_slots_of_ranges_are_those_of_the_whole_schedule(spark, sizes):
+    sizes = {f"s{i:03}": n for i, n in enumerate(sizes)}
+    weights = {s: n**0.5 for s, n in sizes.items()}
+    which, block, slot = schedule(weights, sizes)
+    d = spark.createDataFrame(list(sizes.items()), "source string, n long").select("source", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("doc_id"))
+    got = mixing.mix(d, weights, block_rows=1).orderBy("position").select("source", "block", "slot").collect()
+    names = list(sizes)
+    assert [tuple(r) for r in got] == [(names[i], k, t) for i, k, t in zip(which, block, slot, strict=True)]
+
+
+def test_weights_of_very_unequal_size(spark):
+    share = mixing.shares({"a": 1e-30, "b": 1.0, "c": 3e15})
+    assert share["a"] == 1 and 0 < sum(share.values()) < 10**mixing.DIGITS
+    got = mixing.slots(spark, [1, 10**9, 3 * 10**20], 2).orderBy("slot").collect()
+    assert [r.slot for r in got] == list(range(2 * mixing.RANGE)) and all(r.i == 2 or r.k == 0 for r in got)
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -166,7 +188,7 @@ def test_schedule_keeps_to_the_exact_weights(seed):
     draw = random.Random(seed)
     rows = {f"s{i}": draw.randrange(1, 40) * 100 for i in range(19)} | {"hot": 20000}
     weights = {s: n**0.5 for s, n in rows.items()}
-    which, block, slots = mixing.schedule(weights, rows)
+    which, block, slots = schedule(weights, rows)
     assert Counter(which) == {i: n for i, n in enumerate(rows.values())} and slots == sorted(slots) and len(set(slots)) == len(slots)
     names, done, total = list(rows), Counter(), sum(weights.values())
     for i, k, slot in zip(which, block, slots, strict=True):
