@@ -46,14 +46,15 @@ def crc_of_id(doc_id: str = "doc_id") -> Column:
 def positions(df: DataFrame, group: list[str], bucket: str, order: list, out: str) -> DataFrame:
     """Number rows gaplessly from 0 within ``group``: buckets in ascending order, rows
     of a bucket by ``order``. Only a bucket meets in one task, so the caller chooses
-    buckets of bounded size; the offsets are one row per group and bucket."""
+    buckets of bounded size. The offsets, one row per group and bucket, join on the key by
+    which the rows lie already; Spark broadcasts them only where they turn out small."""
+    key = F.struct(*group, bucket)  # fields of a struct compare with nulls equal
     sizes = df.groupBy(*group, bucket).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*(group or [F.lit(0)])).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*[F.col(c).alias(f"_o_{c}") for c in [*group, bucket]], F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    rank = F.row_number().over(Window.partitionBy(*group, bucket).orderBy(*order)).cast("long")
-    on = [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in [*group, bucket]]
-    joined = df.withColumn("_rank", rank).join(F.broadcast(offsets), on, "inner")  # groups x buckets rows: bounded by the caller
-    return joined.withColumn(out, F.col("_offset") + F.col("_rank") - 1).drop("_rank", "_offset", *[f"_o_{c}" for c in [*group, bucket]])
+    offsets = sizes.select(key.alias("_key_of"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    rank = F.row_number().over(Window.partitionBy("_key").orderBy(*order)).cast("long")
+    joined = df.withColumn("_key", key).withColumn("_rank", rank).join(offsets, F.col("_key") == F.col("_key_of"))
+    return joined.withColumn(out, F.col("_offset") + F.col("_rank") - 1).drop("_rank", "_offset", "_key", "_key_of")
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, rows: str, total: int, how: str = "inner", share: int = 1000) -> DataFrame:

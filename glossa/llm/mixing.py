@@ -37,6 +37,8 @@ from glossa.llm.common import drop_frozen, freeze, positions
 
 #: Slots of one row of the schedule.
 RANGE = 256
+#: Rows of a bucket of the numbering, on average; fewer in small tables.
+BUCKET_ROWS = 100_000
 DIGITS = 22
 _JOB = "struct<due: bigint, i: int, k: bigint>"
 
@@ -105,12 +107,14 @@ def tempered_weights(docs: DataFrame, source: str = "source", power: float = 0.5
 
 def mix(docs: DataFrame, weights: dict, source: str = "source", doc_id: str = "doc_id", block_rows: int = 32, period: int | None = None, buckets: int = 4096) -> DataFrame:
     """doc_id, source, block, slot and position (gapless from 0: the mixed order). Weights
-    are exact whatever the ``period``, which has no effect and is still accepted."""
+    are exact whatever the ``period``, which has no effect and is still accepted; ``buckets``
+    is the least number of buckets of the numbering."""
     spark = docs.sparkSession
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"))
     if not weights:
         return d.select("doc_id", "source", *[F.lit(None).cast("long").alias(c) for c in ("block", "slot", "position")])
-    d = d.withColumn("source", F.col("source").cast("string")).withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.lit(buckets // 16)))
+    needed = -(-d.count() // BUCKET_ROWS)
+    d = d.withColumn("source", F.col("source").cast("string")).withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.lit(max(buckets // 16, needed))))
     d = positions(d, ["source"], "_b", [F.xxhash64("doc_id", F.lit(1)), "doc_id"], "_n").drop("_b")
     d = d.withColumn("block", F.expr(f"_n div {block_rows}"))
     d = freeze(d)
@@ -136,5 +140,5 @@ def mix(docs: DataFrame, weights: dict, source: str = "source", doc_id: str = "d
     drop_frozen(numbered, plan)
     top = d.agg(F.max("slot")).head()[0] or 0
     # Buckets of consecutive slots. Where sources have ended, few blocks share a bucket.
-    d = d.withColumn("_b", F.expr(f"slot div {max(1, -(-(top + 1) // buckets))}"))
+    d = d.withColumn("_b", F.expr(f"slot div {max(1, -(-(top + 1) // max(buckets, needed)))}"))
     return positions(d, [], "_b", ["slot", "_n"], "position").select("doc_id", "source", "block", "slot", "position")
