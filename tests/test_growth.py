@@ -1,7 +1,9 @@
 """What may grow with the input: nothing of it on the driver, texts met once, steps of files."""
 
 import numpy as np
+import pytest
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from glossa.functions import vector
 
@@ -22,3 +24,19 @@ def test_index_is_fitted_off_the_driver(spark, monkeypatch):
     key = lambda x: sorted(tuple(r) for r in x.collect())
     assert key(index.nearest(q, 5, "i")) == key(vector.nearest(q, d, 5, "i", "i"))
     index.drop()
+
+
+@pytest.mark.parametrize("step", [1, 64])
+def test_distances_of_all_pairs(spark, monkeypatch, step):
+    """Cells against the expression: missing, zero, holed, other and non-finite vectors too."""
+    monkeypatch.setattr(vector, "CELL_STEP", step)
+    monkeypatch.setattr(vector, "PAIR_QUERIES", 4)
+    monkeypatch.setattr(vector, "PAIR_TERMS", 7)
+    draw = np.random.default_rng(5)
+    odd = [None, [], [0.0] * 4, [1.0, None, 2.0, 3.0], [1.0, 2.0], [float("nan"), 1.0, 1.0, 1.0], [0.0, 0.0]]
+    d = spark.createDataFrame([(i, v) for i, v in enumerate([*draw.normal(size=(20, 4)).tolist(), *odd])], "i long, embedding array<float>")
+    q = d.where("i % 3 = 0 or i > 19")
+    want = q.where("size(embedding) > 0").select(F.col("i").alias("query_id"), F.col("embedding").alias("a")).crossJoin(d.select(F.col("i").alias("term_id"), F.col("embedding").alias("b")))
+    want = want.select("query_id", "term_id", F.round(F.expr(vector.cosine_distance("a", "b")), 9).alias("distance"))
+    key = lambda x: sorted(map(str, x.collect()))
+    assert key(vector.distances(q, d, "i", "i")) == key(want)
