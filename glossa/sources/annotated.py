@@ -217,14 +217,15 @@ def save_each(rows: DataFrame, folder: str, suffix: str = ".normalized.xml", lin
             raise ValueError(f"several inputs are named {one[0].name}")
         named = named.repartition("name").sortWithinPartitions("name", *order)
     named.select("name", F.col("xml").alias("value")).write.partitionBy("name").option("lineSep", line_sep).text(stage.toString())
-    out = []
+    out, done = [], set()
     try:
-        for of_name in fs.listStatus(stage):
-            if not of_name.isDirectory():
-                continue
-            target = unquote(of_name.getPath().getName().partition("=")[2])
-            parts = [p.getPath() for p in fs.listStatus(of_name.getPath()) if p.getPath().getName().startswith("part-")]
-            if len(parts) != 1:
+        # One listing of all parts, one of the names that are there; a move for each file.
+        there = {p.getPath().getName() for p in fs.listStatus(fs_of(folder)[1])}
+        parts = fs.globStatus(fs_of(f"{stage.toString()}/name=*/part-*")[1])
+        for found in parts:
+            part = found.getPath()
+            target = unquote(part.toString().rsplit("/", 2)[1].partition("=")[2])
+            if target in done:
                 raise ValueError(f"several inputs are named {target}")
             _, end = fs_of(f"{folder.rstrip('/')}/{target}")
             fs.delete(end, False)

@@ -19,9 +19,11 @@ def infons(x: str) -> str:
     return f"if({x} is null, map(), {last})"
 
 
-def read(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, doc_id, passage): one row per document. Prefixes of tags within it do not count."""
-    x = spark.read.format("xml").option("rowTag", "document").option("ignoreSurroundingSpaces", "false").option("ignoreNamespace", "true").schema(DOCUMENT).load(path)
+def read(spark: SparkSession, path: str | list[str], names: str = "*") -> DataFrame:
+    """(path, doc_id, passage): one row per document. Prefixes of tags within it do not count. Of
+    a folder only files whose names match ``names`` count; a folder takes one listing, a list
+    of paths one for each of them."""
+    x = spark.read.format("xml").option("pathGlobFilter", names).option("rowTag", "document").option("ignoreSurroundingSpaces", "false").option("ignoreNamespace", "true").schema(DOCUMENT).load(path)
     return x.select(F.col("_metadata.file_path").alias("path"), F.trim("id").alias("doc_id"), "passage")
 
 
