@@ -13,12 +13,17 @@ import xml.etree.ElementTree as ET
 from urllib.parse import unquote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.functions import text as T
+from glossa.operators.spans import bounded_batches, slices
 from glossa.sources import bioc
 
+#: Files that a step in Python holds as objects.
+STEP = 16
+
 #: Annotations of this type are neither linked nor counted.
 VAGUE = "cell_vague"
 LINK = "doc_key string, mention string, identifier string, name string, final_score double, expanded_long_form string, definition_method string, definition_key string, definition_score double, hits array<struct<identifier:string,name:string,embedding_score:double,score:double>>"
@@ -164,12 +169,14 @@ def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
     own = spans.groupBy("path").agg(F.collect_list(F.struct("doc_id", "start", "end", "label")).alias("found"))  # of one file
     d = rows.join(own, "path", "left").select("path", "content", F.coalesce("found", F.array().cast(own.schema["found"].dataType)).alias("found"))
 
+    bounded_batches(rows.sparkSession)
+
     def run(batches):
-        for b in batches:
-            done = [put_spans(c, [x if isinstance(x, dict) else x.asDict() for x in f]) for c, f in zip(b["content"], b["found"], strict=True)]
-            yield pd.DataFrame({"path": b["path"], "xml": [x for x, _ in done], "n_annotations": [n for _, n in done]})
+        for b in slices(batches, STEP):
+            done = [put_spans(c, f) for c, f in zip(b["content"].to_pylist(), b["found"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b["path"], pa.array([x for x, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], ["path", "xml", "n_annotations"])
 
-    return d.mapInPandas(run, "path string, xml string, n_annotations long")
+    return d.mapInArrow(run, "path string, xml string, n_annotations long")
 
 
 def mentions(rows: DataFrame) -> DataFrame:
@@ -194,12 +201,14 @@ def with_links(rows: DataFrame, found: DataFrame, links: DataFrame, model: str =
     each = found.join(have, ["doc_key", "normal"]).groupBy("path").agg(F.collect_list(F.struct(*names)).alias("found"))  # of one file
     d = rows.join(each, "path", "left").select("path", "content", F.coalesce("found", F.array().cast(each.schema["found"].dataType)).alias("found"))
 
+    bounded_batches(rows.sparkSession)
+
     def run(batches):
-        for b in batches:
-            done = [put_links(c, [x if isinstance(x, dict) else x.asDict(True) for x in f], model, scores, digits) for c, f in zip(b["content"], b["found"], strict=True)]
-            yield pd.DataFrame({"path": b["path"], "xml": [x[0] for x in done], "matched": [x[1] for x in done], "missing": [x[2] for x in done]})
+        for b in slices(batches, STEP):
+            done = [put_links(c, f, model, scores, digits) for c, f in zip(b["content"].to_pylist(), b["found"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b["path"], *[pa.array([x[k] for x in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))]], ["path", "xml", "matched", "missing"])
 
-    return d.mapInPandas(run, "path string, xml string, matched long, missing long")
+    return d.mapInArrow(run, "path string, xml string, matched long, missing long")
 
 
 def save_each(rows: DataFrame, folder: str, suffix: str = ".normalized.xml", line_sep: str = "\n", order: list[str] | None = None) -> list[str]:
@@ -227,9 +236,11 @@ def save_each(rows: DataFrame, folder: str, suffix: str = ".normalized.xml", lin
             target = unquote(part.toString().rsplit("/", 2)[1].partition("=")[2])
             if target in done:
                 raise ValueError(f"several inputs are named {target}")
-            _, end = fs_of(f"{folder.rstrip('/')}/{target}")
-            fs.delete(end, False)
-            fs.rename(parts[0], end)
+            done.add(target)
+            end = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{target}")
+            if target in there:
+                fs.delete(end, False)
+            fs.rename(part, end)
             out.append(end.toString())
     finally:
         fs.delete(stage, True)
