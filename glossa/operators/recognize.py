@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.operators.spans import WORD, bounded_batches, decode_tags, slices, token_rows, windows
+from glossa.operators.spans import WORD, bounded_batches, decode_rows, decode_tags, slices, token_rows, window_starts, windows
 
 #: A recognizer takes token rows (key, tokens: token, start, end, lead) and gives tags (key,
-#: token, start, end, lead, tag); tokens that it leaves out are outside of all spans.
+#: token, start, end, lead, tag); tokens that it leaves out are outside of all spans. It may
+#: have ``rows``, which gives token rows with ``tags`` instead, so that spans are decoded within
+#: the row, and ``single`` where every tagged token is a span of its own.
 Recognizer = Callable[[DataFrame], DataFrame]
 
 
@@ -47,13 +49,19 @@ def gazetteer(terms: DataFrame, label: str = "cell_type", longest: int = 5) -> R
         tag = F.when(inside, f"I-{label}").when(F.col("len").isNotNull(), f"B-{label}").otherwise("O")
         return d.select(key, *own, tag.alias("tag"))
 
+    run.single = longest == 1
     return run
 
 
 def recognize(passages: DataFrame, recognizer: Recognizer, key: str = "passage_id", text: str = "text", word: str = WORD) -> DataFrame:
     """(key, label, start, end, n_tokens, text) of all recognised spans. A span's text is made
     of its own tokens, so no text is shuffled."""
-    tags = recognizer(token_rows(passages, key, text, word, lead=True))
+    rows = token_rows(passages, key, text, word, lead=True)
+    if hasattr(recognizer, "rows"):
+        return decode_rows(recognizer.rows(rows), key)
+    tags = recognizer(rows)
+    if getattr(recognizer, "single", False):
+        return tags.select(key, F.expr("substring(tag, instr(tag, '-') + 1)").alias("label"), "start", "end", F.lit(1).cast("long").alias("n_tokens"), F.col("token").alias("text"))
     return decode_tags(tags, key, ["start"], "tag", "start", "end", "token", "lead")
 
 
@@ -193,4 +201,37 @@ def windowed(model, max_length: int = 512, overlap: int = 128, special: int = 2)
         means = scored.repartition(key).groupBy(key, "start", "end", "token", "lead").agg(*[F.avg(n).alias(n) for n in names])
         return means.select(key, "token", "start", "end", "lead", best_of(model.labels, [F.col(n) for n in names]).alias("tag"))
 
+    def tagged(rows: DataFrame) -> DataFrame:
+        return tag_windows(rows, rows.columns[0], model, max_length, overlap, special)
+
+    run.rows = tagged
     return run
+
+
+def tag_windows(rows: DataFrame, key: str, model, max_length: int = 512, overlap: int = 128, special: int = 2) -> DataFrame:
+    """Token rows with ``tags``: windows, scores, means and the best label within each row; the
+    first label on ties, O without any score."""
+    _, width = window_starts("0", max_length, overlap, special)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    bounded_batches(rows.sparkSession)
+    names = np.array([*model.labels, "O"], object)
+
+    def run(batches):
+        m = shared.value
+        for batch in slices(batches):
+            sizes, token = _windows_of(batch, 1)
+            ends = np.cumsum(sizes)
+            cuts = [(e - n + a, min(e - n + a + width, e)) for n, e in zip(sizes.tolist(), ends.tolist(), strict=True) if n for a in range(0, max(n - overlap, 1), width - overlap)]
+            at = np.concatenate([np.arange(a, b) for a, b in cuts]) if cuts else np.zeros(0, np.int64)
+            words = token["token"].to_pylist()
+            s = np.asarray(m.scores([words[k] for k in at.tolist()], np.array([b - a for a, b in cuts], np.int64)), float).reshape(len(at), len(names) - 1)
+            total, count = np.zeros((len(words), len(names) - 1)), np.zeros((len(words), len(names) - 1))
+            np.add.at(total, at, np.nan_to_num(s, nan=0.0, posinf=np.inf, neginf=-np.inf))
+            np.add.at(count, at, ~np.isnan(s))
+            mean = np.where(count > 0, total / np.maximum(count, 1), -np.inf)
+            best = np.where((count > 0).any(axis=1), mean.argmax(axis=1), len(names) - 1)
+            tags = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(names[best].tolist(), pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), tags], [key, "tokens", "tags"])
+
+    d = rows.select(key, "tokens")
+    return d.mapInArrow(run, f"`{key}` {d.schema[0].dataType.simpleString()}, tokens {d.schema[1].dataType.simpleString()}, tags array<string>")
