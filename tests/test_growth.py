@@ -9,6 +9,7 @@ from glossa.functions import vector
 from glossa.functions.udfs import byte_offsets
 from glossa.operators import evaluate as V
 from glossa.operators import spans as S
+from glossa.plans.queries import queries
 from glossa.sources import annotated, bioc
 
 
@@ -95,3 +96,9 @@ def test_files_in_steps(spark, monkeypatch):
     assert [x.rsplit("/", 1)[1] for x in out] == [f"d{k}.out.xml" for k in range(5)]
     assert annotated.save_each(d.limit(2), folder, ".out.xml") and bioc.read(spark, folder, "*.xml").count() == 5
     assert bioc.read(spark, folder, "*.json").count() == 0
+
+
+def test_overlap_joins_no_words_with_documents(spark):
+    """The language goes with the words: only forms meet the terms."""
+    d = queries()["corpus_overlap"](spark, "/root/testdata/sf0.001")
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
