@@ -17,10 +17,12 @@ def lookup(rows: DataFrame) -> DataFrame:
     """Rows (short_form, identifier, line) to one row per key: its ids and their number,
     and the longest short form (the first on ties) with its id."""
     d = rows.withColumn("key", T.col(T.abbreviation_key("short_form"))).where("key <> '' and identifier is not null")
+    # Repeated rows become one by numbers alone, before texts are compared.
+    d = d.groupBy("key", "short_form", "identifier").agg(F.max(-F.col("line")).alias("first"), F.count(F.lit(1)).alias("n"))
     return d.groupBy("key").agg(
         F.countDistinct("identifier").alias("n_ids"),
-        F.max_by(F.struct("short_form", "identifier"), F.struct(F.char_length("short_form"), -F.col("line"))).alias("best"),
-        F.count(F.lit(1)).alias("n_rows"),
+        F.max_by(F.struct("short_form", "identifier"), F.struct(F.char_length("short_form"), "first")).alias("best"),
+        F.sum("n").alias("n_rows"),
     ).select("key", "n_ids", "n_rows", F.col("best.short_form").alias("short_form"), F.col("best.identifier").alias("identifier"))
 
 
@@ -48,12 +50,19 @@ def pass_nearest(mentions: DataFrame, keys: DataFrame, near: DataFrame) -> DataF
     return d.join(keys.withColumnRenamed("key", "matched_key"), "matched_key").drop("_key")
 
 
+def last_forms(defined: DataFrame) -> DataFrame:
+    """(doc_key, key, long_form, ord) to one row per document and key: the last long form, and
+    the place of the first one."""
+    d = defined.groupBy("doc_key", "key", "long_form").agg(F.min("ord").alias("first"), F.max("ord").alias("ord"))
+    return d.groupBy("doc_key", "key").agg(F.max(F.struct("ord", "long_form"))["long_form"].alias("long_form"), F.min("first").alias("first"))
+
+
 def cascade(wanted: DataFrame, defined: DataFrame, fuzzy: bool = True) -> DataFrame:
     """(doc_key, key) of ``wanted`` with the document's long form: by the key itself, by
     the key with or without its final s, or by the most similar key of the document that
     reaches the threshold, the first one in the document on ties. defined: (doc_key, key,
-    long_form, ord), the last long form of a key counts."""
-    last = defined.groupBy("doc_key", "key").agg(F.max(F.struct("ord", "long_form"))["long_form"].alias("long_form"), F.min("ord").alias("first"))
+    long_form, ord), the last long form of a key counts, or the ``last_forms`` of such rows."""
+    last = defined if "first" in defined.columns else last_forms(defined)
     w = wanted.select("doc_key", F.col("key").alias("wanted")).distinct()
     other = F.filter(T.col(T.variant_keys("wanted")), lambda k: k != F.col("wanted"))
     exact = w.select("doc_key", "wanted", F.lit(1).alias("prio"), F.lit("exact_key").alias("method"), F.col("wanted").alias("key"))

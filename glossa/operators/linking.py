@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from glossa.functions import text as T
 from glossa.functions.udfs import sequence_ratio
 from glossa.functions.vector import Index, nearest
-from glossa.operators.abbreviations import resolve
+from glossa.operators.abbreviations import last_forms, resolve
+from glossa.sources.paths import drop, keep
 
 # The weights of the final score.
 WEIGHTS = {"embedding_score": 1.0, "exact": 0.35, "name_jaccard": 0.20, "label_jaccard": 0.15, "parenthetical": 0.10, "sequence": 0.05, "preferred": 0.03}
@@ -113,13 +114,18 @@ def link(mentions: DataFrame, ontology: DataFrame, keys: DataFrame, defined: Dat
     none. Rules come first; only what is left is encoded, each distinct query once. A long
     form without any candidate leaves the mention to the model itself. ``hits`` are the
     best ``ranks`` concepts (identifier, name, embedding_score, score), best first. An
-    ``index`` of the ontology's terms (``term_index``) may serve several calls."""
+    ``index`` of the ontology's terms (``term_index``) may serve several calls. Each input is
+    read once: its distinct rows, the rules' decisions and the hits of long forms are kept,
+    as several of the steps behind them read them."""
     encoder = encoder or hashed_encoder()
-    terms = ontology_terms(ontology)
+    terms = keep(ontology_terms(ontology))
     names = terms.select("identifier", F.col("raw_name").alias("name"))
-    d = resolve(mentions.select("doc_key", "mention").distinct(), keys, defined, encoder=encoder)
+    read = [keep(x) for x in (mentions.select("doc_key", "mention").distinct(), keys, last_forms(defined))]
+    d = keep(resolve(*read, encoder=encoder))
+    drop(*read)
     d = d.withColumn("_direct", F.col("kind") == "direct").withColumn("_long", F.when(F.col("kind") == "ambiguous_long_form", T.col(T.plural_normalize("long_form"))))
     deep = _by_model(d.where("_long is not null").select(F.col("_long").alias("query")), terms, names, encoder, max(ambiguous_top, ranks), max(50, 10 * ranks), index)
+    deep = keep(deep)
     d = d.join(deep.select(F.col("_q").alias("_long"), F.col("m_hits").alias("_deep")), "_long", "left")
     d = d.withColumn("query", F.when(~F.col("_direct") & F.col("_deep").isNull(), T.col(T.plural_normalize("mention"))))
     k = max(top, ranks)

@@ -4,8 +4,9 @@ own file system, so any store that Spark reads will do."""
 from __future__ import annotations
 
 import re
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Corpora of the vocabulary report, with parts of their paths and the splits
 # that count.
@@ -23,6 +24,25 @@ def _open(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def keep(d: DataFrame) -> DataFrame:
+    """The rows, written once to the folder that all executors share: what several steps read is
+    computed once. ``drop`` deletes them."""
+    spark = d.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/glossa-kept"
+    path = f"{folder.rstrip('/')}/kept-{uuid.uuid4().hex}"
+    d.write.parquet(path)
+    out = spark.read.schema(d.schema).parquet(path)
+    out._kept = path
+    return out
+
+
+def drop(*kept: DataFrame) -> None:
+    """Delete kept rows that nothing reads any more."""
+    for d in kept:
+        fs, p = _open(d.sparkSession, d._kept)
+        fs.delete(p, True)
+
+
 def kind(spark: SparkSession, path: str) -> str | None:
     """``file``, ``folder`` or None."""
     fs, p = _open(spark, path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions import vector
 from glossa.functions.udfs import byte_offsets
+from glossa.operators import abbreviations as A
 from glossa.operators import evaluate as V
 from glossa.operators import spans as S
 from glossa.plans.queries import queries
@@ -102,3 +103,21 @@ def test_overlap_joins_no_words_with_documents(spark):
     """The language goes with the words: only forms meet the terms."""
     d = queries()["corpus_overlap"](spark, "/root/testdata/sf0.001")
     assert d._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_linker_reads_its_inputs_once(spark):
+    """What several steps read is kept: the links read none of the linker's inputs again."""
+    d = queries()["link_mentions"](spark, "/root/testdata/sf0.001")
+    assert d.count() and not [f for f in d.inputFiles() if "/testdata/" in f]
+
+
+def test_repeated_rows_of_lookup_and_definitions(spark):
+    """Repeated rows meet by numbers first: the longest short form, the last long form, the first place."""
+    rows = [("N-K", "CL:2", 3), ("NK", "CL:1", 0), ("N-K", "CL:1", 5), ("N-K", "CL:2", 1), ("N-K", "CL:1", 1 << 40), ("NK", None, 0), ("-", "CL:1", 0), ("T", "CL:1", 7), ("T", "CL:1", 2)]
+    keys = A.lookup(spark.createDataFrame(rows, "short_form string, identifier string, line long"))
+    assert sorted(map(tuple, keys.collect())) == [("NK", 2, 5, "N-K", "CL:2"), ("T", 1, 2, "T", "CL:1")]
+    defined = spark.createDataFrame([("d", "K", "b", 4), ("d", "K", "a", 1), ("d", "K", "b", 0), ("d", "K", "a", 9), ("e", "K", None, 2)], "doc_key string, key string, long_form string, ord int")
+    last = A.last_forms(defined)
+    assert sorted((r.doc_key, r.key, r.long_form, r.first) for r in last.collect()) == [("d", "K", "a", 0), ("e", "K", None, 2)]
+    wanted = spark.createDataFrame([("d", "K"), ("e", "Ks")], "doc_key string, key string")
+    assert sorted(map(str, A.cascade(wanted, last).collect())) == sorted(map(str, A.cascade(wanted, defined).collect()))
