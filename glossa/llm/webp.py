@@ -4,7 +4,9 @@ The decoder follows the published bitstream specification: RIFF container, VP8L
 prefix codes (simple and normal, with entropy images), LZ77 back-references with the
 two-dimensional distance map, colour cache, and the inverse predictor, cross-colour,
 subtract-green and colour-indexing transforms. A prefix code is a table over its longest
-code's bits; a pixel takes one look at nine bytes of the stream.
+code's bits. Where only green varies, array operations look up every bit of the stream as
+the begin of a token, and the chain from the first one tells the tokens; elsewhere a pixel
+takes one look at nine bytes of the stream.
 
 The encoder writes Huffman codes of at most 15 bits, references to the last place of the
 same four pixels, and cache hits. ``plan`` chooses for each image by entropies: cross-colour
@@ -26,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -119,23 +122,51 @@ class Reader:
 class Writer:
     def __init__(self):
         self.value = self.n = 0
-        self.parts: list[np.ndarray] = []
 
     def put(self, value: int, n: int) -> None:
         self.value |= value << self.n
         self.n += n
 
     def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        """Numbers, each in so many bits."""
-        raw = self.value.to_bytes((self.n + 7) // 8, "little")
-        of = np.repeat(np.arange(len(sizes)), sizes)
-        step = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.parts += [np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")[: self.n], (values[of] >> step & 1).astype(np.uint8)]
-        self.value = self.n = 0
+        """Numbers, each in so many bits (less than 64): they meet in words of 64 bits."""
+        if not len(sizes):
+            return
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        word, shift, values = starts >> 6, (starts & 63).astype(np.uint64), values.astype(np.uint64)
+        words = np.zeros((int(ends[-1]) >> 6) + 2, np.uint64)
+        first = np.append(0, np.flatnonzero(word[1:] != word[:-1]) + 1)
+        words[word[first]] = np.bitwise_or.reduceat(values << shift, first)
+        over = np.flatnonzero(ends > (word + 1) << 6)  # at most one number for each word
+        words[word[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
+        self.put(int.from_bytes(words.astype("<u8").tobytes(), "little"), int(ends[-1]))
 
     def bytes(self) -> bytes:
-        self.add(np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()
+        return self.value.to_bytes((self.n + 7) // 8, "little")
+
+
+#: Codes of one symbol, which take no bits.
+ONE = [Prefix(np.array([_k]), np.zeros(1, np.int64)) for _k in range(256)]
+
+
+@lru_cache(4096)
+def _lengths_table(some: tuple) -> tuple[list[int], int]:
+    """A code of code lengths, (symbol, length) each, as a table, and the mask of its look."""
+    coder = Prefix(*np.array(some, np.int64).T)
+    return coder.table(), (1 << coder.depth) - 1
+
+
+@lru_cache(4096)
+def _lengths_code(used: tuple) -> tuple[int, int, dict[int, tuple[int, int]]]:
+    """What precedes code lengths of these symbols, its bits, and each symbol's code and length."""
+    depth = max(1, (len(used) - 1).bit_length())
+    short = (1 << depth) - len(used)  # this many symbols take one bit less, in pairs of one
+    coder = Prefix(np.array(used), np.where(np.arange(len(used)) < short, depth - 1, depth) if len(used) > 1 else np.ones(1, np.int64))
+    own = dict(zip(coder.symbols.tolist(), coder.lengths.tolist() if not coder.single else [1], strict=True))
+    count = max(4, max(CODE_LENGTH_ORDER.index(s) for s in own) + 1)
+    head = (count - 4) << 1 | sum(own.get(s, 0) << 5 + 3 * k for k, s in enumerate(CODE_LENGTH_ORDER[:count]))
+    code, bits = (x.tolist() for x in coder.arrays(19))
+    return head, 5 + 3 * count, {s: (code[s], bits[s]) for s in used}
 
 
 def read_prefix(bits: Reader, size: int) -> Prefix:
@@ -145,15 +176,16 @@ def read_prefix(bits: Reader, size: int) -> Prefix:
         first, second = x >> 3 & ((1 << wide) - 1), x >> 3 + wide & 255
         bits.take(3 + wide + (8 if x & 2 else 0))
         if not x & 2 or first == second:
-            return Prefix(np.array([first]), np.zeros(1, np.int64))
+            return ONE[first]
         return Prefix(np.array([min(first, second), max(first, second)]), np.ones(2, np.int64))
     bits.take(1)
-    some = [(CODE_LENGTH_ORDER[i], n) for i in range(4 + bits.take(4)) if (n := bits.take(3))]
+    count = 4 + bits.take(4)
+    x = bits.take(3 * count)
+    some = tuple((CODE_LENGTH_ORDER[i], n) for i in range(count) if (n := x >> 3 * i & 7))
     if not some:
         raise ValueError("prefix code is not complete")
-    coder = Prefix(*np.array(some, np.int64).T)
+    table, mask = _lengths_table(some)
     left = 2 + bits.take(2 + 2 * bits.take(3)) if bits.take(1) else size
-    table, mask = coder.table(), (1 << coder.depth) - 1
     out: list[int] = []
     before, x, have = 8, 0, 0
     while len(out) < size and left:
@@ -190,20 +222,15 @@ def read_prefix(bits: Reader, size: int) -> Prefix:
 
 
 def write_prefix(w: Writer, prefix: Prefix, size: int) -> None:
-    symbols = np.sort(prefix.symbols).tolist()
+    symbols = sorted(prefix.symbols.tolist())
     if len(symbols) <= 2 and symbols[-1] < 256:
-        w.put(1, 1)
-        w.put(len(symbols) - 1, 1)
-        w.put(1, 1)
-        for s in symbols:
-            w.put(s, 8)
+        w.put(1 | (len(symbols) - 1) << 1 | 1 << 2 | symbols[0] << 3 | (symbols[1] << 11 if len(symbols) > 1 else 0), 3 + 8 * len(symbols))
         return
-    lengths = np.zeros(symbols[-1] + 1, np.int64)
-    lengths[prefix.symbols] = prefix.lengths
+    length = symbols[-1] + 1
     runs: list[tuple[int, int, int]] = []  # symbol, extra bits, their number
     done = 0
     own = prefix.symbols.tolist()
-    for k, length in sorted(zip(own, prefix.lengths.tolist(), strict=True)):
+    for k, long in sorted(zip(own, prefix.lengths.tolist(), strict=True)):
         n = k - done
         done = k + 1
         while n >= 11:
@@ -213,29 +240,22 @@ def write_prefix(w: Writer, prefix: Prefix, size: int) -> None:
             runs.append((17, n - 3, 3))
         elif n > 0:
             runs += [(0, 0, 0)] * n
-        runs.append((length, 0, 0))
-    if len(runs) < 2 or len(lengths) == size:  # no shorter than all lengths
-        runs += [(0, 0, 0)] * (size - len(lengths))
-    names, extra, more = np.array(runs, np.int64).T
-    used = np.unique(names)
-    depth = max(1, (len(used) - 1).bit_length())
-    short = (1 << depth) - len(used)  # this many symbols take one bit less, in pairs of one
-    coder = Prefix(used, np.where(np.arange(len(used)) < short, depth - 1, depth) if len(used) > 1 else np.ones(1, np.int64))
-    w.put(0, 1)
-    own = dict(zip(coder.symbols.tolist(), coder.lengths.tolist() if not coder.single else [1], strict=True))
-    count = max(4, max(CODE_LENGTH_ORDER.index(s) for s in own) + 1)
-    w.put(count - 4, 4)
-    for s in CODE_LENGTH_ORDER[:count]:
-        w.put(own.get(s, 0), 3)
-    if len(runs) >= 2 and len(lengths) < size:
-        w.put(1, 1)
+        runs.append((long, 0, 0))
+    if len(runs) < 2 or length == size:  # no shorter than all lengths
+        runs += [(0, 0, 0)] * (size - length)
+    head, size_of, codes = _lengths_code(tuple(sorted({x[0] for x in runs})))
+    w.put(head, size_of)
+    if len(runs) >= 2 and length < size:
         n = max(1, ((len(runs) - 2).bit_length() + 1) // 2)
-        w.put(n - 1, 3)
-        w.put(len(runs) - 2, 2 * n)
+        w.put(1 | (n - 1) << 1 | (len(runs) - 2) << 4, 4 + 2 * n)
     else:
         w.put(0, 1)
-    code, bits = coder.arrays(19)
-    w.add(code[names] | extra << bits[names], bits[names] + more)
+    value = n = 0
+    for name, extra, more in runs:
+        code, bits = codes[name]
+        value |= (code | extra << bits) << n
+        n += bits + more
+    w.put(value, n)
 
 
 # ---------------------------------------------------------------- decoding
@@ -260,72 +280,91 @@ def _parts(size: int, bits: int) -> int:
     return (size + (1 << bits) - 1) >> bits
 
 
+#: Bits of a stream that one step of ``_read_green`` looks at.
+LOOK = 1 << 17
+#: Tokens from one head of a chain to the next, as a power of two.
+HEADS = 4
+# The least value of each length or distance symbol, and its number of extra bits.
+_LEAST, _MORE = np.array([_stretch(_k, 0) for _k in range(40)], np.int64).T
+
+
 def _read_green(bits: Reader, group: list[Prefix], width: int, n: int) -> np.ndarray:
-    """Pixels without a cache of which only green has a code of several symbols. One look
-    gives two literals where their codes are short enough together."""
-    depth = max(group[0].depth, 10)
-    one = group[0].ahead()
-    place = np.arange(1 << depth)
-    first = one if len(one) == 1 << depth else one[place & (len(one) - 1)]
-    second = one[place >> (first & 15) & (len(one) - 1)]
-    used = (first & 15) + (second & 15)
-    both = (used <= depth) & (second >> 4 < 256)
-    literal = first >> 4 < 256
-    sizes = np.where(both, used, first & 15).tolist()
-    raw = np.stack([first >> 4, second >> 4], axis=1).astype(np.uint8).tobytes()
-    counts = np.where(literal, 1 + both, 0).tolist()
-    pieces = [raw[k : k + c] for k, c in zip(range(0, len(raw), 2), counts, strict=True)]
-    one, single = one.tolist(), len(one) - 1
-    far, f = group[4].table(), (1 << group[4].depth) - 1
-    mask, data, fetch = (1 << depth) - 1, bits.data, int.from_bytes
-    out = bytearray()
-    at = bits.at >> 3
-    x = fetch(data[at : at + 16], "little") >> (bits.at & 7)
-    at += 16
-    have = 128 - (bits.at & 7)
+    """Pixels without a cache of which only green has a code of several symbols. Every bit of
+    the stream is looked up as if a token began there, which gives the next one's place;
+    the tokens are those that the first one's chain of places meets."""
+    if group[0].single:  # a reference, and nothing before it
+        raise ValueError("a reference leaves the image")
+    table, mask = group[0].ahead(), (1 << group[0].depth) - 1
+    far, far_mask = group[4].ahead(), (1 << group[4].depth) - 1
+    copies = int(group[0].symbols.max()) > 255
+    if copies and int(group[4].symbols.max()) >= len(_LEAST):
+        raise ValueError("no distance has this symbol")
+    data, out, at = bits.data, bytearray(), bits.at
     while len(out) < n:
-        if have < 64:
-            x |= fetch(data[at : at + 24], "little") << have
-            at += 24
-            have += 192
-        piece = True
-        for _ in range(min(have // depth, (n - len(out) + 1) // 2)):
-            k = x & mask
-            piece = pieces[k]
-            if not piece:
-                break
-            out += piece
-            k = sizes[k]
-            x >>= k
-            have -= k
-        if piece:
-            continue
-        if have < 64:
-            x |= fetch(data[at : at + 24], "little") << have
-            at += 24
-            have += 192
-        got = one[x & single]
-        k = got & 15
-        x >>= k
-        length, used = _stretch((got >> 4) - 256, x)
-        x >>= used
-        got = far[x & f]
-        x >>= got & 15
-        code, more = _stretch(got >> 4, x)
-        x >>= more
-        have -= k + used + (got & 15) + more
-        back = _distance(code, width)
-        if back > len(out) or len(out) + length > n:
-            raise ValueError("a reference leaves the image")
-        piece = out[len(out) - back : len(out) - back + length]
-        out += piece if back >= length else (piece * (length // back + 1))[:length]
-    if len(out) > n:  # the second literal stands behind the image
-        have += int(group[0].lengths[group[0].symbols == out[n]][0])
-    bits.at = 8 * at - have
-    if bits.at > 8 * len(data):
+        if at >= 8 * len(data):
+            raise ValueError("the stream ends early")
+        size = min(LOOK, group[0].depth * (n - len(out)), 8 * len(data) - at)  # places where a token may begin
+        raw = data[at >> 3 : (at + size >> 3) + 16]
+        raw += bytes((at + size >> 3) - (at >> 3) + 24 - len(raw))  # a token that begins here takes less than 8 bytes
+        words = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+
+        def window(place):
+            return (words[place >> 3] >> (place & 7).astype(np.uint64)).astype(np.int64)
+
+        low = at & 7
+        here = (words[: (size + low >> 3) + 1, None] >> np.arange(8, dtype=np.uint64) & np.uint64(mask)).ravel()[low : low + size]
+        got = table[here.astype(np.int64)]
+        following = np.arange(size) + (got & 15)
+        if copies:
+            place = np.flatnonzero(got >= 256 << 4)
+            symbol, next_ = (got[place] >> 4) - 256, following[place] + low
+            length = _LEAST[symbol] + (window(next_) & (1 << _MORE[symbol]) - 1)
+            next_ += _MORE[symbol]
+            distance = far[window(next_) & far_mask]
+            next_ += distance & 15
+            distance >>= 4
+            code = _LEAST[distance] + (window(next_) & (1 << _MORE[distance]) - 1)
+            following[place] = next_ + _MORE[distance] - low
+        step = np.append(np.minimum(following, size), size)
+        jump = step
+        for _ in range(HEADS):
+            jump = jump[jump]
+        heads, ahead, k = [], memoryview(jump), 0
+        while k < size:
+            heads.append(k)
+            k = ahead[k]
+        chain = np.empty((1 << HEADS, len(heads)), np.int64)
+        chain[0] = heads
+        for k in range(1, 1 << HEADS):
+            chain[k] = step[chain[k - 1]]
+        path = chain.T.ravel()
+        path = path[path < size]
+        token = got[path] >> 4
+        refer = np.flatnonzero(token > 255)
+        if not len(refer):
+            path = path[: n - len(out)]
+            out += token[: len(path)].astype(np.uint8).tobytes()
+        else:
+            of = np.searchsorted(place, path[refer])
+            counts = np.ones(len(path), np.int64)
+            counts[refer] = length[of]
+            path = path[: int(np.searchsorted(np.cumsum(counts), n - len(out))) + 1]
+            literal, done = token.astype(np.uint8).tobytes(), 0
+            for k, i in zip(refer[: np.searchsorted(refer, len(path))].tolist(), of.tolist(), strict=False):
+                out += literal[done:k]
+                done = k + 1
+                many, back = int(length[i]), _distance(int(code[i]), width)
+                if back > len(out) or len(out) + many > n:
+                    raise ValueError("a reference leaves the image")
+                piece = out[len(out) - back : len(out) - back + many]
+                out += piece if back >= many else (piece * (many // back + 1))[:many]
+            out += literal[done : len(path)]
+        at += int(following[path[-1]])
+    bits.at = at
+    if at > 8 * len(data):
         raise ValueError("the stream ends early")
     red, blue, alpha = (int(p.symbols[0]) for p in group[1:4])
-    return np.frombuffer(bytes(out[:n]), np.uint8).astype(np.uint32) << np.uint32(8) | np.uint32(alpha << 24 | red << 16 | blue)
+    return np.frombuffer(bytes(out), np.uint8).astype(np.uint32) << np.uint32(8) | np.uint32(alpha << 24 | red << 16 | blue)
 
 
 def _read_image(bits: Reader, width: int, height: int, main: bool) -> np.ndarray:
@@ -536,6 +575,9 @@ def _cross(argb: np.ndarray, width: int, parts: np.ndarray, tile: int, sign: int
         k = grid[: len(argb) // width, :width].ravel()
     if sign < 0 and np.ndim(k) == 0 and int(k) & 0xFFFFFF == GREY and not ((argb ^ argb >> np.uint32(8)) & np.uint32(0xFFFF)).any():
         return argb & np.uint32(0xFF00FF00)  # a grey image: red and blue less green
+    if sign > 0 and np.ndim(k) == 0 and int(k) & 0xFFFFFF == GREY and not (argb & np.uint32(0xFF00FF)).any():
+        green = argb & np.uint32(0xFF00)
+        return argb | green << np.uint32(8) | green >> np.uint32(8)
     # Bytes are signed numbers here.
     green_to_red, green_to_blue, red_to_blue = (np.asarray(k >> np.uint32(s)).astype(np.int8).astype(np.int16) for s in (0, 8, 16))
     red, green, blue = ((argb >> np.uint32(s)).astype(np.int8).astype(np.int16) for s in (16, 8, 0))
@@ -616,7 +658,7 @@ def huffman(counts: np.ndarray) -> Prefix:
     used = np.flatnonzero(counts)
     if len(used) < 2:
         only = int(used[0]) if len(used) else 0
-        return Prefix(np.array([only]), np.zeros(1, np.int64)) if only < 256 else Prefix(np.array([0, only]), np.ones(2, np.int64))
+        return ONE[only] if only < 256 else Prefix(np.array([0, only]), np.ones(2, np.int64))
     weights, n = counts[used], len(used)
     while True:
         order = np.argsort(weights, kind="stable")
@@ -677,10 +719,12 @@ def _copies(flat: np.ndarray, least: int = 10) -> list[tuple[int, int, int]]:
     alike = (flat[at] == flat[from_]) & (flat[at + 1] == flat[from_ + 1]) & (flat[at + 2] == flat[from_ + 2]) & (flat[at + 3] == flat[from_ + 3])
     back = np.zeros(n - 3, np.int64)
     back[at[alike]] = (at - from_)[alike]
-    edges = np.append(np.flatnonzero(np.diff(back, prepend=0)), n - 3)
-    run = (back[edges[:-1]] > 0) & (np.diff(edges) >= least - 3) if len(edges) > 1 else np.zeros(0, bool)
+    edges = np.flatnonzero(back[1:] != back[:-1]) + 1  # the first four pixels have none before
+    ends = np.append(edges[1:], n - 3)[: len(edges)]
+    run = np.flatnonzero(ends - edges >= least - 3)
+    run = run[back[edges[run]] > 0]
     out, free = [], 0
-    for begin, end, distance in zip(edges[:-1][run].tolist(), edges[1:][run].tolist(), back[edges[:-1][run]].tolist(), strict=True):
+    for begin, end, distance in zip(edges[run].tolist(), ends[run].tolist(), back[edges[run]].tolist(), strict=True):
         begin = max(begin, free)
         while begin < end:
             length = min(end - begin + 3, 4096)
@@ -709,8 +753,8 @@ def _write_image(w: Writer, flat: np.ndarray, width: int, cache_bits: int = 0, r
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     if not cache_bits and (flat == flat[0]).all():  # pixels take no bits
         for s, size in zip((8, 16, 0, 24), sizes, strict=False):
-            write_prefix(w, Prefix(np.array([int(flat[0]) >> s & 255]), np.zeros(1, np.int64)), size)
-        write_prefix(w, Prefix(np.array([0]), np.zeros(1, np.int64)), 40)
+            write_prefix(w, ONE[int(flat[0]) >> s & 255], size)
+        write_prefix(w, ONE[0], 40)
         return
     copies = np.array(_copies(flat) if references else [], np.int64).reshape(-1, 3)
     single = np.arange(n)
@@ -731,9 +775,14 @@ def _write_image(w: Writer, flat: np.ndarray, width: int, cache_bits: int = 0, r
         length, more, more_n = _symbols(copies[:, 1])
         near = _near_codes(width)
         distance, far, far_n = _symbols(np.array([near.get(d, d + len(NEAR)) for d in copies[:, 2].tolist()], np.int64))
-    others = [((pixels[lit] >> np.uint32(s)) & np.uint32(255)).astype(np.int64) for s in (16, 0, 24)]
-    symbols = [np.concatenate([green, 256 + length]), *others, distance]
-    group = [huffman(np.bincount(x, minlength=size)) for x, size in zip(symbols, sizes, strict=True)]
+    symbols = [np.concatenate([green, 256 + length]) if len(length) else green]
+    if not cache_bits and not ((pixels ^ pixels[:1]) & np.uint32(0xFFFF00FF)).any():  # only green varies
+        others = [np.zeros(0, np.int64)] * 3
+        group = [ONE[int(pixels[0]) >> s & 255] for s in (16, 0, 24)]
+    else:
+        others = [((pixels[lit] >> np.uint32(s)) & np.uint32(255)).astype(np.int64) for s in (16, 0, 24)]
+        group = [huffman(np.bincount(x, minlength=size)) for x, size in zip(others, sizes[1:4], strict=True)]
+    group = [huffman(np.bincount(x, minlength=size)) for x, size in zip(symbols, sizes, strict=False)] + group + [huffman(np.bincount(distance, minlength=40))]
     for p, size in zip(group, sizes, strict=True):
         write_prefix(w, p, size)
     # One number per token: its codes and extra bits, the first ones lowest.
@@ -907,7 +956,7 @@ def feature(samples: np.ndarray) -> str:
     h, w = samples.shape
     sums = samples.sum(axis=0, dtype=np.int64)
     columns = sums.reshape(64, -1).sum(axis=1) if w % 64 == 0 else sums
-    bits = "".join("1" if b else "0" for b in columns > np.roll(columns, 1))
+    bits = "".join("1" if b else "0" for b in (columns > np.append(columns[-1:], columns[:-1])).tolist())
     mean = sums.sum() / samples.size
     return f"{int(bits, 2):016x}:{mean:.4f}"
 

@@ -103,3 +103,56 @@ def test_rows():
     n, payload, *_ = webp.media_row("a" * 576)
     assert (n, payload) == (576, 576)
     assert webp.media_row("é")[:2] == (2, 576)
+
+
+@pytest.mark.parametrize("look", [1, 50, 1 << 17])
+def test_tokens_by_chains(monkeypatch, look):
+    """Tokens over the borders of steps: literals, references that overlap themselves, far ones."""
+    monkeypatch.setattr(webp, "LOOK", look)
+    draw = np.random.default_rng(look)
+    far = draw.integers(97, 123, 2000, dtype=np.uint8)
+    raw = np.concatenate([far, np.full(900, 7, np.uint8), np.tile(far[:5], 90), far, draw.geometric(0.1, 500).astype(np.uint8)])
+    raw = raw[: len(raw) // webp.ROW * webp.ROW].tobytes()
+    stored = webp.encode(webp._grey(np.frombuffer(raw, np.uint8).reshape(-1, webp.ROW)), (webp.CROSS_COLOUR,), references=True, tile=5, cross=webp.GREY)
+    assert webp.load(stored).tobytes() == raw
+    if look > 1:
+        for cut in range(30, len(stored), 97):
+            with pytest.raises(ValueError):
+                webp.decode(stored[:cut])
+
+
+def test_bits_of_a_writer():
+    """Numbers of 0 to 63 bits in words of 64, after bits that stand there already."""
+    draw = np.random.default_rng(8)
+    sizes = np.append([0, 63, 63, 0], draw.integers(0, 64, 300))
+    values = np.array([int(draw.integers(0, 1 << int(n))) if n else 0 for n in sizes], np.int64)
+    w = webp.Writer()
+    w.put(5, 3)
+    w.add(values, sizes)
+    w.put(1, 1)
+    bits = "".join(f"{v:0{n}b}"[::-1] if n else "" for v, n in [(5, 3), *zip(values.tolist(), sizes.tolist(), strict=True), (1, 1)])
+    assert w.bytes() == int(bits[::-1], 2).to_bytes((len(bits) + 7) // 8, "little")
+
+
+def test_reading_takes_no_step_for_each_pixel(monkeypatch):
+    """Twice the pixels of prose run the same lines of Python, but for one in sixteen tokens."""
+    import sys
+
+    draw = np.random.default_rng(4)
+    prose = lambda n: bytes(draw.integers(97, 117, n * webp.ROW, dtype=np.uint8))
+    lines = []
+    for stored in (webp.store(prose(8)), webp.store(prose(16))):
+        seen = 0
+
+        def trace(frame, event, arg):
+            nonlocal seen
+            seen += event == "line" and frame.f_code.co_filename == webp.__file__
+            return trace
+
+        sys.settrace(trace)
+        try:
+            webp.load(stored)
+        finally:
+            sys.settrace(None)
+        lines.append(seen)
+    assert lines[1] - lines[0] < 8 * webp.ROW / 4
