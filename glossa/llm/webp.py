@@ -29,6 +29,8 @@ import hashlib
 import struct
 import zlib
 from functools import lru_cache
+from math import log2
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -113,10 +115,13 @@ class Reader:
 
     def take(self, n: int) -> int:
         got = self.look() & ((1 << n) - 1)
+        self.skip(n)
+        return got
+
+    def skip(self, n: int) -> None:
         self.at += n
         if self.at > 8 * len(self.data):
             raise ValueError("the stream ends early")
-        return got
 
 
 class Writer:
@@ -128,23 +133,34 @@ class Writer:
         self.n += n
 
     def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        """Numbers, each in so many bits (less than 64): they meet in words of 64 bits."""
-        if not len(sizes):
-            return
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
-        word, shift, values = starts >> 6, (starts & 63).astype(np.uint64), values.astype(np.uint64)
-        words = np.zeros((int(ends[-1]) >> 6) + 2, np.uint64)
-        first = np.append(0, np.flatnonzero(word[1:] != word[:-1]) + 1)
-        words[word[first]] = np.bitwise_or.reduceat(values << shift, first)
-        over = np.flatnonzero(ends > (word + 1) << 6)  # at most one number for each word
-        words[word[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
-        self.put(int.from_bytes(words.astype("<u8").tobytes(), "little"), int(ends[-1]))
+        """Numbers, each in so many bits (less than 64)."""
+        if len(sizes):
+            self.put(*_packed(values, sizes, np.array([len(sizes)]))[0])
 
     def bytes(self) -> bytes:
         return self.value.to_bytes((self.n + 7) // 8, "little")
 
 
+def _packed(values: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]]:
+    """Numbers, each in so many bits (less than 64), that meet in words of 64 bits: as many
+    streams as ``counts``, which has each one's numbers; a stream as a number, and its bits."""
+    ends = np.cumsum(sizes)
+    last = np.append(0, ends)[np.cumsum(counts)]
+    bits = np.diff(last, prepend=0)
+    room = (bits >> 6) + 2
+    begin = np.cumsum(room) - room
+    ends += np.repeat((begin << 6) - (last - bits), counts)
+    starts = ends - sizes
+    word, shift, values = starts >> 6, (starts & 63).astype(np.uint64), values.astype(np.uint64)
+    words = np.zeros(int(room.sum()), np.uint64)
+    first = np.append(0, np.flatnonzero(word[1:] != word[:-1]) + 1)
+    words[word[first]] = np.bitwise_or.reduceat(values << shift, first)
+    over = np.flatnonzero(ends > (word + 1) << 6)  # at most one number for each word
+    words[word[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
+    data = words.astype("<u8").tobytes()
+    return [(int.from_bytes(data[8 * k : 8 * (k + r)], "little"), n) for k, r, n in zip(begin.tolist(), room.tolist(), bits.tolist(), strict=True)]
+
+
 #: Codes of one symbol, which take no bits.
 ONE = [Prefix(np.array([_k]), np.zeros(1, np.int64)) for _k in range(256)]
 
@@ -174,21 +190,22 @@ def read_prefix(bits: Reader, size: int) -> Prefix:
     if x & 1:  # one or two symbols: their number, the first one's width, the symbols
         wide = 8 if x >> 2 & 1 else 1
         first, second = x >> 3 & ((1 << wide) - 1), x >> 3 + wide & 255
-        bits.take(3 + wide + (8 if x & 2 else 0))
+        bits.skip(3 + wide + (8 if x & 2 else 0))
         if not x & 2 or first == second:
             return ONE[first]
         return Prefix(np.array([min(first, second), max(first, second)]), np.ones(2, np.int64))
-    bits.take(1)
-    count = 4 + bits.take(4)
-    x = bits.take(3 * count)
+    count = 4 + (x >> 1 & 15)
+    x = x >> 5 & (1 << 3 * count) - 1
+    bits.skip(5 + 3 * count)
     some = tuple((CODE_LENGTH_ORDER[i], n) for i in range(count) if (n := x >> 3 * i & 7))
     if not some:
         raise ValueError("prefix code is not complete")
     table, mask = _lengths_table(some)
     left = 2 + bits.take(2 + 2 * bits.take(3)) if bits.take(1) else size
-    out: list[int] = []
-    before, x, have = 8, 0, 0
-    while len(out) < size and left:
+    symbols: list[int] = []
+    lengths: list[int] = []
+    at, before, x, have = 0, 8, 0, 0
+    while at < size and left:
         left -= 1
         if have < 16:
             x, have = bits.look(), 64
@@ -196,29 +213,33 @@ def read_prefix(bits: Reader, size: int) -> Prefix:
         symbol, used = got >> 4, got & 15
         x >>= used
         if symbol < 16:
-            out.append(symbol)
-            before = symbol or before
+            if symbol:
+                symbols.append(at)
+                lengths.append(symbol)
+                before = symbol
+            at += 1
         elif symbol == 16:
-            out += [before] * (3 + (x & 3))
+            n = 3 + (x & 3)
+            symbols += range(at, at + n)
+            lengths += [before] * n
+            at += n
             used += 2
             x >>= 2
         elif symbol == 17:
-            out += [0] * (3 + (x & 7))
+            at += 3 + (x & 7)
             used += 3
             x >>= 3
         else:
-            out += [0] * (11 + (x & 127))
+            at += 11 + (x & 127)
             used += 7
             x >>= 7
         bits.at += used
         have -= used
-    if len(out) > size or bits.at > 8 * len(bits.data):
+    if at > size or bits.at > 8 * len(bits.data):
         raise ValueError("too many code lengths")
-    lengths = np.array(out, np.int64)
-    symbols = np.flatnonzero(lengths)
-    if not len(symbols):
+    if not symbols:
         raise ValueError("prefix code is not complete")
-    return Prefix(symbols, lengths[symbols])
+    return Prefix(np.array(symbols), np.array(lengths))
 
 
 def write_prefix(w: Writer, prefix: Prefix, size: int) -> None:
@@ -280,7 +301,7 @@ def _parts(size: int, bits: int) -> int:
     return (size + (1 << bits) - 1) >> bits
 
 
-#: Bits of a stream that one step of ``_read_green`` looks at.
+#: Bits of streams that one step of ``_read_green`` looks at, for one stream at most.
 LOOK = 1 << 17
 #: Tokens from one head of a chain to the next, as a power of two.
 HEADS = 4
@@ -288,87 +309,132 @@ HEADS = 4
 _LEAST, _MORE = np.array([_stretch(_k, 0) for _k in range(40)], np.int64).T
 
 
-def _read_green(bits: Reader, group: list[Prefix], width: int, n: int) -> np.ndarray:
-    """Pixels without a cache of which only green has a code of several symbols. Every bit of
-    the stream is looked up as if a token began there, which gives the next one's place;
-    the tokens are those that the first one's chain of places meets."""
-    if group[0].single:  # a reference, and nothing before it
-        raise ValueError("a reference leaves the image")
-    table, mask = group[0].ahead(), (1 << group[0].depth) - 1
-    far, far_mask = group[4].ahead(), (1 << group[4].depth) - 1
-    copies = int(group[0].symbols.max()) > 255
-    if copies and int(group[4].symbols.max()) >= len(_LEAST):
-        raise ValueError("no distance has this symbol")
-    data, out, at = bits.data, bytearray(), bits.at
-    while len(out) < n:
-        if at >= 8 * len(data):
+def _read_green(streams: list[tuple[Reader, list[Prefix], int, int]]) -> list[np.ndarray]:
+    """Pixels of images (stream, codes, width, pixels) without a cache of which only green has a
+    code of several symbols, in steps over several streams or a part of one."""
+    out, tables = [bytearray() for _ in streams], []
+    for _, group, _, _ in streams:
+        if group[0].single:  # a reference, and nothing before it
+            raise ValueError("a reference leaves the image")
+        if int(group[0].symbols.max()) > 255 and int(group[4].symbols.max()) >= len(_LEAST):
+            raise ValueError("no distance has this symbol")
+        tables.append((group[0].ahead().astype(np.uint16), group[4].ahead()))
+    left = range(len(streams))
+    while left:
+        chosen, total = [], 0
+        for i in left:
+            bits, group, _, n = streams[i]
+            if bits.at >= 8 * len(bits.data):
+                raise ValueError("the stream ends early")
+            size = min(LOOK, group[0].depth * (n - len(out[i])), 8 * len(bits.data) - bits.at)  # places where a token may begin
+            chosen.append((*streams[i], *tables[i], out[i], size))
+            total += size
+            if total >= LOOK:
+                break
+        _read_step(chosen)
+        left = [i for i in left if len(out[i]) < streams[i][3]]
+    pixels = []
+    for (bits, group, _, _), values in zip(streams, out, strict=True):
+        if bits.at > 8 * len(bits.data):
             raise ValueError("the stream ends early")
-        size = min(LOOK, group[0].depth * (n - len(out)), 8 * len(data) - at)  # places where a token may begin
-        raw = data[at >> 3 : (at + size >> 3) + 16]
-        raw += bytes((at + size >> 3) - (at >> 3) + 24 - len(raw))  # a token that begins here takes less than 8 bytes
-        words = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
-
-        def window(place):
-            return (words[place >> 3] >> (place & 7).astype(np.uint64)).astype(np.int64)
-
-        low = at & 7
-        here = (words[: (size + low >> 3) + 1, None] >> np.arange(8, dtype=np.uint64) & np.uint64(mask)).ravel()[low : low + size]
-        got = table[here.astype(np.int64)]
-        following = np.arange(size) + (got & 15)
-        if copies:
-            place = np.flatnonzero(got >= 256 << 4)
-            symbol, next_ = (got[place] >> 4) - 256, following[place] + low
-            length = _LEAST[symbol] + (window(next_) & (1 << _MORE[symbol]) - 1)
-            next_ += _MORE[symbol]
-            distance = far[window(next_) & far_mask]
-            next_ += distance & 15
-            distance >>= 4
-            code = _LEAST[distance] + (window(next_) & (1 << _MORE[distance]) - 1)
-            following[place] = next_ + _MORE[distance] - low
-        step = np.append(np.minimum(following, size), size)
-        jump = step
-        for _ in range(HEADS):
-            jump = jump[jump]
-        heads, ahead, k = [], memoryview(jump), 0
-        while k < size:
+        red, blue, alpha = (int(p.symbols[0]) for p in group[1:4])
+        pixels.append(np.frombuffer(bytes(values), np.uint8).astype(np.uint32) << np.uint32(8) | np.uint32(alpha << 24 | red << 16 | blue))
+    return pixels
+
+
+def _read_step(chosen: list[tuple]) -> None:
+    """Extend each stream's pixels by the tokens that begin in its next bits. Every bit is looked
+    up as if a token began there, which gives the next one's place; the tokens are those that
+    the first one's chain of places meets. Streams stand one after the other, each before
+    bytes without tokens, where its chain ends."""
+    raws, begins, ends, room = [], [], [], 0
+    for bits, *_, size in chosen:
+        first, after = bits.at >> 3, bits.at + size >> 3
+        raw = bits.data[first : after + 16]
+        raws.append(raw + bytes(after - first + 24 - len(raw)))  # a token that begins here takes less than 8 bytes
+        begins.append(8 * room + (bits.at & 7))
+        ends.append(begins[-1] + size)
+        room += len(raws[-1])
+    joined = b"".join([*raws, bytes(8)])
+    green, far = [c[4] for c in chosen], [c[5] for c in chosen]
+    lengths = [len(x) for x in raws]
+    masks, bases = (np.repeat(np.array(x, np.uint32), lengths) for x in zip(*_bases(green), strict=True))
+    here = np.ndarray(room, "<u4", joined, strides=(1,)) >> np.arange(8, dtype=np.uint32)[:, None]
+    here &= masks
+    here += bases
+    got = np.concatenate(green).take(here.T.astype(np.intp, order="C").ravel())
+    edge = 0
+    for begin, end in zip(begins, ends, strict=True):
+        got[edge:begin] = 0
+        edge = end
+    got[edge:] = 0
+    following = np.arange(len(got)) + (got & 15)
+    place = np.flatnonzero(got >= 256 << 4)
+    if len(place):
+        words = np.ndarray(room, "<u8", joined, strides=(1,))
+
+        def window(at):
+            return (words[at >> 3] >> (at & 7).astype(np.uint64)).astype(np.int64)
+
+        masks, bases = (np.array(x)[np.searchsorted(ends, place, "right")] for x in zip(*_bases(far), strict=True))
+        symbol, next_ = (got[place] >> 4).astype(np.int64) - 256, following[place]
+        length = _LEAST[symbol] + (window(next_) & (1 << _MORE[symbol]) - 1)
+        next_ += _MORE[symbol]
+        distance = np.concatenate(far)[bases + (window(next_) & masks)]
+        next_ += distance & 15
+        distance >>= 4
+        code = _LEAST[distance] + (window(next_) & (1 << _MORE[distance]) - 1)
+        following[place] = next_ + _MORE[distance]
+    jump = following
+    for _ in range(HEADS):
+        jump = jump.take(jump)
+    heads, ahead = [], memoryview(jump)
+    for k, end in zip(begins, ends, strict=True):
+        while k < end:
             heads.append(k)
             k = ahead[k]
-        chain = np.empty((1 << HEADS, len(heads)), np.int64)
-        chain[0] = heads
-        for k in range(1, 1 << HEADS):
-            chain[k] = step[chain[k - 1]]
-        path = chain.T.ravel()
-        path = path[path < size]
-        token = got[path] >> 4
-        refer = np.flatnonzero(token > 255)
-        if not len(refer):
-            path = path[: n - len(out)]
-            out += token[: len(path)].astype(np.uint8).tobytes()
-        else:
-            of = np.searchsorted(place, path[refer])
-            counts = np.ones(len(path), np.int64)
-            counts[refer] = length[of]
-            path = path[: int(np.searchsorted(np.cumsum(counts), n - len(out))) + 1]
-            literal, done = token.astype(np.uint8).tobytes(), 0
-            for k, i in zip(refer[: np.searchsorted(refer, len(path))].tolist(), of.tolist(), strict=False):
-                out += literal[done:k]
-                done = k + 1
-                many, back = int(length[i]), _distance(int(code[i]), width)
-                if back > len(out) or len(out) + many > n:
-                    raise ValueError("a reference leaves the image")
-                piece = out[len(out) - back : len(out) - back + many]
-                out += piece if back >= many else (piece * (many // back + 1))[:many]
-            out += literal[done : len(path)]
-        at += int(following[path[-1]])
-    bits.at = at
-    if at > 8 * len(data):
-        raise ValueError("the stream ends early")
-    red, blue, alpha = (int(p.symbols[0]) for p in group[1:4])
-    return np.frombuffer(bytes(out), np.uint8).astype(np.uint32) << np.uint32(8) | np.uint32(alpha << 24 | red << 16 | blue)
+    chain = np.empty((1 << HEADS, len(heads)), np.int64)
+    chain[0] = heads
+    for k in range(1, 1 << HEADS):
+        chain[k] = following.take(chain[k - 1])
+    path = chain.T.ravel()
+    token = got[path]
+    path, token = path[token > 0], token[token > 0] >> 4
+    literal, refer = token.astype(np.uint8).tobytes(), np.flatnonzero(token > 255)
+    of = np.searchsorted(place, path[refer])
+    copies = list(zip(refer.tolist(), length[of].tolist(), code[of].tolist(), strict=True)) if len(refer) else []
+    stops = np.searchsorted(path, ends)
+    parts = zip(chosen, begins, stops.tolist(), np.searchsorted(refer, stops).tolist(), strict=True)
+    done = i = 0
+    for (bits, _, width, n, _, _, out, _), begin, stop, last in parts:
+        for k, many, distance in copies[i:last]:
+            if k - done >= n - len(out):
+                break
+            out += literal[done:k]
+            done = k + 1
+            back = _distance(distance, width)
+            if back > len(out) or len(out) + many > n:
+                raise ValueError("a reference leaves the image")
+            piece = out[len(out) - back : len(out) - back + many]
+            out += piece if back >= many else (piece * (many // back + 1))[:many]
+        read = min(stop, done + n - len(out))
+        out += literal[done:read]
+        bits.at += int(following[path[read - 1]]) - begin
+        done, i = stop, last
 
 
-def _read_image(bits: Reader, width: int, height: int, main: bool) -> np.ndarray:
-    """Entropy-coded pixels, as a flat array of ARGB numbers."""
+def _bases(tables: list[np.ndarray]) -> list[tuple[int, int]]:
+    """For tables one after the other, the mask of each one's numbers and its first place."""
+    out, at = [], 0
+    for table in tables:
+        out.append((len(table) - 1, at))
+        at += len(table)
+    return out
+
+
+def _read_image(bits: Reader, width: int, height: int, main: bool) -> np.ndarray | tuple:
+    """Entropy-coded pixels, as a flat array of ARGB numbers; of a main image of which only
+    green varies, what ``_read_green`` takes."""
     cache_bits = bits.take(4) if bits.take(1) else 0
     if cache_bits > 11:
         raise ValueError("colour cache of too many bits")
@@ -384,7 +450,8 @@ def _read_image(bits: Reader, width: int, height: int, main: bool) -> np.ndarray
     if len(groups) == 1 and all(p.single for p in groups[0][:4]) and groups[0][0].symbols[0] < 256:  # pixels take no bits
         return np.full(n, sum(int(p.symbols[0]) << place for p, place in zip(groups[0], (8, 16, 0, 24), strict=False)), np.uint32)
     if not cache and len(groups) == 1 and all(p.single for p in groups[0][1:4]):
-        return _read_green(bits, groups[0], width, n)
+        green = (bits, groups[0], width, n)
+        return green if main else _read_green([green])[0]
     across = _parts(width, tile) if entropy else 0
     # Symbols stand where their channel stands in a pixel, but green ones, which are compared.
     look = [[(p.table(place), (1 << p.depth) - 1) for p, place in zip(g, (0, 16, 0, 24, 0), strict=True)] for g in groups]
@@ -596,6 +663,18 @@ def _index_bits(colours: int) -> int:
 
 def decode(data: bytes) -> np.ndarray:
     """One file to an array of ARGB numbers (height, width)."""
+    return decode_all([data])[0]
+
+
+def decode_all(files: list[bytes]) -> list[np.ndarray]:
+    """Files to arrays of ARGB numbers; images of which only green varies are read together."""
+    opened = [_open(x) for x in files]
+    green = iter(_read_green([x[-1] for x in opened if isinstance(x[-1], tuple)]))
+    return [_undo(*x, next(green) if isinstance(out, tuple) else out) for *x, out in opened]
+
+
+def _open(data: bytes) -> tuple:
+    """Height, transforms and main image of a file, as far as ``_read_image`` goes."""
     if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
         raise ValueError("no WebP file")
     at, body = 12, None
@@ -627,7 +706,10 @@ def decode(data: bytes) -> np.ndarray:
             w = _parts(w, _index_bits(n))
         else:
             transforms.append((kind, w, 0, None))
-    out = _read_image(bits, w, height, True)
+    return height, transforms, _read_image(bits, w, height, True)
+
+
+def _undo(height: int, transforms: list[tuple], out: np.ndarray) -> np.ndarray:
     for kind, w, tile, extra in reversed(transforms):
         if kind == SUBTRACT_GREEN:
             c = _channels(out)
@@ -647,7 +729,7 @@ def decode(data: bytes) -> np.ndarray:
         else:
             modes = ((extra >> 8) & 15).astype(np.int64)
             out = _argb(_restore(_channels(out).reshape(height, w, 4), _edges(modes, tile, w, height))).ravel()
-    return out.reshape(height, width)
+    return out.reshape(height, -1)
 
 
 # ---------------------------------------------------------------- encoding
@@ -704,23 +786,41 @@ def _hits(flat: np.ndarray, cache_bits: int) -> np.ndarray:
     return (last >= 0) & (flat[last] == flat)
 
 
-def _copies(flat: np.ndarray, least: int = 10) -> list[tuple[int, int, int]]:
-    """(start, length, distance) of references; shorter ones cost more time than they save."""
-    n = len(flat)
-    if n < 8:
-        return []
+def _order(keys: np.ndarray) -> np.ndarray:
+    """Places by key, equal ones by place; numbers of 16 bits sort in two passes."""
+    low = np.argsort(keys.astype(np.uint16), kind="stable")
+    return low[np.argsort((keys >> np.uint32(16)).astype(np.uint16)[low], kind="stable")]
+
+
+def _copies(flat: np.ndarray, images: list[tuple[int, int]], least: int = 10) -> np.ndarray:
+    """(start, length, distance) of references within images, which are from one place of
+    ``flat`` to another each; shorter ones cost more time than they save."""
+    images = [(a, b) for a, b in images if b - a >= 8]
+    if not images:
+        return np.zeros((0, 3), np.int64)
     mixed = flat ^ flat >> np.uint32(15)
     keys = ((mixed[:-3] * np.uint32(0x9E3779B1) ^ mixed[1:-2]) * np.uint32(0x85EBCA6B) ^ mixed[2:-1]) * np.uint32(0xC2B2AE35) ^ mixed[3:]
-    if n < 1 << 13:  # short numbers sort faster; two that meet by chance are told apart below
-        keys = (keys ^ keys >> np.uint32(16)).astype(np.uint16)
-    last = _last(keys)
-    at = np.flatnonzero(last >= 0)
-    from_ = last[at]
-    alike = (flat[at] == flat[from_]) & (flat[at + 1] == flat[from_ + 1]) & (flat[at + 2] == flat[from_ + 2]) & (flat[at + 3] == flat[from_ + 3])
-    back = np.zeros(n - 3, np.int64)
+    orders = []
+    for a, b in images:
+        own = keys[a : b - 3]
+        if b - a < 1 << 13:  # short numbers sort faster; two that meet by chance are told apart below
+            short = (own ^ own >> np.uint32(16)).astype(np.uint16)
+            own[:] = short
+            orders.append(np.argsort(short, kind="stable") + a)
+        else:
+            orders.append(_order(own) + a)
+    order = np.concatenate(orders)
+    keys = keys[order]
+    same = keys[1:] == keys[:-1]
+    same[np.cumsum([len(x) for x in orders[:-1]], dtype=np.int64) - 1] = False  # the first of an image has none before
+    same = np.flatnonzero(same)
+    at, from_ = order[same + 1], order[same]
+    two = np.ndarray(len(flat) - 1, "<u8", flat, strides=(4,)).copy()
+    alike = (two[at] == two[from_]) & (two[at + 2] == two[from_ + 2])
+    back = np.zeros(len(flat), np.int64)
     back[at[alike]] = (at - from_)[alike]
-    edges = np.flatnonzero(back[1:] != back[:-1]) + 1  # the first four pixels have none before
-    ends = np.append(edges[1:], n - 3)[: len(edges)]
+    edges = np.flatnonzero(back[1:] != back[:-1]) + 1  # an image's first and last three pixels have none before
+    ends = np.append(edges[1:], len(flat))[: len(edges)]
     run = np.flatnonzero(ends - edges >= least - 3)
     run = run[back[edges[run]] > 0]
     out, free = [], 0
@@ -730,7 +830,7 @@ def _copies(flat: np.ndarray, least: int = 10) -> list[tuple[int, int, int]]:
             length = min(end - begin + 3, 4096)
             out.append((begin, length, distance))
             free = begin = begin + length
-    return out
+    return np.array(out, np.int64).reshape(-1, 3)
 
 
 def _symbols(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -752,11 +852,9 @@ def _write_image(w: Writer, flat: np.ndarray, width: int, cache_bits: int = 0, r
         w.put(0, 1)  # one group of codes
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     if not cache_bits and (flat == flat[0]).all():  # pixels take no bits
-        for s, size in zip((8, 16, 0, 24), sizes, strict=False):
-            write_prefix(w, ONE[int(flat[0]) >> s & 255], size)
-        write_prefix(w, ONE[0], 40)
+        w.put(*_one_colour(int(flat[0])))
         return
-    copies = np.array(_copies(flat) if references else [], np.int64).reshape(-1, 3)
+    copies = _copies(flat, [(0, n)] if references else [])
     single = np.arange(n)
     if len(copies):
         cover = np.zeros(n + 1, np.int64)
@@ -776,12 +874,8 @@ def _write_image(w: Writer, flat: np.ndarray, width: int, cache_bits: int = 0, r
         near = _near_codes(width)
         distance, far, far_n = _symbols(np.array([near.get(d, d + len(NEAR)) for d in copies[:, 2].tolist()], np.int64))
     symbols = [np.concatenate([green, 256 + length]) if len(length) else green]
-    if not cache_bits and not ((pixels ^ pixels[:1]) & np.uint32(0xFFFF00FF)).any():  # only green varies
-        others = [np.zeros(0, np.int64)] * 3
-        group = [ONE[int(pixels[0]) >> s & 255] for s in (16, 0, 24)]
-    else:
-        others = [((pixels[lit] >> np.uint32(s)) & np.uint32(255)).astype(np.int64) for s in (16, 0, 24)]
-        group = [huffman(np.bincount(x, minlength=size)) for x, size in zip(others, sizes[1:4], strict=True)]
+    others = [((pixels[lit] >> np.uint32(s)) & np.uint32(255)).astype(np.int64) for s in (16, 0, 24)]
+    group = [huffman(np.bincount(x, minlength=size)) for x, size in zip(others, sizes[1:4], strict=True)]
     group = [huffman(np.bincount(x, minlength=size)) for x, size in zip(symbols, sizes, strict=False)] + group + [huffman(np.bincount(distance, minlength=40))]
     for p, size in zip(group, sizes, strict=True):
         write_prefix(w, p, size)
@@ -807,6 +901,53 @@ def _write_image(w: Writer, flat: np.ndarray, width: int, cache_bits: int = 0, r
     w.add(code, bits)
 
 
+@lru_cache(4096)
+def _one_colour(pixel: int) -> tuple[int, int]:
+    """The codes of an image of one pixel's colour, and their bits."""
+    w = Writer()
+    for s in (8, 16, 0, 24):
+        write_prefix(w, ONE[pixel >> s & 255], 256)
+    write_prefix(w, ONE[0], 40)
+    return w.value, w.n
+
+
+def _write_green(images: list[tuple[Writer, np.ndarray, int, bool]]) -> None:
+    """Main images (writer, pixels, width, whether by references) without a cache of which only
+    green varies: all are searched and coded at once, each by its own codes."""
+    ends = np.cumsum([len(x[1]) for x in images])
+    flat, spans = np.concatenate([x[1] for x in images]), zip([0, *ends.tolist()], ends.tolist(), strict=False)
+    start, length, distance = _copies(flat, [s for s, x in zip(spans, images, strict=True) if x[3]]).T
+    begins = np.ones(len(flat), bool)  # of tokens: a pixel, or a reference
+    for a, b in zip((start + 1).tolist(), (start + length).tolist(), strict=True):
+        begins[a:b] = False
+    place = np.flatnonzero(begins)
+    counts = np.diff(np.searchsorted(place, ends), prepend=0)
+    symbol, of = (flat >> np.uint32(8)).astype(np.uint8)[place].astype(np.int64), np.repeat(np.arange(len(images)), counts)
+    at = np.searchsorted(place, start)
+    far_of, near = of[at], [_near_codes(x[2]) for x in images]
+    length, more, more_n = _symbols(length)
+    codes = [near[i].get(d, d + len(NEAR)) for i, d in zip(far_of.tolist(), distance.tolist(), strict=True)]
+    distance, far, far_n = _symbols(np.array(codes, np.int64))
+    symbol[at] = 256 + length
+    symbol += 280 * of
+    distance += 40 * far_of
+    groups = []
+    for (w, pixels, _, _), own, own_far in zip(images, np.bincount(symbol, minlength=280 * len(images)).reshape(-1, 280), np.bincount(distance, minlength=40 * len(images)).reshape(-1, 40), strict=True):
+        first = int(pixels[0])
+        groups.append([huffman(own), *(ONE[first >> s & 255] for s in (16, 0, 24)), huffman(own_far)])
+        w.put(0, 2)  # no cache, one group of codes
+        for p, size in zip(groups[-1], (280, 256, 256, 256, 40), strict=True):
+            write_prefix(w, p, size)
+    # One number per token: its codes and extra bits, the first ones lowest.
+    code, bits = (np.concatenate(x)[symbol] for x in zip(*(g[0].arrays(280) for g in groups), strict=True))
+    own, own_n = (np.concatenate(x)[distance] for x in zip(*(g[4].arrays(40) for g in groups), strict=True))
+    for value, number in ((more, more_n), (own, own_n), (far, far_n)):
+        code[at] |= value << bits[at]
+        bits[at] += number
+    for (w, *_), stream in zip(images, _packed(code, bits, counts), strict=True):
+        w.put(*stream)
+
+
 _NEAR_CODES: dict[int, dict[int, int]] = {}
 
 
@@ -819,8 +960,14 @@ def _near_codes(width: int) -> dict[int, int]:
     return _NEAR_CODES[width]
 
 
-def encode(argb: np.ndarray, transforms=(), cache_bits: int = 0, references: bool = False, tile: int = 2, mode: int = 11, modes=None, cross: int = 0xFFFF05) -> bytes:
-    """An array of ARGB numbers (height, width) to one file, without loss.
+def encode(argb: np.ndarray, *how, **more) -> bytes:
+    """An array of ARGB numbers (height, width) to one file, without loss: arguments as ``begin``."""
+    return finish([begin(argb, *how, **more)])[0]
+
+
+def begin(argb: np.ndarray, transforms=(), cache_bits: int = 0, references: bool = False, tile: int = 2, mode: int = 11, modes=None, cross: int = 0xFFFF05) -> tuple:
+    """What ``finish`` makes a file of: the stream up to the main image, its pixels and their
+    width, bits of the cache, whether by references.
 
     ``transforms`` are applied in order. The predictor's ``modes`` by tile, or else modes
     from ``mode`` on in turn; ``cross`` has red-to-blue, green-to-blue, green-to-red as
@@ -864,17 +1011,33 @@ def encode(argb: np.ndarray, transforms=(), cache_bits: int = 0, references: boo
             _write_image(head, chosen << 8 | np.uint32(0xFF000000), _parts(w, tile))
             flat = _argb(_rests(_channels(flat).reshape(height, w, 4), _edges(chosen.astype(np.int64), tile, w, height))).ravel()
     head.put(0, 1)
-    _write_image(head, flat, w, cache_bits, references, True)
-    stream = b"\x2f" + head.bytes()
-    pad = b"\0" * (len(stream) & 1)
-    return b"RIFF" + struct.pack("<I", 12 + len(stream) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(stream)) + stream + pad
+    return head, flat, w, cache_bits, references
+
+
+def finish(begun: list[tuple]) -> list[bytes]:
+    """Files of images; those of which only green varies are written together."""
+    green = []
+    for head, flat, w, cache_bits, references in begun:
+        varies = flat ^ flat[0]
+        if cache_bits or (varies & np.uint32(0xFFFF00FF)).any() or not varies.any():
+            _write_image(head, flat, w, cache_bits, references, True)
+        else:
+            green.append((head, flat, w, references))
+    if green:
+        _write_green(green)
+    out = []
+    for head, *_ in begun:
+        stream = b"\x2f" + head.bytes()
+        pad = b"\0" * (len(stream) & 1)
+        out.append(b"RIFF" + struct.pack("<I", 12 + len(stream) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(stream)) + stream + pad)
+    return out
 
 
 def _entropy(counts: np.ndarray) -> float:
     """Bits that a value takes on average, by how often each occurs."""
-    some = counts[counts > 0]
-    total = int(some.sum())
-    return float(np.log2(total) - (some * np.log2(some)).sum() / total) if total else 0.0
+    some = counts[counts > 0].tolist()
+    total = sum(some)
+    return log2(total) - sum(map(mul, some, map(log2, some))) / total if total else 0.0
 
 
 #: Bits of the cache, of a palette's colour and of a tile of transform data, and the tile,
@@ -934,21 +1097,56 @@ def _modes(argb: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- media columns
 
 
+#: Samples that are written or read together.
+STEP = 1 << 17
+
+
+def _steps(sizes: list[int], limit: int) -> list[tuple[int, int]]:
+    """Ranges of items of about ``limit`` together, one item at least."""
+    out, begin, total = [], 0, 0
+    for k, n in enumerate(sizes):
+        total += n
+        if total >= limit or k + 1 == len(sizes):
+            out.append((begin, k + 1))
+            begin, total = k + 1, 0
+    return out
+
+
 def store(payload: bytes, row: int = ROW) -> bytes:
     """Bytes (whole rows) as grey samples of one or more files."""
-    samples = np.frombuffer(payload, np.uint8).reshape(-1, row)
-    files = (samples[k : k + MAX_ROWS] for k in range(0, len(samples), MAX_ROWS))
-    return b"".join(encode(_grey(x), **plan(x)) for x in files)
+    return store_all([payload], row)[0]
+
+
+def store_all(payloads: list[bytes], row: int = ROW) -> list[bytes]:
+    """Payloads to stored files, several at once."""
+    samples = [np.frombuffer(x, np.uint8).reshape(-1, row) for x in payloads]
+    images = [(i, x[k : k + MAX_ROWS]) for i, x in enumerate(samples) for k in range(0, len(x), MAX_ROWS)]
+    out: list[list[bytes]] = [[] for _ in payloads]
+    for a, b in _steps([x.size for _, x in images], STEP):
+        for (i, _), file in zip(images[a:b], finish([begin(_grey(x), **plan(x)) for _, x in images[a:b]]), strict=True):
+            out[i].append(file)
+    return [b"".join(x) for x in out]
 
 
 def load(stored: bytes) -> np.ndarray:
     """Stored files to samples (rows, row)."""
-    out, at = [], 0
-    while at < len(stored):
-        n = 8 + struct.unpack_from("<I", stored, at + 4)[0]
-        out.append(((decode(stored[at : at + n]) >> np.uint32(8)) & np.uint32(255)).astype(np.uint8))
-        at += n
-    return np.vstack(out)
+    return load_all([stored])[0]
+
+
+def load_all(stored: list[bytes]) -> list[np.ndarray]:
+    """Stored files to samples, several at once."""
+    files = []
+    for i, x in enumerate(stored):
+        at = 0
+        while at < len(x):
+            n = 8 + struct.unpack_from("<I", x, at + 4)[0]
+            files.append((i, x[at : at + n]))
+            at += n
+    out: list[list[np.ndarray]] = [[] for _ in stored]
+    for a, b in _steps([len(x) for _, x in files], STEP // 2):
+        for (i, _), image in zip(files[a:b], decode_all([x for _, x in files[a:b]]), strict=True):
+            out[i].append((image >> np.uint32(8)).astype(np.uint8))
+    return [x[0] if len(x) == 1 else np.vstack(x) for x in out]
 
 
 def feature(samples: np.ndarray) -> str:
@@ -963,12 +1161,18 @@ def feature(samples: np.ndarray) -> str:
 
 def media_row(text: str | None) -> tuple:
     """The columns of one text, from the bytes read back."""
-    raw = (text or "").encode()
-    payload = raw + b"\xff" * (-len(raw) % ROW or (0 if raw else ROW))
-    stored = store(payload)
-    samples = load(stored)
-    back = samples.tobytes()
-    return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(samples)
+    return media_rows([text])[0]
+
+
+def media_rows(texts: list[str | None]) -> list[tuple]:
+    """The columns of texts, from the bytes read back; no text's depend on the others."""
+    raws = [(t or "").encode() for t in texts]
+    stored = store_all([x + b"\xff" * (-len(x) % ROW or (0 if x else ROW)) for x in raws])
+    rows = []
+    for raw, media, samples in zip(raws, stored, load_all(stored), strict=True):
+        back = samples.tobytes()
+        rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)))
+    return rows
 
 
 SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -977,22 +1181,21 @@ SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 lo
 def media_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every whole text as stored media, read back: one row per document."""
     kind = dict(docs.dtypes)[doc_id]
-    names = ["doc_id", *(x.split()[0] for x in SCHEMA.split(", "))]
+    columns = ["doc_id", *(x.split()[0] for x in SCHEMA.split(", "))]
 
     def run(batches):
         known: dict = {}  # of the task's last texts, by digest
         for batch in batches:
-            rows = []
-            for t in batch.column(1).to_pylist():
-                name = hashlib.sha256((t or "").encode()).digest()
-                if name not in known:
-                    if len(known) >= 20_000:
-                        known.clear()
-                    known[name] = media_row(t)
-                rows.append(known[name])
-            columns = [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in names[1:]]
+            if len(known) >= 20_000:
+                known.clear()
+            texts = batch.column(1).to_pylist()
+            names = [hashlib.sha256((t or "").encode()).digest() for t in texts]
+            new = {name: t for name, t in zip(names, texts, strict=True) if name not in known}
+            known.update(zip(new, media_rows(list(new.values())), strict=True))
+            rows = [known[name] for name in names]
+            values = [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in columns[1:]]
             types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(values, types, strict=True))], columns)
 
     small_batches(docs.sparkSession, 256)
     return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, f"doc_id {kind}, {SCHEMA}")

@@ -156,3 +156,49 @@ def test_reading_takes_no_step_for_each_pixel(monkeypatch):
             sys.settrace(None)
         lines.append(seen)
     assert lines[1] - lines[0] < 8 * webp.ROW / 4
+
+
+def some_texts(count, seed=6):
+    draw = np.random.default_rng(seed)
+    words = "the of and to in is was heart liver kidney été 日本 \n".split(" ")
+    return [" ".join(words[k] for k in draw.integers(0, len(words), n)) for n in draw.integers(1, 400, count)]
+
+
+@pytest.mark.parametrize("step,look", [(1, 1 << 17), (1500, 200), (1 << 17, 1 << 17)])
+def test_texts_together_are_each_as_alone(monkeypatch, step, look):
+    """Null, empty, equal, constant, palette, predictor and long texts beside prose, in several
+    files each: the rows are those of one text at a time, wherever a step ends."""
+    monkeypatch.setattr(webp, "MAX_ROWS", 5)
+    ramp = bytes((i * 3 + i // 576) % 128 for i in range(576 * 12)).decode()
+    texts = [*some_texts(12), None, "", "a" * 576, "acgtta" * 900, ramp, "b" * 9000, "ab" * 3, *some_texts(2), some_texts(1)[0] * 20]
+    alone = [webp.media_row(t) for t in texts]
+    monkeypatch.setattr(webp, "STEP", step)
+    monkeypatch.setattr(webp, "LOOK", look)
+    assert webp.media_rows(texts) == alone
+    for text, row in zip(texts, alone, strict=True):
+        raw = (text or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % webp.ROW or (0 if raw else webp.ROW))
+        assert row[:4] == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+    assert webp.media_rows([]) == []
+
+
+def test_array_operations_are_for_many_texts(monkeypatch):
+    """48 texts are searched for references, packed to bits and read back in as many steps as one."""
+    from collections import Counter
+
+    found = Counter()
+    for name in ("_copies", "_packed", "_read_step"):
+        def run(*a, _f=getattr(webp, name), _n=name):
+            found[_n] += 1
+            return _f(*a)
+
+        monkeypatch.setattr(webp, name, run)
+    webp.media_rows(some_texts(48))
+    assert found and max(found.values()) <= 3
+    assert set(found) == {"_copies", "_packed", "_read_step"}
+
+
+def test_stored_form_stays():
+    """The digests that the encoder of one image at a time gave."""
+    stored = webp.store_all([t.encode() + b"\xff" * (-len(t.encode()) % webp.ROW) for t in some_texts(40)])
+    assert hashlib.sha256(b"".join(stored)).hexdigest() == "3543ce4ee92aeecbfa5328bb9b9265d42d7755bbe899173686eaeae25e7f8e89"
