@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from glossa.functions import vector
 from glossa.operators import evaluate as V
 from glossa.plans.queries import queries
 
@@ -35,3 +36,19 @@ def test_whole_grid(spark):
                 alive = [k + r - 3 for r in range(12) if (k + r) % 9]
                 found |= {(brand, kind, k + (k % 4 == 0), x) for x in alive[:10]}
         assert got[name, "end_to_end", "allLabels", 10] == len(found)
+
+
+def test_pairs_shuffle_no_terms(spark, monkeypatch):
+    """Every pair of blocks meets, and only the queries are dealt anew."""
+    monkeypatch.setattr(vector, "PAIR_QUERIES", 3)
+    monkeypatch.setattr(vector, "PAIR_TERMS", 4)
+    monkeypatch.setattr(vector, "PAIR_LEAST", 1)
+    rows = [(k, [float(k % 5 - 2), 1.0, float(k % 3)]) for k in range(40)] + [(40, None), (41, []), (42, [0.0, 0.0, 0.0]), (43, [1.0, 2.0]), (44, [1.0, None, 2.0])]
+    terms = spark.createDataFrame(rows, "k long, embedding array<float>").repartition(3)
+    d = vector.distances(terms.where("k % 4 = 0"), terms, "k", "k")
+    cosine = vector.cosine_distance("a.embedding", "b.embedding")
+    both = terms.alias("a").where("k % 4 = 0 and size(embedding) > 0").crossJoin(terms.alias("b"))
+    want = both.selectExpr("a.k", "b.k", f"round(case when size(a.embedding) = size(b.embedding) then {cosine} end, 9) + 0D d")
+    assert sorted(map(str, map(tuple, d.collect()))) == sorted(map(str, map(tuple, want.collect())))
+    plan = vector.distances(spark.range(9).selectExpr("id k", "array(1F) embedding"), spark.range(99).selectExpr("id k", "array(1F) embedding"), "k", "k")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "CartesianProduct" in plan
