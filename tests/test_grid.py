@@ -1,11 +1,15 @@
 """The link evaluation over the grid, and all pairs of vectors."""
 
 import os
+import random
+import re
 
+import pyarrow as pa
 import pytest
 
 from glossa.functions import vector
 from glossa.operators import evaluate as V
+from glossa.operators import spans as S
 from glossa.plans.queries import queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -52,3 +56,60 @@ def test_pairs_shuffle_no_terms(spark, monkeypatch):
     assert sorted(map(str, map(tuple, d.collect()))) == sorted(map(str, map(tuple, want.collect())))
     plan = vector.distances(spark.range(9).selectExpr("id k", "array(1F) embedding"), spark.range(99).selectExpr("id k", "array(1F) embedding"), "k", "k")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "CartesianProduct" in plan
+
+
+def _made(spark):
+    """Annotations in any order with shared places, ranks with gaps, odd ids, types and places."""
+    draw = random.Random(5)
+    texts = {k: "".join(draw.choice(["aa ", "b", "é ", "😀", " ", "_", ". ", "cc"]) for _ in range(12)) for k in range(6)}
+    place = lambda: [(draw.randrange(3, 25), draw.randrange(0, 7)) for _ in range(draw.choice([1, 1, 1, 2, 0]))]
+    name = lambda: draw.choice(["CL:1", "CL:2", " CL:1 ", "CL:1;CL:2", "-", "(skos:related)CL:2", "(skos:exact)CL:1"])
+    gold = [(str(a), draw.choice([*range(7), None]), draw.choice(["x", "y", None]), place(), name()) for a in range(90)]
+    pred = [(str(draw.randrange(90)), draw.choice([*range(7), None]), draw.choice(["x", "y", None]), place(), draw.choice(["one", "Two", None]), draw.choice(["m", "n", "o", None]), r, draw.choice(["CL:1", "CL:2", "none"]), "0.5") for r in range(400)]
+    pred += [(g[0], g[1], g[2], g[3], "t", m, 900 + r, f"CL:{r}", "1") for g in gold[::2] for m in "mn" for r in (1, 2)]
+    draw.shuffle(pred)
+    kind = f"ann string, passage_key int, type string, locations {PLACE}"
+    docs = [(k, 3, t) for k, t in texts.items()] + [(None, 0, "aa"), (6, 0, "")]
+    g, p = spark.createDataFrame(gold, kind + ", identifier string"), spark.createDataFrame(pred, kind + ", text string, model string, rank int, pred_id string, score string")
+    return g.repartition(3), p.repartition(3), spark.createDataFrame(docs, "passage_key int, offset int, text string"), texts
+
+
+def test_tally_of_all_modes(spark):
+    """All modes of a passage in one row: as the exact modes alone, and as spans compared one by one."""
+    gold, pred, docs, texts = _made(spark)
+    sets, tops = {"all": None, "x": ["x"]}, (1, 2, 7)
+    key = lambda d: {(r.model, r.gate, r.type_set, r.score_mode, r.top): (r.tp, r.fp, r.fn) for r in d.collect()}
+    got = key(V.link_grid(gold, pred, docs, ["m", "n"], V.GATES, sets, tops, V.MODES, 0.4, ["TWO"]))
+    exact = key(V.link_grid(gold, pred, None, ["m", "n"], V.GATES, sets, tops, V.MODES[:2], 0.4))
+    assert len(got) == 2 * 3 * 2 * 3 * 3 and {k: n for k, n in got.items() if k[3] != V.MODES[2]} == exact
+    golds = {(r.passage_key, r.type, r.gold_id, tuple(sorted(r.locations))) for r in V.gated_ids(gold, ["allLabels"]).collect()}
+    by: dict = {}
+    for r in V.ranked_ids(pred, 0.4).where("model = 'm'").collect():
+        by.setdefault((r.passage_key, r.ann), []).append((r.rank, r.type, tuple(sorted(r.locations)), r.pred_id, r.text != "Two"))
+    tuples = {(k[0], x[1], x[3], x[2]) for k, rows in by.items() for x in sorted(rows)[:2] if x[4]}
+    edges = []
+    for g in golds:
+        for p in tuples:
+            common = [(max(a, b) - 3, min(a + n, b + k) - 3) for a, n in g[3] for b, k in p[3]]
+            if g[:3] == p[:3] and g[0] in texts and any(b > 0 and re.search(r"\w", texts[g[0]][max(a, 0) : b]) for a, b in common if b > a):
+                edges.append((g, p))
+    near = V.graph([(sorted(golds, key=repr).index(g), sorted(tuples, key=repr).index(p)) for g, p in edges])
+    assert len(edges) > len(near) > 5 and got["m", "allLabels", "all", V.MODES[2], 2][0] == V.matched(near)
+
+
+def test_passages_are_dealt_once(spark):
+    """One shuffle brings golds, predictions and texts together, a row for a run of a passage."""
+    gold, pred, docs, _ = _made(spark)
+    plan = V.link_grid(gold, pred, docs, ["m"], V.GATES, None, (1,), V.MODES)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(passage_key") == 1 and "hashpartitioning(type" not in plan and "ann#" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
+    runs = pa.record_batch({"k": [1, 1, 1, 2, 2, 1], "ann": list("aabbbb"), "type": ["x"] * 6, "loc": ["[]"] * 5 + [None], "shut": [False] * 6, "rank": range(6), "model": [0] * 6, "link": list("uvwxyz")})
+    (one,) = V._pred_runs([runs])
+    assert one.column(0).to_pylist() == [1, 2, 1] and [[x["link"] for x in r] for r in one.column(1).to_pylist()] == [[["u", "v"], ["w"]], [["x", "y"]], [["z"]]]
+
+
+def test_words_of_an_ending(spark):
+    """Words that end otherwise become no rows; places are those in the whole text."""
+    docs = spark.createDataFrame([(1, "é sing, ing mentions mention 😀 king"), (2, None), (3, "ions")], "k int, t string")
+    got = S.token_spans(docs, "k", "t", S.ASCII, ("ing", "tion")).collect()
+    want = S.token_spans(docs, "k", "t", S.ASCII).where("token rlike '(ing|tion)$'").collect()
+    assert sorted(got) == sorted(want) and len(got) == 4
