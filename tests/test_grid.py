@@ -113,3 +113,10 @@ def test_words_of_an_ending(spark):
     got = S.token_spans(docs, "k", "t", S.ASCII, ("ing", "tion")).collect()
     want = S.token_spans(docs, "k", "t", S.ASCII).where("token rlike '(ing|tion)$'").collect()
     assert sorted(got) == sorted(want) and len(got) == 4
+
+
+def test_exact_modes_meet_once(spark):
+    """Both exact modes come from one shuffle of annotations and one of tuples."""
+    gold, pred, _, _ = _made(spark)
+    plan = V.link_grid(gold, pred, None, ["m"], V.GATES, None, (1,))._jdf.queryExecution().executedPlan().toString()
+    assert len([x for x in plan.splitlines() if "hashpartitioning(passage_key" in x]) == 2
